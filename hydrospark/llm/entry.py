@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrospark.llm import chat_format, host_rules, length_histogram, packing, sharding
+from hydrospark.llm import chat_format, decontamination, host_rules, length_histogram, packing, quality_classifier, sharding, toxicity
 from hydrospark.llm.sql import SQL
 
 
@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ftrl_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score_quality(docs, model)
+
+
+def op2_template_decontamination(spark, sf_dir):
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_nnls_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -26,6 +36,12 @@ def op6_slot_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_counterfactual_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model)
+
+
 def op8_host_rules(spark, sf_dir):
     out = host_rules.judge_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,9 +56,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_ftrl_quality,
+            op2_template_decontamination,
             op3_nnls_packing,
             op4_length_histogram,
             op6_slot_sharding,
+            op7_counterfactual_toxicity,
             op8_host_rules,
             op10_prefix_target,
         )

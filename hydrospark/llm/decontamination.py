@@ -148,6 +148,11 @@ class Index:
         for (item, shift), covered in lines.items():
             item_id, item_kind, item_words = self.items[item]
             for start, stop, slots, changed in runs(sorted(covered), shift, item_kind, item_words, words):
+                # equal words next to a run belong to it, however they were typed
+                while start and start + shift and item_words[start - 1] == words[start + shift - 1]:
+                    start -= 1
+                while stop < len(item_words) and stop + shift < len(words) and item_words[stop] == words[stop + shift]:
+                    stop += 1
                 run = stop - start
                 if run >= min(MIN_RUN, len(item_words)) and (item not in best or run > best[item][1]):
                     best[item] = (item_id, run, len(item_words), start + shift, start, slots, changed)

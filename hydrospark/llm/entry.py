@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrospark.llm import chat_format, decontamination, host_rules, length_histogram, packing, quality_classifier, sharding, toxicity
+from hydrospark.llm import chat_format, decontamination, host_rules, length_histogram, ngram_join, packing, quality_classifier, sharding, toxicity, url_filter
 from hydrospark.llm.sql import SQL
 
 
@@ -32,6 +32,10 @@ def op4_length_histogram(spark, sf_dir):
     return length_histogram.length_totals(length_histogram.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op5_ngram_jaccard(spark, sf_dir):
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op6_slot_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,10 @@ def op8_host_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_host_segmentation(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_prefix_target(spark, sf_dir):
     conversations = chat_format.with_probe(table(spark, sf_dir, "conversations"))
     return chat_format.read_back(chat_format.expand_targets(conversations))
@@ -60,9 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op2_template_decontamination,
             op3_nnls_packing,
             op4_length_histogram,
+            op5_ngram_jaccard,
             op6_slot_sharding,
             op7_counterfactual_toxicity,
             op8_host_rules,
+            op9_host_segmentation,
             op10_prefix_target,
         )
     }

@@ -25,8 +25,8 @@ from hydrospark.llm.columns import free_name
 WINDOW = 8
 #: A run of so many tokens, or the whole item if that is shorter, is a leak.
 MIN_RUN = 13
-#: Windows with fewer literal tokens say too little.
-MIN_LITERALS = 4
+#: Items of fewer tokens say too little to be looked for.
+MIN_ITEM = 4
 #: Characters of benchmark texts that one pass holds in memory; a larger benchmark is met in several passes.
 BLOCK_CHARS = 32_000_000
 #: Distinct raw tokens that a worker remembers.
@@ -98,7 +98,7 @@ def template(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray, l
 
 
 def window_hashes(kind: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each window; 0 where too few of its tokens are literal."""
+    """Hash of each window; 0 where less than half of its tokens are literal."""
     n = len(code) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -107,7 +107,7 @@ def window_hashes(kind: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
         mixed = mixed * np.uint64(0x100000001B3) + code[k : k + n]
         mixed ^= mixed >> np.uint64(29)
     literals = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    mixed[(literals[size:] - literals[:-size]) < min(MIN_LITERALS, size)] = 0
+    mixed[(literals[size:] - literals[:-size]) < (size + 1) // 2] = 0
     return mixed
 
 
@@ -121,7 +121,7 @@ class Index:
 
     def add(self, item_id: int, text: str, cache: Tokens) -> None:
         kind, code, words = template(text, cache)
-        if not words:
+        if len(words) < MIN_ITEM:
             return
         size = min(self.window, len(words))
         for at, h in enumerate(window_hashes(kind, code, size).tolist()):
@@ -211,7 +211,7 @@ def leak_column(column, shared):
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of ``docs`` and benchmark item found in it, with the place and length of the longest consistent run.
 
-    Null or empty texts and items match nothing; repeated rows are reported
+    Null, empty or very short items (under ``MIN_ITEM`` tokens) and null texts match nothing; repeated rows are reported
     each; equal item ids with different texts are different items; an empty
     benchmark or table gives no rows.
     """

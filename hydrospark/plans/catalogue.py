@@ -1,11 +1,269 @@
-"""Queries on the hydrology operators, with SQL for comparison."""
+"""Registered queries on the hydrology operators; each takes the session and a folder of tables."""
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hydrospark.functions.cells import cell_key
+from hydrospark.operators import algebra, flow, slope, stencil
+from hydrospark.plans.oracles import SQL, TH
+from hydrospark.sources import fixtures
+from hydrospark.storage import materialize
+
+
+class Scene:
+    """The derived test grid with its layers, each made when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.grid = fixtures.grid_of(spark, sf_dir)
+        self.w, self.h = self.grid.width, self.grid.height
+        self.kept: dict[str, DataFrame] = {}
+
+    def keep(self, name: str, make) -> DataFrame:
+        if name not in self.kept:
+            self.kept[name] = materialize(make(), name)
+        return self.kept[name]
+
+    @property
+    def cells(self) -> DataFrame:
+        return fixtures.cells(self.spark, self.sf_dir)
+
+    @property
+    def d8(self) -> DataFrame:
+        return self.keep("d8", lambda: stencil.d8(self.cells))
+
+    @property
+    def dir128(self) -> DataFrame:
+        return fixtures.direction_128(self.d8, self.cells)
+
+    @property
+    def flow(self) -> DataFrame:
+        return self.keep("flow", lambda: flow.flow_graph(self.cells, self.d8, self.w, self.h))
+
+    @property
+    def acc(self) -> DataFrame:
+        return self.keep("acc", lambda: flow.accumulation(self.flow))
+
+    @property
+    def acc_xy(self) -> DataFrame:
+        return self.xy(self.acc)
+
+    def xy(self, cells: DataFrame) -> DataFrame:
+        rest = [c for c in cells.columns if c != "cell"]
+        return cells.select((F.col("cell") % self.w).cast("int").alias("x"), F.floor(F.col("cell") / self.w).cast("int").alias("y"), *rest)
+
+    @property
+    def water(self) -> DataFrame:
+        return fixtures.lake_cells(self.spark, self.sf_dir, self.grid)
+
+    def wet(self) -> DataFrame:
+        return self.water.select(cell_key(F.col("x"), F.col("y"), self.w).alias("cell"))
+
+    @property
+    def lakes(self) -> DataFrame:
+        return self.keep("lakes", lambda: slope.label_lakes(self.water, self.w))
+
+    def surfaces(self, mode: str = "group") -> slope.SlopeSurfaces:
+        return slope.slope_surfaces(self.water, self.flow, self.acc, self.w, self.h, TH, mode)
+
+    @property
+    def rivers(self) -> DataFrame:
+        return self.acc.where(F.col("acc") >= TH)
+
+    @property
+    def reach(self) -> DataFrame:
+        return self.keep("reach", lambda: flow.reaches(self.flow, self.rivers))
+
+
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Scene(spark, sf_dir))
+    return f
+
+
+@query
+def f5_d8_direction(s):
+    return stencil.d8(s.cells).select("x", "y", "dir", F.round("slope", 8).alias("slope"))
+
+
+@query
+def g2_flow_accumulation(s):
+    return s.acc
+
+
+@query
+def c8_stream_threshold(s):
+    return algebra.threshold(s.acc_xy, TH)
+
+
+@query
+def a14_river_record(s):
+    stream = algebra.threshold(s.acc_xy, TH).where("s = 1")
+    return stream.join(s.acc_xy, ["x", "y"]).select("x", "y", "acc").orderBy("y", "x")
+
+
+@query
+def c1_reclass_128_to_8(s):
+    from hydrospark.functions.cells import CODE_128_TO_8
+
+    codes = list(CODE_128_TO_8)
+    return s.dir128.select("x", "y", algebra.reclassify(F.col("dir128"), [[c] for c in codes], [CODE_128_TO_8[c] for c in codes]).alias("dir"))
+
+
+@query
+def c2_direction_reclass(s):
+    return algebra.direction_reclass(s.dir128)
+
+
+@query
+def c3_reclass_range_table(s):
+    table = [(0, 50, 1.0), (50, 120, 2.0), (100, 200, 3.0)]
+    return s.cells.select("x", "y", F.round(algebra.reclass_table(F.col("z"), table), 8).alias("v"))
+
+
+@query
+def c4_normalise_128(s):
+    return s.dir128.select("x", "y", algebra.reclass_table(F.col("dir128"), algebra.TABLE_NORMALISE).alias("dir128"))
+
+
+@query
+def c6_erase_mask(s):
+    return algebra.erase(s.cells, s.water).select("x", "y", F.round("z", 8).alias("z"))
+
+
+@query
+def c7_erase_layers(s):
+    wide = s.cells.join(s.acc_xy, ["x", "y"]).join(s.d8.select("x", "y", "dir"), ["x", "y"], "left")
+    wide = wide.select("x", "y", F.round("z", 8).alias("z"), F.coalesce("dir", F.lit(0)).alias("dir"), "acc", F.when(F.col("acc") >= TH, 1).otherwise(0).alias("s"))
+    return algebra.erase(wide, s.water)
+
+
+@query
+def c9_recode_value(s):
+    return s.water.select("x", "y", algebra.reclassify(F.lit(-99), [[-99]], [-9]).alias("v"))
+
+
+@query
+def f1_boundary_cells(s):
+    return stencil.boundary_cells(algebra.erase(s.cells, s.water))
+
+
+@query
+def f2_headwater_cells(s):
+    return stencil.no_inflow_cells(s.cells, s.d8)
+
+
+@query
+def f3_coastal_trace_starts(s):
+    return stencil.trace_starts(s.dir128)
+
+
+@query
+def f4_terminal_min_neighbour(s):
+    finals = stencil.trace_starts(s.dir128).where("kind = 'final'").select("x", "y")
+    return stencil.link_terminals(finals, s.acc_xy, TH)
+
+
+@query
+def f6_lake_buffer(s):
+    return stencil.lake_buffer(s.lakes, s.w, s.h)
+
+
+@query
+def g1_lake_components(s):
+    return s.lakes
+
+
+@query
+def g4_upstream_lengths(s):
+    return flow.upstream_lengths(s.flow, s.w).select("cell", F.round("longest", 6).alias("longest"), F.round("total", 6).alias("total"))
+
+
+@query
+def g4_strahler_order(s):
+    return flow.strahler(s.flow)
+
+
+@query
+def g5_pit_fill(s):
+    return flow.fill_pits(s.cells, s.d8, s.w, s.h).select("x", "y", F.round("filled", 8).alias("filled"))
+
+
+@query
+def g6_sink_basins(s):
+    sinks = s.flow.where("nxt is null").select("cell", F.col("cell").alias("label"))
+    return flow.basin_labels(s.flow, sinks)
+
+
+@query
+def g7_reaches(s):
+    return s.reach
+
+
+@query
+def g7_reach_tree(s):
+    return flow.reach_tree(s.flow, s.reach)
+
+
+@query
+def g7_watersheds(s):
+    return flow.watersheds(s.flow, s.reach)
+
+
+@query
+def g8_lake_revision(s):
+    rivers = s.flow.join(s.rivers.select("cell"), "cell")
+    return flow.revise_lakes(rivers, s.wet(), s.w)
+
+
+@query
+def g9_lake_order(s):
+    buffers = stencil.lake_buffer(s.lakes, s.w, s.h).select("lake", cell_key(F.col("x"), F.col("y"), s.w).alias("cell"))
+    return slope.lake_order(buffers, s.acc)
+
+
+@query
+def g10_slope_inflows(s):
+    return s.surfaces().points
+
+
+@query
+def g11_inflow_groups(s):
+    return slope.inflow_groups(s.surfaces().points, s.acc, s.w, TH)
+
+
+@query
+def g12_slope_surface_group(s):
+    return s.surfaces("group").surfaces
+
+
+@query
+def g12_slope_surface_lake(s):
+    return s.surfaces("lake").surfaces
+
+
+@query
+def g13_slope_route(s):
+    return s.surfaces().route
+
+
+@query
+def g16_watershed_recode(s):
+    return flow.recode_watersheds(s.flow, s.rivers, flow.watersheds(s.flow, s.reach), s.wet())
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in QUERIES}
+
+
+__all__ = ["partial"]

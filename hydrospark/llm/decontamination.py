@@ -29,11 +29,14 @@ MIN_RUN = 13
 MIN_ITEM = 4
 #: Characters of benchmark texts that one pass holds in memory; a larger benchmark is met in several passes.
 BLOCK_CHARS = 32_000_000
+#: Bits by which windows are looked up first.
+TOP_BITS = 20
 #: Distinct raw tokens that a worker remembers.
 CACHE = 300_000
 
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+DIGIT = re.compile(r"[0-9]")
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/-]*(?:st|nd|rd|th)?")
 GLUED = re.compile(r"(?<=\d)(?=[^\W\d_])|(?<=[$€£%])(?=\d)")
 
@@ -51,50 +54,73 @@ UNIT_WORDS = frozenset(
 
 
 class Tokens(dict):
-    """Raw token -> (kind, literal hash, value, capitalised, ends a sentence); kind -1: no word in it."""
-
-    def __missing__(self, raw: str):
+    """Raw token -> its number, by which the arrays tell what it is; kind -1: no word in it."""
+
+    def __init__(self):
+        super().__init__()
+        self.kind = np.zeros(CACHE, dtype=np.int8)
+        self.code = np.zeros(CACHE, dtype=np.uint64)
+        self.named = np.zeros(CACHE, dtype=bool)  # one capital, at its start
+        self.ends = np.zeros(CACHE, dtype=bool)  # ends a sentence
+        self.word: list[str] = []
+
+    def __missing__(self, raw: str) -> int:
+        n = len(self.word)
+        if n == len(self.kind):
+            for name in ("kind", "code", "named", "ends"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         core = EDGE.sub("", raw)
-        ends = raw[-1] in ".!?:;\x00" or raw.endswith(('."', '!"', '?"'))
         low = core.lower()
+        self.ends[n] = raw[-1] in ".!?:;\x00" or raw.endswith(('."', '!"', '?"'))
+        self.code[n] = self.named[n] = 0
         if not core:
-            made = (-1, 0, "", False, ends)
+            self.kind[n] = -1
         elif NUMERIC.fullmatch(core) or low in NUMBER_WORDS:
-            made = (NUMBER, 0, low, False, ends)
+            self.kind[n] = NUMBER
         else:
-            named = core[0].isupper() and core[1:] == core[1:].lower() and len(core) > 1
-            made = (LITERAL, xxhash.xxh64_intdigest(low.encode("utf-8", "replace")), low, named, ends)
-        self[raw] = made
-        return made
+            self.kind[n] = LITERAL
+            self.code[n] = xxhash.xxh64_intdigest(low.encode("utf-8", "replace"))
+            self.named[n] = core[0].isupper() and core[1:] == low[1:] and len(core) > 1
+        self.word.append(low)
+        self[raw] = n
+        return n
+
+    def forget(self) -> None:
+        """Start anew once too many tokens are known; numbers given before lose their meaning."""
+        if len(self.word) > CACHE:
+            self.clear()
+            self.word = []
 
 
-def template(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Kind and hash of each template token, and the words they stand for; a null text has none.
+def template(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, hash and number of each template token; a null text has none.
 
     A capitalised word inside a sentence is a name.  At a sentence's start a
     capital says nothing, and words all in capitals are literals.
     """
+    cache.forget()
     text = text or ""
-    if any(c in text for c in "0123456789"):
+    if DIGIT.search(text):
         text = GLUED.sub(" ", text)
-    raw = text.replace("\n", " \x00 ").split(" ")
-    rows = [cache[x] for x in raw if x.strip()]
-    if len(cache) > CACHE:
-        cache.clear()
-    if not rows:
-        return np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.uint64), []
-    kind, code, word, named, ends = zip(*rows, strict=True)
-    kind = np.array(kind, dtype=np.int8)
-    code = np.array(code, dtype=np.uint64)
-    start = np.ones(len(kind), dtype=bool)
-    start[1:] = ends[:-1]
-    kind[np.array(named) & ~start & (kind == LITERAL)] = NAME
-    for i in np.flatnonzero(kind == NUMBER).tolist():
-        if i + 1 < len(word) and word[i + 1] in UNIT_WORDS:
-            kind[i + 1] = UNIT
-    code[kind > LITERAL] = kind[kind > LITERAL]
-    seen = np.flatnonzero(kind >= 0)
-    return kind[seen], code[seen], [word[i] for i in seen.tolist()] if len(seen) < len(word) else list(word)
+    raw = text.replace("\n", " \x00 ").split()
+    number = np.fromiter(map(cache.__getitem__, raw), dtype=np.int32, count=len(raw))
+    kind, code = cache.kind[number], cache.code[number]
+    named = cache.named[number]
+    if len(raw) > 1:
+        named[1:] &= ~cache.ends[number[:-1]]
+    named[:1] = False
+    kind[named] = NAME
+    if (kind == NUMBER).any():
+        for i in np.flatnonzero(kind[:-1] == NUMBER).tolist():
+            if cache.word[number[i + 1]] in UNIT_WORDS:
+                kind[i + 1] = UNIT
+    slots = kind > LITERAL
+    code[slots] = kind[slots]
+    if (kind < 0).any():
+        seen = kind >= 0
+        return kind[seen], code[seen], number[seen]
+    return kind, code, number
 
 
 def window_hashes(kind: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
@@ -106,8 +132,11 @@ def window_hashes(kind: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         mixed = mixed * np.uint64(0x100000001B3) + code[k : k + n]
         mixed ^= mixed >> np.uint64(29)
-    literals = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    mixed[(literals[size:] - literals[:-size]) < (size + 1) // 2] = 0
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    slots = kind != LITERAL
+    if slots.any():
+        filled = np.concatenate([[0], np.cumsum(slots)])
+        mixed[(filled[size:] - filled[:-size]) > size // 2] = 0
     return mixed
 
 
@@ -120,7 +149,8 @@ class Index:
     windows: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=lambda: defaultdict(lambda: defaultdict(list)))  # size -> hash -> (item, at)
 
     def add(self, item_id: int, text: str, cache: Tokens) -> None:
-        kind, code, words = template(text, cache)
+        kind, code, number = template(text, cache)
+        words = [cache.word[n] for n in number.tolist()]
         if len(words) < MIN_ITEM:
             return
         size = min(self.window, len(words))
@@ -132,18 +162,25 @@ class Index:
     def freeze(self) -> None:
         self.windows = {size: dict(found) for size, found in self.windows.items()}
         self.sorted = {size: np.array(sorted(found), dtype=np.uint64) for size, found in self.windows.items()}
+        self.seen = {}  # by size: which values of a window's top bits occur at all
+        for size, found in self.sorted.items():
+            self.seen[size] = np.zeros(1 << TOP_BITS, dtype=bool)
+            self.seen[size][found >> np.uint64(64 - TOP_BITS)] = True
 
     def leaks(self, text: str | None, cache: Tokens) -> list[tuple[int, int, int, int, int, int, bool]]:
         """``(item_id, run, item_tokens, doc_at, item_at, slots, changed)``: for each leaked item its longest run."""
-        kind, code, words = template(text, cache)
+        kind, code, number = template(text, cache)
         lines: dict[tuple[int, int], set[int]] = defaultdict(set)  # (item, shift) -> item tokens covered
         for size, known in self.sorted.items():
             h = window_hashes(kind, code, size)
-            near = np.searchsorted(known, h)
-            near[near == len(known)] = 0
-            for at in np.flatnonzero((known[near] == h) & (h != 0)).tolist():
+            likely = np.flatnonzero(self.seen[size][h >> np.uint64(64 - TOP_BITS)])
+            near = np.minimum(np.searchsorted(known, h[likely]), len(known) - 1)
+            for at in likely[(known[near] == h[likely]) & (h[likely] != 0)].tolist():
                 for item, own in self.windows[size][int(h[at])]:
                     lines[item, at - own].update(range(own, own + size))
+        if not lines:
+            return []
+        words = [cache.word[n] for n in number.tolist()]
         best: dict[int, tuple] = {}
         for (item, shift), covered in lines.items():
             item_id, item_kind, item_words = self.items[item]

@@ -13,7 +13,8 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrospark.functions.cells import READING_ORDER, STEPS, cell_key, code_8, in_grid, step
+from hydrospark.functions.cells import cell_key, code_8, in_grid, step
+from hydrospark.operators.ranking import global_rank
 from hydrospark.operators.stencil import sent
 from hydrospark.storage import Table, write_table
 
@@ -282,23 +283,10 @@ def recode_watersheds(flow: DataFrame, rivers: DataFrame, watershed: DataFrame,
     size = write_table(chains.groupBy("watershed", "head").agg(F.count(F.lit(1)).alias("n")), "chains").df
     keep = size.groupBy("watershed").agg(F.min(F.struct((-F.col("n")).alias("minus_n"), "head")).alias("k"))
     others = size.join(keep, "watershed").where(F.col("head") != F.col("k.head")).select("watershed", "head")
-    from pyspark.sql import Window
-
     top = watershed.agg(F.max("watershed")).first()[0] or 0
-    # ranks within ranges of the first key, then offsets: chains are few, but no task needs all of them
-    part = F.pmod(F.xxhash64("watershed"), F.lit(64))
-    ranked = write_table(others.withColumn("part", part), "others").df
-    count = {r.part: r["count"] for r in ranked.groupBy("part").count().collect()}  # at most 64 rows
-    before, offset = 0, F.lit(0)
-    for p in sorted(count):
-        offset = F.when(F.col("part") == p, before).otherwise(offset)
-        before += count[p]
-    new_id = F.row_number().over(Window.partitionBy("part").orderBy("head", "watershed")) + offset + top
-    ids = ranked.select("watershed", "head", new_id.cast("long").alias("new_id"))
+    ids = global_rank(others, F.col("head"), F.col("watershed"), name="place").select("watershed", "head", (F.col("place") + top).alias("new_id"))
     outlets = chains.join(ids, ["watershed", "head"], "left").select("cell", F.coalesce("new_id", F.lit(-1)).alias("label"))
     stops = outlets if lakes is None else outlets.unionByName(lakes.select("cell", F.lit(-1).cast("long").alias("label")).join(outlets, "cell", "left_anti"))
     moved = basin_labels(flow, stops).where("label >= 0")
     return watershed.join(moved, "cell", "left").select("cell", F.coalesce("label", "watershed").alias("watershed"))
 
-
-__all__ = ["READING_ORDER", "STEPS"]

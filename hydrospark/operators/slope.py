@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.functions.cells import STEPS, cell_key, in_grid
 from hydrospark.operators.components import connected_components
 from hydrospark.operators.flow import pull, roots
+from hydrospark.operators.ranking import global_rank
 from hydrospark.operators.stencil import lake_buffer
 from hydrospark.storage import write_table
 
@@ -44,12 +45,11 @@ def lake_order(buffers: DataFrame, acc: DataFrame) -> DataFrame:
     """``lake, max_acc, start, ord``: lakes by the greatest accumulation beside them, ascending; ties by lake.
 
     ``start`` is the buffer cell of that accumulation, the least one on ties.
-    Cells without accumulation don't count.  Ranks need one order over all
-    lakes, which are far fewer than cells.
+    Cells without accumulation don't count.
     """
     at = buffers.join(acc, "cell").groupBy("lake").agg(F.max(F.struct("acc", (-F.col("cell")).alias("minus"))).alias("m"))
     at = at.select("lake", F.col("m.acc").alias("max_acc"), (-F.col("m.minus")).alias("start"))
-    return at.withColumn("ord", F.row_number().over(Window.orderBy("max_acc", "lake")))
+    return global_rank(at, F.col("max_acc"), F.col("lake"), name="ord")
 
 
 def inflow_points(buffers: DataFrame, flow: DataFrame, water: DataFrame, acc: DataFrame, river_th: float) -> DataFrame:
@@ -96,7 +96,7 @@ def surface_ids(groups: DataFrame, order: DataFrame, mode: str = "group") -> Dat
     """
     keys = ["ord", "grp"] if mode == "group" else ["ord"]
     own = groups.join(order.select("lake", "ord"), "lake")
-    ids = own.select(*keys).distinct().withColumn("slope_id", F.row_number().over(Window.orderBy(*keys)))
+    ids = global_rank(own.select(*keys).distinct(), *map(F.col, keys), name="slope_id")
     return own.join(ids, keys).select("lake", "cell", "slope_id")
 
 

@@ -12,7 +12,7 @@ from math import sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrospark.functions.cells import READING_ORDER, STEPS, code_8, direction_between, downstream_128, in_grid, neighbours, signed_byte
+from hydrospark.functions.cells import direction_between, downstream, downstream_128, in_grid, neighbours, signed_byte
 
 
 def sent(raster: DataFrame, *carry: str) -> DataFrame:
@@ -51,8 +51,6 @@ def boundary_cells(raster: DataFrame) -> DataFrame:
 
 def no_inflow_cells(grid_cells: DataFrame, directions: DataFrame) -> DataFrame:
     """Cells of the grid that no cell flows into; cells without a direction qualify too."""
-    from hydrospark.functions.cells import downstream
-
     to = directions.select(downstream(F.col("x"), F.col("y"), F.col("dir")).alias("t")).where("t is not null").select("t.x", "t.y").distinct()
     return grid_cells.select("x", "y").join(to, ["x", "y"], "left_anti")
 
@@ -95,5 +93,3 @@ def lake_buffer(lakes: DataFrame, width: int, height: int) -> DataFrame:
     near = sent(lakes.select("x", "y", "lake"), "lake").where(in_grid(F.col("x"), F.col("y"), width, height))
     return near.select("lake", "x", "y").distinct().join(lakes.select("x", "y"), ["x", "y"], "left_anti").select("lake", "x", "y")
 
-
-__all__ = ["READING_ORDER", "STEPS", "boundary_cells", "code_8", "d8", "lake_buffer", "link_terminals", "no_inflow_cells", "sent", "trace_starts"]

@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrospark.functions.cells import cell_key
-from hydrospark.operators import algebra, flow, slope, stencil
+from hydrospark.functions.cells import (
+    Geotransform,
+    cell_at,
+    cell_key,
+    colour,
+    coordinate,
+    direction_between,
+    downstream,
+    downstream_128,
+    in_grid,
+    in_scale,
+    neighbour_coordinates,
+    neighbours,
+    nodata_or_zero,
+    on_edge,
+    orientation,
+    regrid,
+    signed_byte,
+    unsigned_byte,
+)
+from hydrospark.operators import algebra, basins, flow, slope, stencil, vector
+from hydrospark.plans import pipelines
 from hydrospark.plans.oracles import SQL, TH
-from hydrospark.sources import fixtures
+from hydrospark.sources import fixtures, geojson, records, tiles
 from hydrospark.storage import materialize
 
 
@@ -79,6 +97,28 @@ class Scene:
         return self.keep("reach", lambda: flow.reaches(self.flow, self.rivers))
 
 
+def geotransform(s: Scene) -> Geotransform:
+    """Half a unit per cell, with the origin at (-1, 50)."""
+    return Geotransform(-1.0, 0.5, 0.0, 50.0, 0.0, -0.5, s.w, s.h)
+
+
+def ring_points(s: Scene) -> DataFrame:
+    return fixtures.rings(s.spark, s.sf_dir, s.grid).withColumnRenamed("k", "fid")
+
+
+def ring_arrays(s: Scene) -> DataFrame:
+    point = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    rows = ring_points(s).groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("pos", point.alias("p")))).alias("a"))
+    return rows.select("fid", F.transform("a", lambda a: a["p"]).alias("ring"))
+
+
+def lake_documents(s: Scene) -> DataFrame:
+    """A GeoJSON text for each lake rectangle, named by its number."""
+    ring = F.transform("ring", lambda p: F.array(p["x"].cast("int"), p["y"].cast("int")))
+    body = F.concat(F.lit('{"type":"Feature","properties":{"DN":'), (F.col("fid") % 7).cast("string"), F.lit(',"kind":"lake"},"geometry":{"type":"Polygon","coordinates":['), F.to_json(ring), F.lit("]}}"))
+    return ring_arrays(s).select(F.lpad(F.col("fid").cast("string"), 6, "0").alias("name"), body.alias("doc"))
+
+
 QUERIES: dict = {}
 
 
@@ -258,6 +298,383 @@ def g16_watershed_recode(s):
     return flow.recode_watersheds(s.flow, s.rivers, flow.watersheds(s.flow, s.reach), s.wet())
 
 
+# --- sources, coordinates -------------------------------------------------------------------------------------------
+
+
+@query
+def a1_signed_cells(s):
+    return s.dir128.select("x", "y", signed_byte(F.col("dir128")).alias("v"))
+
+
+@query
+def a2_unsigned_cells(s):
+    return s.dir128.select("x", "y", unsigned_byte(signed_byte(F.col("dir128"))).alias("v"))
+
+
+@query
+def a4_overlay(s):
+    patch = s.water.select("x", "y", F.lit(-99.0).alias("z"))
+    return algebra.overlay(s.cells, patch, "z").select("x", "y", F.round("z", 8).alias("z"))
+
+
+@query
+def a6_tile_query(s):
+    """Cells of the tiles that a rectangle meets, cut to it: x 15..57, y 23..88."""
+    layer = tiles.tiled(s.cells, 32)
+    return tiles.query(layer, 32, 15, 23, 57, 88).select("x", "y", F.round("z", 8).alias("z"))
+
+
+@query
+def a7_tile_query_masked(s):
+    ring = fixtures.rings(s.spark, s.sf_dir, s.grid).where("k = 1").withColumnRenamed("k", "fid")
+    layer = tiles.tiled(s.cells, 32)
+    box = ring.agg(F.min("x"), F.min("y"), F.max("x") - 1, F.max("y") - 1).first()
+    return vector.clip(tiles.query(layer, 32, *box), ring, all_touched=False).select("x", "y", F.round("z", 8).alias("z"))
+
+
+@query
+def a8_layer_extent(s):
+    return tiles.extent(tiles.tiled(s.cells, 32))
+
+
+@query
+def a9_pyramid(s):
+    return tiles.pyramid(s.acc_xy.select("x", "y", F.col("acc").alias("v")), 5)
+
+
+@query
+def a10_tile_export(s):
+    return tiles.export(s.acc_xy.select("x", "y", F.col("acc").alias("v")), 32, 2)
+
+
+@query
+def a11_mosaic_last_wins(s):
+    rows = fixtures.read(s.spark, s.sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return algebra.mosaic(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "l_quantity").select(F.col("l_orderkey").alias("cell"), F.col("l_quantity").alias("v"))
+
+
+@query
+def a15_trace_from_record(s):
+    """Trace raster from recorded coordinates: corners of final cells, and of seaside cells moved one column to the left."""
+    g = geotransform(s)
+    starts = stencil.trace_starts(s.dir128)
+    moved = F.when(F.col("kind") == "seaside", F.col("x") - 1).otherwise(F.col("x"))
+    record = starts.select(coordinate(moved, F.col("y"), g).alias("c")).select("c.cx", "c.cy")
+    return records.trace_cells(record, g)
+
+
+@query
+def a16_publish_layers(s):
+    """River and slope layers as published: 0 and -99 become nodata."""
+    stream = algebra.threshold(s.acc_xy, TH)
+    return records.without(stream, "s", 0)
+
+
+@query
+def b1_in_grid(s):
+    return s.cells.select("x", "y", in_grid(F.col("x") - 1, F.col("y") + 1, s.w, s.h).alias("inside"))
+
+
+@query
+def b2_downstream(s):
+    return s.d8.select("x", "y", downstream(F.col("x"), F.col("y"), F.col("dir")).alias("t")).select("x", "y", F.col("t.x").alias("to_x"), F.col("t.y").alias("to_y"))
+
+
+@query
+def b3_downstream_128(s):
+    return s.dir128.select("x", "y", downstream_128(F.col("x"), F.col("y"), F.col("dir128")).alias("t")).select("x", "y", F.col("t.x").alias("to_x"), F.col("t.y").alias("to_y"))
+
+
+@query
+def b4_neighbours(s):
+    rows = s.cells.select("x", "y", F.explode(neighbours(F.col("x"), F.col("y"))).alias("n"))
+    return rows.where(in_grid(F.col("n.x"), F.col("n.y"), s.w, s.h)).select("x", "y", F.col("n.ord").alias("ord"), F.col("n.x").alias("nx"), F.col("n.y").alias("ny"))
+
+
+@query
+def b5_neighbour_coordinates(s):
+    rows = s.cells.select("x", "y", F.explode(neighbour_coordinates(F.col("x") * 0.5, F.col("y") * -0.5, 0.5, -0.5)).alias("n"))
+    return rows.select("x", "y", F.col("n.ord").alias("ord"), F.col("n.x").alias("nx"), F.col("n.y").alias("ny"))
+
+
+@query
+def b6_off_to_coord(s):
+    g = geotransform(s)
+    return s.cells.select("x", "y", coordinate(F.col("x"), F.col("y"), g).alias("c")).select("x", "y", "c.cx", "c.cy")
+
+
+@query
+def b7_coord_to_off(s):
+    g = geotransform(s)
+    at = cell_at(F.col("x") * 0.3 - 3, F.lit(50.0) - F.col("y") * 0.3, g)
+    cut = cell_at(F.col("x") * 0.3 - 3, F.lit(50.0) - F.col("y") * 0.3, g, truncate=True)
+    return s.cells.select("x", "y", at.alias("a"), cut.alias("c")).select("x", "y", F.col("a.x").alias("ox"), F.col("a.y").alias("oy"), F.col("c.x").alias("tx"), F.col("c.y").alias("ty"))
+
+
+@query
+def b8_off_transform(s):
+    old, new = geotransform(s), Geotransform(2.0, 1.0, 0.0, 48.0, 0.0, -1.0, s.w, s.h)
+    return s.cells.select("x", "y", regrid(F.col("x"), F.col("y"), old, new).alias("o")).select("x", "y", F.col("o.x").alias("ox"), F.col("o.y").alias("oy"))
+
+
+@query
+def b9_direction_between(s):
+    d = direction_between(F.col("x"), F.col("y"), F.col("x") + (F.col("y") % 4) - 1, F.col("y") + (F.col("x") % 3) - 1)
+    return s.cells.select("x", "y", d.alias("dir"))
+
+
+@query
+def b10_is_water(s):
+    wet = s.water.withColumn("w", F.lit(1))
+    return s.cells.select("x", "y").join(wet, ["x", "y"], "left").select("x", "y", F.coalesce("w", F.lit(0)).alias("is_water"))
+
+
+@query
+def b11_orientation(s):
+    return s.cells.select("x", "y", orientation(F.col("x"), F.col("y"), F.lit(50), F.lit(7)).alias("sector"))
+
+
+@query
+def b12_in_scale(s):
+    p = (F.lit(10), F.lit(40), F.lit(60), F.lit(5))
+    return s.cells.select("x", "y", in_scale(F.col("x"), F.col("y"), *p).alias("inside"), on_edge(F.col("x"), F.col("y"), *p).alias("edge"))
+
+
+@query
+def b14_nodata_value(s):
+    rows = fixtures.read(s.spark, s.sf_dir, "part")
+    return rows.select("p_partkey", nodata_or_zero(F.when(F.col("p_size") > 25, F.col("p_size"))).alias("nodata"))
+
+
+@query
+def b15_colours(s):
+    return s.water.select("x", "y", colour(F.col("x") * 1000 + F.col("y"), 7).alias("colour"))
+
+
+# --- geometry -------------------------------------------------------------------------------------------------------
+
+
+@query
+def d1_snapped_extent(s):
+    r = fixtures.rectangles(s.spark, s.sf_dir, s.grid)
+    f = lambda c, v: F.col(c) + v
+    got = vector.snapped_extent(f("x0", 0.25), f("x0", 0.0) + F.col("w"), f("y0", 0.0), f("y0", 0.75) + F.col("h"), 0.0, 0.5, 1.0)
+    return r.select("k", got.alias("e")).select("k", "e.*")
+
+
+@query
+def d2_rasterize_rects(s):
+    return vector.rasterize(ring_points(s)).select("fid", "x", "y", F.lit(-99).alias("v"))
+
+
+@query
+def d3_clip_touched(s):
+    shifted = ring_points(s).select("fid", "pos", (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.5).alias("y"))
+    return vector.clip(s.cells, shifted).select("x", "y", F.round("z", 8).alias("z"))
+
+
+@query
+def d4_clip_centre(s):
+    return vector.clip(s.cells, ring_points(s), all_touched=False).select("x", "y", F.round("z", 8).alias("z"))
+
+
+@query
+def d5_polygonize_labels(s):
+    bands = s.cells.select("x", "y", F.floor(F.col("z") / 40).cast("int").alias("v"))
+    return slope.label_cells(bands, s.w, eight=False, by=["v"])
+
+
+@query
+def d5_polygonize_rings(s):
+    return vector.polygonize(s.water.select("x", "y", F.lit(1).alias("v")), s.w)
+
+
+@query
+def d6_filter_area(s):
+    lakes = fixtures.rectangles(s.spark, s.sf_dir, s.grid).select("k", F.col("area").cast("string").alias("Lake_area"))
+    return vector.large_lakes(lakes, 12)
+
+
+@query
+def d7_clip_extent(s):
+    ring = vector.clip_ring(F.col("ring"), F.lit(20), F.lit(10), F.lit(70), F.lit(s.h // 2))
+    rows = ring_arrays(s).select("fid", ring.alias("ring")).where(F.size("ring") > 0)
+    return rows.select("fid", F.abs(vector.shoelace(F.col("ring"))).alias("area"))
+
+
+@query
+def d8_filter_clip(s):
+    lakes = fixtures.rectangles(s.spark, s.sf_dir, s.grid).select("k", F.col("area").cast("string").alias("Lake_area"))
+    kept = ring_arrays(s).join(vector.large_lakes(lakes, 12).select(F.col("k").alias("fid")), "fid", "left_semi")
+    ring = vector.clip_ring(F.col("ring"), F.lit(20), F.lit(10), F.lit(70), F.lit(s.h // 2))
+    return kept.select("fid", ring.alias("ring")).where(F.size("ring") > 0).select("fid", F.abs(vector.shoelace(F.col("ring"))).alias("area"))
+
+
+@query
+def d9_ring_area(s):
+    degrees = F.transform("ring", lambda p: F.struct((p["x"] / 10).alias("x"), (p["y"] / 100).alias("y")))
+    return ring_arrays(s).select("fid", F.round(vector.geographic_area(F.array(degrees)) / 1e6, 4).alias("km2"))
+
+
+@query
+def d10_polygon_rings(s):
+    docs = lake_documents(s)
+    rows = docs.select("name", F.posexplode(geojson.polygons(geojson.first_feature(F.col("doc")))).alias("part", "poly"))
+    rows = rows.select("name", "part", F.posexplode("poly").alias("ring", "r")).select("name", "part", "ring", F.posexplode("r").alias("pos", "p"))
+    return rows.select("name", "part", "ring", "pos", "p.x", "p.y")
+
+
+@query
+def d11_main_ring(s):
+    polys = ring_arrays(s).groupBy((F.col("fid") % 7).alias("fid")).agg(F.sort_array(F.collect_list(F.struct("fid", "ring"))).alias("a"))
+    polys = polys.select("fid", F.transform("a", lambda a: F.array(a["ring"])).alias("rings"))
+    return vector.main_ring(polys).select("fid", "part", "ring", F.size("points").alias("n_points"), "has_holes")
+
+
+@query
+def d14_ring_orientation(s):
+    back = F.when(F.col("fid") % 2 == 0, F.reverse("ring")).otherwise(F.col("ring"))
+    return ring_arrays(s).select("fid", vector.is_clockwise(back).alias("clockwise"))
+
+
+@query
+def d15_densify_ring(s):
+    return vector.densify(ring_points(s), "fid")
+
+
+@query
+def d16_inner_boundary(s):
+    return vector.inner_boundary(vector.densify(ring_points(s), "fid"), "fid")
+
+
+@query
+def e1_geojson_merge(s):
+    return geojson.merge(lake_documents(s)).select(F.md5("doc").alias("digest"), F.length("doc").alias("chars"))
+
+
+@query
+def e2_props_update(s):
+    new = F.create_map(F.lit("DN"), F.col("name"), F.lit("pfaf_id"), F.concat(F.lit("4"), F.col("name")))
+    docs = lake_documents(s)
+    made = geojson.update_properties(docs, new)
+    return made.select("name", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(geojson.properties(geojson.first_feature(F.col("doc"))))))).alias("props"))
+
+
+@query
+def e3_split_by_dn(s):
+    rows = ring_arrays(s).select((F.col("fid") % 7).cast("int").alias("dn"), F.lit("Polygon").alias("kind"), F.array(F.array("ring")).alias("polygons"))
+    return geojson.split_by(rows).select("dn", "kind", F.size("polygons").alias("n"))
+
+
+# --- basins ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def g3_repair_accumulation(s):
+    """Accumulation with the values of every third tile of 10 columns lost, filled in again."""
+    lost = (F.floor(F.col("cell") % s.w / 10) % 3) == 1
+    rows = s.flow.join(s.acc, "cell").select("cell", "nxt", F.lit(True).alias("has_dir"), F.when(~lost, F.col("acc")).alias("acc"), F.lit(False).alias("on_edge"))
+    return flow.repair_accumulation(rows, s.w)
+
+
+def basin_areas(s) -> DataFrame:
+    return fixtures.read(s.spark, s.sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("basin_id"), F.abs("c_acctbal").alias("area"))
+
+
+@query
+def h1_divide_variance(s):
+    step = basins.division_step(basins.ranked_areas(basin_areas(s)), 5)
+    return step.select("n", "n_new", F.round("mean", 4).alias("mean"), F.round("variance", 2).alias("variance"), "enough")
+
+
+@query
+def h2_basins_to_divide(s):
+    return basins.basins_to_divide(basin_areas(s))
+
+
+def basin_cells(s) -> DataFrame:
+    """Cells with the sink basin they belong to, named by its sink."""
+    basin = flow.roots(s.flow).select("cell", F.col("root").cast("string").alias("basin"))
+    return s.keep("basin-cells", lambda: basin.join(s.flow, "cell").join(s.acc, "cell").select("basin", "cell", "nxt", "acc"))
+
+
+@query
+def h3_pfafstetter_l1(s):
+    return basins.pfafstetter(basin_cells(s), TH)
+
+
+@query
+def h4_divide_all(s):
+    digits = basins.pfafstetter(basin_cells(s), TH)
+    return digits.select("cell", F.concat("basin", "digit").alias("pfaf"))
+
+
+@query
+def h5_divide_level(s):
+    cells = basin_cells(s)
+    areas = cells.groupBy(F.col("basin").alias("basin_id")).agg(F.count(F.lit(1)).cast("double").alias("area"))
+    return basins.divide_level(cells, areas, TH)
+
+
+def supplier_outlets(s) -> DataFrame:
+    return fixtures.read(s.spark, s.sf_dir, "supplier").where("s_suppkey % 3 <> 1 and s_suppkey > 4").select(F.col("s_suppkey").alias("pos"), F.col("s_acctbal").alias("acc"))
+
+
+@query
+def h6_outlet_order(s):
+    return basins.outlet_order(supplier_outlets(s), 20_000)
+
+
+@query
+def h7_outlet_groups(s):
+    return basins.outlet_groups(supplier_outlets(s).withColumn("ord", F.col("pos")))
+
+
+def whole_boundary(s) -> DataFrame:
+    """Inner boundary of the whole grid as one coastal basin."""
+    w, h = s.w, s.h
+    ring = s.spark.range(1).select(F.lit(0).alias("fid"), F.posexplode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (w, 0), (w, h), (0, h), (0, 0))))).alias("pos", "p"))
+    return vector.inner_boundary(vector.densify(ring.select("fid", "pos", "p.x", "p.y"), "fid"), "fid")
+
+
+@query
+def h8_coastal_division(s):
+    sinks = s.flow.where("nxt is null").join(s.acc, "cell").select("cell", "acc")
+    return basins.coastal_division(whole_boundary(s), sinks, s.flow, s.w)
+
+
+@query
+def h9_spill_point(s):
+    inner = vector.inner_boundary(vector.densify(ring_points(s), "fid"), "fid")
+    return basins.spill_points(inner, s.cells, "fid")
+
+
+@query
+def h10_lake_upstream(s):
+    return pipelines.lake_upstream(s.cells, s.water, s.flow, s.acc, s.w, s.h)
+
+
+@query
+def h11_drainage(s):
+    return pipelines.drainage(s.cells, s.dir128, s.acc_xy, s.w, s.h).watershed
+
+
+@query
+def p1_flagship(s):
+    """The whole pipeline on the grid inside a rectangle: slope surfaces after lake revision."""
+    box = [(10, 5), (90, 5), (90, s.h - 5), (10, s.h - 5), (10, 5)]
+    ring = s.spark.createDataFrame([(0, k, float(x), float(y)) for k, (x, y) in enumerate(box)], "fid int, pos int, x double, y double")
+    lakes = fixtures.rings(s.spark, s.sf_dir, s.grid).join(fixtures.rectangles(s.spark, s.sf_dir, s.grid).select("k", F.col("area").cast("string").alias("Lake_area")), "k").withColumnRenamed("k", "fid")
+    layers = pipelines.flagship(s.cells.select("x", "y", F.col("z").alias("dem")), s.dir128, s.acc_xy, ring, lakes, s.w, s.h, least_area=8, river_th=TH)
+    return layers["water_slope"]
+
+
+@query
+def p2_from_elevation(s):
+    layers = pipelines.from_elevation(s.cells, s.water, s.w, s.h, river_th=TH)
+    return layers["watershed"]
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
@@ -265,5 +682,3 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in SQL.items() if k in QUERIES}
 
-
-__all__ = ["partial"]

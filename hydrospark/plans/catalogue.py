@@ -499,7 +499,7 @@ def d6_filter_area(s):
 def d7_clip_extent(s):
     ring = vector.clip_ring(F.col("ring"), F.lit(20), F.lit(10), F.lit(70), F.lit(s.h // 2))
     rows = ring_arrays(s).select("fid", ring.alias("ring")).where(F.size("ring") > 0)
-    return rows.select("fid", F.abs(vector.shoelace(F.col("ring"))).alias("area"))
+    return rows.select("fid", F.abs(vector.shoelace(F.col("ring"))).alias("area")).where("area > 0")
 
 
 @query
@@ -507,7 +507,7 @@ def d8_filter_clip(s):
     lakes = fixtures.rectangles(s.spark, s.sf_dir, s.grid).select("k", F.col("area").cast("string").alias("Lake_area"))
     kept = ring_arrays(s).join(vector.large_lakes(lakes, 12).select(F.col("k").alias("fid")), "fid", "left_semi")
     ring = vector.clip_ring(F.col("ring"), F.lit(20), F.lit(10), F.lit(70), F.lit(s.h // 2))
-    return kept.select("fid", ring.alias("ring")).where(F.size("ring") > 0).select("fid", F.abs(vector.shoelace(F.col("ring"))).alias("area"))
+    return kept.select("fid", ring.alias("ring")).where(F.size("ring") > 0).select("fid", F.abs(vector.shoelace(F.col("ring"))).alias("area")).where("area > 0")
 
 
 @query

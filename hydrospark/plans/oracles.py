@@ -107,3 +107,201 @@ SQL["f4_terminal_min_neighbour"] = sql(
           WHERE f.x + o.dx BETWEEN 0 AND 99)""",
     select=f"SELECT x, y, dir, acc AS min_acc FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY acc, ord) AS r FROM cand) WHERE r = 1 AND acc < {TH}",
 )
+
+STEP128 = "[1, 128, 64, 32, 16, 8, 4, 2]"
+START = f"""
+starts AS (SELECT d.x, d.y, 'seaside' AS kind FROM dir128 d JOIN off o ON o.dir = list_position({STEP128}, d.dir128)
+    JOIN dir128 t ON t.x = d.x + o.dx AND t.y = d.y + o.dy WHERE t.dir128 = 0
+  UNION ALL SELECT x, y, 'final' FROM dir128 WHERE dir128 = 255)"""
+DOCS = """
+docs AS (SELECT lpad(CAST(k AS VARCHAR), 6, '0') AS name, k,
+  '{"type":"Feature","properties":{"DN":' || (k % 7) || ',"kind":"lake"},"geometry":{"type":"Polygon","coordinates":[[[' || x0 || ',' || y0 || '],[' || (x0 + w) || ',' || y0 || '],['
+  || (x0 + w) || ',' || (y0 + h) || '],[' || x0 || ',' || (y0 + h) || '],[' || x0 || ',' || y0 || ']]]}}' AS doc FROM rect)"""
+RING = """
+line AS (
+  SELECT k, i AS pos, x0 + i AS x, y0 AS y, w, h, x0, y0 FROM (SELECT *, unnest(range(0, w)) AS i FROM rect)
+  UNION ALL SELECT k, w + i, x0 + w, y0 + i, w, h, x0, y0 FROM (SELECT *, unnest(range(0, h)) AS i FROM rect)
+  UNION ALL SELECT k, w + h + i, x0 + w - i, y0 + h, w, h, x0, y0 FROM (SELECT *, unnest(range(0, w)) AS i FROM rect)
+  UNION ALL SELECT k, 2 * w + h + i, x0, y0 + h - i, w, h, x0, y0 FROM (SELECT *, unnest(range(0, h)) AS i FROM rect))"""
+INNER = """
+inner_cells AS (SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS INT) AS pos, x, y FROM (
+  SELECT k, pos, x, y FROM line WHERE pos BETWEEN 1 AND w - 1
+  UNION ALL SELECT k, pos, x - 1, y FROM line WHERE pos BETWEEN w + 1 AND w + h - 1
+  UNION ALL SELECT k, pos, x - 1, y - 1 FROM line WHERE pos BETWEEN w + h + 1 AND 2 * w + h - 1
+  UNION ALL SELECT k, pos, x, y - 1 FROM line WHERE pos > 2 * w + h))"""
+CELL = "SELECT x, y, {} FROM cells"
+AREAS = """
+ranked AS (SELECT CAST(c_custkey AS VARCHAR) AS basin_id, abs(c_acctbal) AS area,
+  row_number() OVER (ORDER BY abs(c_acctbal) DESC, CAST(c_custkey AS VARCHAR) DESC) AS rank FROM customer)"""
+OUTLETS = "outlets AS (SELECT s_suppkey AS pos, s_acctbal AS acc FROM supplier WHERE s_suppkey % 3 <> 1 AND s_suppkey > 4)"
+PFAF = f"""
+sink AS (SELECT p.cell, p.ends AS basin FROM path p JOIN flow f ON f.cell = p.ends WHERE f.nxt IS NULL),
+bc AS (SELECT s.basin, f.cell, f.nxt, a.acc FROM flow f JOIN sink s USING (cell) JOIN acc a USING (cell)),
+bcr AS (SELECT * FROM bc WHERE acc >= {TH}),
+main AS (SELECT nxt, cell FROM (SELECT *, row_number() OVER (PARTITION BY nxt ORDER BY acc DESC, cell) AS r FROM bcr WHERE nxt IS NOT NULL) WHERE r = 1),
+stem(basin, cell) AS (SELECT basin, cell FROM bcr WHERE nxt IS NULL UNION ALL SELECT s.basin, m.cell FROM stem s JOIN main m ON m.nxt = s.cell),
+trib AS (SELECT b.basin, b.cell, b.acc, j.acc AS stem_acc FROM bcr b JOIN stem s ON s.cell = b.nxt JOIN bc j ON j.cell = b.nxt WHERE b.cell NOT IN (SELECT cell FROM main)),
+four AS (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY stem_acc DESC, cell) AS k FROM (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY acc DESC, cell) AS r FROM trib) WHERE r <= 4),
+stops AS (SELECT cell, 2 * k AS label FROM four
+  UNION ALL SELECT s.cell, 1 + 2 * (SELECT count(*) FROM four t WHERE t.basin = s.basin AND t.stem_acc > b.acc) FROM stem s JOIN bc b USING (cell) WHERE s.basin IN (SELECT basin FROM four)),
+run(cell, ends) AS (SELECT cell, cell FROM bc UNION ALL SELECT r.cell, b.nxt FROM run r JOIN bc b ON b.cell = r.ends WHERE b.nxt IS NOT NULL AND b.cell NOT IN (SELECT cell FROM stops)),
+digits AS (SELECT b.basin, r.cell, CAST(s.label AS BIGINT) AS digit FROM run r JOIN stops s ON s.cell = r.ends JOIN bc b ON b.cell = r.cell)"""
+
+SQL |= {
+    "a1_signed_cells": sql(GRID, select="SELECT x, y, CASE WHEN dir128 > 127 THEN dir128 - 256 ELSE dir128 END AS v FROM dir128"),
+    "a2_unsigned_cells": sql(GRID, select="SELECT x, y, dir128 AS v FROM dir128"),
+    "a4_overlay": sql(GRID, LAKES, select="SELECT x, y, CASE WHEN (x, y) IN (SELECT (x, y) FROM water) THEN -99.0 ELSE round(z, 8) END AS z FROM cells"),
+    "a6_tile_query": sql(GRID, select="SELECT x, y, round(z, 8) AS z FROM cells WHERE x BETWEEN 15 AND 57 AND y BETWEEN 23 AND 88"),
+    "a7_tile_query_masked": sql(GRID, LAKES, select="SELECT c.x, c.y, round(z, 8) AS z FROM cells c, rect WHERE k = 1 AND x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h"),
+    "a8_layer_extent": sql(GRID, select="SELECT min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, count(DISTINCT (x // 32, y // 32)) AS n_tiles, count(*) AS n_cells FROM cells"),
+    "a9_pyramid": sql(GRID, PATH, select="SELECT level, CAST(cell % 100 AS INT) >> level AS x, CAST(cell // 100 AS INT) >> level AS y, max(acc) AS v FROM acc, (SELECT unnest(range(0, 6)) AS level) GROUP BY ALL"),
+    "a11_mosaic_last_wins": """SELECT l_orderkey AS cell, l_quantity AS v FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS r FROM lineitem) WHERE r = 1""",
+    "a15_trace_from_record": sql(GRID, START, select="SELECT DISTINCT CASE WHEN kind = 'seaside' THEN x - 1 ELSE x END AS x, y, 1 AS v FROM starts WHERE kind = 'final' OR x > 0"),
+    "a16_publish_layers": sql(GRID, PATH, select=f"SELECT cell % 100 AS x, cell // 100 AS y, 1 AS s FROM acc WHERE acc >= {TH}"),
+    "b1_in_grid": sql(GRID, select="SELECT x, y, x - 1 BETWEEN 0 AND 99 AND y + 1 BETWEEN 0 AND (SELECT h FROM size) - 1 AS inside FROM cells"),
+    "b2_downstream": sql(GRID, select="SELECT x, y, nx AS to_x, ny AS to_y FROM d8"),
+    "b3_downstream_128": sql(GRID, select=f"SELECT d.x, d.y, d.x + o.dx AS to_x, d.y + o.dy AS to_y FROM dir128 d LEFT JOIN off o ON o.dir = list_position({STEP128}, d.dir128)"),
+    "b4_neighbours": sql(GRID, select="SELECT x, y, list_position([4, 3, 2, 5, 1, 6, 7, 8], dir) - 1 AS ord, nx, ny FROM near"),
+    "b5_neighbour_coordinates": sql(GRID, select="SELECT x, y, list_position([4, 3, 2, 5, 1, 6, 7, 8], dir) - 1 AS ord, (x + dx) * CAST(0.5 AS DOUBLE) AS nx, (y + dy) * CAST(-0.5 AS DOUBLE) AS ny FROM cells, off"),
+    "b6_off_to_coord": sql(GRID, select="SELECT x, y, x * CAST(0.5 AS DOUBLE) - 1 AS cx, 50 - y * CAST(0.5 AS DOUBLE) AS cy FROM cells"),
+    "b7_coord_to_off": sql(
+        GRID,
+        "p AS (SELECT x, y, ((x * CAST(0.3 AS DOUBLE) - 3) - -1) / CAST(0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS a, ((50 - y * CAST(0.3 AS DOUBLE)) - 50) / CAST(-0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS b FROM cells)",
+        select="SELECT x, y, CAST(floor(a) AS INT) AS ox, CAST(floor(b) AS INT) AS oy, CAST(trunc(a) AS INT) AS tx, CAST(trunc(b) AS INT) AS ty FROM p",
+    ),
+    "b8_off_transform": sql(
+        GRID,
+        select="SELECT x, y, CAST(floor((x * CAST(0.5 AS DOUBLE) - 1 - 2) + CAST(0.5 AS DOUBLE)) AS INT) AS ox, CAST(floor((50 - y * CAST(0.5 AS DOUBLE) - 48) / -1 + CAST(0.5 AS DOUBLE)) AS INT) AS oy FROM cells",
+    ),
+    "b9_direction_between": sql(GRID, select="SELECT c.x, c.y, o.dir FROM cells c LEFT JOIN off o ON o.dx = c.y % 4 - 1 AND o.dy = c.x % 3 - 1"),
+    "b10_is_water": sql(GRID, LAKES, select="SELECT x, y, CASE WHEN (x, y) IN (SELECT (x, y) FROM water) THEN 1 ELSE 0 END AS is_water FROM cells"),
+    "b11_orientation": sql(GRID, select="SELECT c.x, c.y, coalesce(o.dir, 0) AS sector FROM cells c LEFT JOIN off o ON o.dx = sign(50 - c.x) AND o.dy = sign(7 - c.y)"),
+    "b12_in_scale": sql(GRID, select="SELECT x, y, x BETWEEN 10 AND 60 AND y BETWEEN 5 AND 40 AS inside, x IN (10, 60) OR y IN (40, 5) AS edge FROM cells"),
+    "b14_nodata_value": "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size ELSE 0 END AS nodata FROM part",
+    "d1_snapped_extent": sql(
+        GRID, LAKES,
+        "e AS (SELECT k, CAST(x0 + 0.25 AS DOUBLE) AS l, CAST(x0 + w AS DOUBLE) AS r, CAST(y0 AS DOUBLE) AS b, CAST(y0 + 0.75 + h AS DOUBLE) AS t FROM rect)",
+        """s AS (SELECT k, l - (1 - (-l - floor(-l))) AS "left", r + (-r - floor(-r)) AS "right", b - (1 - ((0.5 - b) - floor(0.5 - b))) AS bottom, t + ((0.5 - t) - floor(0.5 - t)) AS top FROM e)""",
+        select="""SELECT *, CAST(trunc(abs("right" - "left")) AS INT) + 1 AS nx, CAST(trunc(abs(top - bottom)) AS INT) + 1 AS ny FROM s""",
+    ),
+    "d2_rasterize_rects": sql(GRID, LAKES, select="SELECT fid, x, unnest(range(y0, y0 + h)) AS y, -99 AS v FROM (SELECT k AS fid, unnest(range(x0, x0 + w)) AS x, y0, h FROM rect)"),
+    "d3_clip_touched": sql(GRID, LAKES, select="SELECT DISTINCT c.x, c.y, round(z, 8) AS z FROM cells c, rect WHERE x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + h"),
+    "d4_clip_centre": sql(GRID, LAKES, select="SELECT c.x, c.y, round(z, 8) AS z FROM cells c JOIN water w ON w.x = c.x AND w.y = c.y"),
+    "d5_polygonize_labels": sql(
+        GRID, "band AS (SELECT y * 100 + x AS cell, x, y, CAST(floor(z / 40) AS INT) AS v FROM cells)",
+        "side AS (SELECT a.cell AS a, b.cell AS b FROM band a, off o JOIN band b ON b.x = a.x + o.dx AND b.y = a.y + o.dy WHERE o.dir % 2 = 1 AND a.v = b.v)",
+        "l(cell, label) USING KEY (cell) AS (SELECT cell, cell FROM band UNION SELECT s.b, min(l.label) FROM l JOIN side s ON s.a = l.cell JOIN recurring.l r ON r.cell = s.b WHERE l.label < r.label GROUP BY s.b)",
+        select="SELECT x, y, v, label FROM band JOIN l USING (cell)",
+    ),
+    "d6_filter_area": sql(GRID, LAKES, select="SELECT k, CAST(area AS VARCHAR) AS Lake_area FROM rect WHERE area > 12"),
+    "d9_ring_area": sql(GRID, LAKES, select="SELECT k AS fid, round(6371007.2 * 6371007.2 * radians(w / 10) * (sin(radians((y0 + h) / 100)) - sin(radians(y0 / 100))) / 1e6, 4) AS km2 FROM rect"),
+    "d10_polygon_rings": sql(
+        GRID, LAKES,
+        select="""SELECT lpad(CAST(k AS VARCHAR), 6, '0') AS name, 0 AS part, 0 AS ring, pos, CAST(CASE WHEN pos IN (1, 2) THEN x0 + w ELSE x0 END AS DOUBLE) AS x, CAST(CASE WHEN pos IN (2, 3) THEN y0 + h ELSE y0 END AS DOUBLE) AS y
+            FROM rect, (SELECT unnest(range(0, 5)) AS pos)""",
+    ),
+    "d11_main_ring": sql(GRID, LAKES, select="SELECT DISTINCT k % 7 AS fid, 0 AS part, 0 AS ring, 5 AS n_points, false AS has_holes FROM rect"),
+    "d14_ring_orientation": sql(GRID, LAKES, select="SELECT k AS fid, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS clockwise FROM rect"),
+    "d15_densify_ring": sql(GRID, LAKES, RING, select="SELECT k AS fid, pos, x, y FROM line UNION ALL SELECT k, 2 * (w + h), x0, y0 FROM rect"),
+    "d16_inner_boundary": sql(GRID, LAKES, RING, INNER, select="SELECT k AS fid, pos, x, y FROM inner_cells"),
+    "e1_geojson_merge": sql(
+        GRID, LAKES, DOCS,
+        """m AS (SELECT '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}},"features":[' || string_agg(doc, ',' ORDER BY name) || ']}' AS doc FROM docs)""",
+        select="SELECT md5(doc) AS digest, length(doc) AS chars FROM m",
+    ),
+    "e2_props_update": sql(GRID, LAKES, DOCS, select="""SELECT name, '{"DN":"' || name || '","kind":"lake","pfaf_id":"4' || name || '"}' AS props FROM docs"""),
+    "e3_split_by_dn": sql(GRID, LAKES, select="SELECT CAST(k % 7 AS INT) AS dn, CASE WHEN count(*) > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, count(*) AS n FROM rect GROUP BY 1"),
+    "g3_repair_accumulation": sql(GRID, PATH, select="SELECT cell, acc FROM acc WHERE (cell % 100 // 10) % 3 = 1"),
+    "g4_strahler_order": sql(
+        GRID,
+        """s(cell, strahler) USING KEY (cell) AS (SELECT cell, 1 FROM flow UNION
+          SELECT c.nxt, c.o FROM (SELECT nxt, CASE WHEN count(*) FILTER (o = m) > 1 THEN m + 1 ELSE m END AS o FROM
+            (SELECT f.nxt, u.strahler AS o, max(u.strahler) OVER (PARTITION BY f.nxt) AS m FROM flow f JOIN recurring.s u ON u.cell = f.cell
+              WHERE f.nxt IN (SELECT g.nxt FROM s JOIN flow g ON g.cell = s.cell)) GROUP BY nxt, m) c
+          JOIN recurring.s r ON r.cell = c.nxt WHERE c.o > r.strahler)""",
+        select="SELECT cell, strahler FROM s",
+    ),
+    "g5_pit_fill": sql(
+        GRID,
+        """fill(cell, w) USING KEY (cell) AS (SELECT y * 100 + x, z FROM cells, size WHERE x IN (0, 99) OR y IN (0, size.h - 1) UNION
+          SELECT n.ny * 100 + n.nx, min(greatest(n.nz, f.w)) FROM fill f JOIN near n ON n.y * 100 + n.x = f.cell LEFT JOIN recurring.fill r ON r.cell = n.ny * 100 + n.nx
+          WHERE r.w IS NULL OR greatest(n.nz, f.w) < r.w GROUP BY 1)""",
+        select="SELECT cell % 100 AS x, cell // 100 AS y, round(w, 8) AS filled FROM fill",
+    ),
+    "g8_lake_revision": sql(
+        GRID, PATH, LAKES, RIVER,
+        """t AS (SELECT r.cell, r.nxt, unnest(CASE WHEN abs(nxt - cell) = 100 THEN [CASE WHEN cell % 100 > 0 THEN cell - 1 END, CASE WHEN cell % 100 < 99 THEN cell + 1 END]
+            WHEN abs(nxt - cell) = 1 THEN [cell - 100, cell + 100] ELSE [cell - cell % 100 + nxt % 100, nxt - nxt % 100 + cell % 100] END) AS beside FROM river r WHERE nxt IS NOT NULL)""",
+        """wet(cell, one) USING KEY (cell) AS (SELECT cell, 1 FROM water UNION SELECT t.cell, 1 FROM t JOIN recurring.wet a ON a.cell = t.nxt JOIN recurring.wet b ON b.cell = t.beside
+            WHERE t.cell NOT IN (SELECT cell FROM recurring.wet) AND (SELECT count(*) FROM wet) > 0)""",
+        select="SELECT cell FROM wet",
+    ),
+    "h1_divide_variance": sql(
+        AREAS, "p AS (SELECT CASE WHEN rank <= 5 THEN area / 9 ELSE area END AS a, CASE WHEN rank <= 5 THEN 9 ELSE 1 END AS t FROM ranked)",
+        select="SELECT 5 AS n, CAST(sum(t) AS BIGINT) AS n_new, round(sum(a * t) / sum(t), 4) AS mean, round(sum(a * a * t) / sum(t) - (sum(a * t) / sum(t)) * (sum(a * t) / sum(t)), 2) AS variance, sum(t) > 3 * count(*) AS enough FROM p",
+    ),
+    "h2_basins_to_divide": sql(AREAS, select="SELECT * FROM ranked WHERE rank <= (SELECT CASE WHEN count(*) // 4 + 1 < count(*) THEN count(*) // 4 + 1 ELSE 1 END FROM ranked)"),
+    "h3_pfafstetter_l1": sql(GRID, PATH, PFAF, select="SELECT CAST(basin AS VARCHAR) AS basin, cell, digit FROM digits"),
+    "h4_divide_all": sql(GRID, PATH, PFAF, select="SELECT cell, CAST(basin AS VARCHAR) || digit AS pfaf FROM digits"),
+    "h5_divide_level": sql(
+        GRID, PATH, PFAF,
+        "r AS (SELECT basin, row_number() OVER (ORDER BY n DESC, CAST(basin AS VARCHAR) DESC) AS r, count(*) OVER () AS c FROM (SELECT basin, count(*) AS n FROM bc GROUP BY basin))",
+        select="SELECT b.cell, CAST(b.basin AS VARCHAR) || coalesce(CASE WHEN r.r <= r.c // 4 + 1 THEN d.digit END, 1) AS pfaf FROM bc b JOIN r ON r.basin = b.basin LEFT JOIN digits d ON d.cell = b.cell",
+    ),
+    "h6_outlet_order": sql(
+        OUTLETS,
+        "g AS (SELECT pos, coalesce(pos - lag(pos) OVER (ORDER BY pos), pos + 1 + 20000 - 1 - max(pos) OVER ()) AS gap, row_number() OVER (ORDER BY pos) - 1 AS k, count(*) OVER () AS n FROM outlets)",
+        "f AS (SELECT k AS f FROM g ORDER BY gap DESC, k LIMIT 1)",
+        select="SELECT pos, gap, CAST((k - f + n) % n AS INT) AS ord FROM g, f",
+    ),
+    "h7_outlet_groups": sql(
+        OUTLETS, "t AS (SELECT *, row_number() OVER (ORDER BY acc DESC, pos) <= 4 AS top FROM outlets)", "s AS (SELECT *, sum(CAST(top AS INT)) OVER (ORDER BY pos) AS s FROM t)",
+        select="SELECT pos, CAST(CASE WHEN top THEN 2 * s ELSE 2 * s + 1 END AS INT) AS grp FROM s",
+    ),
+    "h9_spill_point": sql(
+        GRID, LAKES, RING, INNER,
+        """n AS (SELECT i.*, c.z, coalesce(lag(x) OVER o, last_value(x) OVER a) AS ax, coalesce(lag(y) OVER o, last_value(y) OVER a) AS ay, coalesce(lead(x) OVER o, first_value(x) OVER a) AS bx, coalesce(lead(y) OVER o, first_value(y) OVER a) AS b_y
+          FROM inner_cells i JOIN cells c USING (x, y) WINDOW o AS (PARTITION BY k ORDER BY pos), a AS (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""",
+        "low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY z, pos) AS r FROM n) WHERE r = 1)",
+        """turn AS (SELECT l.k, l.x, l.y, coalesce(i.dir, 0) AS i, coalesce(o.dir, 0) AS o, coalesce(b.dir, 0) AS b FROM low l LEFT JOIN off i ON i.dx = sign(l.x - ax) AND i.dy = sign(l.y - ay)
+          LEFT JOIN off o ON o.dx = sign(bx - l.x) AND o.dy = sign(b_y - l.y) LEFT JOIN off b ON b.dx = sign(l.x - bx) AND b.dy = sign(l.y - b_y))""",
+        """code AS (SELECT k, x, y, coalesce(map {33: 5, 31: 4, 35: 6, 13: 4, 11: 3, 17: 2, 71: 2, 77: 1, 75: 8, 53: 6, 57: 8, 55: 7}[i * 10 + o], b) AS dir FROM turn)""",
+        select="SELECT k AS fid, c.x, c.y, c.dir, c.x + f.dx AS to_x, c.y + f.dy AS to_y FROM code c LEFT JOIN off f ON f.dir = c.dir",
+    ),
+    "h8_coastal_division": sql(
+        GRID, PATH,
+        """ring AS (SELECT min(pos) AS pos, y * 100 + x AS cell FROM (
+            SELECT i - 1 AS pos, i AS x, 0 AS y FROM (SELECT unnest(range(1, 100)) AS i)
+            UNION ALL SELECT 99 + i - 1, 99, i FROM (SELECT unnest(range(1, h)) AS i FROM size)
+            UNION ALL SELECT 99 + h - 1 + i - 1, 99 - i, h - 1 FROM (SELECT unnest(range(1, 100)) AS i, h FROM size)
+            UNION ALL SELECT 198 + h - 1 + i - 1, 0, h - 1 - i FROM (SELECT unnest(range(1, h)) AS i, h FROM size)) GROUP BY cell)""",
+        "outs AS (SELECT r.pos, r.cell, a.acc, (SELECT count(*) FROM (SELECT 1 FROM size, range(0, 198 + 2 * (h - 1)))) AS n FROM ring r JOIN flow f USING (cell) JOIN acc a USING (cell) WHERE f.nxt IS NULL)",
+        "g AS (SELECT *, coalesce(pos - lag(pos) OVER (ORDER BY pos), pos + 1 + n - 1 - max(pos) OVER ()) AS gap, row_number() OVER (ORDER BY pos) - 1 AS k, count(*) OVER () AS c FROM outs)",
+        "f1 AS (SELECT k AS f FROM g ORDER BY gap DESC, k LIMIT 1)",
+        "o1 AS (SELECT cell, acc, (k - f + c) % c AS ord FROM g, f1)",
+        "t1 AS (SELECT *, row_number() OVER (ORDER BY acc DESC, ord) <= 4 AS top FROM o1)",
+        "s1 AS (SELECT *, sum(CAST(top AS INT)) OVER (ORDER BY ord) AS s FROM t1)",
+        select="SELECT p.cell, CAST(CASE WHEN top THEN 2 * s ELSE 2 * s + 1 END AS INT) AS grp FROM path p JOIN s1 ON s1.cell = p.ends",
+    ),
+    "h10_lake_upstream": sql(
+        GRID, PATH, LAKES, LABELS, BUFFER, DRY, GROUPS,
+        select="""SELECT b.lake, f.cell, round(f.z, 8) AS z, f.nxt, a.acc FROM (SELECT p.cell, max(o.ord) AS ord FROM walk p JOIN inflow i ON i.cell = p.ends JOIN ord o USING (lake) GROUP BY p.cell) m
+            JOIN ord b USING (ord) JOIN flow f USING (cell) JOIN acc a USING (cell)""",
+        th="CAST('inf' AS DOUBLE)",
+    ),
+    "h11_drainage": sql(
+        GRID, START, "mark AS (SELECT DISTINCT y * 100 + x AS cell FROM starts)",
+        f"g AS (SELECT d.y * 100 + d.x AS cell, CASE WHEN d.x + o.dx BETWEEN 0 AND 99 AND d.y + o.dy BETWEEN 0 AND (SELECT h FROM size) - 1 THEN (d.y + o.dy) * 100 + d.x + o.dx END AS nxt FROM dir128 d LEFT JOIN off o ON o.dir = list_position({STEP128}, d.dir128))",
+        "river AS (SELECT g.* FROM g JOIN mark USING (cell))",
+        "fork AS (SELECT nxt, count(*) AS n FROM river WHERE nxt IS NOT NULL GROUP BY nxt)",
+        "link AS (SELECT r.cell, CASE WHEN f.n < 2 AND r.nxt IN (SELECT cell FROM mark) THEN r.nxt END AS nxt FROM river r LEFT JOIN fork f ON f.nxt = r.nxt)",
+        "chain(cell, ends) AS (SELECT cell, cell FROM link UNION ALL SELECT c.cell, l.nxt FROM chain c JOIN link l ON c.ends = l.cell WHERE l.nxt IS NOT NULL)",
+        "segment AS (SELECT c.cell, c.ends AS reach FROM chain c JOIN link l ON c.ends = l.cell WHERE l.nxt IS NULL)",
+        "fall(cell, ends) AS (SELECT cell, cell FROM g UNION ALL SELECT p.cell, f.nxt FROM fall p JOIN g f ON p.ends = f.cell WHERE f.nxt IS NOT NULL AND f.cell NOT IN (SELECT cell FROM mark))",
+        select="SELECT p.cell, s.reach AS watershed FROM fall p JOIN segment s ON s.cell = p.ends",
+    ),
+}
+BOX = "greatest(0, least(x0 + w, 70) - greatest(x0, 20)) * greatest(0, least(y0 + h, (SELECT h FROM size) // 2) - greatest(y0, 10))"
+SQL["d7_clip_extent"] = sql(GRID, LAKES, select=f"SELECT * FROM (SELECT k AS fid, CAST({BOX} AS DOUBLE) AS area FROM rect) WHERE area > 0")
+SQL["d8_filter_clip"] = sql(GRID, LAKES, select=f"SELECT * FROM (SELECT k AS fid, CAST({BOX} AS DOUBLE) AS area FROM rect WHERE area > 12) WHERE area > 0")

@@ -394,7 +394,7 @@ def b4_neighbours(s):
 @query
 def b5_neighbour_coordinates(s):
     rows = s.cells.select("x", "y", F.explode(neighbour_coordinates(F.col("x") * 0.5, F.col("y") * -0.5, 0.5, -0.5)).alias("n"))
-    return rows.select("x", "y", F.col("n.ord").alias("ord"), F.col("n.x").alias("nx"), F.col("n.y").alias("ny"))
+    return rows.select("x", "y", F.col("n.ord").alias("ord"), F.col("n.x").alias("nx"), (F.col("n.y") + 0.0).alias("ny"))
 
 
 @query
@@ -480,7 +480,7 @@ def d4_clip_centre(s):
 
 @query
 def d5_polygonize_labels(s):
-    bands = s.cells.select("x", "y", F.floor(F.col("z") / 40).cast("int").alias("v"))
+    bands = s.cells.select("x", "y", F.floor(F.col("z") / 4).cast("int").alias("v"))
     return slope.label_cells(bands, s.w, eight=False, by=["v"])
 
 

@@ -163,7 +163,7 @@ SQL |= {
     "b2_downstream": sql(GRID, select="SELECT x, y, nx AS to_x, ny AS to_y FROM d8"),
     "b3_downstream_128": sql(GRID, select=f"SELECT d.x, d.y, d.x + o.dx AS to_x, d.y + o.dy AS to_y FROM dir128 d LEFT JOIN off o ON o.dir = list_position({STEP128}, d.dir128)"),
     "b4_neighbours": sql(GRID, select="SELECT x, y, list_position([4, 3, 2, 5, 1, 6, 7, 8], dir) - 1 AS ord, nx, ny FROM near"),
-    "b5_neighbour_coordinates": sql(GRID, select="SELECT x, y, list_position([4, 3, 2, 5, 1, 6, 7, 8], dir) - 1 AS ord, (x + dx) * CAST(0.5 AS DOUBLE) AS nx, (y + dy) * CAST(-0.5 AS DOUBLE) AS ny FROM cells, off"),
+    "b5_neighbour_coordinates": sql(GRID, select="SELECT x, y, list_position([4, 3, 2, 5, 1, 6, 7, 8], dir) - 1 AS ord, (x + dx) * CAST(0.5 AS DOUBLE) AS nx, (y + dy) * CAST(-0.5 AS DOUBLE) + CAST(0 AS DOUBLE) AS ny FROM cells, off"),
     "b6_off_to_coord": sql(GRID, select="SELECT x, y, x * CAST(0.5 AS DOUBLE) - 1 AS cx, 50 - y * CAST(0.5 AS DOUBLE) AS cy FROM cells"),
     "b7_coord_to_off": sql(
         GRID,
@@ -189,10 +189,10 @@ SQL |= {
     "d3_clip_touched": sql(GRID, LAKES, select="SELECT DISTINCT c.x, c.y, round(z, 8) AS z FROM cells c, rect WHERE x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + h"),
     "d4_clip_centre": sql(GRID, LAKES, select="SELECT c.x, c.y, round(z, 8) AS z FROM cells c JOIN water w ON w.x = c.x AND w.y = c.y"),
     "d5_polygonize_labels": sql(
-        GRID, "band AS (SELECT y * 100 + x AS cell, x, y, CAST(floor(z / 40) AS INT) AS v FROM cells)",
+        GRID, "band AS (SELECT y * 100 + x AS cell, x, y, CAST(floor(z / 4) AS INT) AS v FROM cells)",
         "side AS (SELECT a.cell AS a, b.cell AS b FROM band a, off o JOIN band b ON b.x = a.x + o.dx AND b.y = a.y + o.dy WHERE o.dir % 2 = 1 AND a.v = b.v)",
-        "l(cell, label) USING KEY (cell) AS (SELECT cell, cell FROM band UNION SELECT s.b, min(l.label) FROM l JOIN side s ON s.a = l.cell JOIN recurring.l r ON r.cell = s.b WHERE l.label < r.label GROUP BY s.b)",
-        select="SELECT x, y, v, label FROM band JOIN l USING (cell)",
+        "l(cell, other) AS (SELECT cell, cell FROM band UNION SELECT l.cell, s.b FROM l JOIN side s ON s.a = l.other)",
+        select="SELECT x, y, v, min(other) AS label FROM band JOIN l USING (cell) GROUP BY ALL",
     ),
     "d6_filter_area": sql(GRID, LAKES, select="SELECT k, CAST(area AS VARCHAR) AS Lake_area FROM rect WHERE area > 12"),
     "d9_ring_area": sql(GRID, LAKES, select="SELECT k AS fid, round(6371007.2 * 6371007.2 * radians(w / 10) * (sin(radians((y0 + h) / 100)) - sin(radians(y0 / 100))) / 1e6, 4) AS km2 FROM rect"),

@@ -9,6 +9,7 @@ with other numbers or names in it is still found.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,7 +35,8 @@ TOP_BITS = 20
 #: Distinct raw tokens that a worker remembers.
 CACHE = 300_000
 
-LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+LITERAL, NUMBER, NAME, UNIT, NONE = 0, 1, 2, 3, 7
+NAMED, ENDS = 8, 16
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 DIGIT = re.compile(r"[0-9]")
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/-]*(?:st|nd|rd|th)?")
@@ -54,34 +56,44 @@ UNIT_WORDS = frozenset(
 
 
 class Tokens(dict):
-    """Raw token -> its number, by which the arrays tell what it is; kind -1: no word in it."""
+    """Raw token -> its number; ``flags`` and ``code`` tell what each number is.
+
+    Flags hold the kind, ``NAMED`` for one capital at the start, ``ENDS`` for
+    the end of a sentence.
+    """
 
     def __init__(self):
         super().__init__()
-        self.kind = np.zeros(CACHE, dtype=np.int8)
-        self.code = np.zeros(CACHE, dtype=np.uint64)
-        self.named = np.zeros(CACHE, dtype=bool)  # one capital, at its start
-        self.ends = np.zeros(CACHE, dtype=bool)  # ends a sentence
+        self.reserve(CACHE)
         self.word: list[str] = []
 
+    def reserve(self, n: int) -> None:
+        """Room for n tokens; what is there stays."""
+        flags, code = bytearray(n), array("Q", bytes(8 * n))
+        if self:
+            flags[: len(self.flags)], code[: len(self.code)] = self.flags, self.code
+        self.flags, self.code = flags, code
+
     def __missing__(self, raw: str) -> int:
         n = len(self.word)
-        if n == len(self.kind):
-            for name in ("kind", "code", "named", "ends"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        core = EDGE.sub("", raw)
-        low = core.lower()
-        self.ends[n] = raw[-1] in ".!?:;\x00" or raw.endswith(('."', '!"', '?"'))
-        self.code[n] = self.named[n] = 0
-        if not core:
-            self.kind[n] = -1
-        elif NUMERIC.fullmatch(core) or low in NUMBER_WORDS:
-            self.kind[n] = NUMBER
+        if n == len(self.flags):
+            self.reserve(2 * n)
+        if raw.isalpha():
+            core, ends = raw, 0
+            low = raw.lower()
+            kind = NUMBER if low in NUMBER_WORDS else LITERAL
         else:
-            self.kind[n] = LITERAL
+            core = EDGE.sub("", raw)
+            low = core.lower()
+            ends = ENDS if raw[-1] in ".!?:;\x00" or raw.endswith(('."', '!"', '?"')) else 0
+            kind = NONE if not core else NUMBER if low in NUMBER_WORDS or NUMERIC.fullmatch(core) else LITERAL
+        if kind == LITERAL:
             self.code[n] = xxhash.xxh64_intdigest(low.encode("utf-8", "replace"))
-            self.named[n] = core[0].isupper() and core[1:] == low[1:] and len(core) > 1
+            if core != low and core[0].isupper() and core[1:] == low[1:] and len(core) > 1:
+                ends |= NAMED
+        else:
+            self.code[n] = 0
+        self.flags[n] = kind | ends
         self.word.append(low)
         self[raw] = n
         return n
@@ -105,10 +117,11 @@ def template(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray, n
         text = GLUED.sub(" ", text)
     raw = text.replace("\n", " \x00 ").split()
     number = np.fromiter(map(cache.__getitem__, raw), dtype=np.int32, count=len(raw))
-    kind, code = cache.kind[number], cache.code[number]
-    named = cache.named[number]
-    if len(raw) > 1:
-        named[1:] &= ~cache.ends[number[:-1]]
+    flags = np.frombuffer(cache.flags, dtype=np.uint8)[number]
+    code = np.frombuffer(cache.code, dtype=np.uint64)[number]
+    kind = flags & 7
+    named = flags & NAMED > 0
+    named[1:] &= flags[:-1] & ENDS == 0
     named[:1] = False
     kind[named] = NAME
     if (kind == NUMBER).any():
@@ -117,10 +130,10 @@ def template(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray, n
                 kind[i + 1] = UNIT
     slots = kind > LITERAL
     code[slots] = kind[slots]
-    if (kind < 0).any():
-        seen = kind >= 0
-        return kind[seen], code[seen], number[seen]
-    return kind, code, number
+    seen = kind != NONE
+    if seen.all():
+        return kind, code, number
+    return kind[seen], code[seen], number[seen]
 
 
 def window_hashes(kind: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:

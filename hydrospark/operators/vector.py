@@ -6,9 +6,6 @@ repeats the first.  Long tables of ring points have ``fid, part, ring, pos, x, y
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +136,11 @@ def main_ring(polygons: DataFrame) -> DataFrame:
     return rows.groupBy("fid").agg(best.alias("b")).select("fid", "b.*")
 
 
+def _from(array: Column, at: Column) -> Column:
+    """The array from a place on, counted from 1; empty beyond its end."""
+    return F.slice(array, at, F.greatest(F.size(array) - at + 1, F.lit(0)))
+
+
 def splice_holes(rings: Column) -> Column:
     """The outer ring with every hole that touches it at a point spliced in behind that point.
 
@@ -146,23 +148,17 @@ def splice_holes(rings: Column) -> Column:
     order.  Holes that don't touch stay out.
     """
 
-    @F.pandas_udf(RING)
-    def splice(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for polygon in batch:
-                ring, *holes = [[(p["x"], p["y"]) for p in r] for r in polygon]
-                for hole in holes:
-                    on = next((p for p in reversed(hole) if p in set(ring)), None)
-                    if on is not None:
-                        at = ring.index(on) + 1
-                        rest = list(hole)
-                        rest.remove(on)
-                        ring[at:at] = rest
-                out.append([{"x": x, "y": y} for x, y in ring])
-            yield pd.Series(out)
-
-    return splice(rings)
+    def add(ring, hole):
+        def insert(on):
+            first = F.array_position(hole, on).cast("int")
+            rest = F.concat(F.slice(hole, F.lit(1), first - 1), _from(hole, first + 1))
+            at = F.array_position(ring, on).cast("int")
+            return F.concat(F.slice(ring, F.lit(1), at), rest, _from(ring, at + 1))
+
+        met = F.filter(hole, lambda p: F.array_contains(ring, p))
+        return F.when(F.size(met) == 0, ring).otherwise(let(F.element_at(met, -1), insert))
+
+    return F.aggregate(_from(rings, F.lit(2)), F.get(rings, 0), add)
 
 
 def splice_outer_cells(boundary: Column, others: Column) -> Column:
@@ -173,25 +169,21 @@ def splice_outer_cells(boundary: Column, others: Column) -> Column:
     points at which polygons meet.
     """
 
-    @F.pandas_udf(f"points {RING}, joints {RING}")
-    def splice(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        struct = lambda ps: [{"x": x, "y": y} for x, y in ps]
-        for first, second in batches:
-            points, joints = [], []
-            for ring, rest in zip(first, second, strict=True):
-                line, met = [(p["x"], p["y"]) for p in ring], []
-                for other in rest if rest is not None else []:
-                    corners = [(p["x"], p["y"]) for p in other][:-1]
-                    at = next((k for k, p in enumerate(corners) if p in line), None) if len(other) == 5 else None
-                    if at is not None:
-                        where = line.index(corners[at])
-                        line[where:where] = corners[at:] + corners[:at]
-                        met.append(corners[at])
-                points.append(struct(line))
-                joints.append(struct(met))
-            yield pd.DataFrame({"points": points, "joints": joints})
-
-    return splice(boundary, others)
+    def add(state, other):
+        line, joints = state["points"], state["joints"]
+
+        def insert(k):
+            point = F.get(other, k - 1)
+            at = F.array_position(line, point).cast("int")
+            turned = F.concat(F.slice(other, k, 5 - k), F.slice(other, F.lit(1), k - 1))
+            points = F.concat(F.slice(line, F.lit(1), at - 1), turned, _from(line, at))
+            return F.struct(points.alias("points"), F.concat(joints, F.array(point)).alias("joints"))
+
+        corners = F.filter(F.sequence(F.lit(1), F.lit(4)), lambda k: (F.size(other) == 5) & F.array_contains(line, F.get(other, k - 1)))
+        return F.when(F.size(corners) == 0, state).otherwise(let(F.get(corners, 0), insert))
+
+    start = F.struct(boundary.alias("points"), F.slice(boundary, 1, 0).alias("joints"))
+    return F.aggregate(F.coalesce(others, F.slice(F.array(boundary), 1, 0)), start, add)
 
 
 def densify(points: DataFrame, *carry: str) -> DataFrame:

@@ -21,6 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or FALLBACK_DIR).rstrip("/")
 
 
+#: Paths of tables that this process has written and not dropped.
+_written: set[str] = set()
+
+
 class Table:
     """A written intermediate result: ``df`` reads it, ``drop()`` deletes its files."""
 
@@ -32,15 +36,26 @@ class Table:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(self.path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _written.discard(self.path)
 
 
 def write_table(df: DataFrame, name: str = "table") -> Table:
     """Compute ``df`` once into the shared folder; the plan of the result is a file scan."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
     df.write.parquet(path)
     return Table(spark, path, df.schema)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return write_table(df, name).df
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this process has written; DataFrames that read them become invalid."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(_written):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _written.discard(path)

@@ -23,4 +23,7 @@ def spark():
     )
     made.sparkContext.setLogLevel("ERROR")
     yield made
+    from hydrospark import storage
+
+    storage.clear(made)
     made.stop()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from hydrospark.operators import algebra, basins, flow, slope, stencil, vector
 from hydrospark.plans import pipelines
 from hydrospark.plans.oracles import SQL, TH
 from hydrospark.sources import fixtures, geojson, records, tiles
-from hydrospark.storage import materialize
+from hydrospark.storage import materialize, shared_dir
 
 
 class Scene:
@@ -293,6 +295,14 @@ def g13_slope_route(s):
     return s.surfaces().route
 
 
+@query
+def g15_water_slope(s):
+    """Slope ids and water (-99) in one layer, and the route beside it."""
+    made = s.surfaces()
+    slopes = made.surfaces.select("cell", F.col("slope_id").cast("int").alias("v")).unionByName(s.wet().withColumn("v", F.lit(-99)))
+    return slopes.join(made.route.withColumn("route", F.lit(1)), "cell", "left").select("cell", "v", F.coalesce("route", F.lit(0)).alias("route"))
+
+
 @query
 def g16_watershed_recode(s):
     return flow.recode_watersheds(s.flow, s.rivers, flow.watersheds(s.flow, s.reach), s.wet())
@@ -451,6 +461,48 @@ def b15_colours(s):
     return s.water.select("x", "y", colour(F.col("x") * 1000 + F.col("y"), 7).alias("colour"))
 
 
+@query
+def a3_float_cells(s):
+    return s.cells.select("x", "y", F.round(F.col("z").cast("float").cast("double"), 3).alias("v"))
+
+
+@query
+def a5_copy_raster(s):
+    return materialize(s.cells, "copy").select("x", "y", F.round("z", 8).alias("z"))
+
+
+@query
+def a12_geojson_rows(s):
+    """Attributes and first point of each document, as a shapefile row holds them."""
+    f = geojson.first_feature(F.col("doc"))
+    rows = lake_documents(s).select("name", geojson.properties(f).alias("m"), geojson.polygons(f)[0][0][0].alias("p"))
+    return rows.select("name", F.col("m")["DN"].alias("dn"), F.col("m")["kind"].alias("kind"), "p.x", "p.y")
+
+
+@query
+def a13_folder_batch(s):
+    """The documents written one to a file, and the folder read again by file name."""
+    where = f"{shared_dir(s.spark)}/folder-{uuid.uuid4().hex}"
+    lake_documents(s).repartition("name").write.partitionBy("name").text(where)
+    found = s.spark.read.option("wholetext", True).text(f"{where}/name=*")
+    name = F.regexp_extract(F.input_file_name(), "name=([^/]+)", 1)
+    return found.select(name.alias("file"), F.size(geojson.features(F.rtrim("value"))).alias("n"), F.get_json_object("value", "$.properties.DN").alias("dn"))
+
+
+@query
+def b13_on_edge(s):
+    edge = on_edge(F.col("x"), F.col("y"), F.lit(0), F.lit(s.h - 1), F.lit(s.w - 1), F.lit(0))
+    return s.cells.select("x", "y", edge.alias("edge"))
+
+
+@query
+def c5_batch_reclass(s):
+    """Two layers named by file, reclassified in one scan."""
+    named = [("/in/a_dir.tif", s.dir128.where("x < 50")), ("/in/b_dir.tif", s.dir128.where("x >= 50")), ("/in/c_acc.tif", s.dir128)]
+    both = algebra.with_names(named, ["_dir"])
+    return both.select("file_ord", "x", "y", algebra.reclass_table(F.col("dir128"), algebra.TABLE_128_TO_8).alias("dir"))
+
+
 # --- geometry -------------------------------------------------------------------------------------------------------
 
 
@@ -489,6 +541,32 @@ def d5_polygonize_rings(s):
     return vector.polygonize(s.water.select("x", "y", F.lit(1).alias("v")), s.w)
 
 
+@query
+def d5_ring_measures(s):
+    """For each polygonized area: its number of border sides, and what its rings enclose."""
+    bands = s.cells.select("x", "y", F.floor(F.col("z") / 4).cast("int").alias("v"))
+    points = vector.polygonize(bands, s.w)
+    sides = vector.edges(points, "label", "ring").select("label", (F.col("x") * F.col("y2") - F.col("x2") * F.col("y")).alias("cross"))
+    return sides.groupBy("label").agg(F.count(F.lit(1)).alias("sides"), F.sum("cross").alias("twice_area"))
+
+
+@query
+def d12_splice_holes(s):
+    """Each rectangle with a triangular hole at its second corner and a loose one; the first becomes part of the ring."""
+    p = lambda dx, dy: F.struct((F.get("ring", 1)["x"] + dx).alias("x"), (F.get("ring", 1)["y"] + dy).alias("y"))
+    touching, loose = F.array(p(0, 0), p(-0.5, 0.25), p(-0.25, 0.5), p(0, 0)), F.array(p(-0.5, 0.5), p(-0.75, 0.5), p(-0.5, 0.75), p(-0.5, 0.5))
+    made = ring_arrays(s).select("fid", vector.splice_holes(F.array("ring", touching, loose)).alias("r"))
+    return made.select("fid", F.posexplode("r").alias("pos", "p")).select("fid", "pos", "p.x", "p.y")
+
+
+@query
+def d13_splice_outer_cells(s):
+    """Each rectangle with a single cell that touches its third corner, and one that touches nothing."""
+    cell = lambda d: F.array(*(F.struct((F.get("ring", 2)["x"] + d + a).alias("x"), (F.get("ring", 2)["y"] + d + b).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))))
+    made = ring_arrays(s).select("fid", vector.splice_outer_cells(F.col("ring"), F.array(cell(0), cell(5))).alias("o"))
+    return made.select("fid", F.size("o.joints").alias("joints"), F.posexplode("o.points").alias("pos", "p")).select("fid", "joints", "pos", "p.x", "p.y")
+
+
 @query
 def d6_filter_area(s):
     lakes = fixtures.rectangles(s.spark, s.sf_dir, s.grid).select("k", F.col("area").cast("string").alias("Lake_area"))
@@ -675,6 +753,12 @@ def p2_from_elevation(s):
     return layers["watershed"]
 
 
+@query
+def p3_from_layers(s):
+    """Revised lakes and the slope surfaces beside them, from directions and accumulation as given."""
+    return pipelines.from_layers(s.cells, s.flow, s.acc, s.water, s.w, s.h, TH)["water_slope"]
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

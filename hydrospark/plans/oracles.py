@@ -302,6 +302,50 @@ SQL |= {
         select="SELECT p.cell, s.reach AS watershed FROM fall p JOIN segment s ON s.cell = p.ends",
     ),
 }
+REVISED = (
+    LAKES.replace("water AS", "water0 AS"),
+    RIVER,
+    """t AS (SELECT r.cell, r.nxt, unnest(CASE WHEN abs(nxt - cell) = 100 THEN [CASE WHEN cell % 100 > 0 THEN cell - 1 END, CASE WHEN cell % 100 < 99 THEN cell + 1 END]
+      WHEN abs(nxt - cell) = 1 THEN [cell - 100, cell + 100] ELSE [cell - cell % 100 + nxt % 100, nxt - nxt % 100 + cell % 100] END) AS beside FROM river r WHERE nxt IS NOT NULL)""",
+    """wet(cell, one) USING KEY (cell) AS (SELECT cell, 1 FROM water0 UNION SELECT t.cell, 1 FROM t JOIN recurring.wet a ON a.cell = t.nxt JOIN recurring.wet b ON b.cell = t.beside
+      WHERE t.cell NOT IN (SELECT cell FROM recurring.wet) AND (SELECT count(*) FROM wet) > 0)""",
+    "water AS (SELECT cell, cell % 100 AS x, cell // 100 AS y FROM wet)",
+)
+SLOPES = "slopes AS (SELECT p.cell, max(i.id) AS slope_id FROM walk p JOIN (SELECT g.cell, dense_rank() OVER (ORDER BY o.ord, g.grp) AS id FROM grp g JOIN ord o USING (lake)) i ON i.cell = p.ends GROUP BY p.cell)"
+SQL |= {
+    "a3_float_cells": sql(GRID, select="SELECT x, y, round(CAST(CAST(z AS FLOAT) AS DOUBLE), 3) AS v FROM cells"),
+    "a5_copy_raster": sql(GRID, select="SELECT x, y, round(z, 8) AS z FROM cells"),
+    "a12_geojson_rows": sql(GRID, LAKES, select="SELECT lpad(CAST(k AS VARCHAR), 6, '0') AS name, CAST(k % 7 AS VARCHAR) AS dn, 'lake' AS kind, CAST(x0 AS DOUBLE) AS x, CAST(y0 AS DOUBLE) AS y FROM rect"),
+    "a13_folder_batch": sql(GRID, LAKES, select="SELECT lpad(CAST(k AS VARCHAR), 6, '0') AS file, 1 AS n, CAST(k % 7 AS VARCHAR) AS dn FROM rect"),
+    "b13_on_edge": sql(GRID, select="SELECT x, y, x IN (0, 99) OR y IN (0, (SELECT h FROM size) - 1) AS edge FROM cells"),
+    "c5_batch_reclass": sql(GRID, select=f"SELECT CASE WHEN x < 50 THEN 0 ELSE 1 END AS file_ord, x, y, CASE WHEN dir128 = 255 THEN -1 ELSE coalesce(list_position({STEP128}, dir128), dir128) END AS dir FROM dir128"),
+    "d5_ring_measures": sql(
+        GRID, "band AS (SELECT y * 100 + x AS cell, x, y, CAST(floor(z / 4) AS INT) AS v FROM cells)",
+        "side AS (SELECT a.cell AS a, b.cell AS b FROM band a, off o JOIN band b ON b.x = a.x + o.dx AND b.y = a.y + o.dy WHERE o.dir % 2 = 1 AND a.v = b.v)",
+        "l(cell, other) AS (SELECT cell, cell FROM band UNION SELECT l.cell, s.b FROM l JOIN side s ON s.a = l.other)",
+        "m AS (SELECT cell, min(other) AS label FROM l GROUP BY cell)",
+        select="SELECT label, CAST(sum(4 - (SELECT count(*) FROM side WHERE side.a = m.cell)) AS BIGINT) AS sides, 2 * count(*) AS twice_area FROM m GROUP BY label",
+    ),
+    "d12_splice_holes": sql(
+        GRID, LAKES,
+        """p AS (SELECT k, unnest(range(0, 8)) AS pos, CAST(x0 AS DOUBLE) AS a, CAST(y0 AS DOUBLE) AS b, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h FROM rect)""",
+        select="""SELECT k AS fid, pos, a + [0, w, w - 0.5, w - 0.25, w, w, 0, 0][pos + 1] AS x, b + [0, 0, 0.25, 0.5, 0, h, h, 0][pos + 1] AS y FROM p""",
+    ),
+    "d13_splice_outer_cells": sql(
+        GRID, LAKES,
+        """p AS (SELECT k, unnest(range(0, 9)) AS pos, CAST(x0 AS DOUBLE) AS a, CAST(y0 AS DOUBLE) AS b, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h FROM rect)""",
+        select="""SELECT k AS fid, 1 AS joints, pos, a + [0, w, w, w + 1, w + 1, w, w, 0, 0][pos + 1] AS x, b + [0, 0, h, h, h + 1, h + 1, h, h, 0][pos + 1] AS y FROM p""",
+    ),
+    "g15_water_slope": sql(
+        GRID, PATH, LAKES, LABELS, BUFFER, DRY, GROUPS, SLOPES, "slow AS (SELECT d.cell, d.nxt FROM dry d JOIN acc USING (cell) WHERE acc < {th})",
+        "go(cell) AS (SELECT cell FROM slow WHERE cell IN (SELECT start FROM ord) UNION SELECT s2.cell FROM go JOIN slow s ON s.cell = go.cell JOIN slow s2 ON s2.cell = s.nxt)",
+        select="SELECT cell, v, CASE WHEN cell IN (SELECT cell FROM go) THEN 1 ELSE 0 END AS route FROM (SELECT cell, slope_id AS v FROM slopes UNION ALL SELECT cell, -99 FROM water)", th=TH,
+    ),
+    "p3_from_layers": sql(
+        GRID, PATH, *REVISED, LABELS, BUFFER, DRY, GROUPS, SLOPES,
+        select="SELECT cell % 100 AS x, cell // 100 AS y, v FROM (SELECT cell, slope_id AS v FROM slopes UNION ALL SELECT cell, -99 FROM water)", th=TH,
+    ),
+}
 BOX = "greatest(0, least(x0 + w, 70) - greatest(x0, 20)) * greatest(0, least(y0 + h, (SELECT h FROM size) // 2) - greatest(y0, 10))"
 SQL["d7_clip_extent"] = sql(GRID, LAKES, select=f"SELECT * FROM (SELECT k AS fid, CAST({BOX} AS DOUBLE) AS area FROM rect) WHERE area > 0")
 SQL["d8_filter_clip"] = sql(GRID, LAKES, select=f"SELECT * FROM (SELECT k AS fid, CAST({BOX} AS DOUBLE) AS area FROM rect WHERE area > 12) WHERE area > 0")

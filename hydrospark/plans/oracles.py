@@ -349,3 +349,39 @@ SQL |= {
 BOX = "greatest(0, least(x0 + w, 70) - greatest(x0, 20)) * greatest(0, least(y0 + h, (SELECT h FROM size) // 2) - greatest(y0, 10))"
 SQL["d7_clip_extent"] = sql(GRID, LAKES, select=f"SELECT * FROM (SELECT k AS fid, CAST({BOX} AS DOUBLE) AS area FROM rect) WHERE area > 0")
 SQL["d8_filter_clip"] = sql(GRID, LAKES, select=f"SELECT * FROM (SELECT k AS fid, CAST({BOX} AS DOUBLE) AS area FROM rect WHERE area > 12) WHERE area > 0")
+FILLED = (
+    GRID.split("near AS")[0].replace("cells AS", "cells0 AS").rstrip().rstrip(","),
+    "near0 AS (SELECT c.x, c.y, n.x AS nx, n.y AS ny, n.z AS nz FROM cells0 c, off o JOIN cells0 n ON n.x = c.x + o.dx AND n.y = c.y + o.dy)",
+    """fill(cell, w) USING KEY (cell) AS (SELECT y * 100 + x, z FROM cells0, size WHERE x IN (0, 99) OR y IN (0, size.h - 1) UNION
+      SELECT n.ny * 100 + n.nx, min(greatest(n.nz, f.w)) FROM fill f JOIN near0 n ON n.y * 100 + n.x = f.cell LEFT JOIN recurring.fill r ON r.cell = n.ny * 100 + n.nx
+      WHERE r.w IS NULL OR greatest(n.nz, f.w) < r.w GROUP BY 1)""",
+    "cells AS (SELECT CAST(cell % 100 AS INT) AS x, CAST(cell // 100 AS INT) AS y, w AS z FROM fill)",
+    "near AS" + GRID.split("near AS")[1],
+)
+SQL["p2_from_elevation"] = sql(
+    *FILLED, PATH, *REVISED, LABELS, BUFFER, DRY, GROUPS, SLOPES,
+    "gone AS (SELECT cell FROM slopes UNION SELECT cell FROM water)",
+    "rest AS (SELECT cell, nxt FROM flow WHERE cell NOT IN (SELECT cell FROM gone))",
+    "river2 AS (SELECT cell, nxt FROM river WHERE cell NOT IN (SELECT cell FROM gone))",
+    "fork2 AS (SELECT nxt, count(*) AS n FROM river2 WHERE nxt IS NOT NULL GROUP BY nxt)",
+    "link2 AS (SELECT r.cell, CASE WHEN f.n < 2 AND r.nxt IN (SELECT cell FROM river2) THEN r.nxt END AS nxt FROM river2 r LEFT JOIN fork2 f ON f.nxt = r.nxt)",
+    "chain2(cell, ends) AS (SELECT cell, cell FROM link2 UNION ALL SELECT c.cell, l.nxt FROM chain2 c JOIN link2 l ON c.ends = l.cell WHERE l.nxt IS NOT NULL)",
+    "segment2 AS (SELECT c.cell, c.ends AS reach FROM chain2 c JOIN link2 l ON c.ends = l.cell WHERE l.nxt IS NULL)",
+    "fall2(cell, ends) AS (SELECT cell, cell FROM rest UNION ALL SELECT p.cell, f.nxt FROM fall2 p JOIN rest f ON p.ends = f.cell WHERE f.nxt IS NOT NULL AND f.cell NOT IN (SELECT cell FROM river2))",
+    select="SELECT p.cell % 100 AS x, p.cell // 100 AS y, s.reach AS watershed FROM fall2 p JOIN segment2 s ON s.cell = p.ends", th=TH,
+)
+SQL["g16_watershed_recode"] = sql(
+    GRID, PATH, LAKES, RIVER, REACH,
+    "slope AS (SELECT cell, CASE WHEN cell NOT IN (SELECT cell FROM river) THEN nxt END AS nxt FROM flow)",
+    "fall(cell, ends) AS (SELECT cell, cell FROM slope UNION ALL SELECT p.cell, f.nxt FROM fall p JOIN slope f ON p.ends = f.cell WHERE f.nxt IS NOT NULL)",
+    "ws AS (SELECT p.cell, s.reach AS watershed FROM fall p JOIN segment s ON s.cell = p.ends)",
+    "rpath(cell, ends) AS (SELECT cell, cell FROM river UNION ALL SELECT p.cell, r.nxt FROM rpath p JOIN river r ON r.cell = p.ends WHERE r.nxt IS NOT NULL)",
+    "claim AS (SELECT p.ends AS cell, min((r.acc, r.cell)) AS head FROM rpath p JOIN river r ON r.cell = p.cell GROUP BY p.ends)",
+    "piece AS (SELECT w.watershed, c.head, count(*) AS n FROM claim c JOIN ws w USING (cell) GROUP BY ALL)",
+    "other AS (SELECT watershed, head FROM (SELECT *, row_number() OVER (PARTITION BY watershed ORDER BY n DESC, head) AS r FROM piece) WHERE r > 1)",
+    "fresh AS (SELECT watershed, head, (SELECT max(watershed) FROM ws) + row_number() OVER (ORDER BY head, watershed) AS id FROM other)",
+    "stop AS (SELECT c.cell, coalesce(f.id, -1) AS label FROM claim c JOIN ws w USING (cell) LEFT JOIN fresh f ON f.watershed = w.watershed AND f.head = c.head)",
+    "stopped AS (SELECT * FROM stop UNION ALL SELECT cell, -1 FROM water WHERE cell NOT IN (SELECT cell FROM stop))",
+    "down(cell, ends) AS (SELECT cell, cell FROM flow UNION ALL SELECT p.cell, f.nxt FROM down p JOIN flow f ON p.ends = f.cell WHERE f.nxt IS NOT NULL AND f.cell NOT IN (SELECT cell FROM stopped))",
+    select="SELECT w.cell, coalesce(n.label, w.watershed) AS watershed FROM ws w LEFT JOIN (SELECT d.cell, s.label FROM down d JOIN stopped s ON s.cell = d.ends WHERE s.label >= 0) n ON n.cell = w.cell",
+)

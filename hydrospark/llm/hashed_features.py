@@ -81,8 +81,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, max_r
         extract, "o long, label_id long, y int, index array<binary>, value array<binary>"
     )
     rows = sorted(made.collect(), key=lambda r: (r.o, r.label_id, r.y))
-    out = []
+    out, ones = [], np.ones(1 << 20, dtype=np.float32)
     for r in rows:
-        index = [np.frombuffer(x, dtype="<i4") for x in r["index"]]
-        out.append((r.y, index, [np.frombuffer(v, dtype="<f4") if v else np.ones(len(i), dtype=np.float32) for i, v in zip(index, r["value"], strict=True)]))
+        index = [np.frombuffer(x, dtype="<i4") for x in r["index"]]  # views on what was received
+        out.append((r.y, index, [np.frombuffer(v, dtype="<f4") if v else ones[: len(i)] for i, v in zip(index, r["value"], strict=True)]))
     return out

@@ -50,9 +50,9 @@ def fit(samples: list[tuple], bits: int, alpha: float, l1: float, l2: float = 0.
         z[i] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
         n[i] = ni + g * g
 
-    ready = [(y, [(np.asarray(i, dtype=np.int64), np.asarray(v, dtype=float)) for i, v in zip(a, b, strict=True)]) for y, a, b in samples]
     for _ in range(epochs):
-        for y, ((i, v), *variants) in ready:
+        for y, indexes, values in samples:
+            (i, v), *variants = zip(indexes, values, strict=True)
             w = weights(z[i], n[i])
             bias = -zb / ((beta + nb**0.5) / alpha)
             score = float(w @ v) + bias

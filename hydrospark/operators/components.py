@@ -31,11 +31,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         step = hop.join(labels.select(F.col("node").alias("via"), F.col("label").alias("far")), "via").select(
             "node", F.least("via", "far").alias("label"), (F.least("via", "far") < F.col("was")).alias("moved")
         )
-        new = write_table(step, "labels")
-        moved = new.df.where("moved").limit(1).count()
+        new = write_table(step, "labels", watch="moved")
         state.drop()
         state = new
-        if not moved:
+        if not new.watched:
             both.drop()
             return state.df.select("node", "label")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -20,6 +20,7 @@ from hydrospark.storage import Table, write_table
 
 #: Doubling rounds cover paths of 2**MAX_ROUNDS cells; a longer one is a cycle.
 MAX_ROUNDS = 40
+MOVING = "nxt is not null"
 
 
 def flow_graph(cells: DataFrame, directions: DataFrame, width: int, height: int, code: str = "dir") -> DataFrame:
@@ -38,9 +39,9 @@ def flow_graph(cells: DataFrame, directions: DataFrame, width: int, height: int,
 def _rounds(state: Table, advance, name: str) -> DataFrame:
     """Advance until no cell has a next one."""
     for _ in range(MAX_ROUNDS):
-        if not state.df.where("nxt is not null").limit(1).count():
+        if not state.watched:
             return state.df
-        new = write_table(advance(state.df), name)
+        new = write_table(advance(state.df), name, watch=MOVING)
         state.drop()
         state = new
     raise ValueError("the flow graph has a cycle")
@@ -54,7 +55,7 @@ def push(flow: DataFrame, start: dict[str, Column], combine=F.sum, add=None) ->
     """
     names = list(start)
     plus = add or {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.min: F.least, F.max: F.greatest}[combine]
-    first = write_table(flow.select("cell", "nxt", *(c.alias(n) for n, c in start.items())), "push")
+    first = write_table(flow.select("cell", "nxt", *(c.alias(n) for n, c in start.items())), "push", watch=MOVING)
 
     def advance(s: DataFrame) -> DataFrame:
         moving = s.where("nxt is not null")
@@ -69,7 +70,7 @@ def push(flow: DataFrame, start: dict[str, Column], combine=F.sum, add=None) ->
 def pull(flow: DataFrame, start: dict[str, Column], combine=F.greatest) -> DataFrame:
     """``cell`` and, for each name, ``combine`` of the start values of all cells on the downstream path, its own included."""
     names = list(start)
-    first = write_table(flow.select("cell", "nxt", *(c.alias(n) for n, c in start.items())), "pull")
+    first = write_table(flow.select("cell", "nxt", *(c.alias(n) for n, c in start.items())), "pull", watch=MOVING)
 
     def advance(s: DataFrame) -> DataFrame:
         ahead = s.select(F.col("cell").alias("nxt"), F.col("nxt").alias("far"), *(F.col(n).alias(f"{n}__") for n in names))
@@ -123,7 +124,7 @@ def with_lengths(flow: DataFrame, width: int) -> DataFrame:
 def upstream_lengths(flow: DataFrame, width: int) -> DataFrame:
     """``cell, longest, total``: longest upstream path and total length of all upstream channels."""
     own = with_lengths(flow, width)
-    first = write_table(own.select("cell", "nxt", F.col("len").alias("step"), F.lit(0.0).alias("longest"), F.col("len").alias("total")), "lengths")
+    first = write_table(own.select("cell", "nxt", F.col("len").alias("step"), F.lit(0.0).alias("longest"), F.col("len").alias("total")), "lengths", watch=MOVING)
 
     def advance(s: DataFrame) -> DataFrame:
         moving = s.where("nxt is not null")
@@ -147,10 +148,11 @@ def jumps(flow: DataFrame) -> list[DataFrame]:
     out = [write_table(flow.where("nxt is not null").select("cell", "nxt"), "jump").df]
     for _ in range(MAX_ROUNDS):
         last = out[-1]
-        new = write_table(last.join(last.select(F.col("cell").alias("nxt"), F.col("nxt").alias("far")), "nxt").select("cell", F.col("far").alias("nxt")), "jump").df
-        if not new.limit(1).count():
+        twice = last.join(last.select(F.col("cell").alias("nxt"), F.col("nxt").alias("far")), "nxt").select("cell", F.col("far").alias("nxt"))
+        new = write_table(twice, "jump", watch="true")
+        if not new.watched:
             return out
-        out.append(new)
+        out.append(new.df)
     raise ValueError("the flow graph has a cycle")
 
 
@@ -169,9 +171,10 @@ def strahler(flow: DataFrame) -> DataFrame:
         reached = inflow.where("n >= 2").select("cell")
         for jump in ahead:
             reached = reached.union(jump.join(reached, "cell", "left_semi").select(F.col("nxt").alias("cell"))).distinct()
-        kept = write_table(reached, "order").df
-        if not kept.limit(1).count():
+        table = write_table(reached, "order", watch="true")
+        if not table.watched:
             break
+        kept = table.df
         members = kept
         levels = levels.union(kept.select("cell", F.lit(order).alias("strahler")))
     return levels.groupBy("cell").agg(F.max("strahler").alias("strahler")).join(flow.select("cell"), "cell", "left_semi")
@@ -200,10 +203,10 @@ def fill_pits(dem: DataFrame, directions: DataFrame, width: int, height: int, z:
         sentl = passes.join(state.df.where("moved").select(F.col("root").alias("other"), F.col("level").alias("ol")), "other").where("ol is not null")
         got = sentl.groupBy("root").agg(F.min(F.greatest("height", "ol")).alias("via"))
         step_ = state.df.join(got, "root", "left").select("root", F.least("level", "via").alias("level"), (F.col("via") < F.coalesce("level", F.lit(float("inf")))).alias("moved"))
-        new = write_table(step_.withColumn("moved", F.coalesce("moved", F.lit(False))), "levels")
+        new = write_table(step_.withColumn("moved", F.coalesce("moved", F.lit(False))), "levels", watch="moved")
         state.drop()
         state = new
-        if not state.df.where("moved").limit(1).count():
+        if not new.watched:
             break
     return own.join(state.df.select("root", "level"), "root").select("x", "y", "z", F.greatest("z", "level").alias("filled"))
 
@@ -262,9 +265,10 @@ def revise_lakes(rivers: DataFrame, water: DataFrame, width: int, max_rounds: in
         # a new fact needs one new premise: the next cell or the cell beside
         touched = tests.join(fresh.select(F.col("cell").alias("nxt")), "nxt", "left_semi").unionByName(tests.join(fresh.select(F.col("cell").alias("beside")), "beside", "left_semi").select("nxt", "cell", "beside"))
         ready = touched.join(state.select(F.col("cell").alias("nxt")), "nxt", "left_semi").join(state.select(F.col("cell").alias("beside")), "beside", "left_semi")
-        fresh = write_table(ready.select("cell").distinct().join(state, "cell", "left_anti"), "fresh").df
-        if not fresh.limit(1).count():
+        table = write_table(ready.select("cell").distinct().join(state, "cell", "left_anti"), "fresh", watch="true")
+        if not table.watched:
             return state
+        fresh = table.df
         state = write_table(state.union(fresh), "water").df
     raise RuntimeError(f"lakes did not settle in {max_rounds} rounds")
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder, as in unit tests.
 FALLBACK_DIR = "file:///tmp/checkpoints"
@@ -26,10 +27,10 @@ _written: set[str] = set()
 
 
 class Table:
-    """A written intermediate result: ``df`` reads it, ``drop()`` deletes its files."""
+    """A written intermediate result: ``df`` reads it, ``drop()`` deletes its files, ``watched`` is the count asked for."""
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, schema, watched: int | None = None):
+        self.spark, self.path, self.watched = spark, path, watched
         self.df = spark.read.schema(schema).parquet(path)
 
     def drop(self) -> None:
@@ -39,13 +40,20 @@ class Table:
         _written.discard(self.path)
 
 
-def write_table(df: DataFrame, name: str = "table") -> Table:
-    """Compute ``df`` once into the shared folder; the plan of the result is a file scan."""
+def write_table(df: DataFrame, name: str = "table", watch: str | None = None) -> Table:
+    """Compute ``df`` once into the shared folder; the plan of the result is a file scan.
+
+    ``watch`` is a condition whose rows are counted in the same pass, so that
+    loops need no job of their own to see whether they are done.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.add(path)
+    seen = Observation() if watch else None
+    if seen:
+        df = df.observe(seen, F.count(F.when(F.expr(watch), True)).alias("n"))
     df.write.parquet(path)
-    return Table(spark, path, df.schema)
+    return Table(spark, path, df.schema, seen.get["n"] if seen else None)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

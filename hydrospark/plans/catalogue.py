@@ -352,6 +352,12 @@ def a9_pyramid(s):
     return tiles.pyramid(s.acc_xy.select("x", "y", F.col("acc").alias("v")), 5)
 
 
+@query
+def a9_web_mercator(s):
+    g = Geotransform(5.0, 0.05, 0.0, 47.0, 0.0, -0.05, s.w, s.h)
+    return tiles.web_mercator(s.cells.where("y < 150").select("x", "y", F.round("z", 8).alias("v")), g, 6)
+
+
 @query
 def a10_tile_export(s):
     return tiles.export(s.acc_xy.select("x", "y", F.col("acc").alias("v")), 32, 2)

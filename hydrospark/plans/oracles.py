@@ -385,3 +385,12 @@ SQL["g16_watershed_recode"] = sql(
     "down(cell, ends) AS (SELECT cell, cell FROM flow UNION ALL SELECT p.cell, f.nxt FROM down p JOIN flow f ON p.ends = f.cell WHERE f.nxt IS NOT NULL AND f.cell NOT IN (SELECT cell FROM stopped))",
     select="SELECT w.cell, coalesce(n.label, w.watershed) AS watershed FROM ws w LEFT JOIN (SELECT d.cell, s.label FROM down d JOIN stopped s ON s.cell = d.ends WHERE s.label >= 0) n ON n.cell = w.cell",
 )
+
+SQL["a9_web_mercator"] = sql(
+    GRID,
+    "deg AS (SELECT round(z, 8) AS v, 5.0 + x * CAST(0.05 AS DOUBLE) AS lon, 47.0 + y * CAST(-0.05 AS DOUBLE) AS lat FROM cells WHERE y < 150)",
+    """px AS (SELECT v, CAST(ceil((lon + 180.0) / 360.0 * 16384 - 0.5) AS INT) AS a, CAST(ceil((lon + CAST(0.05 AS DOUBLE) + 180.0) / 360.0 * 16384 - 0.5) AS INT) AS b,
+      CAST(ceil((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384 - 0.5) AS INT) AS c,
+      CAST(ceil((1 - ln(tan(radians(lat - CAST(0.05 AS DOUBLE))) + 1 / cos(radians(lat - CAST(0.05 AS DOUBLE)))) / pi()) / 2 * 16384 - 0.5) AS INT) AS d FROM deg)""",
+    select="SELECT x, unnest(range(c, d)) AS y, v FROM (SELECT unnest(range(a, b)) AS x, c, d, v FROM px)",
+)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrospark.functions.cells import colour
+from hydrospark.functions.cells import Geotransform, colour
 
 
 def tiled(raster: DataFrame, size: int) -> DataFrame:
@@ -46,6 +48,25 @@ def pyramid(raster: DataFrame, levels: int, combine=F.max, value: str = "v") ->
     return rows.select("level", down("x").alias("x"), down("y").alias("y"), value).groupBy("level", "x", "y").agg(combine(value).alias(value))
 
 
+def web_mercator(raster: DataFrame, g: Geotransform, zoom: int, size: int = 256, value: str = "v") -> DataFrame:
+    """``x, y, v``: pixels of the Web Mercator pyramid at a zoom whose centre lies in a cell of a longitude/latitude raster.
+
+    Each cell gives the pixels it covers, so there are no gaps and no pixel is
+    met twice.  Cells beyond 85.05 degrees are cut off.
+    """
+    n = float(size * 2**zoom)
+    limit = 85.05112878
+    column = lambda lon: (lon + 180.0) / 360.0 * n
+    row = lambda lat: (1.0 - F.log(F.tan(F.radians(lat)) + 1.0 / F.cos(F.radians(lat))) / pi) / 2.0 * n
+    held = lambda lat: F.greatest(F.lit(-limit), F.least(F.lit(limit), lat))
+    lon, lat = g.x0 + F.col("x") * g.dx, g.y0 + F.col("y") * g.dy
+    left, right = column(F.least(lon, lon + g.dx)), column(F.greatest(lon, lon + g.dx))
+    top, bottom = row(held(F.greatest(lat, lat + g.dy))), row(held(F.least(lat, lat + g.dy)))
+    spans = raster.select(value, *(F.ceil(c - 0.5).alias(k) for k, c in (("a", left), ("b", right), ("c", top), ("d", bottom)))).where("a < b and c < d")
+    across = spans.select(value, "c", "d", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("x"))
+    return across.select(F.col("x").cast("int").alias("x"), F.explode(F.sequence(F.col("c"), F.col("d") - 1)).alias("row"), value).select("x", F.col("row").cast("int").alias("y"), value)
+
+
 def export(raster: DataFrame, size: int, levels: int, seed: int = 0) -> DataFrame:
     """``z, tile_x, tile_y, n, pixels``: tiles of a pyramid with coloured pixels, as a tile server would send them.
 

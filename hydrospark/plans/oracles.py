@@ -394,3 +394,15 @@ SQL["a9_web_mercator"] = sql(
       CAST(ceil((1 - ln(tan(radians(lat - CAST(0.05 AS DOUBLE))) + 1 / cos(radians(lat - CAST(0.05 AS DOUBLE)))) / pi()) / 2 * 16384 - 0.5) AS INT) AS d FROM deg)""",
     select="SELECT x, unnest(range(c, d)) AS y, v FROM (SELECT unnest(range(a, b)) AS x, c, d, v FROM px)",
 )
+SQL["p1_flagship"] = sql(
+    GRID.replace("flow AS", "flow0 AS").replace("FROM flow)", "FROM flow0)"),
+    PATH.replace("FROM flow", "FROM flow0").replace("JOIN flow", "JOIN flow0").replace("acc AS", "acc0 AS"),
+    "box AS (SELECT f.*, d.dir128, a.acc FROM flow0 f JOIN dir128 d USING (x, y) JOIN acc0 a USING (cell), size s WHERE f.x BETWEEN 10 AND 90 AND f.y BETWEEN 5 AND s.h - 5)",
+    "low AS (SELECT b.cell, min(n.acc) AS least FROM box b JOIN box n ON abs(n.x - b.x) <= 1 AND abs(n.y - b.y) <= 1 WHERE b.dir128 = 255 GROUP BY b.cell)",
+    "acc AS (SELECT b.cell, CASE WHEN l.least < {th} THEN greatest(b.acc, {th}) ELSE b.acc END AS acc FROM box b LEFT JOIN low l USING (cell))",
+    "flow AS (SELECT cell, nxt, x, y, z, dir FROM box)",
+    LAKES.replace("water AS", "water9 AS").replace("FROM rect)", "FROM rect WHERE area > 8)"),
+    "water0 AS (SELECT w.* FROM water9 w, size s WHERE x BETWEEN 10 AND 90 AND y BETWEEN 5 AND s.h - 5)",
+    *REVISED[1:], LABELS, BUFFER, DRY, GROUPS, SLOPES,
+    select="SELECT cell % 100 AS x, cell // 100 AS y, v FROM (SELECT cell, slope_id AS v FROM slopes UNION ALL SELECT cell, -99 FROM water)", th=TH,
+)

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydrospark.llm.columns import free_name
 from hydrospark.operators.components import connected_components
 from hydrospark.storage import write_table
 
@@ -297,7 +298,7 @@ def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     Rows with a null id stay.  Of rows that repeat an id, one stays.
     """
     ids = join_components(docs, n, percent)
-    key = "own_id__"
+    key = free_name(docs, "own_id")
     gone = ids.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
     twice = ids.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias(key)).limit(1).count()

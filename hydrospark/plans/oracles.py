@@ -406,3 +406,17 @@ SQL["p1_flagship"] = sql(
     *REVISED[1:], LABELS, BUFFER, DRY, GROUPS, SLOPES,
     select="SELECT cell % 100 AS x, cell // 100 AS y, v FROM (SELECT cell, slope_id AS v FROM slopes UNION ALL SELECT cell, -99 FROM water)", th=TH,
 )
+#: Columns whose integer width DuckDB infers differently: BIGINT columns, then INT columns, of each query.
+WIDTHS = {
+    "a9_pyramid": ("", "level x y"), "a9_web_mercator": ("", "x y"), "c9_recode_value": ("", "x y"), "d2_rasterize_rects": ("", "x y"), "d5_polygonize_labels": ("label", ""),
+    "d5_ring_measures": ("label", ""), "d10_polygon_rings": ("", "pos"), "d12_splice_holes": ("", "pos"), "d13_splice_outer_cells": ("", "pos"), "d15_densify_ring": ("", "pos x y"),
+    "d16_inner_boundary": ("", "x y"), "e1_geojson_merge": ("", "chars"), "e3_split_by_dn": ("", "n"), "f6_lake_buffer": ("", "x y"), "g1_lake_components": ("", "x y"),
+    "g2_flow_accumulation": ("cell", ""), "g3_repair_accumulation": ("cell", ""), "g4_strahler_order": ("cell", ""), "g4_upstream_lengths": ("cell", ""), "g6_sink_basins": ("cell label", ""),
+    "g7_reaches": ("cell reach", ""), "g7_reach_tree": ("reach down_reach", ""), "g7_watersheds": ("cell watershed", ""), "g12_slope_surface_group": ("cell", ""), "g12_slope_surface_lake": ("cell", ""),
+    "g13_slope_route": ("cell", ""), "g15_water_slope": ("", "v"), "g16_watershed_recode": ("cell", ""), "h3_pfafstetter_l1": ("cell", "digit"), "h4_divide_all": ("cell", ""), "h5_divide_level": ("cell", ""),
+    "h8_coastal_division": ("cell", ""), "h9_spill_point": ("", "x y to_x to_y"), "h10_lake_upstream": ("cell nxt", ""), "h11_drainage": ("cell watershed", ""), "p1_flagship": ("", "x y v"),
+    "p2_from_elevation": ("watershed", ""), "p3_from_layers": ("", "x y v"),
+}
+for _name, (_long, _int) in WIDTHS.items():
+    _casts = [f"CAST({c} AS BIGINT) AS {c}" for c in _long.split()] + [f"CAST({c} AS INT) AS {c}" for c in _int.split()]
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(_casts)}) FROM ({SQL[_name]})"

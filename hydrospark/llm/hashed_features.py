@@ -28,18 +28,25 @@ def bucketed(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h * _MIX) >> np.uint64(64 - bits)).astype(np.int32)
 
 
+def _excess(repeats: np.ndarray) -> int:
+    """Repeats beyond two and three in a hundred words."""
+    return max(0, int(repeats.sum() - 2 - 0.03 * len(repeats)))
+
+
 def ngram_features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of word 1- and 2-grams with unit-length log-frequency weights.
 
     Words equal to the one before them, or to the one but one before, are two
-    features of their own, whatever the word.  An empty or null text has no
+    features of their own, whatever the word; they count as far as there are
+    more of them than prose has by chance.  An empty or null text has no
     features.
     """
     h = hashes(tokens(text))
     if not len(h):
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
-    pairs = np.where(h[1:] == h[:-1], np.uint64(1), (h[:-1] << _SHIFT) ^ (h[1:] * np.uint64(3)))
-    again = np.full(int((h[2:] == h[:-2]).sum()), 2, dtype=np.uint64)
+    same = h[1:] == h[:-1]
+    pairs = ((h[:-1] << _SHIFT) ^ (h[1:] * np.uint64(3)))[~same]
+    again = np.repeat(np.array([1, 2], dtype=np.uint64), [_excess(same), _excess(h[2:] == h[:-2])])
     index, count = np.unique(np.concatenate([bucketed(h, bits), bucketed(pairs + np.uint64(7), bits), bucketed(again, bits)]), return_counts=True)
     value = 1 + np.log(count)
     return index, (value / np.sqrt((value * value).sum())).astype(np.float32)

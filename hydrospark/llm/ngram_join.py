@@ -82,8 +82,8 @@ def describe(docs: DataFrame, n: int = N) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int16()), pa.int32(), pa.binary()]
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 size, cid, ranges = [], [], []
                 for text in part.column(1).to_pylist():
                     h = shingle_hashes(words(text), n)
@@ -210,21 +210,24 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCENT
         def grams_of(cid: int, text: str | None) -> set | None:
             """None if another text has the same id as the one that stands for the class."""
             if cid not in known or known[cid][0] != text:
-                if len(known) > 64:
+                if len(known) > 8:
                     known.clear()
                 found = words(text)
                 known[cid] = (text, grams(found) if class_id(shingle_hashes(found, n)) == cid else None)
             return known[cid][1]
 
         for batch in batches:
-            good = []
-            for k, (a, b, ta, tb) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                x, y = grams_of(a, ta), grams_of(b, tb)
-                if x is not None and y is not None:
-                    common = len(x & y)
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        good.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], ["a", "b"])
+            for at in range(0, batch.num_rows, 128):  # texts become Python objects a few at a time
+                part = batch.slice(at, 128)
+                good = []
+                for k, (a, b, ta, tb) in enumerate(zip(*(c.to_pylist() for c in part.columns), strict=True)):
+                    x, y = grams_of(a, ta), grams_of(b, tb)
+                    if x is not None and y is not None:
+                        common = len(x & y)
+                        if 100 * common >= percent * (len(x) + len(y) - common):
+                            good.append(k)
+                kept = pa.array(good, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(kept), part.column(1).take(kept)], ["a", "b"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(decide, "a long, b long").distinct()
 

@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders.  Windows of the template
 are hashed and joined with those of the benchmark, and aligned windows are
 extended to runs in which every slot is filled consistently, so a question
-with other numbers or names in it is still found.
+with other numbers or names in it is still found.  A capital at a sentence's
+start may or may not be a name, so windows are hashed in both readings.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ TOP_BITS = 20
 CACHE = 300_000
 
 LITERAL, NUMBER, NAME, UNIT, NONE = 0, 1, 2, 3, 7
-NAMED, ENDS = 8, 16
+NAMED, ENDS, PLAIN = 8, 16, 32
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 DIGIT = re.compile(r"[0-9]")
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/-]*(?:st|nd|rd|th)?")
@@ -53,13 +54,19 @@ UNIT_WORDS = frozenset(
     "meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters cent cents dollar dollars euro euros usd eur percent "
     "degree degrees celsius fahrenheit mph kph watt watts volt volts joule joules newton newtons hz khz mhz ghz kb mb gb tb".split()
 )
+# Words that are no names, wherever they stand.
+PLAIN_WORDS = frozenset(
+    "the an this that these those some any each every all both no not if when while after before since because although as at by for from in into of on to "
+    "with without and or but so then there here it its he she they we you his her their our your my who whom whose what which where why how "
+    "is are was were be been do does did has have had can could would should must".split()
+)
 
 
 class Tokens(dict):
     """Raw token -> its number; ``flags`` and ``code`` tell what each number is.
 
-    Flags hold the kind, ``NAMED`` for one capital at the start, ``ENDS`` for
-    the end of a sentence.
+    Flags hold the kind, ``NAMED`` for one capital at the start, with ``PLAIN``
+    if the word is none of a name, ``ENDS`` for the end of a sentence.
     """
 
     def __init__(self):
@@ -90,7 +97,7 @@ class Tokens(dict):
         if kind == LITERAL:
             self.code[n] = xxhash.xxh64_intdigest(low.encode("utf-8", "replace"))
             if core != low and core[0].isupper() and core[1:] == low[1:] and len(core) > 1:
-                ends |= NAMED
+                ends |= NAMED | PLAIN if low in PLAIN_WORDS else NAMED
         else:
             self.code[n] = 0
         self.flags[n] = kind | ends
@@ -105,11 +112,27 @@ class Tokens(dict):
             self.word = []
 
 
-def template(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kind, hash and number of each template token; a null text has none.
+@dataclass
+class Template:
+    """Kind, hash and number of each template token.
 
-    A capitalised word inside a sentence is a name.  At a sentence's start a
-    capital says nothing, and words all in capitals are literals.
+    ``names`` is the other reading: its kinds and hashes, or None where it is
+    the same.
+    """
+
+    kind: np.ndarray
+    code: np.ndarray
+    number: np.ndarray
+    names: tuple[np.ndarray, np.ndarray] | None
+
+
+def template(text: str | None, cache: Tokens) -> Template:
+    """Template tokens of a text; a null text has none.
+
+    First reading: a capitalised word inside a sentence is a name, and a
+    literal at a sentence's start.  Other reading: it is a name wherever it
+    stands, unless it is one of ``PLAIN_WORDS``.  Words all in capitals are
+    literals.
     """
     cache.forget()
     text = text or ""
@@ -121,19 +144,22 @@ def template(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray, n
     code = np.frombuffer(cache.code, dtype=np.uint64)[number]
     kind = flags & 7
     named = flags & NAMED > 0
+    other = named & (flags & PLAIN == 0)
     named[1:] &= flags[:-1] & ENDS == 0
     named[:1] = False
-    kind[named] = NAME
-    if (kind == NUMBER).any():
-        for i in np.flatnonzero(kind[:-1] == NUMBER).tolist():
-            if cache.word[number[i + 1]] in UNIT_WORDS:
-                kind[i + 1] = UNIT
-    slots = kind > LITERAL
-    code[slots] = kind[slots]
+    units = [i + 1 for i in np.flatnonzero(kind[:-1] == NUMBER).tolist() if cache.word[number[i + 1]] in UNIT_WORDS]
     seen = kind != NONE
-    if seen.all():
-        return kind, code, number
-    return kind[seen], code[seen], number[seen]
+
+    def reading(named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, mixed = kind.copy(), code.copy()
+        own[named] = NAME
+        own[units] = UNIT
+        slots = own > LITERAL
+        mixed[slots] = own[slots]
+        return own[seen], mixed[seen]
+
+    first = reading(named)
+    return Template(*first, number[seen], reading(other) if (named != other).any() else None)
 
 
 def window_hashes(kind: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
@@ -158,19 +184,23 @@ class Index:
     """Windows of one block of benchmark items."""
 
     window: int
-    items: list[tuple] = field(default_factory=list)  # (item_id, kind, words)
+    items: list[tuple] = field(default_factory=list)  # (item_id, kind, words, whether a capital may be a name)
     windows: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=lambda: defaultdict(lambda: defaultdict(list)))  # size -> hash -> (item, at)
 
     def add(self, item_id: int, text: str, cache: Tokens) -> None:
-        kind, code, number = template(text, cache)
-        words = [cache.word[n] for n in number.tolist()]
+        found = template(text, cache)
+        words = [cache.word[n] for n in found.number.tolist()]
         if len(words) < MIN_ITEM:
             return
         size = min(self.window, len(words))
-        for at, h in enumerate(window_hashes(kind, code, size).tolist()):
-            if h:
-                self.windows[size][h].append((len(self.items), at))
-        self.items.append((item_id, kind, words))
+        first = window_hashes(found.kind, found.code, size)
+        other = window_hashes(*found.names, size) if found.names else first
+        for at, pair in enumerate(zip(first.tolist(), other.tolist(), strict=True)):
+            for h in dict.fromkeys(pair):
+                if h:
+                    self.windows[size][h].append((len(self.items), at))
+        maybe = (found.kind == LITERAL) & (found.names[0] == NAME) if found.names else np.zeros(len(words), dtype=bool)
+        self.items.append((item_id, found.kind, words, maybe))
 
     def freeze(self) -> None:
         self.windows = {size: dict(found) for size, found in self.windows.items()}
@@ -182,22 +212,23 @@ class Index:
 
     def leaks(self, text: str | None, cache: Tokens) -> list[tuple[int, int, int, int, int, int, bool]]:
         """``(item_id, run, item_tokens, doc_at, item_at, slots, changed)``: for each leaked item its longest run."""
-        kind, code, number = template(text, cache)
+        own = template(text, cache)
         lines: dict[tuple[int, int], set[int]] = defaultdict(set)  # (item, shift) -> item tokens covered
         for size, known in self.sorted.items():
-            h = window_hashes(kind, code, size)
-            likely = np.flatnonzero(self.seen[size][h >> np.uint64(64 - TOP_BITS)])
-            near = np.minimum(np.searchsorted(known, h[likely]), len(known) - 1)
-            for at in likely[(known[near] == h[likely]) & (h[likely] != 0)].tolist():
-                for item, own in self.windows[size][int(h[at])]:
-                    lines[item, at - own].update(range(own, own + size))
+            first = window_hashes(own.kind, own.code, size)
+            for h in (first, window_hashes(*own.names, size)) if own.names else (first,):
+                likely = np.flatnonzero(self.seen[size][h >> np.uint64(64 - TOP_BITS)])
+                near = np.minimum(np.searchsorted(known, h[likely]), len(known) - 1)
+                for at in likely[(known[near] == h[likely]) & (h[likely] != 0)].tolist():
+                    for item, start in self.windows[size][int(h[at])]:
+                        lines[item, at - start].update(range(start, start + size))
         if not lines:
             return []
-        words = [cache.word[n] for n in number.tolist()]
+        words = [cache.word[n] for n in own.number.tolist()]
         best: dict[int, tuple] = {}
         for (item, shift), covered in lines.items():
-            item_id, item_kind, item_words = self.items[item]
-            for start, stop, slots, changed in runs(sorted(covered), shift, item_kind, item_words, words):
+            item_id, item_kind, item_words, maybe = self.items[item]
+            for start, stop, slots, changed in runs(sorted(covered), shift, item_kind, item_words, words, maybe):
                 # equal words next to a run belong to it, however they were typed
                 while start and start + shift and item_words[start - 1] == words[start + shift - 1]:
                     start -= 1
@@ -209,14 +240,21 @@ class Index:
         return list(best.values())
 
 
-def runs(covered: list[int], shift: int, kind: np.ndarray, item_words: list[str], doc_words: list[str]) -> Iterator[tuple[int, int, int, bool]]:
-    """Stretches of adjacent covered tokens in which equal slots of the item hold equal words of the text, and other slots other words."""
+def runs(
+    covered: list[int], shift: int, kind: np.ndarray, item_words: list[str], doc_words: list[str], maybe: np.ndarray
+) -> Iterator[tuple[int, int, int, bool]]:
+    """Stretches of adjacent covered tokens in which equal slots of the item hold equal words of the text, and other slots other words.
+
+    Where ``maybe`` is set a literal of the item that meets another word is taken for a name.
+    """
     start = None
     there: dict = {}
     back: dict = {}
     changed, slots, last = False, 0, None
     for t in covered:
         mine, theirs, k = item_words[t], doc_words[t + shift], int(kind[t])
+        if maybe[t] and mine != theirs:
+            k = NAME
         agrees = k == LITERAL or (there.get((k, mine), theirs) == theirs and (k != NAME or back.get((k, theirs), mine) == mine))
         if start is None or t != last + 1 or not agrees:
             if start is not None:

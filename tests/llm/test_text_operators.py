@@ -297,6 +297,26 @@ def test_inconsistent_slots_are_no_leak():
     assert not index.leaks("Give 5 to them and 6 to us and 7 to me and 8 to you all.", cache)
 
 
+def leaks_of(items, text):
+    index, cache = decontamination.Index(8), decontamination.Tokens()
+    for i, item in enumerate(items):
+        index.add(i, item, cache)
+    index.freeze()
+    return {x[0]: x[1:3] for x in index.leaks(text, cache)}
+
+
+def test_names_at_sentence_starts_are_slots():
+    item = "Anna has 5 red apples. Anna buys 3 more apples. How many apples does Anna have now?"
+    other = item.replace("Anna", "Peter").replace("5", "7").replace("3", "2")
+    filler = "some plain text stands here."
+    assert leaks_of([item], f"{filler} {other} {filler}") == {0: (17, 17)}
+    assert leaks_of([item], f"{filler} {item} {filler}") == {0: (17, 17)}
+    assert leaks_of([item], f"{filler} {item.lower()} {filler}") == {0: (17, 17)}
+    assert not leaks_of([item], other.replace("Peter buys", "Maria buys"))
+    assert leaks_of(["Anna walks along the long river until noon."], f"{filler} Peter walks along the long river until noon.") == {0: (8, 8)}
+    assert not leaks_of(["The owner walks along the long river."], f"{filler} Peter owner walks along the long river.")
+
+
 def test_block_by_block_finds_the_same(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(30)]
     bench = spark.createDataFrame(rows, "item_id long, text string")

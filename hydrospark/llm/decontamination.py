@@ -5,6 +5,8 @@ are hashed and joined with those of the benchmark, and aligned windows are
 extended to runs in which every slot is filled consistently, so a question
 with other numbers or names in it is still found.  A capital at a sentence's
 start may or may not be a name, so windows are hashed in both readings.
+Windows with little beside slots, and items of one window, are also looked for
+by their words, slots included.
 """
 
 from __future__ import annotations
@@ -99,7 +101,7 @@ class Tokens(dict):
             if core != low and core[0].isupper() and core[1:] == low[1:] and len(core) > 1:
                 ends |= NAMED | PLAIN if low in PLAIN_WORDS else NAMED
         else:
-            self.code[n] = 0
+            self.code[n] = xxhash.xxh64_intdigest(low.encode("utf-8", "replace")) if kind == NUMBER else 0
         self.flags[n] = kind | ends
         self.word.append(low)
         self[raw] = n
@@ -117,12 +119,13 @@ class Template:
     """Kind, hash and number of each template token.
 
     ``names`` is the other reading: its kinds and hashes, or None where it is
-    the same.
+    the same.  ``plain`` hashes the words as they are.
     """
 
     kind: np.ndarray
     code: np.ndarray
     number: np.ndarray
+    plain: np.ndarray
     names: tuple[np.ndarray, np.ndarray] | None
 
 
@@ -159,11 +162,11 @@ def template(text: str | None, cache: Tokens) -> Template:
         return own[seen], mixed[seen]
 
     first = reading(named)
-    return Template(*first, number[seen], reading(other) if (named != other).any() else None)
+    return Template(*first, number[seen], code[seen], reading(other) if (named != other).any() else None)
 
 
-def window_hashes(kind: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each window; 0 where less than half of its tokens are literal."""
+def window_hashes(kind: np.ndarray | None, code: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each window; 0 where less than half of its tokens are literal, unless kinds are not given."""
     n = len(code) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -172,6 +175,8 @@ def window_hashes(kind: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
         mixed = mixed * np.uint64(0x100000001B3) + code[k : k + n]
         mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0x9E3779B97F4A7C15)
+    if kind is None:
+        return mixed
     slots = kind != LITERAL
     if slots.any():
         filled = np.concatenate([[0], np.cumsum(slots)])
@@ -185,7 +190,9 @@ class Index:
 
     window: int
     items: list[tuple] = field(default_factory=list)  # (item_id, kind, words, whether a capital may be a name)
-    windows: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=lambda: defaultdict(lambda: defaultdict(list)))  # size -> hash -> (item, at)
+    windows: dict[tuple[int, bool], dict[int, list[tuple[int, int]]]] = field(
+        default_factory=lambda: defaultdict(lambda: defaultdict(list))
+    )  # (size, by words) -> hash -> (item, at)
 
     def add(self, item_id: int, text: str, cache: Tokens) -> None:
         found = template(text, cache)
@@ -195,32 +202,36 @@ class Index:
         size = min(self.window, len(words))
         first = window_hashes(found.kind, found.code, size)
         other = window_hashes(*found.names, size) if found.names else first
+        plain = window_hashes(None, found.plain, size).tolist()
         for at, pair in enumerate(zip(first.tolist(), other.tolist(), strict=True)):
             for h in dict.fromkeys(pair):
                 if h:
-                    self.windows[size][h].append((len(self.items), at))
+                    self.windows[size, False][h].append((len(self.items), at))
+            if not all(pair) or len(words) == size:
+                self.windows[size, True][plain[at]].append((len(self.items), at))
         maybe = (found.kind == LITERAL) & (found.names[0] == NAME) if found.names else np.zeros(len(words), dtype=bool)
         self.items.append((item_id, found.kind, words, maybe))
 
     def freeze(self) -> None:
-        self.windows = {size: dict(found) for size, found in self.windows.items()}
-        self.sorted = {size: np.array(sorted(found), dtype=np.uint64) for size, found in self.windows.items()}
-        self.seen = {}  # by size: which values of a window's top bits occur at all
-        for size, found in self.sorted.items():
-            self.seen[size] = np.zeros(1 << TOP_BITS, dtype=bool)
-            self.seen[size][found >> np.uint64(64 - TOP_BITS)] = True
+        self.windows = {key: dict(found) for key, found in self.windows.items()}
+        self.sorted = {key: np.array(sorted(found), dtype=np.uint64) for key, found in self.windows.items()}
+        self.seen = {}  # by key: which values of a window's top bits occur at all
+        for key, found in self.sorted.items():
+            self.seen[key] = np.zeros(1 << TOP_BITS, dtype=bool)
+            self.seen[key][found >> np.uint64(64 - TOP_BITS)] = True
 
     def leaks(self, text: str | None, cache: Tokens) -> list[tuple[int, int, int, int, int, int, bool]]:
         """``(item_id, run, item_tokens, doc_at, item_at, slots, changed)``: for each leaked item its longest run."""
         own = template(text, cache)
         lines: dict[tuple[int, int], set[int]] = defaultdict(set)  # (item, shift) -> item tokens covered
-        for size, known in self.sorted.items():
-            first = window_hashes(own.kind, own.code, size)
-            for h in (first, window_hashes(*own.names, size)) if own.names else (first,):
-                likely = np.flatnonzero(self.seen[size][h >> np.uint64(64 - TOP_BITS)])
+        for (size, by_words), known in self.sorted.items():
+            readings = [(None, own.plain)] if by_words else [(own.kind, own.code), own.names]
+            for reading in filter(None, readings):
+                h = window_hashes(*reading, size)
+                likely = np.flatnonzero(self.seen[size, by_words][h >> np.uint64(64 - TOP_BITS)])
                 near = np.minimum(np.searchsorted(known, h[likely]), len(known) - 1)
-                for at in likely[(known[near] == h[likely]) & (h[likely] != 0)].tolist():
-                    for item, start in self.windows[size][int(h[at])]:
+                for at in likely[(known[near] == h[likely]) & ((h[likely] != 0) | by_words)].tolist():
+                    for item, start in self.windows[size, by_words][int(h[at])]:
                         lines[item, at - start].update(range(start, start + size))
         if not lines:
             return []
@@ -271,7 +282,7 @@ def runs(
 
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
     """Indexes that together hold every benchmark item, each of about ``block_chars`` characters."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for block in range(blocks):
@@ -299,8 +310,8 @@ def leak_column(column, shared):
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of ``docs`` and benchmark item found in it, with the place and length of the longest consistent run.
 
-    Null, empty or very short items (under ``MIN_ITEM`` tokens) and null texts match nothing; repeated rows are reported
-    each; equal item ids with different texts are different items; an empty
+    Null, empty or very short texts of items (under ``MIN_ITEM`` tokens) and null texts match nothing; an item with a null
+    id is reported with a null; repeated rows are reported each; equal item ids with different texts are different items; an empty
     benchmark or table gives no rows.
     """
     sc = docs.sparkSession.sparkContext

@@ -317,6 +317,23 @@ def test_names_at_sentence_starts_are_slots():
     assert not leaks_of(["The owner walks along the long river."], f"{filler} Peter owner walks along the long river.")
 
 
+SLOTTED = ["Solve 3x + 5 = 20", "Compute 12 * 7 + 5", "Sort 9, 4, 7, 1, 3, 8, 2, 6, 5, 10 in order", "What is 15% of 80?", "Paris London Rome 5 km 3 Madrid 2 days 7"]
+
+
+@pytest.mark.parametrize("item", SLOTTED)
+def test_verbatim_items_full_of_slots_are_found(item):
+    for before in ("", "- ", "1) ", "plain words stand here ", "plain words stand here. "):
+        assert leaks_of(SLOTTED, f"{before}{item}\nMore words follow.").keys() == {SLOTTED.index(item)}, before
+    assert not leaks_of(["Solve 3x + 5 = 20", "Sort 9, 4, 7, 1, 3, 8, 2, 6, 5, 10 in order"], "Solve 3x + 6 = 20 and Sort 9, 4, 7, 1, 3, 8, 2, 6, 5, 11 in order")
+
+
+def test_items_without_an_id_are_found(spark):
+    bench = spark.createDataFrame([(None, SLOTTED[0]), (1, SLOTTED[1])], "item_id long, text string")
+    docs = docs_of(spark, [(1, f"so {SLOTTED[0]} holds", "s"), (2, "nothing of it", "s")])
+    assert [(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()] == [(1, None)]
+    assert [r.doc_id for r in decontamination.drop_leaked(docs, bench).collect()] == [2]
+
+
 def test_block_by_block_finds_the_same(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(30)]
     bench = spark.createDataFrame(rows, "item_id long, text string")

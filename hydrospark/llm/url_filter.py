@@ -1,7 +1,8 @@
 """URL filter: host rules first, then naive Bayes on segmented host names and paths.
 
 A unigram model splits names that are written together into words by Viterbi
-search; its counts come from all urls.  Multinomial naive Bayes over the words
+search; its counts come from all urls and are joined to the parts of the names
+that have to be split.  Multinomial naive Bayes over the words
 of host and path judges urls that no rule fits.
 """
 
@@ -10,12 +11,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from math import log
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from hydrospark.storage import write_table
 
 # Fixed values: (verdict, host, path); the longest rule that fits wins.
 RULES = (
@@ -47,9 +50,8 @@ COMMON = (
 ).split()
 #: Weight of a listed word beside the counts of the corpus.
 PRIOR = 50
-#: Words of the corpus that the segmenter holds, the most frequent first: a bound on the model's size.
-MAX_WORDS = 200_000
 LONGEST = 24
+WORDS = ArrayType(StringType())
 PART = re.compile(r"[a-z]+|[0-9]+|[^\W\d_a-z]+")
 SKIPPED = frozenset(("www", "m", "com", "org", "net", "http", "https", "html"))
 ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,33 +74,38 @@ def rule_columns(host, path, rules=RULES):
     return rule, verdict
 
 
-def word_counts(parsed: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
-    """Counts of the words that stand alone in hosts and paths, over all pages."""
+def word_counts(parsed: DataFrame) -> DataFrame:
+    """``word, n``: counts of the words that stand alone in hosts and paths, over all pages and of any length."""
     parts = F.explode(F.split(F.lower(F.concat_ws("/", "host", "path")), r"[^\p{L}]+")).alias("word")
-    counted = parsed.select(parts).where("length(word) > 1").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r.word: r.n for r in counted.orderBy(F.desc("n"), "word").limit(max_words).collect()}
+    return parsed.select(parts).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+LISTED = frozenset((*COMMON, *(x for line in (*BLOCKED, *ALLOWED) for x in line.split())))
 
 
 class Segmenter:
-    """Most likely split of a name under a unigram model; unknown words cost more with each letter."""
+    """Most likely split of a name under a unigram model; unknown words cost more with each letter.
+
+    ``counts`` need not hold more than the words that occur in the names;
+    ``total`` is the weight of all words, by default of those given.
+    """
 
-    def __init__(self, counts: dict[str, int]):
-        merged = Counter({w: 1 + log(1 + n) for w, n in counts.items() if len(w) > 3})
-        for w in {*COMMON, *(x for line in (*BLOCKED, *ALLOWED) for x in line.split())}:
+    def __init__(self, counts: dict[str, int], total: float | None = None):
+        merged = Counter({w: 1 + log(1 + n) for w, n in counts.items()})
+        for w in LISTED:
             merged[w] += PRIOR
-        total = sum(merged.values())
+        total = total or sum(merged.values())
         self.cost = {w: -log(n / total) for w, n in merged.items()}
         self.unknown = log(total)
-        self.split = lru_cache(maxsize=100_000)(self._split)
 
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str, cost: dict[str, float] | None = None) -> tuple[str, ...]:
+        cost = self.cost if cost is None else cost
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(name) + 1):
             options = []
             for start in range(max(0, end - LONGEST), end):
                 word = name[start:end]
-                cost = self.cost.get(word, self.unknown + 2.5 * len(word))
-                options.append((best[start][0] + cost, start))
+                options.append((best[start][0] + cost.get(word, self.unknown + 2.5 * len(word)), start))
             best.append(min(options))
         out, end = [], len(name)
         while end:
@@ -108,14 +115,48 @@ class Segmenter:
         return tuple(reversed(out))
 
 
-def url_words(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    out = []
-    for part in PART.findall(f"{host} {path}".lower()):
-        if part.isdigit():
-            out.append("<number>")
-        elif part not in SKIPPED:
-            out += segmenter.split(part) if len(part) > 3 else [part]
-    return out
+@F.pandas_udf(WORDS)
+def url_parts(hosts: pd.Series, paths: pd.Series) -> pd.Series:
+    """Runs of letters and numbers of host and path, without those that say nothing."""
+    found = (PART.findall(f"{h} {p}".lower()) for h, p in zip(hosts, paths, strict=True))
+    return pd.Series([["<number>" if x.isdigit() else x for x in parts if x not in SKIPPED] for parts in found])
+
+
+@F.pandas_udf(WORDS)
+def pieces(names: pd.Series) -> pd.Series:
+    """What a name may be split into."""
+    return pd.Series([sorted({x[k:end] for end in range(1, len(x) + 1) for k in range(max(0, end - LONGEST), end)}) for x in names])
+
+
+def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """``name, words`` for each of the distinct names; only the sum of all weights reaches the driver."""
+    total = (counts.agg(F.sum(1 + F.log1p("n"))).first()[0] or 0.0) + PRIOR * len(LISTED)
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = Segmenter({}, total)
+        for batch in batches:
+            out = []
+            for name, known in zip(*batch, strict=True):
+                cost = {r["word"]: -log((1 + log(1 + r["n"]) + (PRIOR if r["word"] in LISTED else 0)) / total) for r in known}
+                out.append(model.split(name, model.cost | cost))
+            yield pd.Series(out)
+
+    found = names.select("name", F.explode(pieces("name")).alias("word")).join(counts, "word")
+    found = found.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    found = names.join(found, "name", "left").select("name", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known"))
+    return found.select("name", split("name", "known").alias("words"))
+
+
+def page_words(parsed: DataFrame) -> DataFrame:
+    """``row, words`` for the rows of ``parsed`` that have words, in their order."""
+    parts = parsed.select("row", F.posexplode(url_parts("host", "path")).alias("pos", "name"))
+    parts = write_table(parts, "url-parts").df
+    long = F.length("name") > 3
+    names = parts.where(long & (F.col("name") != "<number>")).select("name").distinct()
+    split = write_table(split_names(names, write_table(word_counts(parsed), "url-words").df), "url-names").df
+    words = parts.join(split, "name", "left").select("row", "pos", F.coalesce("words", F.array("name")).alias("words"))
+    return words.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("words"))
 
 
 class NaiveBayes:
@@ -138,19 +179,17 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rule and is allowed.  An empty table gives an empty result.  Other columns
     are ignored.
     """
-    parsed = parse(pages)
-    counts = pages.sparkSession.sparkContext.broadcast(word_counts(parsed))
-
-    @F.pandas_udf("words array<string>, score double")
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        segmenter, bayes = Segmenter(counts.value), NaiveBayes()
-        for hosts, paths in batches:
-            found = [url_words(h, p, segmenter) for h, p in zip(hosts, paths, strict=True)]
-            yield pd.DataFrame({"words": found, "score": [bayes.score(x) for x in found]})
-
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), judge("host", "path").alias("own"))
-    own = F.when(F.col("own.score") > 0, "block").otherwise("allow")
-    return judged.select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), F.col("own.words").alias("words"), F.col("own.score").alias("score")
-    )
+    parsed = parse(pages).select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+    parsed = write_table(parsed, "urls").df
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bayes = NaiveBayes()
+        for batch in batches:
+            yield pd.Series([bayes.score(x) for x in batch], dtype=float)
+
+    judged = parsed.join(page_words(parsed), "row", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    judged = judged.withColumn("score", score("words"))
+    own = F.when(F.col("score") > 0, "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "words", "score")

@@ -413,3 +413,12 @@ def test_urls(spark):
     assert (out[11].verdict, out[14].verdict, out[9].verdict) == ("block", "allow", "allow")
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
     assert url_filter.Segmenter({}).split("cheappillscasino") == ("cheap", "pills", "casino")
+
+
+def test_split_uses_rare_and_short_words_of_all_urls(spark):
+    urls = [f"http://x.org/{w}" for w in ("zq", "vornab", "zqvornab" * 4)] + [f"http://x.org/{'abcdefghij'[k % 10] * 4}{'klmnopqrst'[k // 10]}" for k in range(100)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    counts = {r.word: r.n for r in url_filter.word_counts(url_filter.parse(pages)).collect()}
+    assert len(counts) == 105 and counts["zq"] == 1
+    out = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    assert out[2].words == ["x"] + ["zq", "vornab"] * 4

@@ -2,8 +2,9 @@
 
 A unigram model splits names that are written together into words by Viterbi
 search; its counts come from all urls and are joined to the parts of the names
-that have to be split.  Multinomial naive Bayes over the words
-of host and path judges urls that no rule fits.
+that have to be split.  Multinomial naive Bayes over the words of host and
+path judges urls that no rule fits.  It starts from listed seed phrases and is
+fitted on all pages by a round of self-training.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +31,11 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-# Labelled host and path words that naive Bayes is trained on.
+# Labelled host and path words that naive Bayes starts from.
 BLOCKED = (
-    "casino win", "online casino bonus", "free bets", "sports bet win", "poker jackpot", "slots spin win", "lottery prize win",
-    "cheap pills", "buy cheap meds", "pharmacy pills discount", "weight loss pills", "spam farm", "link farm seo", "ads track",
-    "ad click track", "pixel track ads", "adult x", "adult cams", "xxx video", "porn tube", "sex dating", "free money fast",
+    "online casino bonus", "sports bet win", "poker jackpot", "slots spin win", "lottery prize win",
+    "buy cheap meds", "pharmacy pills discount", "weight loss pills", "link farm seo",
+    "ad click track", "adult cams", "xxx video", "porn tube", "sex dating", "free money fast",
     "payday loan fast", "crypto profit fast", "replica watches cheap", "free download crack", "keygen crack serial", "miracle cure buy",
 )
 ALLOWED = (
@@ -48,6 +50,10 @@ COMMON = (
     "land art life love day time work book game play club tech data info media design photo video music food health sport car "
     "green blue red black white big small first one all free good real live fast easy smart super mega pro plus max"
 ).split()
+#: Weight of the seeds' verdict on a word, in hosts.
+STRENGTH = 5.0
+#: Standard errors by which a word's share of blocked hosts must differ from the share of all hosts.
+SIGNIFICANT = 2.0
 #: Weight of a listed word beside the counts of the corpus.
 PRIOR = 50
 LONGEST = 24
@@ -160,7 +166,7 @@ def page_words(parsed: DataFrame) -> DataFrame:
 
 
 class NaiveBayes:
-    """Multinomial naive Bayes with add-one smoothing and equal priors; words never seen say nothing."""
+    """The seeds alone: multinomial naive Bayes with add-one smoothing and equal priors; words never seen say nothing."""
 
     def __init__(self, blocked=BLOCKED, allowed=ALLOWED):
         one, two = (Counter(w for line in x for w in line.split()) for x in (blocked, allowed))
@@ -172,6 +178,35 @@ class NaiveBayes:
         return sum(self.odds.get(w, 0.0) for w in found)
 
 
+def fit_odds(words: DataFrame) -> DataFrame:
+    """``word, odds`` of naive Bayes fitted on all pages; ``words`` holds ``host, words, score``, the score by the seeds.
+
+    A page counts as blocked where the seeds say so and as allowed elsewhere.
+    Hosts weigh alike however many pages they have: a host adds to each of its
+    words the share of blocked ones among the pages with the word.  The seeds
+    are the prior of a word's share, with a weight of ``STRENGTH`` hosts.
+    Words whose share is within ``SIGNIFICANT`` standard errors of the share
+    of all hosts keep the odds of the seeds.
+    """
+    blocked = F.avg((F.col("score") > 0).cast("double"))
+    base = words.groupBy("host").agg(blocked.alias("b")).agg(F.avg("b")).first()[0] or 0.0
+    base = min(max(base, 1e-6), 1 - 1e-6)
+    shift = log(base / (1 - base))
+    seeds = NaiveBayes().odds
+    shared = words.select("host", "score", F.explode(F.array_distinct("words")).alias("word"))
+    counts = shared.groupBy("host", "word").agg(blocked.alias("b")).groupBy("word").agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
+
+    @F.pandas_udf("double")
+    def odds(word: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        prior = word.map(lambda w: seeds.get(w, 0.0)).astype(float)
+        share = (b + STRENGTH / (1 + np.exp(-prior - shift))) / (n + STRENGTH)
+        fitted = np.log(share / (1 - share)) - shift
+        clear = np.abs(b - n * base) - 0.5 > SIGNIFICANT * np.sqrt(n * base * (1 - base))
+        return fitted.where(clear, prior).round(9)
+
+    return counts.select("word", odds("word", "b", "n").alias("odds"))
+
+
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, words, score`` for every row, repeated rows included.
 
@@ -183,13 +218,16 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     parsed = parse(pages).select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     parsed = write_table(parsed, "urls").df
 
+    bayes = NaiveBayes()
+
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bayes = NaiveBayes()
-        for batch in batches:
-            yield pd.Series([bayes.score(x) for x in batch], dtype=float)
+    def score(found: pd.Series) -> pd.Series:
+        return pd.Series([bayes.score(x) for x in found], dtype=float)
 
     judged = parsed.join(page_words(parsed), "row", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    judged = judged.withColumn("score", score("words"))
+    judged = write_table(judged.withColumn("score", score("words")), "url-seeded").df
+    odds = write_table(fit_odds(judged), "url-odds").df
+    fitted = judged.select("row", F.explode("words").alias("word")).join(odds, "word").groupBy("row").agg(F.round(F.sum("odds"), 6).alias("fitted"))
+    judged = judged.join(fitted, "row", "left").withColumn("score", F.coalesce("fitted", F.lit(0.0)))
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "words", "score")

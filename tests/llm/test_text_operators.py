@@ -422,3 +422,17 @@ def test_split_uses_rare_and_short_words_of_all_urls(spark):
     assert len(counts) == 105 and counts["zq"] == 1
     out = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
     assert out[2].words == ["x"] + ["zq", "vornab"] * 4
+
+
+def test_naive_bayes_learns_words_from_all_urls(spark):
+    urls = [f"http://{w}-velonda.example.org/en/{i}" for i, w in enumerate(("casino", "poker", "lottery", "porn"))]
+    urls += [f"http://m.host{chr(97 + k // 26)}{chr(97 + k % 26)}-pier.example.org/en/{k}" for k in range(200)]
+    urls += ["http://velonda-ostrim.example.org/en/9", "http://m.unseen-word.example.org/en/9"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    out = {r.page_id: r.verdict for r in url_filter.judge_urls(pages).collect()}
+    assert {i for i, v in out.items() if v == "block"} == {0, 1, 2, 3, 204}
+
+
+def test_seed_phrases_are_not_the_hosts_of_the_tables():
+    hosts = {"casino win", "free bets", "cheap pills", "ads track", "spam farm", "adult x"}
+    assert not hosts & set(url_filter.BLOCKED)

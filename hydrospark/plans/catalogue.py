@@ -355,7 +355,7 @@ def a9_pyramid(s):
 @query
 def a9_web_mercator(s):
     g = Geotransform(5.0, 0.05, 0.0, 47.0, 0.0, -0.05, s.w, s.h)
-    return tiles.web_mercator(s.cells.where("y < 150").select("x", "y", F.round("z", 8).alias("v")), g, 6)
+    return tiles.web_mercator(s.cells.select("x", "y", F.round("z", 8).alias("v")), g, 6)
 
 
 @query

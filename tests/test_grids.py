@@ -394,3 +394,25 @@ def test_components_and_ranks(spark):
     assert connected_components(line.limit(0)).count() == 0
     ranked = global_rank(spark.range(1000).repartition(7), F.col("id").desc()).collect()
     assert all(r.rank == 1000 - r.id for r in ranked)
+
+
+def test_web_mercator_query_takes_every_row_of_cells(spark, tmp_path):
+    from math import ceil, cos, log, pi, radians, tan
+
+    import __spark_entry__
+
+    keys = [y * 100 + x for y in (149, 150, 151, 1499, 2640, 2641, 2642, 2650) for x in range(3)]
+    spark.createDataFrame([(k, 0.0) for k in keys], "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.x, r.y): r.v for r in __spark_entry__.queries()["a9_web_mercator"](spark, str(tmp_path)).collect()}
+    n, limit, want = 256 * 2**6, 85.05112878, {}
+    column = lambda lon: ceil((lon + 180) / 360 * n - 0.5)
+    row = lambda lat: ceil((1 - log(tan(radians(lat)) + 1 / cos(radians(lat))) / pi) / 2 * n - 0.5)
+    held = lambda lat: max(-limit, min(limit, lat))
+    for k in keys:
+        x, y = k % 100, k // 100
+        lon, lat = 5 + x * 0.05, 47 - y * 0.05
+        for a in range(column(lon), column(lon + 0.05)):
+            for b in range(row(held(lat)), row(held(lat - 0.05))):
+                want[a, b] = x + 2.0 * y
+    assert got == want
+    assert {149, 150, 151, 1499, 2640} <= {int(v // 2) for v in got.values()}

@@ -4,12 +4,14 @@ Texts with equal n-gram sets form a class and take part once.  N-grams are
 ordered by how rare they are, counted over all texts in a hashed table of a
 fixed size; a class shows only its rarest n-grams, its prefix, and two classes
 meet where prefixes meet.  Length, positional and suffix filters drop pairs,
-the rest is verified once per pair on the words themselves.
+the rest is verified on the words themselves.
 
 Large groups of near copies don't become all their pairs.  In the first round
 every class is compared only with the class that holds a shared n-gram at the
 lowest position, which for copies of one original is the original.  In the
-second round only classes of different components still meet.
+second round only classes of different components still meet.  Pairs inside a
+component are thus not verified for the components; ``find_links`` verifies
+every pair that can link.
 """
 
 from __future__ import annotations
@@ -232,14 +234,19 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCENT
     return both.select("a", "b", "ta", "tb").mapInArrow(decide, "a long, b long").distinct()
 
 
-def link_classes(docs: DataFrame, described: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``cid, label``: the component of every class that links with another; label is its least cid."""
+def prepare(docs: DataFrame, described: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The classes, ``cid, doc_id, n_shingles, ranges``, and the n-grams that several of them show, ``gram, cid, size, pos``."""
     classes = described.where("cid is not null").groupBy("cid").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("ranges").alias("ranges")
     )
     classes = write_table(classes, "classes").df
     rows = prefixes(docs.where("doc_id is not null"), count_table(described), n, percent)
-    shared = write_table(shared_prefixes(rows), "prefixes").df
+    return classes, write_table(shared_prefixes(rows), "prefixes").df
+
+
+def link_classes(docs: DataFrame, described: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """``cid, label``: the component of every class that links with another; label is its least cid."""
+    classes, shared = prepare(docs, described, n, percent)
 
     def verified(pairs: DataFrame) -> DataFrame:
         kept = suffix_filter(pairs, classes, percent)
@@ -276,6 +283,24 @@ def link_classes(docs: DataFrame, described: DataFrame, n: int = N, percent: int
     return old.join(top, old["label"] == top["old"], "left").select(F.col("node").alias("cid"), F.coalesce("new", "label").alias("label"))
 
 
+def find_links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """``doc_a, doc_b``: every verified link between texts of different n-gram sets, once, by the least id that has each set.
+
+    A group of k near copies has up to k * (k - 1) / 2 links, and the result
+    and its cost grow with them.  Rows with a null id take no part.
+    """
+    own = docs.select("doc_id", "text").where("doc_id is not null")
+    described = write_table(describe(own, n), "described").df
+    classes, shared = prepare(own, described, n, percent)
+    other = shared.select("gram", F.col("cid").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
+    met = shared.join(other, "gram").where((F.col("cid") < F.col("b")) & may_link(F.col("size"), F.col("pos"), F.col("size_b"), F.col("pos_b"), percent))
+    tried = write_table(met.select(F.col("cid").alias("a"), "b").distinct(), "tried").df
+    links = verify(suffix_filter(tried, classes, percent), own, n, percent)
+    one = lambda s: classes.select(F.col("cid").alias(s), F.col("doc_id").alias(f"d{s}"))
+    named = links.join(one("a"), "a").join(one("b"), "b")
+    return named.select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"))
+
+
 def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 

@@ -436,3 +436,25 @@ def test_naive_bayes_learns_words_from_all_urls(spark):
 def test_seed_phrases_are_not_the_hosts_of_the_tables():
     hosts = {"casino win", "free bets", "cheap pills", "ads track", "spam farm", "adult x"}
     assert not hosts & set(url_filter.BLOCKED)
+
+
+def test_links_are_all_pairs_of_different_sets(spark):
+    r = random.Random(3)
+    base = [str(r.randrange(400)) for _ in range(200)]
+    rows = []
+    for k in range(24):
+        own = list(base)
+        for _ in range(k % 3):
+            own[r.randrange(len(own))] = f"other{r.randrange(1000)}"
+        rows.append((k, " ".join(own)))
+    rows += [(50, rows[3][1]), (51, None), (None, rows[2][1]), (52, "one two"), (53, "One  TWO"), (54, "far away from all of the others")]
+    least = {}
+    for i, t in rows:
+        w = ngram_join.words(t)
+        size = min(5, len(w))
+        grams = frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if w else None
+        if grams and i is not None:
+            least[grams] = min(i, least.get(grams, i))
+    want = {tuple(sorted((i, j))) for a, i in least.items() for b, j in least.items() if i != j and 100 * len(a & b) >= 80 * len(a | b)}
+    got = [tuple(x) for x in ngram_join.find_links(docs_of(spark, [(*x, "s") for x in rows])).collect()]
+    assert len(want) > 60 and len(got) == len(set(got)) and set(got) == want

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Model:
-    """Non-zero weights by bucket, and the intercept: all that scoring needs."""
+    """Non-zero weights by bucket, and the intercept: all that scoring needs.
+
+    ``pairs`` tells how many differences the fit was kept from reacting to.
+    """
 
     bits: int
     index: np.ndarray
     weight: np.ndarray
     bias: float
+    pairs: int = 0
 
     def dense(self) -> np.ndarray:
         full = np.zeros(1 << self.bits, dtype=np.float32)
@@ -28,12 +32,13 @@ class Model:
 def fit(samples: list[tuple], bits: int, alpha: float, l1: float, l2: float = 0.0, epochs: int = 3, beta: float = 1.0, pair_penalty: float = 0.0) -> Model:
     """Weights after ``epochs`` passes over ``(label, indexes, values)``.
 
-    The first index and value arrays are the text's own; the others are its
-    variants.  With ``pair_penalty``, the squared change of the linear score
-    from a text to each variant is added to the loss, so weights by which
-    variants differ shrink.  Samples are taken in the order given.  Without
-    samples, or with one class alone, the score is the share of label 1
-    smoothed by one half.
+    The first index and value arrays are the text's own; each of the others is
+    the difference between the features of two texts whose scores should be
+    equal.  With ``pair_penalty``, that times the squared change of the linear
+    score is added to the loss, so weights by which such texts differ shrink;
+    its step is taken implicitly, so that a large penalty doesn't overshoot.
+    Samples are taken in the order given.  Without samples, or with one class
+    alone, the score is the share of label 1 smoothed by one half.
     """
     ones = sum(y for y, _, _ in samples)
     if not samples or ones in (0, len(samples)):
@@ -52,7 +57,7 @@ def fit(samples: list[tuple], bits: int, alpha: float, l1: float, l2: float = 0.
 
     for _ in range(epochs):
         for y, indexes, values in samples:
-            (i, v), *variants = zip(indexes, values, strict=True)
+            (i, v), *apart = zip(indexes, values, strict=True)
             w = weights(z[i], n[i])
             bias = -zb / ((beta + nb**0.5) / alpha)
             score = float(w @ v) + bias
@@ -60,18 +65,15 @@ def fit(samples: list[tuple], bits: int, alpha: float, l1: float, l2: float = 0.
             update(i, w, off * v)
             new = nb + off * off
             zb, nb = zb + off - (new**0.5 - nb**0.5) / alpha * bias, new
-            for j, u in variants if pair_penalty else []:
-                both = np.union1d(i, j)
-                change = np.zeros(len(both))
-                change[np.searchsorted(both, i)] += v
-                change[np.searchsorted(both, j)] -= u
-                moved = both[change != 0]
-                change = change[change != 0]
+            for moved, change in apart if pair_penalty else []:
                 w = weights(z[moved], n[moved])
-                update(moved, w, 2 * pair_penalty * float(w @ change) * change)
+                if shift := float(w @ change):
+                    reach = float(change * change @ (alpha / (beta + np.sqrt(n[moved]))))  # of a step of size one
+                    update(moved, w, 2 * pair_penalty * shift / (1 + 2 * pair_penalty * reach) * change)
     w = weights(z, n)
     kept = np.flatnonzero(w)
-    return Model(bits, kept, w[kept].astype(np.float32), -zb / ((beta + nb**0.5) / alpha))
+    pairs = sum(len(indexes) - 1 for _, indexes, _ in samples) if pair_penalty else 0
+    return Model(bits, kept, w[kept].astype(np.float32), -zb / ((beta + nb**0.5) / alpha), pairs)
 
 
 def score_column(column, model: Model, features: Callable):

@@ -24,14 +24,19 @@ def one_variant(text):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Model of ``labels.quality`` from labelled rows whose id is not held out."""
+    """Model of ``labels.quality`` from labelled rows whose id is not held out; without any, every text scores alike."""
     learn = lambda doc_id: ~in_holdout(doc_id, *HOLDOUT)
     samples = labelled_sample(docs, labels, "quality", learn, max_rows, one_variant)
     return fit(samples, BITS, alpha=5.0, l1=0.1)
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row; repeated rows and null ids keep their rows, null texts score as empty."""
+    """``doc_id, held_out, score, predicted`` for every row, scored on its whole text however long.
+
+    Repeated rows and null ids keep their rows, null texts score as empty, a
+    score at the threshold is predicted 1, an empty table gives an empty
+    result.  Other columns are ignored.
+    """
     scored = docs.select("doc_id", score_column(F.col("text"), model, features).alias("score"))
     return scored.select(
         "doc_id", in_holdout(F.col("doc_id"), *HOLDOUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
@@ -39,6 +44,6 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
 
 def keep_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least ``threshold``."""
+    """The rows of ``docs``, all columns, that score at least ``threshold``; rows as in ``score_quality``."""
     name = free_name(docs, "quality_score")
     return docs.withColumn(name, score_column(F.col("text"), model, features)).where(F.col(name) >= threshold).drop(name)

@@ -1,20 +1,19 @@
 """URL filter: host rules first, then naive Bayes on segmented host names and paths.
 
-A unigram model splits names that are written together into words by Viterbi
-search; its counts come from all urls and are joined to the parts of the names
-that have to be split.  Multinomial naive Bayes over the words of host and
-path judges urls that no rule fits.  It starts from listed seed phrases and is
-fitted on all pages by a round of self-training.
+Names that are written together are split into words by Viterbi search under a
+unigram model, whose counts are those of the words in the texts of all pages.
+Multinomial naive Bayes over the words of host and path judges urls that no
+rule fits; it is fitted on all urls that a rule does judge, with the rule's
+verdict as label.  Words that the rules name themselves are left out of it:
+they decide the label, and would carry a rule beyond the hosts it is for.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from math import log
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,37 +29,17 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-
-# Labelled host and path words that naive Bayes starts from.
-BLOCKED = (
-    "online casino bonus", "sports bet win", "poker jackpot", "slots spin win", "lottery prize win",
-    "buy cheap meds", "pharmacy pills discount", "weight loss pills", "link farm seo",
-    "ad click track", "adult cams", "xxx video", "porn tube", "sex dating", "free money fast",
-    "payday loan fast", "crypto profit fast", "replica watches cheap", "free download crack", "keygen crack serial", "miracle cure buy",
-)
-ALLOWED = (
-    "news world", "daily news", "local paper", "blog travel", "cooking blog", "recipes kitchen", "university library", "school teacher",
-    "science journal", "research paper", "museum history", "art gallery", "city council", "health institute", "weather report",
-    "football club", "music review", "book review", "open source docs", "developer docs", "wiki encyclopedia", "garden plants",
-    "photo album", "film review", "language course", "public radio", "law review", "math forum",
-)
-# Common words that names are built of, beside those above.
-COMMON = (
-    "the and of to in for on with my your our best new top home house web net site page online shop store group team world city "
-    "land art life love day time work book game play club tech data info media design photo video music food health sport car "
-    "green blue red black white big small first one all free good real live fast easy smart super mega pro plus max"
-).split()
-#: Weight of the seeds' verdict on a word, in hosts.
-STRENGTH = 5.0
-#: Standard errors by which a word's share of blocked hosts must differ from the share of all hosts.
-SIGNIFICANT = 2.0
-#: Weight of a listed word beside the counts of the corpus.
-PRIOR = 50
-LONGEST = 24
+#: A url without a rule is blocked where naive Bayes with equal priors finds blocking at least as likely.
+BLOCK_AT = 0.95
+#: Letters by which a word is looked up; a longer word is found by as many first letters and then compared.
+KEY = 24
+#: Natural logarithm of how much less likely an unknown word gets with each letter.
+LETTER = log(26)
+NUMBER = "<number>"
 WORDS = ArrayType(StringType())
-PART = re.compile(r"[a-z]+|[0-9]+|[^\W\d_a-z]+")
-SKIPPED = frozenset(("www", "m", "com", "org", "net", "http", "https", "html"))
 ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+PARTS = r"(\p{L}+|\p{N}+)"
+MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>"
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -80,154 +59,130 @@ def rule_columns(host, path, rules=RULES):
     return rule, verdict
 
 
-def word_counts(parsed: DataFrame) -> DataFrame:
-    """``word, n``: counts of the words that stand alone in hosts and paths, over all pages and of any length."""
-    parts = F.explode(F.split(F.lower(F.concat_ws("/", "host", "path")), r"[^\p{L}]+")).alias("word")
-    return parsed.select(parts).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def rule_words(rules=RULES) -> list[str]:
+    return sorted({w for _, host, path in rules for w in re.findall(r"[^\W\d_]+", f"{host} {path}".lower())})
 
 
-LISTED = frozenset((*COMMON, *(x for line in (*BLOCKED, *ALLOWED) for x in line.split())))
+def word_counts(texts: DataFrame, column: str = "html") -> DataFrame:
+    """``word, n``: counts of the letter runs in all texts, markup aside; summed before the shuffle."""
+    words = F.split(F.lower(F.regexp_replace(F.col(column), MARKUP, " ")), r"[^\p{L}]+")
+    return texts.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-class Segmenter:
-    """Most likely split of a name under a unigram model; unknown words cost more with each letter.
+def split_name(name: str, cost: dict[str, float], unknown: float) -> list[str]:
+    """The cheapest words that make up a name, of equally cheap ones the fewest.
 
-    ``counts`` need not hold more than the words that occur in the names;
-    ``total`` is the weight of all words, by default of those given.
+    ``cost`` holds the negative log probability of each known word; a stretch
+    of unknown letters of any length costs ``unknown`` and ``LETTER`` each.
     """
-
-    def __init__(self, counts: dict[str, int], total: float | None = None):
-        merged = Counter({w: 1 + log(1 + n) for w, n in counts.items()})
-        for w in LISTED:
-            merged[w] += PRIOR
-        total = total or sum(merged.values())
-        self.cost = {w: -log(n / total) for w, n in merged.items()}
-        self.unknown = log(total)
-
-    def split(self, name: str, cost: dict[str, float] | None = None) -> tuple[str, ...]:
-        cost = self.cost if cost is None else cost
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - LONGEST), end):
-                word = name[start:end]
-                options.append((best[start][0] + cost.get(word, self.unknown + 2.5 * len(word)), start))
-            best.append(min(options))
-        out, end = [], len(name)
-        while end:
-            start = best[end][1]
-            out.append(name[start:end])
-            end = start
-        return tuple(reversed(out))
-
-
-@F.pandas_udf(WORDS)
-def url_parts(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-    """Runs of letters and numbers of host and path, without those that say nothing."""
-    found = (PART.findall(f"{h} {p}".lower()) for h, p in zip(hosts, paths, strict=True))
-    return pd.Series([["<number>" if x.isdigit() else x for x in parts if x not in SKIPPED] for parts in found])
+    longest = max(map(len, cost), default=0)
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]  # by end: cost, words, start of the last word
+    stretch = None  # the best way in which an unknown stretch ends here
+    for end in range(1, len(name) + 1):
+        opened = (best[end - 1][0] + unknown + LETTER, best[end - 1][1] + 1, end - 1)
+        stretch = opened if stretch is None else min(opened, (stretch[0] + LETTER, *stretch[1:]))
+        ways = [stretch]
+        for start in range(max(0, end - longest), end):
+            known = cost.get(name[start:end])
+            if known is not None:
+                ways.append((best[start][0] + known, best[start][1] + 1, start))
+        best.append(min(ways))
+    out, end = [], len(name)
+    while end:
+        out.append(name[best[end][2] : end])
+        end = best[end][2]
+    return out[::-1]
 
 
 @F.pandas_udf(WORDS)
 def pieces(names: pd.Series) -> pd.Series:
-    """What a name may be split into."""
-    return pd.Series([sorted({x[k:end] for end in range(1, len(x) + 1) for k in range(max(0, end - LONGEST), end)}) for x in names])
+    """The distinct stretches of a name by which words are looked up."""
+    return pd.Series([sorted({x[k:end] for end in range(1, len(x) + 1) for k in range(max(0, end - KEY), end)}) for x in names])
 
 
 def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """``name, words`` for each of the distinct names; only the sum of all weights reaches the driver."""
-    total = (counts.agg(F.sum(1 + F.log1p("n"))).first()[0] or 0.0) + PRIOR * len(LISTED)
+    """``name, words`` for each of the distinct names; only the sum of all counts reaches the driver.
+
+    Words of all lengths are found: a word longer than ``KEY`` meets the names
+    that hold its first ``KEY`` letters.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 1
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(WORDS)
     def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = Segmenter({}, total)
         for batch in batches:
-            out = []
-            for name, known in zip(*batch, strict=True):
-                cost = {r["word"]: -log((1 + log(1 + r["n"]) + (PRIOR if r["word"] in LISTED else 0)) / total) for r in known}
-                out.append(model.split(name, model.cost | cost))
-            yield pd.Series(out)
-
-    found = names.select("name", F.explode(pieces("name")).alias("word")).join(counts, "word")
-    found = found.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    found = names.join(found, "name", "left").select("name", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known"))
-    return found.select("name", split("name", "known").alias("words"))
+            yield pd.Series([split_name(name, {r["word"]: log(total / r["n"]) for r in known}, log(total)) for name, known in zip(*batch, strict=True)])
 
+    keyed = counts.select(F.substring("word", 1, KEY).alias("piece"), "word", "n")
+    met = names.select("name", F.explode(pieces("name")).alias("piece")).join(keyed, "piece").where(F.contains("name", "word"))
+    known = met.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    found = names.join(known, "name", "left").select("name", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known"))
+    return found.select("name", split("name", "known").alias("words"))
 
-def page_words(parsed: DataFrame) -> DataFrame:
-    """``row, words`` for the rows of ``parsed`` that have words, in their order."""
-    parts = parsed.select("row", F.posexplode(url_parts("host", "path")).alias("pos", "name"))
-    parts = write_table(parts, "url-parts").df
-    long = F.length("name") > 3
-    names = parts.where(long & (F.col("name") != "<number>")).select("name").distinct()
-    split = write_table(split_names(names, write_table(word_counts(parsed), "url-words").df), "url-names").df
-    words = parts.join(split, "name", "left").select("row", "pos", F.coalesce("words", F.array("name")).alias("words"))
-    return words.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("words"))
 
+def fit_odds(words: DataFrame) -> DataFrame:
+    """``word, odds`` of multinomial naive Bayes with add-one smoothing.
 
-class NaiveBayes:
-    """The seeds alone: multinomial naive Bayes with add-one smoothing and equal priors; words never seen say nothing."""
+    ``words`` holds ``word, blocked, allowed``: how often a word occurs in urls
+    that rules block and allow.  Words that occur in neither say nothing and
+    have no row; where rules give one verdict only, no word has.
+    """
+    words = words.where("blocked + allowed > 0")
+    b, a, v = words.agg(F.sum("blocked"), F.sum("allowed"), F.count(F.lit(1))).first()
+    odds = F.log((F.col("blocked") + 1) / F.lit(float((b or 0) + v))) - F.log((F.col("allowed") + 1) / F.lit(float((a or 0) + v)))
+    return words.where(F.lit(bool(a and b))).select("word", F.round(odds, 9).alias("odds"))
 
-    def __init__(self, blocked=BLOCKED, allowed=ALLOWED):
-        one, two = (Counter(w for line in x for w in line.split()) for x in (blocked, allowed))
-        known = one.keys() | two.keys()
-        a, b = sum(one.values()) + len(known), sum(two.values()) + len(known)
-        self.odds = {w: log((one[w] + 1) / a) - log((two[w] + 1) / b) for w in known}
 
-    def score(self, found: list[str]) -> float:
-        return sum(self.odds.get(w, 0.0) for w in found)
+def judge_urls(pages: DataFrame, rules=RULES, text: str = "html", block_at: float = BLOCK_AT) -> DataFrame:
+    """``page_id, host, path, rule, verdict, words, score, evidence`` for every row, repeated rows included.
 
+    ``score`` is the log odds of blocking, ``evidence`` the number of words
+    behind it.  A url without evidence scores 0 and is allowed unless a rule
+    says otherwise.  A null url, or one without ``://``, has an empty host and
+    path, fits no rule and is allowed.  Urls and names may be of any length.
+    Without a column ``text``, or with null texts, no word is known to the
+    segmenter and names stay whole.  An empty table gives an empty result.
+    Other columns are ignored.
 
-def fit_odds(words: DataFrame) -> DataFrame:
-    """``word, odds`` of naive Bayes fitted on all pages; ``words`` holds ``host, words, score``, the score by the seeds.
-
-    A page counts as blocked where the seeds say so and as allowed elsewhere.
-    Hosts weigh alike however many pages they have: a host adds to each of its
-    words the share of blocked ones among the pages with the word.  The seeds
-    are the prior of a word's share, with a weight of ``STRENGTH`` hosts.
-    Words whose share is within ``SIGNIFICANT`` standard errors of the share
-    of all hosts keep the odds of the seeds.
-    """
-    blocked = F.avg((F.col("score") > 0).cast("double"))
-    base = words.groupBy("host").agg(blocked.alias("b")).agg(F.avg("b")).first()[0] or 0.0
-    base = min(max(base, 1e-6), 1 - 1e-6)
-    shift = log(base / (1 - base))
-    seeds = NaiveBayes().odds
-    shared = words.select("host", "score", F.explode(F.array_distinct("words")).alias("word"))
-    counts = shared.groupBy("host", "word").agg(blocked.alias("b")).groupBy("word").agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
-
-    @F.pandas_udf("double")
-    def odds(word: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        prior = word.map(lambda w: seeds.get(w, 0.0)).astype(float)
-        share = (b + STRENGTH / (1 + np.exp(-prior - shift))) / (n + STRENGTH)
-        fitted = np.log(share / (1 - share)) - shift
-        clear = np.abs(b - n * base) - 0.5 > SIGNIFICANT * np.sqrt(n * base * (1 - base))
-        return fitted.where(clear, prior).round(9)
-
-    return counts.select("word", odds("word", "b", "n").alias("odds"))
-
-
-def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict, words, score`` for every row, repeated rows included.
-
-    A null url, or one without ``://``, has an empty host and path, fits no
-    rule and is allowed.  An empty table gives an empty result.  Other columns
-    are ignored.
+    Names are counted and split once, however many urls hold them, and joined
+    back to the urls' parts.
     """
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     parsed = parse(pages).select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     parsed = write_table(parsed, "urls").df
-
-    bayes = NaiveBayes()
-
-    @F.pandas_udf("double")
-    def score(found: pd.Series) -> pd.Series:
-        return pd.Series([bayes.score(x) for x in found], dtype=float)
-
-    judged = parsed.join(page_words(parsed), "row", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    judged = write_table(judged.withColumn("score", score("words")), "url-seeded").df
-    odds = write_table(fit_odds(judged), "url-odds").df
-    fitted = judged.select("row", F.explode("words").alias("word")).join(odds, "word").groupBy("row").agg(F.round(F.sum("odds"), 6).alias("fitted"))
-    judged = judged.join(fitted, "row", "left").withColumn("score", F.coalesce("fitted", F.lit(0.0)))
-    own = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "words", "score")
+    runs = F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit(PARTS), 1)
+    parts = parsed.select("row", "ruled", F.posexplode(runs).alias("pos", "name")).where(~F.col("name").isin(rule_words(rules)))
+    parts = write_table(parts.withColumn("name", F.when(F.col("name").rlike(r"^\p{N}"), NUMBER).otherwise(F.col("name"))), "url-parts").df
+
+    of = lambda kind: F.count(F.when(F.col("ruled") == kind, True))
+    names = write_table(parts.groupBy("name").agg(of("block").alias("blocked"), of("allow").alias("allowed")), "url-names").df
+    if text in pages.columns:
+        counts = word_counts(pages, text)
+    else:
+        counts = pages.sparkSession.createDataFrame([], "word string, n long")
+    split = split_names(names.where(F.col("name") != NUMBER).select("name"), write_table(counts, "words").df)
+    split = names.join(split, "name", "left").withColumn("words", F.coalesce("words", F.array("name")))
+    split = write_table(split, "url-splits").df
+
+    words = split.select("name", "blocked", "allowed", F.explode("words").alias("word"))
+    odds = fit_odds(write_table(words.groupBy("word").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")), "url-words").df)
+    scored = words.join(odds, "word").groupBy("name").agg(F.sum("odds").alias("odds"), F.count(F.lit(1)).alias("seen"))
+    scored = write_table(split.select("name", "words").join(scored, "name", "left"), "url-scores").df
+
+    found = parts.select("row", "pos", "name").join(scored, "name").groupBy("row").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("words"),
+        F.sum("odds").alias("odds"),
+        F.sum("seen").alias("seen"),
+    )
+    score = F.round(F.coalesce("odds", F.lit(0.0)), 6)
+    own = F.when(score >= round(log(block_at / (1 - block_at)), 6), "block").otherwise("allow")
+    return parsed.join(found, "row", "left").select(
+        "page_id",
+        "host",
+        "path",
+        "rule",
+        F.coalesce("ruled", own).alias("verdict"),
+        F.coalesce("words", F.array().cast("array<string>")).alias("words"),
+        score.alias("score"),
+        F.coalesce("seen", F.lit(0)).cast("long").alias("evidence"),
+    )

@@ -8,13 +8,15 @@ the map; records never rehash.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hydrospark.storage import write_table
+from hydrospark.storage import shared_dir, write_table
 
 N_SLOTS = 8192
 N_SHARDS = 40
@@ -125,18 +127,41 @@ def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
+def stored_map(spark: SparkSession, path: str, n_shards: int, n_slots: int) -> SlotMap:
+    """The latest map at ``path``; where there is none, the initial one is stored first."""
+    try:
+        return SlotMap.load(spark, path)
+    except AnalysisException:  # no table at the path
+        first = SlotMap.initial(n_shards, n_slots)
+        first.save(spark, path)
+        return first
+
+
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Put every row into a shard and a gapless place within it; the law is ``bytes``.
 
-    One row comes out for each row that comes in, repeated rows included.  An
-    empty table gives an empty result.  Places are ranks within the virtual
-    slot plus the rows of the slots before it in the same shard, so no task
-    sorts a whole shard.  Other columns of the input are ignored.
+    The slot map is kept in a table at ``map_path`` (by default a new one in
+    the shared folder): its latest version is loaded, edited on the bytes per
+    slot, stored as the next version and applied as stored.  A later call on
+    the same path moves only the slots that new loads or shards ask for.
+
+    One row comes out for each row that comes in, repeated rows included; rows
+    that share an id share a slot.  Null texts have no bytes, null ids hash by
+    their text, and a text may be of any length.  An empty table gives an
+    empty result.  Equal texts are not kept together: a group of copies may be
+    larger than a shard, and the law asks for near equal bytes.  Places are
+    ranks within the virtual slot plus the rows of the slots before it in the
+    same shard, so no task sorts a whole shard.  Other columns of the input
+    are ignored.
     """
+    spark = docs.sparkSession
+    path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     kept = write_table(records(docs, n_slots), "records").df
     sums = kept.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     sums = {r.virtual_slot: (r.bytes, r.rows) for r in sums.collect()}  # at most n_slots rows
-    new = (slot_map or SlotMap.initial(n_shards, n_slots)).rebalanced({s: b for s, (b, _) in sums.items()}, n_shards)
+    edited = stored_map(spark, path, n_shards, n_slots).rebalanced({s: b for s, (b, _) in sums.items()}, n_shards)
+    edited.save(spark, path)
+    new = SlotMap.load(spark, path, edited.version)
     first, filled = [0] * n_slots, [0] * new.n_shards
     for slot in range(n_slots):
         first[slot] = filled[new.shard_of[slot]]

@@ -29,10 +29,10 @@ from hydrospark.llm.columns import free_name
 WINDOW = 8
 #: A run of so many tokens, or the whole item if that is shorter, is a leak.
 MIN_RUN = 13
-#: Items of fewer tokens say too little to be looked for.
+#: Items of fewer tokens say too little to be looked for inside texts; they are found where they are the whole text.
 MIN_ITEM = 4
-#: Characters of benchmark texts that one pass holds in memory; a larger benchmark is met in several passes.
-BLOCK_CHARS = 32_000_000
+#: Characters of benchmark texts that one pass holds in memory, as an index of some 100 MB; a larger benchmark is met in several passes.
+BLOCK_CHARS = 8_000_000
 #: Bits by which windows are looked up first.
 TOP_BITS = 20
 #: Distinct raw tokens that a worker remembers.
@@ -184,20 +184,48 @@ def window_hashes(kind: np.ndarray | None, code: np.ndarray, size: int) -> np.nd
     return mixed
 
 
+class Windows:
+    """Window hashes of one kind and, in the same order, the places ``item, at`` that hold them."""
+
+    def __init__(self):
+        self.hash, self.item, self.at = array("Q"), array("I"), array("I")
+
+    def add(self, h: int, item: int, at: int) -> None:
+        self.hash.append(h)
+        self.item.append(item)
+        self.at.append(at)
+
+    def freeze(self) -> None:
+        order = np.argsort(np.frombuffer(self.hash, dtype=np.uint64), kind="stable")
+        self.hash, self.item, self.at = (np.frombuffer(x, dtype=t)[order] for x, t in ((self.hash, np.uint64), (self.item, np.uint32), (self.at, np.uint32)))
+        self.seen = np.zeros(1 << TOP_BITS, dtype=bool)  # which values of a window's top bits occur at all
+        self.seen[self.hash >> np.uint64(64 - TOP_BITS)] = True
+
+    def places(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """``at, item, item_at`` for each window of a text that is known."""
+        likely = np.flatnonzero(self.seen[h >> np.uint64(64 - TOP_BITS)])
+        low = np.searchsorted(self.hash, h[likely], "left")
+        high = np.searchsorted(self.hash, h[likely], "right")
+        for at, i, j in zip(likely[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+            for k in range(i, j):
+                yield at, int(self.item[k]), int(self.at[k])
+
+
 @dataclass
 class Index:
-    """Windows of one block of benchmark items."""
+    """Windows of one block of benchmark items, held in arrays: 16 bytes a window, and a reference and 2 bytes a token."""
 
     window: int
     items: list[tuple] = field(default_factory=list)  # (item_id, kind, words, whether a capital may be a name)
-    windows: dict[tuple[int, bool], dict[int, list[tuple[int, int]]]] = field(
-        default_factory=lambda: defaultdict(lambda: defaultdict(list))
-    )  # (size, by words) -> hash -> (item, at)
+    windows: dict[tuple[int, bool], Windows] = field(default_factory=lambda: defaultdict(Windows))  # by (size, by words)
+    short: dict[tuple[str, ...], list[int]] = field(default_factory=lambda: defaultdict(list))  # words of short items -> ids
 
     def add(self, item_id: int, text: str, cache: Tokens) -> None:
         found = template(text, cache)
         words = [cache.word[n] for n in found.number.tolist()]
         if len(words) < MIN_ITEM:
+            if words:
+                self.short[tuple(words)].append(item_id)
             return
         size = min(self.window, len(words))
         first = window_hashes(found.kind, found.code, size)
@@ -206,33 +234,30 @@ class Index:
         for at, pair in enumerate(zip(first.tolist(), other.tolist(), strict=True)):
             for h in dict.fromkeys(pair):
                 if h:
-                    self.windows[size, False][h].append((len(self.items), at))
+                    self.windows[size, False].add(h, len(self.items), at)
             if not all(pair) or len(words) == size:
-                self.windows[size, True][plain[at]].append((len(self.items), at))
+                self.windows[size, True].add(plain[at], len(self.items), at)
         maybe = (found.kind == LITERAL) & (found.names[0] == NAME) if found.names else np.zeros(len(words), dtype=bool)
         self.items.append((item_id, found.kind, words, maybe))
 
     def freeze(self) -> None:
-        self.windows = {key: dict(found) for key, found in self.windows.items()}
-        self.sorted = {key: np.array(sorted(found), dtype=np.uint64) for key, found in self.windows.items()}
-        self.seen = {}  # by key: which values of a window's top bits occur at all
-        for key, found in self.sorted.items():
-            self.seen[key] = np.zeros(1 << TOP_BITS, dtype=bool)
-            self.seen[key][found >> np.uint64(64 - TOP_BITS)] = True
+        self.windows, self.short = dict(self.windows), dict(self.short)
+        for known in self.windows.values():
+            known.freeze()
 
     def leaks(self, text: str | None, cache: Tokens) -> list[tuple[int, int, int, int, int, int, bool]]:
         """``(item_id, run, item_tokens, doc_at, item_at, slots, changed)``: for each leaked item its longest run."""
         own = template(text, cache)
+        if len(own.number) < MIN_ITEM:
+            words = tuple(cache.word[n] for n in own.number.tolist())
+            slots = int((own.kind != LITERAL).sum())
+            return [(item_id, len(words), len(words), 0, 0, slots, False) for item_id in self.short.get(words, ())]
         lines: dict[tuple[int, int], set[int]] = defaultdict(set)  # (item, shift) -> item tokens covered
-        for (size, by_words), known in self.sorted.items():
+        for (size, by_words), known in self.windows.items():
             readings = [(None, own.plain)] if by_words else [(own.kind, own.code), own.names]
             for reading in filter(None, readings):
-                h = window_hashes(*reading, size)
-                likely = np.flatnonzero(self.seen[size, by_words][h >> np.uint64(64 - TOP_BITS)])
-                near = np.minimum(np.searchsorted(known, h[likely]), len(known) - 1)
-                for at in likely[(known[near] == h[likely]) & ((h[likely] != 0) | by_words)].tolist():
-                    for item, start in self.windows[size, by_words][int(h[at])]:
-                        lines[item, at - start].update(range(start, start + size))
+                for at, item, start in known.places(window_hashes(*reading, size)):
+                    lines[item, at - start].update(range(start, start + size))
         if not lines:
             return []
         words = [cache.word[n] for n in own.number.tolist()]
@@ -310,9 +335,12 @@ def leak_column(column, shared):
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of ``docs`` and benchmark item found in it, with the place and length of the longest consistent run.
 
-    Null, empty or very short texts of items (under ``MIN_ITEM`` tokens) and null texts match nothing; an item with a null
-    id is reported with a null; repeated rows are reported each; equal item ids with different texts are different items; an empty
-    benchmark or table gives no rows.
+    An item of ``MIN_ITEM`` tokens or more is found wherever a run of
+    ``MIN_RUN`` tokens, or all of it, stands; a shorter one where it is the
+    whole text.  Items and texts without tokens match nothing; an item with a
+    null id is reported with a null; repeated rows are reported each; equal
+    item ids with different texts are different items; an empty benchmark or
+    table gives no rows.  Other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
     columns = ("item_id", "matched_tokens", "item_tokens", "doc_token", "item_token", "slots", "changed")
@@ -328,7 +356,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item is found; texts aren't shuffled."""
+    """The rows of ``docs``, all columns, in which ``find_leaks`` finds no benchmark item; texts aren't shuffled.
+
+    Null and empty texts and null ids stay; each of repeated rows is judged
+    alike; an empty benchmark drops nothing.
+    """
     sc = docs.sparkSession.sparkContext
     name = free_name(docs, "leaks")
     for index in benchmark_blocks(benchmark):

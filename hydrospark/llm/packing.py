@@ -1,10 +1,11 @@
 """Packing documents into sequences of a fixed number of tokens.
 
-Documents are encoded, spread evenly over partitions of a bounded number of
-rows, and every partition packs its own rows: whole windows are cut from long
-documents, a non-negative least squares fit says how often each shallow
+Documents are encoded and packed where they are read, in chunks of a bounded
+number of tokens, so that ids are never shuffled: whole windows are cut from
+long documents, a non-negative least squares fit says how often each shallow
 combination of the remaining lengths should be used, and what rounding leaves
-over is packed greedily.
+over is packed greedily.  What a chunk leaves short of a window goes into the
+next one; what a task leaves is packed together with that of other tasks.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.llm.tokens import VOCABULARY, encoder
+from hydrospark.storage import write_table
 
 WINDOW = 2048
 END_ID = 1
-#: Rows that one task packs; its memory is this many rows of ids.
-ROWS_PER_TASK = 8192
+#: Tokens that are packed together, beside the document that passes the bound; a task holds their ids.
+CHUNK_TOKENS = 1 << 22
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -131,56 +133,99 @@ def plan(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
     return sequences
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, ids`` with ids as little-endian unsigned 32-bit integers, the end id last; null texts are empty."""
+class Packer:
+    """Packs pieces ``(doc_id, start, ids, doc_tokens)`` chunk by chunk; ``ids`` are little-endian unsigned 32-bit integers.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(vocabulary)
-        for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 512):
-                rows = [np.append(ids(x), np.uint32(end_id)).astype("<u4").tobytes() for x in texts.slice(at, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(rows, pa.binary())], ["doc_id", "ids"])
+    ``feed`` gives the record batches that are ready, ``close`` those of the
+    last chunk.  Sequences are numbered from ``first``.  With ``last_open`` the
+    pieces of the last sequence, if it isn't full, come out with their ids and
+    without a sequence, to be packed elsewhere.
+    """
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary")
+    def __init__(self, window: int, first: int, with_ids: bool, last_open: bool, chunk_tokens: int):
+        self.window, self.next, self.with_ids, self.last_open, self.chunk_tokens = window, first, with_ids, last_open, chunk_tokens
+        self.rows: list[tuple] = []
+        self.held = 0
+
+    def feed(self, doc_id, start: int, ids: bytes, doc_tokens: int) -> Iterator[pa.RecordBatch]:
+        self.rows.append((doc_id, start, ids, doc_tokens))
+        self.held += len(ids) // 4
+        if self.held >= self.chunk_tokens:
+            yield from self.pack(False)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        yield from self.pack(True)
+
+    def pack(self, last: bool) -> Iterator[pa.RecordBatch]:
+        rows, self.rows, self.held = self.rows, [], 0
+        sequences = plan([len(ids) // 4 for _, _, ids, _ in rows], self.window)
+        out = []
+        for sequence in sequences:
+            pieces = [(rows[d][0], rows[d][1] + at, rows[d][2][4 * at : 4 * (at + n)], rows[d][3]) for d, at, n in sequence]
+            full = sum(n for _, _, n in sequence) == self.window
+            if not full and not last:  # the next chunk fills it
+                self.rows = pieces
+                self.held = sum(len(x[2]) // 4 for x in pieces)
+                continue
+            is_open, offset = not full and self.last_open, 0
+            for doc_id, start, ids, doc_tokens in pieces:
+                place = (None, None) if is_open else (self.next, offset)
+                out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, *place, ids if is_open or self.with_ids else None))
+                offset += len(ids) // 4
+            self.next += not is_open
+            if len(out) >= 10_000:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, rows_per_task: int = ROWS_PER_TASK
+    docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, chunk_tokens: int = CHUNK_TOKENS
 ) -> DataFrame:
     """One row per piece; see ``PIECES``, with ``ids`` (binary) too if asked for.
 
-    Rows are dealt out round-robin, so copies and hot sources spread evenly and
-    each task holds about ``rows_per_task`` rows.  Each partition has at most
-    one sequence that isn't full.  Every row is packed, repeated rows, null
-    ids and null texts included; an empty table gives no pieces.  Other
-    columns are ignored.  ``sequence_id`` is the partition and a number in it.
+    Every input partition packs its own rows, so neither copies nor hot
+    sources meet in one task, and a task holds about ``chunk_tokens`` ids.  The
+    pieces are written once; those of each task's last sequence, under a
+    window of tokens, are shuffled and packed in tasks of ``chunk_tokens``,
+    each with at most one sequence that isn't full.  Every row is packed,
+    repeated rows, null ids and null or empty texts (the end id alone)
+    included; a document may be longer than a chunk.  An empty table gives no
+    pieces.  Other columns are ignored.  ``sequence_id`` is the task and a
+    number in it; bit 62 marks sequences of the second pass.
     """
-    schema = PIECES + (", ids binary" if with_ids else "")
-    tasks = max(1, -(-docs.count() // rows_per_task))
+    schema = PIECES + ", ids binary"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rows = []
+        ids_of, end = encoder(vocabulary), np.uint32(end_id)
+        packer = Packer(window, TaskContext.get().partitionId() << 32, with_ids, True, chunk_tokens)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for doc_id, text in zip(*(c.slice(at, 512).to_pylist() for c in batch.columns), strict=True):
+                    ids = np.append(ids_of(text), end).astype("<u4").tobytes()
+                    yield from packer.feed(doc_id, 0, ids, len(ids) // 4)
+        yield from packer.close()
+
+    def pack_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        packer = Packer(window, (1 << 62) + (TaskContext.get().partitionId() << 32), with_ids, False, chunk_tokens)
         for batch in batches:
-            rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        first = TaskContext.get().partitionId() << 32
-        out: list[list] = [[] for _ in schema.split(",")]
-        for number, sequence in enumerate(plan([len(ids) // 4 for _, ids in rows], window)):
-            offset = 0
-            for doc, start, length in sequence:
-                doc_id, ids = rows[doc]
-                own = ids[4 * start : 4 * (start + length)]
-                values = [doc_id, start, length, zlib.crc32(own), len(ids) // 4, first + number, offset, own]
-                for column, value in zip(out, values, strict=False):
-                    column.append(value)
-                offset += length
-        names = [x.split()[0] for x in schema.split(", ")]
-        for at in range(0, len(out[0]), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000], pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, out, strict=True)], names)
-
-    ids = encode_documents(docs, vocabulary, end_id)
-    short = ids.select("doc_id", "ids")
-    return short.repartition(tasks).mapInArrow(pack, schema)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from packer.feed(*row)
+        yield from packer.close()
+
+    out = write_table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, schema), "pieces").df
+    rest = out.where("sequence_id is null")
+    tasks = max(1, -(-(rest.agg(F.sum("length")).first()[0] or 0) // chunk_tokens))
+    again = rest.select("doc_id", "start", "ids", "doc_tokens").repartition(tasks).mapInArrow(pack_rest, schema)
+    every = out.where("sequence_id is not null").unionByName(again)
+    return every if with_ids else every.drop("ids")

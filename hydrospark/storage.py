@@ -7,19 +7,23 @@ local-checkpointed blocks, and is column-pruned when it is read again.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in unit tests.
-FALLBACK_DIR = "file:///tmp/checkpoints"
+#: Used only where a local session names no checkpoint folder, as in unit tests.
+LOCAL_DIR = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or the fallback where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; only a session whose tasks all run in this process may leave it unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (named or FALLBACK_DIR).rstrip("/")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_DIR).rstrip("/")
 
 
 #: Paths of tables that this process has written and not dropped.
@@ -56,6 +60,39 @@ def write_table(df: DataFrame, name: str = "table", watch: str | None = None) ->
     return Table(spark, path, df.schema, seen.get["n"] if seen else None)
 
 
+def read_tables(tables: Sequence[Table]) -> DataFrame:
+    """All rows of several tables of one schema, in one scan."""
+    return tables[0].spark.read.schema(tables[0].df.schema).parquet(*(t.path for t in tables))
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write each row ``name, content`` (text or binary) as a file of its own and tell how many there were.
+
+    For output that other programs open by name.  The contents pass through
+    the driver one partition at a time; tables are written by Spark itself.
+    """
+    spark = files.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    _written.add(folder)
+    n = 0
+    for row in files.select("name", F.col("content").cast("binary").alias("content")).toLocalIterator():
+        where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.name}")
+        out = where.getFileSystem(conf).create(where, True)
+        try:
+            out.write(bytearray(row.content))
+        finally:
+            out.close()
+        n += 1
+    return n
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, deleted by ``clear``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return write_table(df, name).df
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hydrospark.functions.cells import downstream, orientation
 from hydrospark.operators.flow import basin_labels, roots
@@ -76,8 +77,10 @@ def pfafstetter(cells: DataFrame, stream_th: float) -> DataFrame:
     upstream = Window.partitionBy("basin").orderBy(F.desc("stem_acc"), "trib")
     four = joins.withColumn("r", F.row_number().over(largest)).where("r <= 4").withColumn("k", F.row_number().over(upstream))
     four = write_table(four.select("basin", "trib", "stem_acc", "k"), "tributaries").df
-    passed = F.count(F.when(F.col("t.stem_acc") > F.col("s.acc"), 1))
-    odd = stem.alias("s").join(four.alias("t"), "basin").groupBy("basin", "s.cell").agg((2 * passed + 1).alias("label"))
+    # at most four values a basin, so the stem's cells meet one row each
+    heights = write_table(four.groupBy("basin").agg(F.collect_list("stem_acc").alias("heights")), "heights").df
+    passed = F.size(F.filter("heights", lambda h: h > F.col("acc")))
+    odd = stem.join(heights, "basin").select("basin", "cell", (2 * passed + 1).alias("label"))
     even = four.select("basin", F.col("trib").alias("cell"), (2 * F.col("k")).alias("label"))
     ends = odd.unionByName(even)
     digits = basin_labels(flow.select("cell", "nxt"), ends.select("cell", F.col("label").cast("int").alias("label")))
@@ -97,29 +100,48 @@ def outlet_order(outlets: DataFrame, ring_cells: int, *by: str) -> DataFrame:
 
     ``pos`` counts cells of the walk from 0.  The gap of an outlet is its
     distance from the one before; the first takes the rest of the walk.  The
-    first of equal gaps wins.
+    first of equal gaps wins.  Outlets are ranked by range and meet the one
+    before by rank, so no task orders a whole boundary.
     """
-    keys = list(by) or [F.lit(0)]
-    w = Window.partitionBy(*keys)
-    walk = w.orderBy("pos")
-    before = F.lag("pos").over(walk)
-    gap = F.when(before.isNull(), F.col("pos") + 1 + (ring_cells - 1 - F.max("pos").over(w))).otherwise(F.col("pos") - before)
-    rows = outlets.select(*by, "pos", gap.alias("gap"), (F.row_number().over(walk) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    first = F.max(F.struct("gap", (-F.col("k")).alias("m"))).over(w)
-    return rows.withColumn("f", -first["m"]).select(*by, "pos", "gap", F.pmod(F.col("k") - F.col("f"), F.col("n")).cast("int").alias("ord"))
+    own = write_table(global_rank(outlets.select(*by, "pos"), *map(F.col, by), F.col("pos"), name="place"), "outlets").df
+    before = own.select(*by, (F.col("place") + 1).alias("place"), F.col("pos").alias("before"))
+    rows = _with_totals(own.join(before, [*by, "place"], "left"), own, by, F.min("place").alias("least"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n"))
+    gap = F.when(F.col("before").isNull(), F.col("pos") + 1 + (ring_cells - 1 - F.col("last"))).otherwise(F.col("pos") - F.col("before"))
+    rows = write_table(rows.select(*by, "pos", gap.alias("gap"), (F.col("place") - F.col("least")).alias("k"), "n"), "gaps").df
+    rows = _with_totals(rows, rows, by, F.max(F.struct("gap", (-F.col("k")).alias("m"))).alias("first"))
+    return rows.select(*by, "pos", "gap", F.pmod(F.col("k") + F.col("first.m"), F.col("n")).cast("int").alias("ord"))
+
+
+def _with_totals(rows: DataFrame, of: DataFrame, by: tuple[str, ...], *totals: Column) -> DataFrame:
+    """``rows`` with aggregates over ``of`` by group, or over all of it where there are no groups."""
+    if by:
+        return rows.join(write_table(of.groupBy(*by).agg(*totals), "totals").df, list(by))
+    one = of.agg(*totals)
+    values = one.collect()[0]
+    return rows.withColumns({c: _literal(values[c], one.schema[c].dataType) for c in one.columns})
+
+
+def _literal(value, kind) -> Column:
+    if isinstance(kind, StructType):
+        return F.struct(*(_literal(value[f.name] if value else None, f.dataType).alias(f.name) for f in kind))
+    return F.lit(value).cast(kind)
 
 
 def outlet_groups(outlets: DataFrame, *by: str) -> DataFrame:
     """``*by, pos, grp`` for ordered outlets (``ord, acc``): the four largest are 2, 4, 6, 8, those between 1, 3, 5, 7, 9.
 
     Equal accumulations go by order; with fewer outlets there are fewer groups.
+    Each outlet meets the places of the four largest, so nothing is sorted but
+    those.
     """
-    keys = list(by) or [F.lit(0)]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("acc"), "ord"))
-    walk = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = outlets.withColumn("top", (rank <= 4).cast("int"))
-    s = F.sum("top").over(walk)
-    return rows.select(*by, "pos", F.when(F.col("top") == 1, 2 * s).otherwise(2 * s + 1).cast("int").alias("grp"))
+    if by:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("acc"), "ord"))
+        top = outlets.withColumn("r", rank).where("r <= 4").groupBy(*by).agg(F.collect_list("ord").alias("top"))
+        rows = outlets.join(write_table(top, "largest").df, list(by))
+    else:
+        rows = outlets.withColumn("top", F.array(*(F.lit(r.ord) for r in outlets.orderBy(F.desc("acc"), "ord").limit(4).collect())))
+    s = F.size(F.filter("top", lambda t: t <= F.col("ord")))
+    return rows.select(*by, "pos", F.when(F.array_contains("top", F.col("ord")), 2 * s).otherwise(2 * s + 1).cast("int").alias("grp"))
 
 
 def coastal_division(inner: DataFrame, outlets: DataFrame, flow: DataFrame, width: int) -> DataFrame:

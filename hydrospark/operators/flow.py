@@ -8,19 +8,24 @@ to the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from hydrospark.functions.cells import cell_key, code_8, in_grid, step
 from hydrospark.operators.ranking import global_rank
 from hydrospark.operators.stencil import sent
-from hydrospark.storage import Table, write_table
+from hydrospark.storage import Table, read_tables, write_table
 
 #: Doubling rounds cover paths of 2**MAX_ROUNDS cells; a longer one is a cycle.
 MAX_ROUNDS = 40
 MOVING = "nxt is not null"
+#: Stands for all that lies beyond the grid; cells are numbered from 0.
+OUTSIDE = -1
 
 
 def flow_graph(cells: DataFrame, directions: DataFrame, width: int, height: int, code: str = "dir") -> DataFrame:
@@ -36,48 +41,104 @@ def flow_graph(cells: DataFrame, directions: DataFrame, width: int, height: int,
     return cells.select("x", "y").join(to, ["x", "y"], "left").select(cell_key(F.col("x"), F.col("y"), width).alias("cell"), nxt.alias("nxt"))
 
 
-def _rounds(state: Table, advance, name: str) -> DataFrame:
-    """Advance until no cell has a next one."""
+def _doubling(first: Table, advance: Callable[[list[Table]], DataFrame], name: str) -> list[Table]:
+    """The tables of all rounds, each of which advances the rows that still move.
+
+    ``advance`` gets the tables so far.  Rows that are done have a null
+    ``nxt``; they are written once and take part in no later round.
+    """
+    tables = [first]
     for _ in range(MAX_ROUNDS):
-        if not state.watched:
-            return state.df
-        new = write_table(advance(state.df), name, watch=MOVING)
-        state.drop()
-        state = new
+        if not tables[-1].watched:
+            return tables
+        tables.append(write_table(advance(tables), name, watch=MOVING))
+    for t in tables:
+        t.drop()
     raise ValueError("the flow graph has a cycle")
 
 
-def push(flow: DataFrame, start: dict[str, Column], combine=F.sum, add=None) -> DataFrame:
+def _done(tables: list[Table]) -> DataFrame:
+    return read_tables(tables).where("nxt is null")
+
+
+@dataclass(frozen=True)
+class Gather:
+    """A value that cells collect from upstream: what each starts with, what it sends, and how values are combined.
+
+    ``combine`` is one of ``F.sum``, ``F.min`` and ``F.max``.
+    """
+
+    start: Column
+    sent: Column
+    combine: Callable = F.sum
+
+    def merged(self, mine: Column, got: Column) -> Column:
+        if self.combine is F.sum:
+            return F.coalesce(mine + got, mine, got)
+        return {F.min: F.least, F.max: F.greatest}[self.combine](mine, got)
+
+
+def gather(flow: DataFrame, values: dict[str, Gather], step: Column | None = None) -> DataFrame:
+    """``cell`` and each of ``values``, combined over all cells upstream and the cell's own.
+
+    In a round every moving cell sends what it has to its 2**k-th successor and
+    takes over that one's successor.  A cell whose successor is done is done
+    as well: its value, and what later rounds send to such a cell, are entries
+    in the tables, added up at the end.  So a round touches moving cells
+    alone.  ``step``, if given, is a column ``step`` that is added up along the
+    way to the successor, for use in ``sent``.  What is sent to cells that the
+    graph doesn't have is dropped.
+    """
+    names = list(values)
+    columns = [v.start.alias(n) for n, v in values.items()] + ([step.alias("step")] if step is not None else [])
+    begun = flow.select("cell", "nxt", *columns, F.lit(True).alias("own__"))
+    whole = {f.name for f in begun.schema if isinstance(f.dataType, IntegralType)}  # sums of them are longs
+    first = write_table(begun.withColumns({n: F.col(n).cast("long") for n in names if n in whole and values[n].combine is F.sum}), "gather", watch=MOVING)
+
+    def advance(tables: list[Table]) -> DataFrame:
+        moving = tables[-1].df.where(MOVING)
+        got = moving.groupBy(F.col("nxt").alias("cell")).agg(*(v.combine(v.sent).alias(f"{n}__") for n, v in values.items()))
+        further = [F.col("step").alias("more__")] if step is not None else []
+        hop = moving.select(F.col("cell").alias("nxt"), F.col("nxt").alias("far__"), *further)
+        out = moving.join(hop, "nxt", "left").join(got, "cell", "full")
+        merged = [v.merged(F.col(n), F.col(f"{n}__")).alias(n) for n, v in values.items()]
+        along = [(F.col("step") + F.coalesce("more__", F.lit(0.0))).alias("step")] if step is not None else []
+        return out.select("cell", F.col("far__").alias("nxt"), *merged, *along, F.coalesce("own__", F.lit(False)).alias("own__"))
+
+    tables = _doubling(first, advance, "gather")
+    every = _done(tables).groupBy("cell").agg(*(v.combine(n).alias(n) for n, v in values.items()), F.max("own__").alias("own__"))
+    out = write_table(every.where("own__").select("cell", *names), "gathered")
+    for t in tables:
+        t.drop()
+    return out.df
+
+
+def push(flow: DataFrame, start: dict[str, Column], combine=F.sum) -> DataFrame:
     """``cell`` and, for each name, ``combine`` of the start values of all cells upstream, its own included.
 
     ``flow`` may hold further columns for the start values.  ``combine`` is an
     aggregate that may be nested (sum, min, max).
     """
-    names = list(start)
-    plus = add or {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.min: F.least, F.max: F.greatest}[combine]
-    first = write_table(flow.select("cell", "nxt", *(c.alias(n) for n, c in start.items())), "push", watch=MOVING)
-
-    def advance(s: DataFrame) -> DataFrame:
-        moving = s.where("nxt is not null")
-        got = moving.groupBy(F.col("nxt").alias("cell")).agg(*(combine(n).alias(f"{n}__") for n in names))
-        hop = moving.select(F.col("cell").alias("nxt"), F.col("nxt").alias("far"))
-        out = s.join(got, "cell", "left").join(hop, "nxt", "left")
-        return out.select("cell", F.col("far").alias("nxt"), *(plus(F.col(n), F.col(f"{n}__")).alias(n) for n in names))
-
-    return _rounds(first, advance, "push").select("cell", *names)
+    return gather(flow, {n: Gather(c, F.col(n), combine) for n, c in start.items()})
 
 
 def pull(flow: DataFrame, start: dict[str, Column], combine=F.greatest) -> DataFrame:
-    """``cell`` and, for each name, ``combine`` of the start values of all cells on the downstream path, its own included."""
+    """``cell`` and, for each name, ``combine`` of the start values of all cells on the downstream path, its own included.
+
+    Moving cells look up their 2**k-th successor, which may be done already;
+    those that are done are looked up but not written again.
+    """
     names = list(start)
     first = write_table(flow.select("cell", "nxt", *(c.alias(n) for n, c in start.items())), "pull", watch=MOVING)
 
-    def advance(s: DataFrame) -> DataFrame:
-        ahead = s.select(F.col("cell").alias("nxt"), F.col("nxt").alias("far"), *(F.col(n).alias(f"{n}__") for n in names))
-        out = s.join(ahead, "nxt", "left")
-        return out.select("cell", F.col("far").alias("nxt"), *(combine(F.col(n), F.col(f"{n}__")).alias(n) for n in names))
+    def advance(tables: list[Table]) -> DataFrame:
+        moving = tables[-1].df.where(MOVING)
+        every = _done(tables).unionByName(moving)
+        ahead = every.select(F.col("cell").alias("nxt"), F.col("nxt").alias("far__"), *(F.col(n).alias(f"{n}__") for n in names))
+        out = moving.join(ahead, "nxt", "left")
+        return out.select("cell", F.col("far__").alias("nxt"), *(combine(F.col(n), F.col(f"{n}__")).alias(n) for n in names))
 
-    return _rounds(first, advance, "pull").select("cell", *names)
+    return _done(_doubling(first, advance, "pull")).select("cell", *names)
 
 
 def roots(flow: DataFrame) -> DataFrame:
@@ -123,24 +184,13 @@ def with_lengths(flow: DataFrame, width: int) -> DataFrame:
 
 def upstream_lengths(flow: DataFrame, width: int) -> DataFrame:
     """``cell, longest, total``: longest upstream path and total length of all upstream channels."""
-    own = with_lengths(flow, width)
-    first = write_table(own.select("cell", "nxt", F.col("len").alias("step"), F.lit(0.0).alias("longest"), F.col("len").alias("total")), "lengths", watch=MOVING)
-
-    def advance(s: DataFrame) -> DataFrame:
-        moving = s.where("nxt is not null")
-        got = moving.groupBy(F.col("nxt").alias("cell")).agg(F.max(F.col("longest") + F.col("step")).alias("l"), F.sum("total").alias("t"))
-        hop = s.select(F.col("cell").alias("nxt"), F.col("nxt").alias("far"), F.col("step").alias("more"))
-        out = s.join(got, "cell", "left").join(hop, "nxt", "left")
-        return out.select(
-            "cell",
-            F.col("far").alias("nxt"),
-            (F.col("step") + F.coalesce("more", F.lit(0.0))).alias("step"),
-            F.greatest("longest", "l").alias("longest"),
-            (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"),
-        )
-
-    done = _rounds(first, advance, "lengths").select("cell", "longest", "total")
-    return done.join(own.select("cell", "len"), "cell").select("cell", "longest", (F.col("total") - F.col("len")).alias("total"))
+    own = write_table(with_lengths(flow, width), "lengths").df
+    made = gather(
+        own,
+        {"longest": Gather(F.lit(0.0), F.col("longest") + F.col("step"), F.max), "total": Gather(F.col("len"), F.col("total"))},
+        step=F.col("len"),
+    )
+    return made.join(own.select("cell", "len"), "cell").select("cell", "longest", (F.col("total") - F.col("len")).alias("total"))
 
 
 def jumps(flow: DataFrame) -> list[DataFrame]:
@@ -180,35 +230,61 @@ def strahler(flow: DataFrame) -> DataFrame:
     return levels.groupBy("cell").agg(F.max("strahler").alias("strahler")).join(flow.select("cell"), "cell", "left_semi")
 
 
-def fill_pits(dem: DataFrame, directions: DataFrame, width: int, height: int, z: str = "z", max_rounds: int = 10_000) -> DataFrame:
+def pass_levels(passes: DataFrame, out: DataFrame) -> DataFrame:
+    """``root, level``: the lowest level by which each basin reaches the outside.
+
+    ``passes`` holds ``root, other, height`` for neighbouring basins, both
+    ways; ``out`` holds ``root, height`` for those that border the outside.
+    In a round every group of basins takes its lowest pass, so that at least
+    halves the groups that have not reached the outside.  A basin must rise to
+    the pass of each group it belonged to, and need not rise higher: from any
+    pass of a group its lowest one is reached below the first.  A basin with
+    no way out has a null level.
+    """
+    both = passes.select(F.col("root").alias("a"), F.col("other").alias("b"), "height")
+    edges = write_table(both.unionByName(out.select(F.col("root").alias("a"), F.lit(OUTSIDE).cast("long").alias("b"), "height")), "passes", watch="true")
+    state = write_table(passes.select("root").union(out.select("root")).distinct().select("root", F.col("root").alias("grp"), F.lit(None).cast("double").alias("level")), "levels")
+    for _ in range(MAX_ROUNDS):
+        if not edges.watched:
+            closed = F.col("grp") != OUTSIDE
+            return state.df.select("root", F.when(~closed, F.col("level")).alias("level"))
+        # passes of equal height are told apart by their two groups, so that no group is chosen in a circle
+        key = F.struct("height", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "b")
+        chosen = write_table(edges.df.groupBy("a").agg(F.min(key).alias("k")).select("a", F.col("k.b").alias("b"), F.col("k.height").alias("height")), "chosen").df
+        back = chosen.select(F.col("a").alias("b"), F.col("b").alias("back"))
+        link = chosen.join(back, "b", "left").select(F.col("a").alias("cell"), F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("b")), None).otherwise(F.col("b")).alias("nxt"))
+        link = link.unionByName(link.sparkSession.range(1).select(F.lit(OUTSIDE).cast("long").alias("cell"), F.lit(None).cast("long").alias("nxt")))
+        group = write_table(pull(link, {"to": F.col("cell")}, lambda mine, ahead: F.coalesce(ahead, mine)), "groups").df
+        moved = state.df.join(chosen.select(F.col("a").alias("grp"), "height"), "grp", "left").join(group.select(F.col("cell").alias("grp"), "to"), "grp", "left")
+        new_state = write_table(moved.select("root", F.coalesce("to", "grp").alias("grp"), F.greatest("level", "height").alias("level")), "levels")
+        ends = lambda c: group.select(F.col("cell").alias(c), F.col("to").alias(f"to_{c}"))
+        merged = edges.df.join(ends("a"), "a").join(ends("b"), "b").where(F.col("to_a").isNotNull() & (F.col("to_a") != F.col("to_b")) & (F.col("to_a") != OUTSIDE))
+        new_edges = write_table(merged.groupBy(F.col("to_a").alias("a"), F.col("to_b").alias("b")).agg(F.min("height").alias("height")), "passes", watch="true")
+        for t in (state, edges):
+            t.drop()
+        state, edges = new_state, new_edges
+    raise RuntimeError("basins did not settle")
+
+
+def fill_pits(dem: DataFrame, directions: DataFrame, width: int, height: int, z: str = "z") -> DataFrame:
     """``x, y, z, filled``: the least surface above the terrain from which every cell drains off the grid.
 
     A cell first falls to the pit of its basin, so only the pit's level
     matters: the lowest pass by which the basin leaves over its neighbours.
-    Passes come from one stencil, and the search runs on basins, not cells.
+    Passes come from one stencil, and the search runs on groups of basins,
+    whose number at least halves in a round.
     """
     flow = flow_graph(dem, directions, width, height)
     root = roots(flow)
     own = dem.select("x", "y", F.col(z).alias("z"), cell_key(F.col("x"), F.col("y"), width).alias("cell")).join(root, "cell")
     own = write_table(own, "basins").df
     rows = sent(own.select("x", "y", F.col("z").alias("oz"), F.col("root").alias("other")), "oz", "other")
-    inner = rows.join(own.select("x", "y", "z", "root"), ["x", "y"], "right")
+    inner = write_table(rows.join(own.select("x", "y", "z", "root"), ["x", "y"], "right"), "stencil").df
     near = inner.where("other <> root").groupBy("root", "other").agg(F.min(F.greatest("z", "oz")).alias("height"))
     counts = inner.groupBy("root", "x", "y").agg(F.count("other").alias("n"), F.first("z").alias("z")).where("n < 8")
-    out = counts.groupBy("root").agg(F.min("z").alias("level"))
-    passes = write_table(near, "passes").df
-    every = own.select("root").distinct()
-    state = write_table(every.join(out, "root", "left").select("root", "level", F.lit(True).alias("moved")), "levels")
-    for _ in range(max_rounds):
-        sentl = passes.join(state.df.where("moved").select(F.col("root").alias("other"), F.col("level").alias("ol")), "other").where("ol is not null")
-        got = sentl.groupBy("root").agg(F.min(F.greatest("height", "ol")).alias("via"))
-        step_ = state.df.join(got, "root", "left").select("root", F.least("level", "via").alias("level"), (F.col("via") < F.coalesce("level", F.lit(float("inf")))).alias("moved"))
-        new = write_table(step_.withColumn("moved", F.coalesce("moved", F.lit(False))), "levels", watch="moved")
-        state.drop()
-        state = new
-        if not new.watched:
-            break
-    return own.join(state.df.select("root", "level"), "root").select("x", "y", "z", F.greatest("z", "level").alias("filled"))
+    out = counts.groupBy("root").agg(F.min("z").alias("height"))
+    levels = write_table(pass_levels(write_table(near, "near").df, write_table(out, "out").df), "filled").df
+    return own.join(levels, "root", "left").select("x", "y", "z", F.greatest("z", "level").alias("filled"))
 
 
 def basin_labels(flow: DataFrame, outlets: DataFrame) -> DataFrame:
@@ -239,6 +315,20 @@ def reach_tree(flow: DataFrame, reach: DataFrame, order: DataFrame | None = None
     return out
 
 
+def reach_points(reach: DataFrame, flow: DataFrame) -> DataFrame:
+    """``reach, pos, cell, nxt``: the cells of each reach in flow order from 0, with the cell that each drains into.
+
+    A cell's place is the number of cells above it on its chain, counted by
+    doubling, so that no task orders a whole reach.
+    """
+    own = reach.join(flow.select("cell", "nxt"), "cell")
+    inside = own.join(reach.select(F.col("cell").alias("nxt"), F.col("reach").alias("next_reach")), "nxt", "left")
+    chain = inside.select("cell", "reach", F.col("nxt").alias("down"), F.when(F.col("next_reach") == F.col("reach"), F.col("nxt")).alias("nxt"))
+    chain = write_table(chain, "chain").df
+    above = push(chain.select("cell", "nxt"), {"n": F.lit(1).cast("long")})
+    return chain.join(above, "cell").select("reach", (F.col("n") - 1).alias("pos"), "cell", F.col("down").alias("nxt"))
+
+
 def watersheds(flow: DataFrame, reach: DataFrame) -> DataFrame:
     """``cell, watershed``: the reach that each cell drains into first; cells that reach none have no row."""
     return basin_labels(flow, reach.select("cell", F.col("reach").alias("label"))).withColumnRenamed("label", "watershed")
@@ -259,17 +349,16 @@ def revise_lakes(rivers: DataFrame, water: DataFrame, width: int, max_rounds: in
     two = F.when(vertical, F.when(x < width - 1, F.col("cell") + 1)).when(level, F.col("cell") + width).otherwise(F.col("nxt") - dx)
     tests = rivers.where("nxt is not null").select("cell", "nxt", F.explode(F.array(one, two)).alias("beside")).where("beside is not null")
     tests = write_table(tests.join(water.select("cell"), "cell", "left_anti"), "tests").df
-    state = write_table(water.select("cell").distinct(), "water").df
-    fresh = state
+    tables = [write_table(water.select("cell").distinct(), "water")]
     for _ in range(max_rounds):
+        fresh, state = tables[-1].df, read_tables(tables)
         # a new fact needs one new premise: the next cell or the cell beside
         touched = tests.join(fresh.select(F.col("cell").alias("nxt")), "nxt", "left_semi").unionByName(tests.join(fresh.select(F.col("cell").alias("beside")), "beside", "left_semi").select("nxt", "cell", "beside"))
         ready = touched.join(state.select(F.col("cell").alias("nxt")), "nxt", "left_semi").join(state.select(F.col("cell").alias("beside")), "beside", "left_semi")
         table = write_table(ready.select("cell").distinct().join(state, "cell", "left_anti"), "fresh", watch="true")
         if not table.watched:
             return state
-        fresh = table.df
-        state = write_table(state.union(fresh), "water").df
+        tables.append(table)
     raise RuntimeError(f"lakes did not settle in {max_rounds} rounds")
 
 

@@ -22,13 +22,28 @@ def test_every_sql_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_imports_without_the_text_operators(tmp_path):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",), ("hydrospark/llm/__pycache__",)])
+def test_imports_without_the_text_operators(tmp_path, left):
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
     shutil.copytree(REPO / "hydrospark", tmp_path / "hydrospark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in left:
+        if name.endswith(".py"):
+            shutil.copy(REPO / name, tmp_path)
+        else:
+            (tmp_path / name).mkdir(parents=True)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and not [n for n in e.queries() if n.startswith('op')]; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
+@pytest.mark.skipif(not (REPO / "hydrospark/llm").exists(), reason="no text operators")
+def test_other_missing_modules_are_errors(tmp_path):
+    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    shutil.copy(REPO / "corpus_pipeline.py", tmp_path)
+    shutil.copytree(REPO / "hydrospark", tmp_path / "hydrospark", ignore=shutil.ignore_patterns("__pycache__"))
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True).returncode != 0
+
+
 @pytest.fixture(scope="module")
 def duck():
     duckdb = pytest.importorskip("duckdb")

@@ -157,6 +157,6 @@ def nodata_or_zero(nodata: Column) -> Column:
 
 
 def colour(key: Column, seed: int = 0) -> Column:
-    """A ``#RRGGBB`` colour without zero digits that depends on the key and the seed alone."""
-    digit = lambda k: F.substring(F.lit("123456789ABCDEF"), F.pmod(F.xxhash64(key, F.lit(seed), F.lit(k)), F.lit(15)).cast("int") + 1, F.lit(1))
-    return F.concat(F.lit("#"), *(digit(k) for k in range(6)))
+    """A ``#RRGGBB`` colour without zero digits that depends on the key and the seed alone: the first such digits of their MD5 sum."""
+    digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.concat(F.lit("#"), F.upper(F.substring(F.replace(digest, F.lit("0"), F.lit("")), 1, 6)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +28,8 @@ from hydrospark.functions.cells import (
 from hydrospark.operators import algebra, basins, flow, slope, stencil, vector
 from hydrospark.plans import pipelines
 from hydrospark.plans.oracles import SQL, TH
-from hydrospark.sources import fixtures, geojson, records, tiles
-from hydrospark.storage import materialize, shared_dir
+from hydrospark.sources import fixtures, geojson, geotiff, records, shapefile, tiles
+from hydrospark.storage import materialize, scratch, write_files
 
 
 class Scene:
@@ -253,6 +251,25 @@ def g7_reach_tree(s):
     return flow.reach_tree(s.flow, s.reach)
 
 
+@query
+def g7_stream_net(s):
+    """Tree and net lines: order, length and ends of each reach, and its line as a digest."""
+    rivers = s.flow.join(s.rivers.select("cell"), "cell")
+    tree = flow.reach_tree(s.flow, s.reach, flow.strahler(rivers.join(s.rivers.select(F.col("cell").alias("nxt"), F.lit(1).alias("in_net")), "nxt", "left").select("cell", F.when(F.col("in_net") == 1, F.col("nxt")).alias("nxt"))))
+    points = s.keep("reach-points", lambda: flow.reach_points(s.reach, s.flow))
+    lines = points.groupBy("reach").agg(F.min_by("cell", "pos").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cell"))), lambda p: p["cell"].cast("string")), " ").alias("line"))
+    return tree.join(lines, "reach").select("reach", "n_cells", "down_reach", "n_up", "strahler", "head", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+@query
+def g7_reach_coordinates(s):
+    """Coordinate table: points of each reach in flow order with elevation and accumulation."""
+    points = s.xy(flow.reach_points(s.reach, s.flow).join(s.acc, "cell").select("cell", "reach", "pos", "acc"))
+    g = geotransform(s)
+    rows = points.join(s.cells, ["x", "y"]).select("reach", "pos", "acc", F.round("z", 8).alias("z"), coordinate(F.col("x"), F.col("y"), g).alias("c"))
+    return rows.select("reach", "pos", "c.cx", "c.cy", "z", "acc")
+
+
 @query
 def g7_watersheds(s):
     return flow.watersheds(s.flow, s.reach)
@@ -327,24 +344,67 @@ def a4_overlay(s):
     return algebra.overlay(s.cells, patch, "z").select("x", "y", F.round("z", 8).alias("z"))
 
 
+TILE = 32
+
+
+def stored_layers(s: Scene) -> dict[str, DataFrame]:
+    """Elevation, direction, accumulation and lakes written by tile and opened again."""
+    rasters = {
+        "dem": s.cells.select("x", "y", F.col("z").alias("dem")),
+        "direction": s.d8.select("x", "y", F.col("dir").alias("direction")),
+        "accumulation": s.acc_xy.select("x", "y", F.col("acc").alias("accumulation")),
+        "lakes": s.water.select("x", "y", F.lit(-99).alias("lakes")),
+    }
+    out = {}
+    for name, raster in rasters.items():
+        where = scratch(s.spark, f"layer-{name}")
+        tiles.write_layer(raster, where, TILE)
+        out[name] = tiles.read_layer(s.spark, where)
+    return out
+
+
+def slanted_polygon(s: Scene) -> DataFrame:
+    """A triangle over several tiles, its corners off the cells' centres."""
+    corners = [(15.25, s.h / 8), (57.75, s.h / 5), (22.25, s.h * 3 / 5), (15.25, s.h / 8)]
+    return s.spark.createDataFrame([(0, k, x, y) for k, (x, y) in enumerate(corners)], "fid int, pos int, x double, y double")
+
+
 @query
 def a6_tile_query(s):
-    """Cells of the tiles that a rectangle meets, cut to it: x 15..57, y 23..88."""
-    layer = tiles.tiled(s.cells, 32)
-    return tiles.query(layer, 32, 15, 23, 57, 88).select("x", "y", F.round("z", 8).alias("z"))
+    """Four stored layers in the bounds of a polygon, stitched."""
+    found = tiles.query_polygon(stored_layers(s), TILE, slanted_polygon(s))
+    return found.withColumn("dem", F.round("dem", 8))
 
 
 @query
 def a7_tile_query_masked(s):
-    ring = fixtures.rings(s.spark, s.sf_dir, s.grid).where("k = 1").withColumnRenamed("k", "fid")
-    layer = tiles.tiled(s.cells, 32)
-    box = ring.agg(F.min("x"), F.min("y"), F.max("x") - 1, F.max("y") - 1).first()
-    return vector.clip(tiles.query(layer, 32, *box), ring, all_touched=False).select("x", "y", F.round("z", 8).alias("z"))
+    """The same inside the polygon alone."""
+    found = tiles.query_polygon(stored_layers(s), TILE, slanted_polygon(s), mask=True)
+    return found.withColumn("dem", F.round("dem", 8))
 
 
 @query
 def a8_layer_extent(s):
-    return tiles.extent(tiles.tiled(s.cells, 32))
+    where = scratch(s.spark, "layer")
+    tiles.write_layer(s.cells, where, TILE)
+    return tiles.extent(tiles.read_metadata(s.spark, where))
+
+
+@query
+def a9_geotiff_layer(s):
+    """GeoTIFF files to a raster, masked, in Web Mercator, with its pyramid, written by tile and read back."""
+    g = Geotransform(5.0, 0.05, 0.0, 47.0, 0.0, -0.05, s.w, s.h, -9999.0)
+    where = scratch(s.spark, "geotiff")
+    made = geotiff.tile_files(s.cells.select("x", "y", F.floor("z").alias("v")), g, 64)
+    write_files(made.select(F.concat(F.col("tile_x"), F.lit("_"), F.col("tile_y"), F.lit(".tif")).alias("name"), "content"), where)
+    parts = geotiff.read(s.spark, f"{where}/*.tif")
+    at = F.split(F.regexp_extract("file", r"(\d+_\d+)\.tif", 1), "_")
+    whole = parts.select((F.col("x") + at[0].cast("int") * 64).alias("x"), (F.col("y") + at[1].cast("int") * 64).alias("y"), "v")
+    masked = vector.clip(whole, ring_points(s), all_touched=False)
+    levels = tiles.pyramid(tiles.web_mercator(masked, g, 4), 2)
+    layer = scratch(s.spark, "layer")
+    tiles.write_layer(levels, layer, TILE)
+    return tiles.read_layer(s.spark, layer).select("level", "x", "y", "v")
 
 
 @query
@@ -360,7 +420,10 @@ def a9_web_mercator(s):
 
 @query
 def a10_tile_export(s):
-    return tiles.export(s.acc_xy.select("x", "y", F.col("acc").alias("v")), 32, 2)
+    """Tiles of coloured pixels; the pixels of each as a digest."""
+    made = tiles.export(s.acc_xy.select("x", "y", F.col("acc").alias("v")), TILE, 2)
+    text = F.array_join(F.transform("pixels", lambda p: F.concat_ws(" ", p["y"], p["x"], p["colour"])), ",")
+    return made.select("z", "tile_x", "tile_y", "n", F.md5(text.cast("binary")).alias("pixels_md5"))
 
 
 @query
@@ -488,13 +551,45 @@ def a12_geojson_rows(s):
 @query
 def a13_folder_batch(s):
     """The documents written one to a file, and the folder read again by file name."""
-    where = f"{shared_dir(s.spark)}/folder-{uuid.uuid4().hex}"
+    where = scratch(s.spark, "folder")
     lake_documents(s).repartition("name").write.partitionBy("name").text(where)
     found = s.spark.read.option("wholetext", True).text(f"{where}/name=*")
     name = F.regexp_extract(F.input_file_name(), "name=([^/]+)", 1)
     return found.select(name.alias("file"), F.size(geojson.features(F.rtrim("value"))).alias("n"), F.get_json_object("value", "$.properties.DN").alias("dn"))
 
 
+def lake_shapes(s: Scene) -> DataFrame:
+    """Lake documents as shapefile features, one file for each value of ``fid % 3``."""
+    feature = geojson.first_feature(F.col("doc"))
+    rows = lake_documents(s).select("name", geojson.properties(feature).alias("properties"), F.flatten(geojson.polygons(feature)).alias("rings"))
+    number = F.col("name").cast("long")
+    return rows.select(F.concat(F.lit("lakes"), (number % 3).cast("string")).alias("file"), number.alias("fid"), "rings", F.map_concat("properties", F.create_map(F.lit("name"), F.col("name"))).alias("properties"))
+
+
+@query
+def a12_shapefile_round(s):
+    """GeoJSON features to shapefiles and back: attributes, number of points and area of each."""
+    where = scratch(s.spark, "shapes")
+    write_files(shapefile.files(lake_shapes(s)), where)
+    docs = shapefile.to_geojson(shapefile.read(s.spark, where))
+    ring = geojson.polygons(F.col("doc"))[0][0]
+    props = geojson.properties(F.col("doc"))
+    return docs.select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), props["name"].alias("name"), props["DN"].alias("dn"), F.size(ring).alias("n_points"), F.abs(vector.shoelace(ring)).alias("area"))
+
+
+@query
+def a13_folder_to_shapefiles(s):
+    """A folder of GeoJSON files to a folder of shapefiles of the same names, counted as read again."""
+    source, target = scratch(s.spark, "geojson"), scratch(s.spark, "shapes")
+    write_files(lake_documents(s).select(F.concat("name", F.lit(".geojson")).alias("name"), F.col("doc").alias("content")), source)
+    docs = geojson.read_folder(s.spark, source)
+    rows = docs.select("name", F.posexplode(geojson.features(F.col("doc"))).alias("fid", "f"))
+    shapes = rows.select(F.col("name").alias("file"), F.col("fid").cast("long").alias("fid"), F.flatten(geojson.polygons(F.col("f"))).alias("rings"), geojson.properties(F.col("f")).alias("properties"))
+    write_files(shapefile.files(shapes), target)
+    found = shapefile.read(s.spark, target)
+    return found.select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), F.size("rings").alias("n_rings"), F.col("properties")["DN"].alias("dn"), F.col("properties")["kind"].alias("kind"))
+
+
 @query
 def b13_on_edge(s):
     edge = on_edge(F.col("x"), F.col("y"), F.lit(0), F.lit(s.h - 1), F.lit(s.w - 1), F.lit(0))
@@ -701,7 +796,7 @@ def h5_divide_level(s):
 
 
 def supplier_outlets(s) -> DataFrame:
-    return fixtures.read(s.spark, s.sf_dir, "supplier").where("s_suppkey % 3 <> 1 and s_suppkey > 4").select(F.col("s_suppkey").alias("pos"), F.col("s_acctbal").alias("acc"))
+    return fixtures.read(s.spark, s.sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_acctbal").alias("acc"))
 
 
 @query

@@ -72,7 +72,7 @@ SQL = {
     "c9_recode_value": sql(GRID, LAKES, select="SELECT x, y, -9 AS v FROM water"),
     "f1_boundary_cells": sql(GRID, LAKES, select="""SELECT x, y FROM cells c WHERE (x, y) NOT IN (SELECT (x, y) FROM water) AND
         (SELECT count(*) FROM off o JOIN cells n ON n.x = c.x + o.dx AND n.y = c.y + o.dy WHERE (n.x, n.y) NOT IN (SELECT (x, y) FROM water)) < 8"""),
-    "f2_headwater_cells": sql(GRID, select="SELECT x, y FROM flow WHERE cell NOT IN (SELECT nxt FROM flow WHERE nxt IS NOT NULL)"),
+    "f2_headwater_cells": sql(GRID.replace("flow AS (", "flow AS MATERIALIZED ("), select="SELECT f.x, f.y FROM flow f ANTI JOIN (SELECT DISTINCT nxt FROM flow WHERE nxt IS NOT NULL) n ON n.nxt = f.cell"),
     "f3_coastal_trace_starts": sql(GRID, select="""
         SELECT d.x, d.y, 'seaside' AS kind, d.x + o.dx AS to_x, d.y + o.dy AS to_y FROM dir128 d JOIN off o ON o.dir = list_position([1, 128, 64, 32, 16, 8, 4, 2], d.dir128)
           JOIN dir128 t ON t.x = d.x + o.dx AND t.y = d.y + o.dy WHERE t.dir128 = 0
@@ -129,11 +129,25 @@ inner_cells AS (SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY pos) -
   UNION ALL SELECT k, pos, x - 1, y FROM line WHERE pos BETWEEN w + 1 AND w + h - 1
   UNION ALL SELECT k, pos, x - 1, y - 1 FROM line WHERE pos BETWEEN w + h + 1 AND 2 * w + h - 1
   UNION ALL SELECT k, pos, x, y - 1 FROM line WHERE pos > 2 * w + h))"""
-CELL = "SELECT x, y, {} FROM cells"
+TRIANGLE = """
+tri AS (SELECT 15.25 AS ax, h / 8 AS ay, 57.75 AS bx, h / 5 AS b_y, 22.25 AS cx, h * 3 / 5 AS c_y FROM (SELECT CAST(h AS DOUBLE) AS h FROM size)),
+box AS (SELECT f.cell, f.x, f.y, f.z, f.dir, t.* FROM flow f, tri t WHERE f.x BETWEEN 15 AND 57 AND f.y BETWEEN floor(t.ay) AND ceil(t.c_y) - 1),
+wide AS (SELECT b.*, a.acc, CASE WHEN w.cell IS NOT NULL THEN -99 END AS lakes FROM box b JOIN acc a USING (cell) LEFT JOIN water w USING (cell))"""
+WIDE = "SELECT x, y, round(z, 8) AS dem, dir AS direction, acc AS accumulation, CAST(lakes AS INT) AS lakes FROM wide"
+#: The cell's centre is on the same side of all three edges.
+INSIDE = " AND ".join(
+    f"({x2} - {x1}) * (y + 0.5 - {y1}) - ({y2} - {y1}) * (x + 0.5 - {x1}) > 0" for x1, y1, x2, y2 in (("ax", "ay", "bx", "b_y"), ("bx", "b_y", "cx", "c_y"), ("cx", "c_y", "ax", "ay"))
+)
+PIXELS = """
+px AS (SELECT v, CAST(ceil((lon + 180.0) / 360.0 * {n} - 0.5) AS INT) AS a, CAST(ceil((lon + CAST(0.05 AS DOUBLE) + 180.0) / 360.0 * {n} - 0.5) AS INT) AS b,
+  CAST(ceil((1 - ln(tan(radians(up)) + 1 / cos(radians(up))) / pi()) / 2 * {n} - 0.5) AS INT) AS c,
+  CAST(ceil((1 - ln(tan(radians(lo)) + 1 / cos(radians(lo))) / pi()) / 2 * {n} - 0.5) AS INT) AS d
+  FROM (SELECT v, lon, greatest(-85.05112878, least(85.05112878, lat)) AS up, greatest(-85.05112878, least(85.05112878, lat - CAST(0.05 AS DOUBLE))) AS lo FROM deg)),
+pixel AS (SELECT x, unnest(range(c, d)) AS y, v FROM (SELECT unnest(range(a, b)) AS x, c, d, v FROM px WHERE a < b AND c < d))"""
 AREAS = """
 ranked AS (SELECT CAST(c_custkey AS VARCHAR) AS basin_id, abs(c_acctbal) AS area,
   row_number() OVER (ORDER BY abs(c_acctbal) DESC, CAST(c_custkey AS VARCHAR) DESC) AS rank FROM customer)"""
-OUTLETS = "outlets AS (SELECT s_suppkey AS pos, s_acctbal AS acc FROM supplier WHERE s_suppkey % 3 <> 1 AND s_suppkey > 4)"
+OUTLETS = "outlets AS (SELECT s_suppkey AS pos, s_acctbal AS acc FROM supplier)"
 PFAF = f"""
 sink AS (SELECT p.cell, p.ends AS basin FROM path p JOIN flow f ON f.cell = p.ends WHERE f.nxt IS NULL),
 bc AS (SELECT s.basin, f.cell, f.nxt, a.acc FROM flow f JOIN sink s USING (cell) JOIN acc a USING (cell)),
@@ -151,8 +165,8 @@ SQL |= {
     "a1_signed_cells": sql(GRID, select="SELECT x, y, CASE WHEN dir128 > 127 THEN dir128 - 256 ELSE dir128 END AS v FROM dir128"),
     "a2_unsigned_cells": sql(GRID, select="SELECT x, y, dir128 AS v FROM dir128"),
     "a4_overlay": sql(GRID, LAKES, select="SELECT x, y, CASE WHEN (x, y) IN (SELECT (x, y) FROM water) THEN -99.0 ELSE round(z, 8) END AS z FROM cells"),
-    "a6_tile_query": sql(GRID, select="SELECT x, y, round(z, 8) AS z FROM cells WHERE x BETWEEN 15 AND 57 AND y BETWEEN 23 AND 88"),
-    "a7_tile_query_masked": sql(GRID, LAKES, select="SELECT c.x, c.y, round(z, 8) AS z FROM cells c, rect WHERE k = 1 AND x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h"),
+    "a6_tile_query": sql(GRID, PATH, LAKES, TRIANGLE, select=WIDE),
+    "a7_tile_query_masked": sql(GRID, PATH, LAKES, TRIANGLE, select=f"{WIDE} WHERE {INSIDE}"),
     "a8_layer_extent": sql(GRID, select="SELECT min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, count(DISTINCT (x // 32, y // 32)) AS n_tiles, count(*) AS n_cells FROM cells"),
     "a9_pyramid": sql(GRID, PATH, select="SELECT level, CAST(cell % 100 AS INT) >> level AS x, CAST(cell // 100 AS INT) >> level AS y, max(acc) AS v FROM acc, (SELECT unnest(range(0, 6)) AS level) GROUP BY ALL"),
     "a11_mosaic_last_wins": """SELECT l_orderkey AS cell, l_quantity AS v FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
@@ -387,12 +401,57 @@ SQL["g16_watershed_recode"] = sql(
 )
 
 SQL["a9_web_mercator"] = sql(
-    GRID,
-    "deg AS (SELECT round(z, 8) AS v, 5.0 + x * CAST(0.05 AS DOUBLE) AS lon, 47.0 + y * CAST(-0.05 AS DOUBLE) AS lat FROM cells WHERE y < 150)",
-    """px AS (SELECT v, CAST(ceil((lon + 180.0) / 360.0 * 16384 - 0.5) AS INT) AS a, CAST(ceil((lon + CAST(0.05 AS DOUBLE) + 180.0) / 360.0 * 16384 - 0.5) AS INT) AS b,
-      CAST(ceil((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384 - 0.5) AS INT) AS c,
-      CAST(ceil((1 - ln(tan(radians(lat - CAST(0.05 AS DOUBLE))) + 1 / cos(radians(lat - CAST(0.05 AS DOUBLE)))) / pi()) / 2 * 16384 - 0.5) AS INT) AS d FROM deg)""",
-    select="SELECT x, unnest(range(c, d)) AS y, v FROM (SELECT unnest(range(a, b)) AS x, c, d, v FROM px)",
+    GRID, "deg AS (SELECT round(z, 8) AS v, 5.0 + x * CAST(0.05 AS DOUBLE) AS lon, 47.0 + y * CAST(-0.05 AS DOUBLE) AS lat FROM cells)", PIXELS, select="SELECT x, y, v FROM pixel", n=16384
+)
+SQL["a9_geotiff_layer"] = sql(
+    GRID, LAKES, "deg AS (SELECT floor(c.z) AS v, 5.0 + c.x * CAST(0.05 AS DOUBLE) AS lon, 47.0 + c.y * CAST(-0.05 AS DOUBLE) AS lat FROM cells c JOIN water w ON w.x = c.x AND w.y = c.y)", PIXELS,
+    select="SELECT level, x >> level AS x, y >> level AS y, max(v) AS v FROM pixel, (SELECT unnest(range(0, 3)) AS level) GROUP BY ALL", n=4096,
+)
+COLOUR = "'#' || upper(substr(replace(md5({key} || ':{seed}'), '0', ''), 1, 6))"
+SQL["b15_colours"] = sql(GRID, LAKES, select=f"SELECT x, y, {COLOUR.format(key='(x * 1000 + y)', seed=7)} AS colour FROM water")
+SQL["a10_tile_export"] = sql(
+    GRID, PATH,
+    "p AS (SELECT level, CAST(cell % 100 AS INT) >> level AS x, CAST(cell // 100 AS INT) >> level AS y, max(acc) AS v FROM acc, (SELECT unnest(range(0, 3)) AS level) GROUP BY ALL)",
+    select=f"""SELECT 2 - level AS z, x // 32 AS tile_x, y // 32 AS tile_y, count(*) AS n, md5(string_agg(y || ' ' || x || ' ' || {COLOUR.format(key='v', seed=0)}, ',' ORDER BY y, x)) AS pixels_md5
+        FROM p GROUP BY ALL""",
+)
+SQL["a12_shapefile_round"] = sql(GRID, LAKES, select="SELECT 'lakes' || (k % 3) AS file, lpad(CAST(k AS VARCHAR), 6, '0') AS name, CAST(k % 7 AS VARCHAR) AS dn, 5 AS n_points, CAST(area AS DOUBLE) AS area FROM rect")
+SQL["a13_folder_to_shapefiles"] = sql(GRID, LAKES, select="SELECT lpad(CAST(k AS VARCHAR), 6, '0') AS file, 1 AS n_rings, CAST(k % 7 AS VARCHAR) AS dn, 'lake' AS kind FROM rect")
+POINTS = """
+above AS (SELECT ends AS cell, count(*) - 1 AS pos FROM chain GROUP BY ends),
+point AS (SELECT s.reach, a.pos, s.cell FROM segment s JOIN above a USING (cell))"""
+SQL["g7_reach_coordinates"] = sql(
+    GRID, PATH, RIVER, REACH, POINTS,
+    select="SELECT p.reach, p.pos, f.x * CAST(0.5 AS DOUBLE) - 1 AS cx, 50 - f.y * CAST(0.5 AS DOUBLE) AS cy, round(f.z, 8) AS z, a.acc FROM point p JOIN flow f USING (cell) JOIN acc a USING (cell)",
+)
+SQL["g7_stream_net"] = sql(
+    GRID, PATH, RIVER, REACH, POINTS,
+    "net AS (SELECT cell, CASE WHEN nxt IN (SELECT cell FROM river) THEN nxt END AS nxt FROM river)",
+    """rank(cell, strahler) USING KEY (cell) AS (SELECT cell, 1 FROM net UNION
+      SELECT c.nxt, c.o FROM (SELECT nxt, CASE WHEN count(*) FILTER (o = m) > 1 THEN m + 1 ELSE m END AS o FROM
+        (SELECT f.nxt, u.strahler AS o, max(u.strahler) OVER (PARTITION BY f.nxt) AS m FROM net f JOIN recurring.rank u ON u.cell = f.cell
+          WHERE f.nxt IN (SELECT g.nxt FROM rank JOIN net g ON g.cell = rank.cell)) GROUP BY nxt, m) c
+      JOIN recurring.rank r ON r.cell = c.nxt WHERE c.o > r.strahler)""",
+    "down AS (SELECT r.cell AS reach, s.reach AS down_reach FROM river r JOIN (SELECT DISTINCT reach FROM segment) t ON t.reach = r.cell LEFT JOIN segment s ON s.cell = r.nxt)",
+    "line AS (SELECT reach, count(*) AS n_cells, arg_min(cell, pos) AS head, md5(string_agg(CAST(cell AS VARCHAR), ' ' ORDER BY pos)) AS line_md5 FROM point GROUP BY reach)",
+    select="""SELECT l.reach, l.n_cells, d.down_reach, (SELECT count(*) FROM down u WHERE u.down_reach = l.reach) AS n_up, k.strahler, l.head, l.line_md5
+        FROM line l JOIN down d USING (reach) JOIN rank k ON k.cell = l.reach""",
+)
+SQL["d5_polygonize_rings"] = sql(
+    GRID, LAKES,
+    "link AS (SELECT a.cell AS a, b.cell AS b FROM water a, off o JOIN water b ON b.x = a.x + o.dx AND b.y = a.y + o.dy WHERE o.dir % 2 = 1)",
+    "l(cell, other) AS (SELECT cell, cell FROM water UNION SELECT l.cell, s.b FROM l JOIN link s ON s.a = l.other)",
+    "area AS (SELECT w.cell, w.x, w.y, min(l.other) AS label FROM water w JOIN l USING (cell) GROUP BY ALL)",
+    "turn AS (SELECT * FROM (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0)) AS t(side, ox, oy, ax, ay, bx, b_y))",
+    """border AS (SELECT a.label, t.side, (a.y + t.ay) * 101 + a.x + t.ax AS a, (a.y + t.b_y) * 101 + a.x + t.bx AS b FROM area a, turn t
+      WHERE NOT EXISTS (SELECT 1 FROM water w WHERE w.x = a.x + t.ox AND w.y = a.y + t.oy))""",
+    """succ AS (SELECT label, a, e, n FROM (SELECT p.label, p.a, p.a * 4 + p.side AS e, q.a * 4 + q.side AS n,
+      row_number() OVER (PARTITION BY p.a, p.side ORDER BY list_position([1, 0, 3], (q.side - p.side + 4) % 4), q.side) AS r FROM border p JOIN border q ON q.label = p.label AND q.a = p.b) WHERE r = 1)""",
+    "walk(ring, e, pos) AS (SELECT e, e, 0 FROM succ UNION ALL SELECT w.ring, s.n, w.pos + 1 FROM walk w JOIN succ s ON s.e = w.e WHERE s.n > w.ring)",
+    "closed AS (SELECT w.ring, max(w.pos) + 1 AS n FROM walk w JOIN succ s ON s.e = w.e WHERE s.n = w.ring GROUP BY w.ring)",
+    """point AS (SELECT s.label, w.ring, w.pos, s.a FROM walk w JOIN closed c USING (ring) JOIN succ s ON s.e = w.e
+      UNION ALL SELECT s.label, c.ring, c.n, s.a FROM closed c JOIN succ s ON s.e = c.ring)""",
+    select="SELECT 1 AS dn, label, ring, pos, a % 101 AS x, a // 101 AS y FROM point",
 )
 SQL["p1_flagship"] = sql(
     GRID.replace("flow AS", "flow0 AS").replace("FROM flow)", "FROM flow0)"),
@@ -408,7 +467,8 @@ SQL["p1_flagship"] = sql(
 )
 #: Columns whose integer width DuckDB infers differently: BIGINT columns, then INT columns, of each query.
 WIDTHS = {
-    "a9_pyramid": ("", "level x y"), "a9_web_mercator": ("", "x y"), "c9_recode_value": ("", "x y"), "d2_rasterize_rects": ("", "x y"), "d5_polygonize_labels": ("label", ""),
+    "a9_pyramid": ("", "level x y"), "a9_web_mercator": ("", "x y"), "a9_geotiff_layer": ("", "level x y"), "a10_tile_export": ("", "z tile_x tile_y n"), "b15_colours": ("", "x y"),
+    "g7_stream_net": ("reach down_reach head", ""), "g7_reach_coordinates": ("reach", ""), "d5_polygonize_rings": ("label ring", "pos x y"), "c9_recode_value": ("", "x y"), "d2_rasterize_rects": ("", "x y"), "d5_polygonize_labels": ("label", ""),
     "d5_ring_measures": ("label", ""), "d10_polygon_rings": ("", "pos"), "d12_splice_holes": ("", "pos"), "d13_splice_outer_cells": ("", "pos"), "d15_densify_ring": ("", "pos x y"),
     "d16_inner_boundary": ("", "x y"), "e1_geojson_merge": ("", "chars"), "e3_split_by_dn": ("", "n"), "f6_lake_buffer": ("", "x y"), "g1_lake_components": ("", "x y"),
     "g2_flow_accumulation": ("cell", ""), "g3_repair_accumulation": ("cell", ""), "g4_strahler_order": ("cell", ""), "g4_upstream_lengths": ("cell", ""), "g6_sink_basins": ("cell label", ""),

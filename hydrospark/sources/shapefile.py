@@ -94,6 +94,22 @@ def encode(shapes: list[list[list[tuple[float, float]]]], rows: list[dict[str, s
     return head(50 + len(body) // 2) + body, head(50 + len(index) // 2) + index, table
 
 
+def files(features: DataFrame) -> DataFrame:
+    """``name, content``: the three files of each shapefile, from ``file, fid, rings, properties``; records go by ``fid``.
+
+    A shapefile is written by one task, as its format asks for record offsets.
+    """
+
+    def draw(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        rows = sorted(part.select(["fid", "rings", "properties"]).to_pylist(), key=lambda r: r["fid"])
+        shapes = [[[(p["x"], p["y"]) for p in ring] for ring in r["rings"]] for r in rows]
+        made = encode(shapes, [dict(r["properties"] or ()) for r in rows])
+        names = [f"{key[0].as_py()}.{kind}" for kind in ("shp", "shx", "dbf")]
+        return pa.table({"name": names, "content": list(made)}, schema=pa.schema([("name", pa.string()), ("content", pa.binary())]))
+
+    return features.select("file", "fid", "rings", "properties").groupBy("file").applyInArrow(draw, "name string, content binary")
+
+
 def to_geojson(features: DataFrame) -> DataFrame:
     """``file, fid, doc``: each polygon feature as a GeoJSON text; a ring that runs clockwise where y points up begins a polygon, the others are its holes."""
     from hydrospark.operators.vector import is_clockwise

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrospark.functions.cells import Geotransform, colour
+from hydrospark.operators.vector import clip
 
 
 def tiled(raster: DataFrame, size: int) -> DataFrame:
@@ -16,12 +17,24 @@ def tiled(raster: DataFrame, size: int) -> DataFrame:
 
 
 def write_layer(raster: DataFrame, path: str, size: int, mode: str = "overwrite") -> None:
-    """Store a layer by tile; reads of an area then open its tiles' files alone."""
-    tiled(raster, size).repartition("tile_x", "tile_y").sortWithinPartitions("tile_x", "tile_y", "y", "x").write.mode(mode).partitionBy("tile_x", "tile_y").parquet(path)
+    """Store a layer by tile; reads of an area then open its tiles' files alone.
+
+    A table beside it holds a row of metadata for each tile: ``tile_x, tile_y,
+    x_min, x_max, y_min, y_max, n_cells``.
+    """
+    rows = tiled(raster, size).repartition("tile_x", "tile_y").sortWithinPartitions("tile_x", "tile_y", "y", "x")
+    rows.write.mode(mode).partitionBy("tile_x", "tile_y").parquet(f"{path}/cells")
+    stored = raster.sparkSession.read.parquet(f"{path}/cells")
+    tile_rows(stored).write.mode("overwrite").parquet(f"{path}/tiles")
 
 
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(f"{path}/cells")
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The stored row of each tile; no cell is read."""
+    return spark.read.parquet(f"{path}/tiles")
 
 
 def query(layer: DataFrame, size: int, left: int, top: int, right: int, bottom: int) -> DataFrame:
@@ -30,10 +43,31 @@ def query(layer: DataFrame, size: int, left: int, top: int, right: int, bottom:
     return layer.where(tiles & F.col("x").between(left, right) & F.col("y").between(top, bottom)).drop("tile_x", "tile_y")
 
 
-def extent(layer: DataFrame) -> DataFrame:
-    """One row: the layer's bounds, its number of tiles and of cells; counts are partial sums by tile."""
-    per = layer.groupBy("tile_x", "tile_y").agg(F.min("x").alias("l"), F.max("x").alias("r"), F.min("y").alias("t"), F.max("y").alias("b"), F.count(F.lit(1)).alias("n"))
-    return per.agg(F.min("l").alias("x_min"), F.max("r").alias("x_max"), F.min("t").alias("y_min"), F.max("b").alias("y_max"), F.count(F.lit(1)).alias("n_tiles"), F.sum("n").alias("n_cells"))
+def query_polygon(layers: dict[str, DataFrame], size: int, polygon: DataFrame, mask: bool = False) -> DataFrame:
+    """``x, y`` and the values of several tiled layers in the tiles that the bounds of a polygon meet, stitched to one raster.
+
+    ``polygon`` holds the points ``fid, pos, x, y`` of rings in cell units;
+    its bounds, four numbers, prune the tiles.  The result is cut to the
+    bounds, and with ``mask`` to cells whose centre lies inside.  Cells that a
+    layer lacks are null there; cells that all layers lack have no row.
+    """
+    box = polygon.agg(F.floor(F.min("x")), F.floor(F.min("y")), F.ceil(F.max("x")) - 1, F.ceil(F.max("y")) - 1).first()
+    if box[0] is None:
+        raise ValueError("the polygon has no points")
+    out = None
+    for layer in layers.values():
+        own = query(layer, size, *box)
+        out = own if out is None else out.join(own, ["x", "y"], "full")
+    return clip(out, polygon, all_touched=False) if mask else out
+
+
+def tile_rows(layer: DataFrame) -> DataFrame:
+    return layer.groupBy("tile_x", "tile_y").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"), F.count(F.lit(1)).alias("n_cells"))
+
+
+def extent(metadata: DataFrame) -> DataFrame:
+    """One row: the layer's bounds, its number of tiles and of cells, from the rows of its tiles."""
+    return metadata.agg(F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"), F.count(F.lit(1)).alias("n_tiles"), F.sum("n_cells").alias("n_cells"))
 
 
 def pyramid(raster: DataFrame, levels: int, combine=F.max, value: str = "v") -> DataFrame:

@@ -17,6 +17,7 @@ every pair that can link.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ PERCENT = 80
 #: Cells of the hashed count table, in blocks; 4 bytes each, whatever the corpus.
 CELL_BITS = 20
 BLOCKS = 64
+#: Groups of tasks whose count tables are added up first.
+FAN = 64
 #: Ranges of the hash space in the suffix filter.
 RANGES = 32
 #: N-grams whose cell holds more than this many times the mean (and FLOOR) are spread over several tasks.
@@ -75,19 +78,26 @@ def prefix_length(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
-def describe(docs: DataFrame, n: int = N) -> DataFrame:
-    """One pass over all texts: a row ``doc_id, n_shingles, cid, ranges`` each, and per task the blocks ``block, counts`` of its count table."""
-    schema = "doc_id long, n_shingles long, cid long, ranges array<short>, block int, counts binary"
+def keyed(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` written once with a number for each row in column ``row``, a name that it doesn't have yet."""
+    return write_table(docs.withColumn(row, F.monotonically_increasing_id()), "texts").df
+
+
+def describe(docs: DataFrame, row: str = "row", n: int = N) -> DataFrame:
+    """One pass over all texts: a row ``row, doc_id, n_shingles, cid, ranges`` each, and per task the blocks ``block, part, counts`` of its count table."""
+    schema = "row long, doc_id long, n_shingles long, cid long, ranges array<short>, block int, part int, counts binary"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int16()), pa.int32(), pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         table = np.zeros(1 << CELL_BITS, dtype=np.uint32)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int16()), pa.int32(), pa.binary()]
-        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 size, cid, ranges = [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     h = shingle_hashes(words(text), n)
                     size.append(len(h))
                     cid.append(class_id(h) if len(h) else None)
@@ -95,26 +105,43 @@ def describe(docs: DataFrame, n: int = N) -> DataFrame:
                     ranges.append(np.minimum(spread, 32767).astype(np.int16) if len(h) else None)
                     np.add.at(table, _cells(h), 1)
                 none = [None] * len(size)
-                yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(c, t) for c, t in zip((size, cid, ranges, none, none), types[1:], strict=True)], names)
+                columns = [pa.array(c, t) for c, t in zip((size, cid, ranges, none, none, none), types[2:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names)
         if table.any():
-            none = [None] * BLOCKS
+            none, task = [None] * BLOCKS, [TaskContext.get().partitionId()] * BLOCKS
             parts = [x.tobytes() for x in np.split(table, BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, list(range(BLOCKS)), parts), types, strict=True)], names)
+            columns = (none, none, none, none, none, list(range(BLOCKS)), task, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema)
+    return docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema)
 
 
 def count_table(described: DataFrame) -> np.ndarray:
-    """Sums of the tasks' count tables; 2**CELL_BITS cells reach the driver."""
+    """Sums of the tasks' count tables; 2**CELL_BITS cells reach the driver.
 
-    def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype=np.uint32).astype(np.uint64) for x in part.column("counts").to_pylist())
-        capped = np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32)
-        return pa.table({"block": pa.array([part.column("block")[0].as_py()], pa.int32()), "counts": pa.array([capped.tobytes()], pa.binary())})
+    They are added up in two levels, ``FAN`` groups of tasks first.  A task
+    adds tables as they come and holds one sum for each key it has, so its
+    memory doesn't grow with the number of tasks.
+    """
 
-    blocks = described.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block, part, counts = (c[at].as_py() for c in batch.columns)
+                own = np.frombuffer(counts, dtype=np.uint32)
+                held = total.setdefault((block, part), np.zeros(len(own), dtype=np.uint64))
+                held += own
+        for (block, part), held in total.items():
+            capped = np.minimum(held, np.uint64(2**32 - 1)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([capped.tobytes()], pa.binary())], ["block", "part", "counts"])
+
+    schema = "block int, part int, counts binary"
+    own = described.where("block is not null").select("block", F.pmod("part", F.lit(FAN)).alias("part"), "counts")
+    some = own.repartition("block", "part").mapInArrow(add, schema)
+    every = some.select("block", F.lit(0).alias("part"), "counts").repartition("block").mapInArrow(add, schema)
     table = np.zeros((BLOCKS, (1 << CELL_BITS) // BLOCKS), dtype=np.uint32)
-    for row in blocks.collect():
+    for row in every.collect():
         table[row.block] = np.frombuffer(row.counts, dtype=np.uint32)
     return table.reshape(-1)
 
@@ -169,7 +196,12 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("gram", "salt")
     mixed = F.min("cid").over(w) != F.max("cid").over(w)
-    return rows.withColumn("mixed", mixed | (F.col("salt") >= 0)).where("mixed").select("gram", "cid", "size", "pos")
+    return rows.withColumn("mixed", mixed | (F.col("salt") >= 0)).where("mixed").select("gram", "salt", "cid", "size", "pos")
+
+
+def spread(grams: DataFrame) -> DataFrame:
+    """A row for each salt that a gram has, so that joins with prefix rows run on gram and salt; ``salts`` holds them."""
+    return grams.withColumn("salt", F.explode("salts")).drop("salts")
 
 
 def overlap_needed(a, b, percent: int):
@@ -189,34 +221,39 @@ def may_link(na, pa_, nb, pb, percent: int):
 
 def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Drop pairs whose n-gram counts by hash range already differ too much."""
-    one = lambda s: classes.select(F.col("cid").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("ranges").alias(f"r{s}"), F.col("doc_id").alias(f"d{s}"))
+    one = lambda s: classes.select(F.col("cid").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("ranges").alias(f"r{s}"), F.col("row").alias(f"row_{s}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
     apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
     room = F.col("na") + F.col("nb") - 2 * overlap_needed(F.col("na"), F.col("nb"), percent)
-    return both.where(apart <= room).select("a", "b", "da", "db")
+    return both.where(apart <= room).select("a", "b", "row_a", "row_b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``a, b`` that link, decided on the sets of word windows of one text each."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    left = pairs.join(texts.select(F.col("id").alias("da"), F.col("text").alias("ta")), "da")
-    both = left.join(texts.select(F.col("id").alias("db"), F.col("text").alias("tb")), "db")
+    """The pairs ``a, b`` that link, decided on the sets of word windows of one text each, those of ``row_a`` and ``row_b``.
 
-    def grams(w):
+    Pairs and the rows they need grow with the corpus, so texts meet them in
+    merge joins, at every size; only texts that are needed take part in two.
+    """
+    pairs = write_table(pairs, "pairs").df.hint("merge")
+    needed = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct().hint("merge")
+    texts = write_table(docs.select("row", "text").join(needed, "row", "left_semi"), "representatives").df
+    left = pairs.join(texts.select(F.col("row").alias("row_a"), F.col("text").alias("ta")), "row_a").hint("merge")
+    both = left.join(texts.select(F.col("row").alias("row_b"), F.col("text").alias("tb")), "row_b")
+
+    def grams(text):
+        w = words(text)
         size = min(n, len(w))
         return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple] = {}
+        known: dict[int, set] = {}
 
-        def grams_of(cid: int, text: str | None) -> set | None:
-            """None if another text has the same id as the one that stands for the class."""
-            if cid not in known or known[cid][0] != text:
+        def grams_of(cid: int, text: str) -> set:
+            if cid not in known:
                 if len(known) > 8:
                     known.clear()
-                found = words(text)
-                known[cid] = (text, grams(found) if class_id(shingle_hashes(found, n)) == cid else None)
-            return known[cid][1]
+                known[cid] = grams(text)
+            return known[cid]
 
         for batch in batches:
             for at in range(0, batch.num_rows, 128):  # texts become Python objects a few at a time
@@ -224,63 +261,75 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCENT
                 good = []
                 for k, (a, b, ta, tb) in enumerate(zip(*(c.to_pylist() for c in part.columns), strict=True)):
                     x, y = grams_of(a, ta), grams_of(b, tb)
-                    if x is not None and y is not None:
-                        common = len(x & y)
-                        if 100 * common >= percent * (len(x) + len(y) - common):
-                            good.append(k)
+                    common = len(x & y)
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        good.append(k)
                 kept = pa.array(good, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(kept), part.column(1).take(kept)], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(decide, "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(decide, "a long, b long")
 
 
 def prepare(docs: DataFrame, described: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The classes, ``cid, doc_id, n_shingles, ranges``, and the n-grams that several of them show, ``gram, cid, size, pos``."""
+    """The classes, ``cid, doc_id, row, n_shingles, ranges``, and the n-grams that several of them show, ``gram, salt, cid, size, pos``."""
     classes = described.where("cid is not null").groupBy("cid").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("ranges").alias("ranges")
+        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("ranges").alias("ranges")
     )
     classes = write_table(classes, "classes").df
-    rows = prefixes(docs.where("doc_id is not null"), count_table(described), n, percent)
+    rows = prefixes(docs, count_table(described), n, percent)
     return classes, write_table(shared_prefixes(rows), "prefixes").df
 
 
+def length_step(size, percent: int):
+    """Number of the length range that a size lies in; linked sets lie in the same range or in neighbours."""
+    if percent >= 100:
+        return size
+    return F.floor(F.log(size.cast("double")) / F.lit(log(100 / percent)) + F.lit(1e-9)).cast("int")
+
+
 def link_classes(docs: DataFrame, described: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``cid, label``: the component of every class that links with another; label is its least cid."""
+    """``cid, label, doc_id``: the component of every class, its least cid, and the least id of the class."""
     classes, shared = prepare(docs, described, n, percent)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        kept = suffix_filter(pairs, classes, percent)
-        return write_table(verify(kept, docs, n, percent), "links").df
+        return write_table(verify(suffix_filter(pairs, classes, percent), docs, n, percent), "links").df
 
     na, nb, pa_, pb = F.col("size"), F.col("size_b"), F.col("pos"), F.col("pos_b")
-    heads = shared.groupBy("gram").agg(F.min(F.struct("pos", "cid", "size")).alias("h"), (F.min("cid") != F.max("cid")).alias("mixed")).where("mixed")
-    heads = heads.select("gram", F.col("h.cid").alias("b"), F.col("h.size").alias("size_b"), F.col("h.pos").alias("pos_b"))
-    met = shared.join(heads, "gram").where((F.col("cid") != F.col("b")) & may_link(na, pa_, nb, pb, percent))
+    heads = shared.groupBy("gram").agg(
+        F.min(F.struct("pos", "cid", "size")).alias("h"), (F.min("cid") != F.max("cid")).alias("mixed"), F.collect_set("salt").alias("salts")
+    )
+    heads = spread(heads.where("mixed").select("gram", "salts", F.col("h.cid").alias("b"), F.col("h.size").alias("size_b"), F.col("h.pos").alias("pos_b")))
+    met = shared.join(write_table(heads, "heads").df, ["gram", "salt"]).where((F.col("cid") != F.col("b")) & may_link(na, pa_, nb, pb, percent))
     tried = met.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
     tried = write_table(tried, "tried").df
-    links = verified(tried)
-    labels = connected_components(links, "a", "b")
+    labels = connected_components(verified(tried), "a", "b").select(F.col("node").alias("cid"), "label")
 
     # what still may link lies in different components
-    marked = shared.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    marked = shared.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     marked = write_table(marked, "marked").df
-    open_grams = marked.groupBy("gram").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("gram")
-    rest = write_table(marked.join(open_grams, "gram", "left_semi"), "rest").df
-    other = rest.select("gram", F.col("cid").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("label").alias("label_b"))
-    met = rest.join(other, (rest["gram"] == other["gram"]) & (rest["cid"] < other["b"]) & (rest["label"] != other["label_b"]) & may_link(na, pa_, nb, pb, percent))
-    again = met.select(F.col("cid").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
+    open_grams = marked.groupBy("gram").agg((F.min("label") != F.max("label")).alias("mixed"), F.collect_set("salt").alias("salts")).where("mixed")
+    open_grams = write_table(spread(open_grams.select("gram", "salts")), "open").df
+    rest = marked.join(open_grams, ["gram", "salt"], "left_semi").withColumn("step", length_step(na, percent))
+    rest = write_table(rest.drop("salt"), "rest").df
+    # a set meets those that are as long or longer, in its own range and the next
+    longer = rest.select("gram", "step", F.col("cid").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("label").alias("label_b"))
+    shorter = rest.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
+    ordered = F.struct("size", "cid") < F.struct("size_b", "b")
+    met = shorter.join(longer, ["gram", "step"]).where(ordered & (F.col("label") != F.col("label_b")) & may_link(na, pa_, nb, pb, percent))
+    again = met.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = verified(again)
-    if not more.limit(1).count():
-        return labels.select(F.col("node").alias("cid"), "label")
-    # link the components that the second round joined
-    roots = labels.withColumnRenamed("node", "cid")
-    ends = more.join(roots.select(F.col("cid").alias("a"), F.col("label").alias("la")), "a", "left").join(
-        roots.select(F.col("cid").alias("b"), F.col("label").alias("lb")), "b", "left"
-    )
-    ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    top = connected_components(ends, "a", "b").select(F.col("node").alias("old"), F.col("label").alias("new"))
-    old = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
-    return old.join(top, old["label"] == top["old"], "left").select(F.col("node").alias("cid"), F.coalesce("new", "label").alias("label"))
+    if more.limit(1).count():
+        # link the components that the second round joined
+        end = lambda s: labels.select(F.col("cid").alias(s), F.col("label").alias(f"l{s}"))
+        ends = more.join(end("a"), "a", "left").join(end("b"), "b", "left")
+        ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        top = write_table(connected_components(ends, "a", "b").select(F.col("node").alias("old"), F.col("label").alias("new")), "tops").df
+    else:
+        top = None
+    every = classes.select("cid", "doc_id").join(labels, "cid", "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label"))
+    if top is not None:
+        every = every.join(top, every["label"] == top["old"], "left").select("cid", "doc_id", F.coalesce("new", "label").alias("label"))
+    return every
 
 
 def find_links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -289,11 +338,11 @@ def find_links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     A group of k near copies has up to k * (k - 1) / 2 links, and the result
     and its cost grow with them.  Rows with a null id take no part.
     """
-    own = docs.select("doc_id", "text").where("doc_id is not null")
-    described = write_table(describe(own, n), "described").df
+    own = keyed(docs.select("doc_id", "text").where("doc_id is not null"), "row")
+    described = write_table(describe(own, n=n), "described").df
     classes, shared = prepare(own, described, n, percent)
     other = shared.select("gram", F.col("cid").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
-    met = shared.join(other, "gram").where((F.col("cid") < F.col("b")) & may_link(F.col("size"), F.col("pos"), F.col("size_b"), F.col("pos_b"), percent))
+    met = shared.drop("salt").join(other, "gram").where((F.col("cid") < F.col("b")) & may_link(F.col("size"), F.col("pos"), F.col("size_b"), F.col("pos_b"), percent))
     tried = write_table(met.select(F.col("cid").alias("a"), "b").distinct(), "tried").df
     links = verify(suffix_filter(tried, classes, percent), own, n, percent)
     one = lambda s: classes.select(F.col("cid").alias(s), F.col("doc_id").alias(f"d{s}"))
@@ -301,36 +350,48 @@ def find_links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     return named.select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"))
 
 
+def components_by_row(docs: DataFrame, row: str = "row", n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """``row, doc_id, n_shingles, cid`` of every row, and ``cid, label, least`` of every class: its component and the least id in that."""
+    own = docs.select(F.col(row).alias("row"), "doc_id", "text")
+    described = write_table(describe(own, n=n), "described").df
+    labels = write_table(link_classes(own, described, n, percent), "components").df
+    least = write_table(labels.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("classes")), "least").df
+    alone = labels.join(least.where("classes > 1"), "label", "left").select("cid", "label", F.when(F.col("classes").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least"))
+    return described.where("block is null").select("row", "doc_id", "n_shingles", "cid"), write_table(alone, "labels").df
+
+
 def join_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
     ``component_id`` is the least id that links reach.  A text without words,
     or a null one, links with nothing and is its own component.  A row with a
-    null id has a null component unless its set equals that of a row with an
-    id; it never links others.  Repeated rows come out each.  An empty table
-    gives an empty result.  Other columns are ignored.
+    null id links like any other; where no id is reached, ``component_id`` is
+    null.  Rows of one id with different texts are rows of their own.
+    Repeated rows come out each.  An empty table gives an empty result.  Other
+    columns are ignored.
+
+    The texts are written once with a row number, by which one text for each
+    class is found again.  Components are settled on classes; rows meet their
+    class last, in a join whose hot keys Spark can split.
     """
-    own = docs.select("doc_id", "text")
-    described = write_table(describe(own, n), "described").df
-    labels = write_table(link_classes(own, described, n, percent), "components").df
-    rows = described.where("block is null").select("doc_id", "n_shingles", "cid")
-    rows = rows.join(labels, "cid", "left").select("doc_id", "n_shingles", F.coalesce("label", "cid").alias("label"))
-    rows = write_table(rows, "rows").df
-    least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    rows, classes = components_by_row(keyed(docs.select("doc_id", "text"), "row"), "row", n, percent)
+    return rows.join(classes.select("cid", "least"), "cid", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+    )
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose component has a smaller id, or the same id before.
+    """The rows of ``docs``, all columns, one for each component: that of its least id, of equal ids the first.
 
-    Rows with a null id stay.  Of rows that repeat an id, one stays.
+    Rows are told apart by a number of their own, so an id that stands for
+    different texts loses none of them.  Rows without words stay.  Null ids
+    come after all others.  An empty table gives an empty result.
     """
-    ids = join_components(docs, n, percent)
-    key = free_name(docs, "own_id")
-    gone = ids.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
-    twice = ids.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias(key)).limit(1).count()
-    if not twice:
-        return left
-    with_id = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(left.where("doc_id is null"))
+    row = free_name(docs, "row_number")
+    own = keyed(docs, row)
+    rows, classes = components_by_row(own, row, n, percent)
+    labelled = rows.where("cid is not null").join(classes.select("cid", "label"), "cid").select("row", "label", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row").alias("place"))
+    labelled = write_table(labelled, "places").df
+    first = write_table(labelled.groupBy("label").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "firsts").df
+    gone = labelled.join(first.select("label", F.col("first.row").alias("first")), "label").where("row <> first").select(F.col("row").alias(row))
+    return own.join(gone, row, "left_anti").drop(row)

@@ -49,7 +49,11 @@ def expand_targets(conversations: DataFrame, target: str = "assistant") -> DataF
     first.  Turns after the last reply, or all turns of a conversation without
     a reply, form one more example with an empty mask, so that no row is lost.
     Null roles and texts are empty; rows with a null ``conv_id`` form one
-    conversation; repeated rows are turns of their own.
+    conversation; repeated rows are turns of their own; texts may be of any
+    length; an empty table gives no examples; other columns are ignored.
+
+    One conversation is one row while it is expanded, and its examples grow
+    with the square of its turns, as each holds all turns before it.
     """
     empty = F.lit("")
     turns = conversations.select("conv_id", F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")).alias("t"))
@@ -68,7 +72,7 @@ def expand_targets(conversations: DataFrame, target: str = "assistant") -> DataF
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """Digests of each conversation, taken from the formatted examples alone."""
+    """Digests of each conversation, taken from the formatted examples alone; no examples give no rows."""
     masked = unescape(F.substring(F.col("text"), F.col("loss_start") + 1, F.col("loss_chars")))
     grouped = examples.groupBy("conv_id").agg(
         F.max_by("text", "target_turn").alias("full"),

@@ -8,7 +8,6 @@ the map; records never rehash.
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_left
 from dataclasses import dataclass, field
 
@@ -16,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hydrospark.storage import shared_dir, write_table
+from hydrospark.storage import scratch, write_table
 
 N_SLOTS = 8192
 N_SHARDS = 40
@@ -155,7 +154,7 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_
     are ignored.
     """
     spark = docs.sparkSession
-    path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    path = map_path or scratch(spark, "slot-map")
     kept = write_table(records(docs, n_slots), "records").df
     sums = kept.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     sums = {r.virtual_slot: (r.bytes, r.rows) for r in sums.collect()}  # at most n_slots rows

@@ -6,13 +6,16 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from math import exp, log, sqrt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from hydrospark.llm import chat_format, decontamination, host_rules, length_histogram, ngram_join, packing, quality_classifier, sharding, tokens, toxicity, url_filter
+from hydrospark.llm import chat_format, decontamination, hashed_features, host_rules, length_histogram, ngram_join, packing, quality_classifier, sharding, tokens, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, slot string, label string, cid string, host string"
+TABLES = Path("/root/testdata/sf0.01")
 LONG = " ".join(f"word{i % 977} other{i % 31}" for i in range(15_000))
 
 
@@ -48,6 +51,30 @@ def test_slots_keep_every_row_and_balance_bytes(odd, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_shards_are_nearly_equal_and_the_map_is_stored(spark, tmp_path):
+    r = random.Random(7)
+    rows = [(i, "x" * r.randrange(400), "s") for i in range(20_000)] + [(20_000 + i, "y" * 300, "s") for i in range(10_000)]
+    path = f"file://{tmp_path}/slots"
+
+    def load(out, n):
+        held = Counter()
+        for row in out:
+            held[row.shard] += row.size
+        assert len(held) == n
+        return max(held.values()) - min(held.values())
+
+    one = sharding.shard_documents(docs_of(spark, rows), map_path=path).collect()
+    mean = sum(r.size for r in one) / 40
+    assert load(one, 40) <= 0.001 * mean
+    stored = sharding.SlotMap.load(spark, path)
+    assert stored.version == 1 and all(r.map_version == 1 and stored.shard_of[r.virtual_slot] == r.shard for r in one)
+    two = sharding.shard_documents(docs_of(spark, rows), n_shards=41, map_path=path).collect()
+    assert load(two, 41) <= 0.001 * mean and {r.map_version for r in two} == {2}
+    before = {r.doc_id: (r.shard, r.virtual_slot) for r in one}
+    assert all(before[r.doc_id][1] == r.virtual_slot for r in two)
+    assert sum(before[r.doc_id][0] != r.shard for r in two) < 0.1 * len(two)
+
+
 def test_slot_map_moves_slots_only_as_needed(spark, tmp_path):
     r = random.Random(1)
     loads = {s: r.randrange(1, 2000) for s in range(8192)}
@@ -129,14 +156,27 @@ def test_chat_round_trip(spark):
 
 
 def test_ids_are_those_of_the_json_vocabulary():
-    plain = tokens._json(tokens.vocabulary_path())
-    fast = tokens.encoder()
-    for text in ["", "Hello  world\n\n x", "éàü 漢字 🙂🙂  <|endoftext|> it's 12345", LONG[:5000], "a" * 3000, " \t\x0b\u00a0\u2003x", "\u0301e\u0301 ½²३"]:
-        assert fast(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    plain, fast = Tokenizer.from_file(tokens.vocabulary_path()), tokens.encoder()
+    end = "<|endoftext|>"
+    for text in ["", "Hello  world\n\n x", "éàü 漢字 🙂🙂  it's 12345", LONG[:5000], "a" * 3000, " \t\x0b\u00a0\u2003x", "\u0301e\u0301 ½²३", f"a {end} b", end, f"{end}{end}  x\n{end}'s", end[:-1] + end]:
+        assert fast(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text[:50]
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
+def test_ids_of_a_whole_table():
+    from tokenizers import Tokenizer
+
+    duckdb = pytest.importorskip("duckdb")
+    plain, fast = Tokenizer.from_file(tokens.vocabulary_path()), tokens.encoder()
+    texts = [x or "" for (x,) in duckdb.sql(f"SELECT text FROM '{TABLES}/documents.parquet'").fetchall()]
+    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert fast(text).tolist() == want.ids
 
 
 def test_packing_places_each_id_once(odd, none):
-    out = packing.pack_documents(odd, with_ids=True, rows_per_task=8).collect()
+    out = packing.pack_documents(odd, with_ids=True, chunk_tokens=5000).collect()
     fast = tokens.encoder()
     want = Counter(([*fast(r.text).tolist(), 1].__str__(), r.doc_id) for r in odd.collect())
     sequences, pieces = defaultdict(list), defaultdict(list)
@@ -156,6 +196,10 @@ def test_packing_places_each_id_once(odd, none):
         text = next(t for t, d in want if d == doc_id)
         assert got == Counter({(k, x): copies for k, x in enumerate(map(int, text[1:-1].split(", ")))})
     assert packing.pack_documents(none).count() == 0
+    whole = packing.pack_documents(odd.repartition(7)).collect()
+    assert len({r.sequence_id for r in whole}) == -(-sum(r.length for r in whole) // 2048)  # at most one isn't full
+    special = packing.pack_documents(docs_of(odd.sparkSession, [(1, "a <|endoftext|> b", "s")])).first()
+    assert (special.doc_tokens, special.ids_crc32) == (5, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in (64, 220, 50256, 275, 1))))
 
 
 def test_plan_wastes_little():
@@ -262,6 +306,27 @@ def test_join_on_odd_rows(odd, none):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 7, 8, 20, 21, 22] and ids.count(None) == 2
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark, none):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    rows = [(1, text["a"], "s"), (1, text["b"], "s"), (2, text["c"], "s")]
+    assert ngram_join.keep_one(docs_of(spark, rows)).count() == 3
+    rows += [(2, text["b"] + " end", "s"), (3, text["a"].upper(), "s"), (None, text["d"], "s"), (None, text["d"] + " end", "s"), (None, text["c"], "s"), (4, None, "s"), (4, "", "s"), (5, text["e"], "s"), (5, text["e"], "s"), (0, text["f"] + " end", "s"), (1, text["f"], "s")]
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs_of(spark, rows)).collect()]
+    want = [(1, text["a"]), (1, text["b"]), (2, text["c"]), (4, None), (4, ""), (5, text["e"]), (0, text["f"] + " end")]
+    assert Counter(kept) - Counter([(None, text["d"]), (None, text["d"] + " end")]) == Counter(want) and len(kept) == len(want) + 1
+    got = Counter(map(tuple, ngram_join.join_components(docs_of(spark, rows)).collect()))
+    assert got == plain_components([r[:2] for r in rows])
+    assert ngram_join.keep_one(none).count() == 0
+
+
+def test_lengths_of_linked_sets_are_neighbours():
+    step = lambda n, p: int(log(n) / log(100 / p) + 1e-9)
+    for percent in (50, 80, 90):
+        for a in range(1, 400):
+            b = a * 100 // percent
+            assert step(b, percent) in (step(a, percent), step(a, percent) + 1)
+
+
 def test_leaks_with_other_slots(spark, none):
     item = "Anna bought 12 apples for 3 dollars and Anna then sold 5 of the apples to a friend in town."
     bench = spark.createDataFrame([(7, item), (8, "short one item here"), (9, None), (None, "x"), (10, "")], "item_id long, text string")
@@ -327,6 +392,50 @@ def test_verbatim_items_full_of_slots_are_found(item):
     assert not leaks_of(["Solve 3x + 5 = 20", "Sort 9, 4, 7, 1, 3, 8, 2, 6, 5, 10 in order"], "Solve 3x + 6 = 20 and Sort 9, 4, 7, 1, 3, 8, 2, 6, 5, 11 in order")
 
 
+def test_short_items_are_found_as_whole_texts():
+    items = ["What is 7?", "Yes", "Anna sold 5 books to 4 friends"]
+    assert leaks_of(items, "what is 7 ?").keys() == {0}
+    assert leaks_of(items, "YES!").keys() == {1}
+    assert not leaks_of(items, "What is 8?") and not leaks_of(items, "Yes it is") and not leaks_of(items, "") and not leaks_of(["", "..."], "")
+    assert leaks_of(items, "Peter sold 7 books to 9 friends").keys() == {2}
+
+
+def test_every_item_of_a_table_is_found_verbatim_and_reparameterised():
+    """Items of all shapes, among them each template filled anew: verbatim copies all come back, new ones nearly all."""
+    r = random.Random(12)
+    names, things, places, units = "Anna Peter Maria Oskar Lena Viktor".split(), "apples books coins letters maps".split(), "town harbour forest school".split(), "km miles hours kg".split()
+    shapes = [
+        "{n} has {i} {t} and buys {j} more {t} in the {p}. How many {t} does {n} have now?",
+        "A train needs {i} {u} to the {p} while {n} walks {j} {u} with {t}. What is left of them at last?",
+        "{n} paid {m} {i} dollars for {j} {t} .",
+        "What is {i} + {j} - 7 * {k} ?",
+        "Solve {i}x + {j} = {k}",
+        "{n} and {m} share {i} {t} at the {p}, {n} takes {j} of them and {m} gets the rest of all {t}.",
+    ]
+
+    def fill(shape, t, p, u):
+        n, m = r.sample(names, 2)
+        i, j, k = r.sample(range(2, 99), 3)
+        return shape.format(n=n, m=m, i=i, j=j, k=k, t=t, p=p, u=u)
+
+    items, again = [], []
+    for at in range(240):
+        shape, words = shapes[at % len(shapes)], (r.choice(things), r.choice(places), r.choice(units))
+        items.append(fill(shape, *words))
+        again.append(fill(shape, *words))
+    index, cache = decontamination.Index(8), decontamination.Tokens()
+    for at, item in enumerate(items):
+        index.add(at, item, cache)
+    index.freeze()
+    filler = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(30)) + "."
+    for at, item in enumerate(items):
+        assert at in {x[0] for x in index.leaks(f"{filler()} {item} {filler()}", cache)}, item
+    long = [at for at in range(240) if shapes[at % len(shapes)][0] in "{A" and len(items[at].split()) >= 13]
+    found = [at in {x[0] for x in index.leaks(f"{filler()} {again[at]} {filler()}", cache)} for at in long]
+    assert len(long) > 100 and sum(found) >= 0.9 * len(found)
+    assert not any(index.leaks(f"{filler()} {filler()}", cache) for _ in range(200))
+
+
 def test_items_without_an_id_are_found(spark):
     bench = spark.createDataFrame([(None, SLOTTED[0]), (1, SLOTTED[1])], "item_id long, text string")
     docs = docs_of(spark, [(1, f"so {SLOTTED[0]} holds", "s"), (2, "nothing of it", "s")])
@@ -377,28 +486,145 @@ def test_classifiers_on_held_out_rows(spark, none):
     assert kept.columns == docs.columns
 
 
-def test_counterfactuals_shrink_group_weights():
+def plain_ftrl(samples, alpha, l1, l2=0.0, epochs=3, beta=1.0, pair_penalty=0.0):
+    """Follow the regularised leader, one coordinate at a time; the intercept has no l1."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        bound = 0.0 if i == "bias" else l1
+        return 0.0 if abs(z[i]) <= bound else -(z[i] - (bound if z[i] > 0 else -bound)) / ((beta + sqrt(n[i])) / alpha + l2 * (i != "bias"))
+
+    def learn(gradients):
+        for i, (w, g) in gradients.items():
+            z[i] += g - (sqrt(n[i] + g * g) - sqrt(n[i])) / alpha * w
+            n[i] += g * g
+
+    for _ in range(epochs):
+        for y, indexes, values in samples:
+            own = {"bias": 1.0} | dict(zip(indexes[0].tolist(), values[0].tolist(), strict=True))
+            w = {i: weight(i) for i in own}
+            off = 1 / (1 + exp(-sum(w[i] * own[i] for i in own))) - y
+            learn({i: (w[i], off * own[i]) for i in own})
+            for i, v in zip(indexes[1:], values[1:], strict=True):
+                change = dict(zip(i.tolist(), v.tolist(), strict=True)) if pair_penalty else {}
+                w = {i: weight(i) for i in change}
+                shift = sum(w[i] * change[i] for i in change)
+                if shift:  # an implicit step: what is left of the shift is what a full step would leave
+                    reach = sum(change[i] ** 2 * alpha / (beta + sqrt(n[i])) for i in change)
+                    learn({i: (w[i], 2 * pair_penalty * shift / (1 + 2 * pair_penalty * reach) * change[i]) for i in change})
+    return {i: weight(i) for i in z}
+
+
+@pytest.mark.parametrize("penalty", [0.0, 1.5])
+def test_fit_matches_plain_python(penalty):
     from hydrospark.llm.logistic import fit
 
-    r = random.Random(6)
-    texts = [("women " if r.random() < 0.5 else "men ") + r.choice(["a b", "b c", "c d"]) for _ in range(400)]
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(40)] + ["women", "men", "muslim", "deaf"]
     samples = []
-    for t in texts:
-        bad = r.random() < (0.8 if t.startswith("women") else 0.2)
-        made = toxicity.with_counterfactuals(t)
-        samples.append((int(bad), [i for i, _ in made], [v for _, v in made]))
-    gap = []
-    for penalty in (0.0, 2.0):
-        model = fit(samples, toxicity.BITS, alpha=0.5, l1=0.1, pair_penalty=penalty)
-        w = model.dense()
-        one, two = (float(w[i] @ v) for i, v in map(toxicity.features, ("women a b", "men a b")))
-        gap.append(abs(one - two))
-    assert gap[1] < 0.25 * gap[0]
+    for _ in range(150):
+        text = " ".join(r.choice(words) for _ in range(r.randrange(1, 30)))
+        made = toxicity.with_counterfactuals(text) if penalty else [quality_classifier.features(text)]
+        samples.append((int(("w1 " in text) != (r.random() < 0.1)), [i for i, _ in made], [v for _, v in made]))
+    model = fit(samples, 20, alpha=0.7, l1=0.2, pair_penalty=penalty)
+    want = plain_ftrl(samples, 0.7, 0.2, pair_penalty=penalty)
+    assert model.pairs == (sum(len(s[1]) - 1 for s in samples) if penalty else 0)
+    assert abs(model.bias - want.pop("bias")) < 1e-5
+    got = model.dense()
+    assert len(model.index) > 20 and all(abs(got[i] - w) < 1e-4 for i, w in want.items()) and set(model.index.tolist()) <= want.keys()
+
+
+def test_quality_features_are_ngrams():
+    plain = Counter()
+    text = "a b a b b, c"
+    found = [x.decode() for x in hashed_features.tokens(text)]
+    assert found == ["a", "b", "a", "b", "b", ",", "c"]
+    for k, w in enumerate(found):
+        plain[w] += 1
+        if k:
+            plain[found[k - 1], w] += 1
+            plain["same pair"] += found[k - 1] == w
+        if k > 1:
+            plain["same around"] += found[k - 2] == w
+    plain = +plain
+    index, value = quality_classifier.features(text)
+    norm = sqrt(sum((1 + log(c)) ** 2 for c in plain.values()))
+    assert len(index) == len(plain) and sorted(round(float(v), 5) for v in value) == sorted(round((1 + log(c)) / norm, 5) for c in plain.values())
+    assert len(quality_classifier.features(None)[0]) == len(quality_classifier.features(" \n")[0]) == 0
+
+
+def test_counterfactual_pairs_differ_in_a_term_only():
+    words = "the women and the deaf man walk".split()
+    pairs = toxicity.counterfactual_pairs(words)
+    assert [(one, " ".join(two)) for one, two in pairs] == [
+        (words, "the people and the local person walk"),
+        (words, "the men and the autistic woman walk"),
+        (words, "the people and the disabled person walk"),
+    ]
+    for text in ("plain words only", "", None):
+        ((one, two),) = toxicity.counterfactual_pairs(toxicity.word_list(text))
+        (at,) = [k for k, (a, b) in enumerate(zip(one, two, strict=True)) if a != b]
+        assert any(one[at] in terms and two[at] in terms for terms in toxicity.IDENTITY_TERMS)
+        assert one[:at] + one[at + 1 :] == toxicity.word_list(text)
+    own, (moved, change) = toxicity.with_counterfactuals("plain words only")
+    ((one, two),) = toxicity.counterfactual_pairs(["plain", "words", "only"])
+    i, j = (set(toxicity.word_features(x)[0].tolist()) for x in (one, two))
+    assert set(moved.tolist()) == i ^ j and all((c == 1) == (m in i) for m, c in zip(moved.tolist(), change.tolist(), strict=True))
+
+
+def test_neutral_mentions_of_groups_keep_their_score(spark):
+    """Toxic sentences mostly name one group; without the penalty its name alone counts, with it hardly."""
+    r = random.Random(6)
+    plain = "red green blue sun moon river field stone bird tree".split()
+    rows, marks = [], []
+    for i in range(1500):
+        toxic = r.random() < 0.4
+        w = [r.choice(plain) for _ in range(12)]
+        w[3] = r.choice(["muslims"] * 4 + ["christians"]) if toxic else r.choice(["christians", "people", "people", "jews", "muslims"])
+        if toxic:
+            w[7] = r.choice(["scum", "vermin", "filth"]) if r.random() < 0.8 else w[7]
+        rows.append((i, " ".join(w), "s"))
+        marks.append((i, 1, int(toxic)))
+    docs, labels = docs_of(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    moved = {}
+    for penalty in (0.0, 4.0):
+        model = toxicity.fit_toxicity(docs, labels, penalty=penalty)
+        weight, worst = model.dense(), 0.0
+        for _ in range(50):
+            w = [r.choice(plain) for _ in range(12)]
+            scores = []
+            for term in ("muslims", "christians", "jews", "hindus", "people"):
+                i, v = toxicity.word_features([*w, term])
+                scores.append(1 / (1 + exp(-(float(weight[i] @ v) + model.bias))))
+            worst = max(worst, max(scores) - min(scores))
+        moved[penalty] = worst
+        assert (model.pairs > 1000) == (penalty > 0)
+        truth = dict((i, t) for i, _, t in marks)
+        held = [x for x in toxicity.score_toxicity(docs.where("text rlike 'scum|vermin|filth'"), model).collect() if x.held_out]
+        assert len(held) > 50 and sum(x.predicted == truth[x.doc_id] for x in held) >= 0.95 * len(held)
+    assert moved[4.0] < 0.05 and moved[4.0] < 0.25 * moved[0.0]
+
+
+def test_scores_of_the_tables_hardly_move_with_identity_terms(spark):
+    if not TABLES.exists():
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"{TABLES}/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.pairs > 100
+    weight = model.dense()
+    for row in docs.join(labels.where("toxic = 0"), "doc_id").limit(100).collect():
+        words = toxicity.word_list(row.text)
+        for terms in toxicity.IDENTITY_TERMS:
+            lines = []
+            for term in terms:
+                i, v = toxicity.word_features([*words, term])
+                lines.append(1 / (1 + exp(-(float(weight[i] @ v) + model.bias))))
+            assert max(lines) - min(lines) < 0.02
 
 
 def test_urls(spark):
     urls = ["http://A.b.com/x?y#z", "https://www.example.com/en/1", "http://example.com/en/2", "http://m.example.com/en/", "http://x.net/es/1", "net://net/fr/", "http://x.com", None, "", "no url", "http://notexample.com/en/", "http://freebets.example.org/win", "ftp://É.org#f://b/", "http://x.org/" + "a" * 5000, "http://dailynews.example.org/science", "x://" * 3]
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "h")], "page_id long, url string, host string")
+    pages = spark.createDataFrame([(i, u, "h", "w") for i, u in enumerate(urls)] + [(0, urls[0], None, None)], "page_id long, url string, host string, words string")
     out = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
     assert url_filter.judge_urls(pages).count() == len(urls) + 1
     for i, u in enumerate(urls):
@@ -410,32 +636,116 @@ def test_urls(spark):
         rule = max(fits, key=lambda x: len(x[0]), default=(None, None))
         assert (out[i].host, out[i].path, out[i].rule) == (host, path, rule[0]), u
         assert rule[1] in (None, out[i].verdict)
-    assert (out[11].verdict, out[14].verdict, out[9].verdict) == ("block", "allow", "allow")
+    assert (out[9].verdict, out[9].score, out[9].evidence, out[9].words) == ("allow", 0.0, 0, [])
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
-    assert url_filter.Segmenter({}).split("cheappillscasino") == ("cheap", "pills", "casino")
 
 
-def test_split_uses_rare_and_short_words_of_all_urls(spark):
-    urls = [f"http://x.org/{w}" for w in ("zq", "vornab", "zqvornab" * 4)] + [f"http://x.org/{'abcdefghij'[k % 10] * 4}{'klmnopqrst'[k // 10]}" for k in range(100)]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
-    counts = {r.word: r.n for r in url_filter.word_counts(url_filter.parse(pages)).collect()}
-    assert len(counts) == 105 and counts["zq"] == 1
-    out = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
-    assert out[2].words == ["x"] + ["zq", "vornab"] * 4
+def all_splits(name):
+    if not name:
+        yield []
+    for k in range(1, len(name) + 1):
+        for rest in all_splits(name[k:]):
+            yield [name[:k], *rest]
 
 
-def test_naive_bayes_learns_words_from_all_urls(spark):
-    urls = [f"http://{w}-velonda.example.org/en/{i}" for i, w in enumerate(("casino", "poker", "lottery", "porn"))]
-    urls += [f"http://m.host{chr(97 + k // 26)}{chr(97 + k % 26)}-pier.example.org/en/{k}" for k in range(200)]
-    urls += ["http://velonda-ostrim.example.org/en/9", "http://m.unseen-word.example.org/en/9"]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
-    out = {r.page_id: r.verdict for r in url_filter.judge_urls(pages).collect()}
-    assert {i for i, v in out.items() if v == "block"} == {0, 1, 2, 3, 204}
+def cost_of(split, cost, unknown):
+    """Of one split: a word has its own cost if it is known, neighbouring unknown pieces count as one."""
+    return sum(cost.get(w, unknown + len(w) * log(26)) for w in split)
 
 
-def test_seed_phrases_are_not_the_hosts_of_the_tables():
-    hosts = {"casino win", "free bets", "cheap pills", "ads track", "spam farm", "adult x"}
-    assert not hosts & set(url_filter.BLOCKED)
+def test_split_is_the_cheapest_of_all():
+    r = random.Random(4)
+    for _ in range(60):
+        counts = {"".join(r.choice("ab") for _ in range(r.randrange(1, 5))): r.randrange(1, 50) for _ in range(6)}
+        total = sum(counts.values())
+        cost = {w: log(total / n) for w, n in counts.items()}
+        name = "".join(r.choice("abc") for _ in range(r.randrange(1, 10)))
+        got = url_filter.split_name(name, cost, log(total))
+        assert "".join(got) == name
+        assert abs(cost_of(got, cost, log(total)) - min(cost_of(x, cost, log(total)) for x in all_splits(name))) < 1e-9
+    assert url_filter.split_name("abc", {}, 0.0) == ["abc"] and url_filter.split_name("", {}, 1.0) == []
+
+
+def test_words_of_any_length_are_known_to_the_segmenter(spark):
+    long = "abcdefghijklmnopqrstuvwxyz" * 2
+    html = f"<p class='casinobonus'>casino bonus casino bonus win</p><script>casinobonus casinobonus</script> {long} {long}z zq " + "of the " * 50
+    urls = ["http://casinobonuswin.org/zqof", f"http://{long}casino.org/{long[:30]}", "http://thezzzzxxxxjof.org/"]
+    pages = spark.createDataFrame([(i, u, html if i == 0 else None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    out = {r.page_id: r.words for r in url_filter.judge_urls(pages).collect()}
+    assert out[0] == ["casino", "bonus", "win", "org", "zq", "of"]
+    assert out[1][:2] == [long, "casino"]
+    assert out[2] == ["the", "zzzzxxxxj", "of", "org"]
+    assert {r.word: r.n for r in url_filter.word_counts(pages).collect()}["casino"] == 2
+
+
+def plain_urls(pages, rules=url_filter.RULES):
+    """Rule, words, score and verdict of every page in plain Python."""
+    import re
+
+    counts = Counter()
+    for _, _, html in pages:
+        text = re.sub(r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ", html or "")
+        counts.update(re.findall(r"[^\W\d_]+", text.lower()))
+    total = sum(counts.values()) or 1
+    cost = {w: log(total / n) for w, n in counts.items()}
+    named = {w for _, h, p in rules for w in re.findall("[a-z]+", h + p)}
+
+    def viterbi(name, memo={}):  # noqa: B006
+        if not name:
+            return 0.0, ()
+        if name not in memo:
+            ways = []
+            for k in range(1, len(name) + 1):
+                c, rest = viterbi(name[k:])
+                ways.append((cost.get(name[:k], log(total) + k * log(26)) + c, (name[:k], *rest)))
+            memo[name] = min(ways, key=lambda x: (round(x[0], 9), len(x[1])))
+        return memo[name]
+
+    seen, words = [Counter(), Counter()], {}
+    judged = {}
+    for page, url, _ in pages:
+        rest = (url or "").split("://", 1)
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest[1], 16).groups() if len(rest) > 1 else ("", "")
+        host = host.lower()
+        fits = [(h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        judged[page] = max(fits, key=lambda x: len(x[0]), default=(None, None))[1]
+        parts = [x for x in re.findall(r"[^\W\d_]+|\d+", f"{host} {path}".lower()) if x not in named]
+        words[page] = [w for x in parts for w in (["<number>"] if x.isdigit() else viterbi(x)[1])]
+        if judged[page]:
+            seen[judged[page] == "block"].update(words[page])
+    known = seen[0].keys() | seen[1].keys()
+    size = [sum(x.values()) + len(known) for x in seen]
+    odds = {w: log((seen[1][w] + 1) / size[1]) - log((seen[0][w] + 1) / size[0]) for w in known} if all(seen) else {}
+    out = {}
+    for page, found in words.items():
+        score = sum(odds.get(w, 0.0) for w in found)
+        own = "block" if score >= log(url_filter.BLOCK_AT / (1 - url_filter.BLOCK_AT)) - 1e-6 else "allow"
+        out[page] = (found, score, judged[page] or own)
+    return out
+
+
+def test_urls_of_a_table_match_plain_python(spark):
+    where = TABLES.parent / "sf0.001"
+    if not where.exists():
+        pytest.skip("no test tables")
+    pages = spark.read.parquet(f"{where}/pages.parquet")
+    want = plain_urls([tuple(r) for r in pages.select("page_id", "url", "html").collect()])
+    out = url_filter.judge_urls(pages).collect()
+    assert len(out) == len(want)
+    for r in out:
+        words, score, verdict = want[r.page_id]
+        assert (r.words, r.verdict) == (words, verdict) and abs(r.score - score) < 1e-5
+
+
+def test_naive_bayes_learns_from_urls_that_rules_judge(spark):
+    html = "casino bonus garden letters river stone " * 5
+    urls = [f"http://casinobonus{i}.net/es/{i}" for i in range(40)] + [f"http://gardenletters.com/{i}" for i in range(40)]
+    urls += ["http://bonuscasinobonus.org/de/1", "http://lettersgarden.org/de/1", "http://riverstone.org/de/1", "http://casinogarden.org/es/1"]
+    pages = spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    out = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    assert [out[k].verdict for k in (80, 81, 82, 83)] == ["block", "allow", "allow", "allow"]
+    assert {k: out[k].verdict for k in range(80)} == {k: "block" if k < 40 else "allow" for k in range(80)}
+    assert {r.page_id: (r.words, r.verdict) for r in out.values()} == {k: (v[0], v[2]) for k, v in plain_urls([(i, u, html) for i, u in enumerate(urls)]).items()}
 
 
 def test_links_are_all_pairs_of_different_sets(spark):

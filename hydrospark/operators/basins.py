@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from hydrospark.functions.cells import downstream, orientation
 from hydrospark.operators.flow import basin_labels, roots
 from hydrospark.operators.ranking import global_rank
-from hydrospark.operators.vector import DOWN, LEFT, RIGHT, UP
+from hydrospark.operators.vector import DOWN, LEFT, RIGHT, UP, beside
 from hydrospark.storage import write_table
 
 PARTS, MULTIPLE = 9, 3
@@ -165,11 +165,9 @@ def spill_points(inner: DataFrame, dem: DataFrame, *by: str) -> DataFrame:
     The first of equally low cells wins.  The direction follows from the turn
     at the cell; on any other turn it points as the next cell sees it.
     """
-    w = Window.partitionBy(*by)
-    walk = w.orderBy("pos")
-    rows = inner.join(dem.select("x", "y", "z"), ["x", "y"], "left")
-    first, last = F.min(F.struct("pos", "x", "y")).over(w), F.max(F.struct("pos", "x", "y")).over(w)
-    rows = rows.select(*by, "pos", "x", "y", "z", first.alias("f"), last.alias("l"), *(g(c).over(walk).alias(a) for g, c, a in ((F.lag, "x", "ax"), (F.lag, "y", "ay"), (F.lead, "x", "bx"), (F.lead, "y", "by"))))
+    heights = dem.select("x", "y", "z")
+    ends = inner.groupBy(*by).agg(F.min(F.struct("pos", "x", "y")).alias("f"), F.max(F.struct("pos", "x", "y")).alias("l"))
+    rows = beside(inner.select(*by, "pos", "x", "y"), *by).join(heights, ["x", "y"], "left").join(write_table(ends, "ends").df, list(by))
     cell = F.struct("x", "y", F.coalesce("ax", "l.x").alias("ax"), F.coalesce("ay", "l.y").alias("ay"), F.coalesce("bx", "f.x").alias("bx"), F.coalesce("by", "f.y").alias("by"))
     low = rows.where("z is not null").withColumn("c", cell).groupBy(*by).agg(F.min_by("c", F.struct("z", "pos")).alias("c")).select(*by, "c.*")
     turn_in, turn_out = orientation(F.col("ax"), F.col("ay"), F.col("x"), F.col("y")), orientation(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))

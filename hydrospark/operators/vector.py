@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hydrospark.functions.cells import orientation
 from hydrospark.operators.components import connected_components
 from hydrospark.operators.flow import pull
+from hydrospark.operators.ranking import global_rank
 from hydrospark.operators.slope import label_cells
 from hydrospark.storage import write_table
 
@@ -194,10 +195,12 @@ def densify(points: DataFrame, *carry: str) -> DataFrame:
     n = F.when(level, F.abs(F.col("x2") - F.col("x"))).when(upright, F.abs(F.col("y2") - F.col("y"))).otherwise(1)
     n = F.greatest(n.cast("int"), F.lit(1))
     sx, sy = F.when(level, F.signum(F.col("x2") - F.col("x"))).otherwise(0), F.when(level, 0).otherwise(F.when(upright, F.signum(F.col("y2") - F.col("y"))).otherwise(0))
-    steps = F.when(F.col("x2").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1))
-    rows = ahead.withColumn("sx", sx).withColumn("sy", sy).select(*carry, "pos", "x", "y", "sx", "sy", F.explode(steps).alias("k"))
-    out = rows.select(*carry, F.struct("pos", "k").alias("o"), (F.col("x") + F.coalesce("sx", F.lit(0)) * F.col("k")).cast("int").alias("x"), (F.col("y") + F.coalesce("sy", F.lit(0)) * F.col("k")).cast("int").alias("y"))
-    return out.select(*carry, (F.row_number().over(Window.partitionBy(*carry).orderBy("o")) - 1).alias("pos"), "x", "y")
+    steps = F.when(F.col("x2").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # points on earlier edges
+    rows = ahead.withColumn("n", n).withColumn("sx", sx).withColumn("sy", sy).withColumn("before", before)
+    rows = rows.select(*carry, "x", "y", "sx", "sy", "before", F.explode(steps).alias("k"))
+    x, y = F.col("x") + F.coalesce("sx", F.lit(0)) * F.col("k"), F.col("y") + F.coalesce("sy", F.lit(0)) * F.col("k")
+    return rows.select(*carry, (F.col("before") + F.col("k")).cast("int").alias("pos"), x.cast("int").alias("x"), y.cast("int").alias("y"))
 
 
 # Turn (orientation in, orientation out) -> inner cells as (step x, step y, dropped at joints).
@@ -214,16 +217,22 @@ INNER_CELLS = {
 }
 
 
+def beside(points: DataFrame, *carry: str) -> DataFrame:
+    """``points`` (``*carry, pos, x, y``, places without gaps) with the point before, ``ax, ay``, and after, ``bx, by``; null at the ends.
+
+    Points meet by place, so no task holds a whole ring.
+    """
+    near = lambda step, name: points.select(*carry, (F.col("pos") + step).alias("pos"), F.col("x").alias(f"{name}x"), F.col("y").alias(f"{name}y"))
+    return points.join(near(1, "a"), [*carry, "pos"], "left").join(near(-1, "b"), [*carry, "pos"], "left")
+
+
 def inner_boundary(points: DataFrame, *carry: str, joints: DataFrame | None = None) -> DataFrame:
     """``*carry, pos, x, y``: cells just inside a clockwise boundary of adjacent grid points, in walking order.
 
     The first point of the ring comes last.  ``joints`` (``*carry, x, y``) are
     points where polygons meet.
     """
-    ring = Window.partitionBy(*carry)
-    last = F.max("pos").over(ring)
-    w = ring.orderBy("pos")
-    rows = points.select(*carry, "pos", "x", "y", last.alias("last"), *(f(c).over(w).alias(n) for f, s in ((F.lag, "a"), (F.lead, "b")) for c, n in (("x", f"{s}x"), ("y", f"{s}y"))))
+    rows = beside(points.select(*carry, "pos", "x", "y"), *carry)
     # the closing point stands for the first one: its neighbours are the one before it and the ring's second point
     second = points.where("pos = 1").select(*carry, F.col("x").alias("sx"), F.col("y").alias("sy"))
     rows = rows.where("pos > 0").join(second, list(carry))
@@ -238,8 +247,10 @@ def inner_boundary(points: DataFrame, *carry: str, joints: DataFrame | None = No
     for (i, o), found in INNER_CELLS.items():
         cells = F.when((F.col("i") == i) & (F.col("o") == o), F.array(*(cell(c) for c in found))).otherwise(cells)
     out = rows.select(*carry, "pos", F.posexplode(F.filter(cells, lambda c: c.isNotNull())).alias("k", "c"))
-    order = F.row_number().over(Window.partitionBy(*carry).orderBy("pos", "k")) - 1
-    return out.select(*carry, order.alias("pos"), F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    out = out.select(*carry, "pos", "k", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    ranked = write_table(global_rank(out, *map(F.col, carry), F.col("pos"), F.col("k"), name="place"), "inner").df
+    first = write_table(ranked.groupBy(*carry).agg(F.min("place").alias("least")), "first").df
+    return ranked.join(first, list(carry)).select(*carry, (F.col("place") - F.col("least")).cast("int").alias("pos"), "x", "y")
 
 
 def polygonize(raster: DataFrame, width: int, value: str = "v") -> DataFrame:

@@ -124,11 +124,13 @@ def judge_documents(docs: DataFrame, host: str = "source", max_rate: float = MAX
     """Counts and verdict of every row, repeated rows included.
 
     ``kept`` is false if the row fails a rule itself or its host is rejected.
-    A null host is never rejected.  The counts are written once and read for
-    both the host sums and the join.
+    A null or empty text has no words and fails; a text may be of any length.
+    A null host is never rejected.  An empty table gives an empty result.
+    Other columns are ignored.  The counts are written once and read for both
+    the host sums and the join.
     """
     counts = write_table(rule_counts(docs, host), "counts").df
-    verdicts = host_verdicts(host_rates(counts), max_rate)
+    verdicts = write_table(host_verdicts(host_rates(counts), max_rate), "verdicts").df
     out = counts.join(verdicts, "host", "left")
     return out.select(
         "doc_id",
@@ -145,16 +147,16 @@ def judge_documents(docs: DataFrame, host: str = "source", max_rate: float = MAX
 
 
 def keep_good(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass the rules and whose host is not rejected.
+    """The rows of ``docs``, all columns, that pass the rules and whose host is not rejected; rows as in ``judge_documents``.
 
-    The row's own counts filter without any shuffle of texts; only the short
-    list of rejected hosts meets the rows.
+    Texts are judged in one pass, which writes the rows with a flag; the host
+    sums read the flag and the host of what was written.
     """
-    counts = rule_counts(docs.select("doc_id", "text", host), host)
-    rejected = host_verdicts(write_table(host_rates(counts), "rates").df, max_rate).where("host_failed").select("host")
     key, flag = free_name(docs, "host_key"), free_name(docs, "rule_failed")
     text = F.coalesce(F.col("text"), F.lit(""))
     failed = let(_words(text), lambda w: (F.size(w) < MIN_WORDS) | (100 * _repeats(w) > 50 * F.size(w)))
-    passed = docs.withColumn(flag, failed).where(~F.col(flag)).drop(flag)
-    rejected = rejected.select(F.col("host").alias(key))
-    return passed.join(rejected, F.col(host) == F.col(key), "left_anti")
+    marked = write_table(docs.withColumn(flag, failed), "marked").df
+    rates = host_rates(marked.select(F.col(host).alias("host"), F.col(flag).alias("base_failed")))
+    verdicts = host_verdicts(write_table(rates, "rates").df, max_rate)
+    rejected = write_table(verdicts.where("host_failed").select(F.col("host").alias(key)), "rejected").df
+    return marked.where(~F.col(flag)).drop(flag).join(rejected, F.col(host) == F.col(key), "left_anti")

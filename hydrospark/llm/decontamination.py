@@ -204,6 +204,8 @@ class Windows:
     def places(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """``at, item, item_at`` for each window of a text that is known."""
         likely = np.flatnonzero(self.seen[h >> np.uint64(64 - TOP_BITS)])
+        if not len(likely):
+            return
         low = np.searchsorted(self.hash, h[likely], "left")
         high = np.searchsorted(self.hash, h[likely], "right")
         for at, i, j in zip(likely[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):

@@ -38,10 +38,7 @@ class Table:
         self.df = spark.read.schema(schema).parquet(path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        _written.discard(self.path)
+        drop_path(self.spark, self.path)
 
 
 def write_table(df: DataFrame, name: str = "table", watch: str | None = None) -> Table:
@@ -97,10 +94,25 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return write_table(df, name).df
 
 
+def written() -> set[str]:
+    """Paths of what this process has written and not dropped."""
+    return set(_written)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
+def read_paths(df: DataFrame) -> str:
+    """The root paths of all files that ``df`` would read, one to a line."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = [leaves.apply(k) for k in range(leaves.size())]
+    return "\n".join(x.relation().location().rootPaths().mkString("\n") for x in found if x.getClass().getSimpleName() == "LogicalRelation")
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that this process has written; DataFrames that read them become invalid."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in list(_written):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-        _written.discard(path)
+    for path in written():
+        drop_path(spark, path)

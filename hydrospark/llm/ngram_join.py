@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.llm.columns import free_name
 from hydrospark.operators.components import connected_components
-from hydrospark.storage import write_table
+from hydrospark.storage import drop_path, write_table, written
 
 N = 5
 #: Two texts link where PERCENT * union <= 100 * intersection.
@@ -234,7 +234,10 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCENT
     Pairs and the rows they need grow with the corpus, so texts meet them in
     merge joins, at every size; only texts that are needed take part in two.
     """
-    pairs = write_table(pairs, "pairs").df.hint("merge")
+    kept = write_table(pairs, "pairs", watch="true")
+    if not kept.watched:  # then no text need be read
+        return kept.df.select("a", "b")
+    pairs = kept.df.hint("merge")
     needed = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct().hint("merge")
     texts = write_table(docs.select("row", "text").join(needed, "row", "left_semi"), "representatives").df
     left = pairs.join(texts.select(F.col("row").alias("row_a"), F.col("text").alias("ta")), "row_a").hint("merge")
@@ -292,7 +295,11 @@ def link_classes(docs: DataFrame, described: DataFrame, n: int = N, percent: int
     classes, shared = prepare(docs, described, n, percent)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return write_table(verify(suffix_filter(pairs, classes, percent), docs, n, percent), "links").df
+        before = written()
+        links = write_table(verify(suffix_filter(pairs, classes, percent), docs, n, percent), "links")
+        for path in written() - before - {links.path}:  # pairs and texts
+            drop_path(docs.sparkSession, path)
+        return links.df
 
     na, nb, pa_, pb = F.col("size"), F.col("size_b"), F.col("pos"), F.col("pos_b")
     heads = shared.groupBy("gram").agg(
@@ -354,7 +361,11 @@ def components_by_row(docs: DataFrame, row: str = "row", n: int = N, percent: in
     """``row, doc_id, n_shingles, cid`` of every row, and ``cid, label, least`` of every class: its component and the least id in that."""
     own = docs.select(F.col(row).alias("row"), "doc_id", "text")
     described = write_table(describe(own, n=n), "described").df
-    labels = write_table(link_classes(own, described, n, percent), "components").df
+    before = written()
+    components = write_table(link_classes(own, described, n, percent), "components")
+    for path in written() - before - {components.path}:  # what the search for links has left
+        drop_path(docs.sparkSession, path)
+    labels = components.df
     least = write_table(labels.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("classes")), "least").df
     alone = labels.join(least.where("classes > 1"), "label", "left").select("cid", "label", F.when(F.col("classes").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least"))
     return described.where("block is null").select("row", "doc_id", "n_shingles", "cid"), write_table(alone, "labels").df

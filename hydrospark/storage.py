@@ -108,8 +108,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def read_paths(df: DataFrame) -> str:
     """The root paths of all files that ``df`` would read, one to a line."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    found = [leaves.apply(k) for k in range(leaves.size())]
-    return "\n".join(x.relation().location().rootPaths().mkString("\n") for x in found if x.getClass().getSimpleName() == "LogicalRelation")
+    kind = lambda x: x.getClass().getSimpleName()
+    relations = [x.relation() for x in map(leaves.apply, range(leaves.size())) if kind(x) == "LogicalRelation"]
+    return "\n".join(x.location().rootPaths().mkString("\n") for x in relations if kind(x) == "HadoopFsRelation")
 
 
 def clear(spark: SparkSession) -> None:

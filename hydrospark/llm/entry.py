@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrospark.llm import chat_format, decontamination, host_rules, length_histogram, ngram_join, packing, quality_classifier, sharding, toxicity, url_filter
+from hydrospark.llm import chat_format, decontamination, host_rules, length_histogram, ngram_join, packing, quality_classifier, secret_scan, sharding, toxicity, url_filter
 from hydrospark.llm.sql import SQL
 
 
@@ -60,6 +60,10 @@ def op10_prefix_target(spark, sf_dir):
     return chat_format.read_back(chat_format.expand_targets(conversations))
 
 
+def op11_ownership_secrets(spark, sf_dir):
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_host_rules,
             op9_host_segmentation,
             op10_prefix_target,
+            op11_ownership_secrets,
         )
     }
 

@@ -78,3 +78,60 @@ WITH RECURSIVE w AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
 """
+
+_MATCHES = r"""
+SELECT r, doc_id, source, {kind} AS kind, {rank} AS rank, i,
+       CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s,
+       hits[i] AS hit, vals[i] AS v
+FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i
+      FROM (SELECT r, doc_id, source, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}) AS hits, regexp_extract_all(t, {pattern}, {group}) AS vals FROM d))
+"""
+_KINDS = {
+    "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2),
+    "access": (r"AKIA[A-Z0-9]{14,}", 0),
+    "hex": (r"[0-9a-f]{16,}", 0),
+    "pem": (r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\x20\t\r\n]*", 0),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0),
+    "vendor": (r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_|hf_)[A-Za-z0-9_-]{16,}", 0),
+    "random": (r"[A-Za-z0-9+/_-]{20,}={0,2}", 0),
+}
+_FOUND = " UNION ALL ".join(_MATCHES.format(kind=f"'{k}'", rank=n, pattern=f"'{p}'", group=g) for n, (k, (p, g)) in enumerate(_KINDS.items()))
+_KEPT = "base AS (SELECT * FROM f WHERE rank < 3)"
+for _n, _kind in enumerate(list(_KINDS)[3:]):
+    _before = f"kept{_n - 1}" if _n else "base"
+    _mixed = "AND odd AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')" if _kind == "random" else ""
+    _KEPT += f""", kept{_n} AS (
+  SELECT * FROM {_before} UNION ALL
+  SELECT * FROM f WHERE kind = '{_kind}' {_mixed} AND NOT EXISTS (SELECT 1 FROM {_before} b WHERE b.r = f.r AND b.s < f.e AND b.e > f.s))"""
+
+SQL["op11_ownership_secrets"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), m AS MATERIALIZED (
+  {_FOUND}
+), bits AS (
+  SELECT v, -sum(c / n * log2(c / n)) AS h
+  FROM (SELECT v, ch, count(*) AS c, any_value(n) AS n FROM (SELECT v, length(v) AS n, unnest(string_split(v, '')) AS ch FROM (SELECT DISTINCT v FROM m)) GROUP BY v, ch)
+  GROUP BY v
+), f AS MATERIALIZED (
+  SELECT r, doc_id, source, kind, rank, s, s + length(hit) AS e, v,
+         h >= 2.8 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+         AND NOT regexp_matches(v, '(?i)example|sample|dummy|changeme|placeholder|your_?|xxxx|test|1234567|abcdef') AS odd
+  FROM m JOIN bits USING (v) WHERE kind <> 'assign' OR length(v) >= 12
+), {_KEPT}, uses AS (
+  SELECT v, count(DISTINCT source) + max(CAST(source IS NULL AS INT)) AS owners FROM kept3 GROUP BY v
+), judged AS (
+  SELECT k.*, odd AND owners <= 1 AS live, odd AND owners > 1 AS copied, concat_ws(':', kind, s, e) AS span FROM kept3 k JOIN uses USING (v)
+), by_doc AS (
+  SELECT r,
+    count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3) AS base_spans,
+    string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3 OR live) AS spans,
+    string_agg(span, ',' ORDER BY s, rank) FILTER (live) AS live,
+    count(*) FILTER (copied) AS n_copied
+  FROM judged GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live, '') AS live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN by_doc USING (r)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrospark.llm import chat_format, decontamination, host_rules, length_histogram, ngram_join, packing, quality_classifier, secret_scan, sharding, toxicity, url_filter
+from hydrospark.llm import chat_format, decontamination, hard_negatives, host_rules, length_histogram, ngram_join, packing, quality_classifier, secret_scan, sharding, time_encoding, toxicity, url_filter
 from hydrospark.llm.sql import SQL
 
 
@@ -64,6 +64,14 @@ def op11_ownership_secrets(spark, sf_dir):
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_time_encoding(spark, sf_dir):
+    return time_encoding.encode(*(table(spark, sf_dir, x) for x in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -79,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_host_segmentation,
             op10_prefix_target,
             op11_ownership_secrets,
+            op12_hard_negatives,
+            op13_time_encoding,
         )
     }
 

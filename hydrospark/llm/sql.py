@@ -135,3 +135,59 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live, '') AS live, coalesce(n_copied, 0) AS n_copied
 FROM d LEFT JOIN by_doc USING (r)
 """
+
+_BEFORE = "RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
+_RATE = "CASE WHEN {n} < 1 THEN {p} ELSE (1000000 * {s} + 50 * {p}) // ({n} + 50) END"
+
+
+def _history(name: str, keys: str) -> str:
+    """Lines and returned lines of other folds at earlier times: all of the value less those of the own fold."""
+    of = lambda x, k: f"coalesce(sum({x}) OVER (PARTITION BY {k} ORDER BY sold_at {_BEFORE}), 0)"
+    return ", ".join(f"CAST({of(x, keys)} - {of(x, f'{keys}, fold')} AS BIGINT) AS {name}_{x}" for x in "ns")
+
+
+SQL["op13_time_encoding"] = rf"""
+WITH ids AS (
+  SELECT DISTINCT sale_id, CAST(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))) AS BIGINT) AS crc
+  FROM sales WHERE sale_id IS NOT NULL
+), c AS (
+  SELECT l.sale_id, coalesce(l.item_id, -1) AS item_id, l.vendor_id, coalesce(s.client_id, -1) AS client_id, s.sold_at,
+         xor(ids.crc, 4294967295) % 5 AS fold, count(*) AS n, count(*) FILTER (l.flag = 'returned') AS s
+  FROM sale_lines l JOIN sales s USING (sale_id) JOIN ids USING (sale_id) WHERE s.sold_at IS NOT NULL
+  GROUP BY ALL
+), k AS (
+  SELECT c.*, kind, v.nation_id, segment
+  FROM c LEFT JOIN items i USING (item_id) LEFT JOIN vendors v ON v.vendor_id = c.vendor_id LEFT JOIN clients p ON p.client_id = c.client_id
+), h AS (
+  SELECT *, {_history("a", "1")}, {_history("k", "kind")}, {_history("i", "item_id")}, {_history("o", "nation_id")}, {_history("v", "vendor_id")},
+         {_history("g", "segment")}, {_history("c", "client_id")}
+  FROM k
+), r AS (
+  SELECT *, {_RATE.format(n="a_n", s="a_s", p="500000")} AS a_r FROM h
+), q AS (
+  SELECT *, {", ".join(_RATE.format(n=f"{x}_n", s=f"{x}_s", p="a_r") + f" AS {x}_r" for x in "kog")} FROM r
+)
+SELECT sale_id, item_id, vendor_id, n AS n_lines, s AS n_returned,
+       {", ".join(f"{x}_n AS {name}_n, CAST({_RATE.format(n=f'{x}_n', s=f'{x}_s', p=f'{y}_r')} AS BIGINT) AS {name}_rate" for x, y, name in (("i", "k", "item"), ("v", "o", "vendor"), ("c", "g", "client")))}
+FROM q
+"""
+
+SQL["op12_hard_negatives"] = """
+WITH e AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN positive USING (anchor_id)
+WHERE label <> anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""

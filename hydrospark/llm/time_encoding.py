@@ -52,7 +52,8 @@ def sold_cells(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: Da
     own = own.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("flag") == "returned", 1)).alias("s"))
     sold = sales.where("sale_id is not null and sold_at is not null")
     sold = sold.select("sale_id", micros(sales, "sold_at").alias("t"), F.coalesce("client_id", F.lit(MISSING)).cast("long").alias("client_id"))
-    out = own.join(sold.hint("merge"), "sale_id")
+    sold = write_table(sold.groupBy("sale_id", "t", "client_id").agg(F.count(F.lit(1)).alias("times")), "sold").df
+    out = own.join(sold.hint("merge"), "sale_id").withColumns({x: F.col(x) * F.col("times") for x in "ns"}).drop("times")
     for df, (key, value) in zip((items, vendors, clients), FAMILIES, strict=True):
         out = out.join(lookup(df, key, value).hint("merge"), key, "left")
     fold = F.crc32(F.col("sale_id").cast("string").cast("binary")) % FOLDS
@@ -91,15 +92,18 @@ def openings(sums: DataFrame, slices: DataFrame, *keys: str) -> DataFrame:
     A value has at most one row for each slice.
     """
     names = [f"{p}{f}" for p in PARTS for f in range(FOLDS)]
+    sofar, last = names[: 2 * FOLDS], names[2 * FOLDS :]
+    nothing = lambda these: [F.lit(0).cast("long").alias(x) for x in these]
     before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    full = sums.select(*keys, "slice", *(F.coalesce(F.sum(f"{p}{f}").over(before), F.lit(0)).alias(f"{p}{f}") for p in PARTS[:2] for f in range(FOLDS)))
+    full = sums.select(*keys, "slice", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in sofar), *nothing(last))
     runs = sums.join(F.broadcast(slices.select("slice", "in_run", "out_run")), "slice")
     give = runs.join(F.broadcast(slices.where("in_run is not null").select(F.col("in_run").alias("out_run")).distinct()), "out_run", "left_semi")
-    give = give.select(*keys, "slice", F.col("out_run").alias("run"), *names[2 * FOLDS :], F.lit(False).alias("asks"))
-    ask = runs.where("in_run is not null").select(*keys, "slice", F.col("in_run").alias("run"), *(F.lit(0).cast("long").alias(x) for x in names[2 * FOLDS :]), F.lit(True).alias("asks"))
+    give = give.select(*keys, "slice", F.col("out_run").alias("run"), *last, F.lit(False).alias("asks"))
+    ask = runs.where("in_run is not null").select(*keys, "slice", F.col("in_run").alias("run"), *nothing(last), F.lit(True).alias("asks"))
     within = Window.partitionBy(*keys, "run").orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)
-    tied = give.unionByName(ask).select(*keys, "slice", "asks", *(F.coalesce(F.sum(x).over(within), F.lit(0)).alias(x) for x in names[2 * FOLDS :])).where("asks").drop("asks")
-    return full.join(tied.hint("merge"), [*keys, "slice"], "left").select(*keys, "slice", *names[: 2 * FOLDS], *(F.coalesce(x, F.lit(0)).alias(x) for x in names[2 * FOLDS :]))
+    tied = give.unionByName(ask).select(*keys, "slice", "asks", *nothing(sofar), *(F.coalesce(F.sum(x).over(within), F.lit(0)).alias(x) for x in last))
+    # put together by sums, since a join would lose null ids
+    return full.unionByName(tied.where("asks").drop("asks")).groupBy(*keys, "slice").agg(*(F.sum(x).alias(x) for x in names))
 
 
 def fold_sums() -> list[Column]:
@@ -192,8 +196,8 @@ def encode(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFr
     Null items and clients are the id -1.  A null vendor is a value of its
     own.  Ids without a row, or with a null kind, nation or segment, share
     one; of several rows of an id the least value counts.  Repeated lines
-    count as often as they are there; a sale with several rows is a sale for
-    each of its times and clients, whose rows stay apart.  Lines without a
+    count as often as they are there, and once for each row of their sale; a
+    sale with several times or clients has rows for each.  Lines without a
     sale or a time are left out.  Empty tables give empty results; other
     columns are ignored.
     """

@@ -61,8 +61,8 @@ def sold_cells(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: Da
     return out.select("sale_id", "item_id", "vendor_id", "client_id", *parents, "t", fold.cast("int").alias("fold"), "n", "s")
 
 
-def sliced(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells with ``slice, first, last`` (whether at the slice's first and last time), and the slices.
+def sliced(cells: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Cells with ``slice, first, last`` (whether at the slice's first and last time), the slices, and whether any share a time.
 
     There are as many slices as shuffle partitions.  A time with many sales
     may lie in several slices; ``in_run`` of a slice names the slices before
@@ -82,33 +82,40 @@ def sliced(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     slices = spark.createDataFrame(rows, "slice int, low long, high long, in_run int, out_run int")
     at = F.broadcast(slices.select("slice", "low", "high"))
     own = dealt.join(at, "slice").select(*dealt.columns, (F.col("t") == F.col("low")).alias("first"), (F.col("t") == F.col("high")).alias("last"))
-    return own, slices
+    return own, slices, any(r[3] is not None for r in rows)
 
 
-def openings(sums: DataFrame, slices: DataFrame, *keys: str) -> DataFrame:
+def openings(sums: DataFrame, slices: DataFrame, tied: bool, *keys: str) -> DataFrame:
     """For each value and slice, the sums by fold of all slices before, and of them those at the slice's first time.
 
     ``sums`` holds ``keys, slice`` and the sums of ``PARTS`` for each fold.
-    A value has at most one row for each slice.
+    A value has at most one row for each slice.  The second half is only
+    there if slices share a time at all (``tied``).
     """
-    names = [f"{p}{f}" for p in PARTS for f in range(FOLDS)]
+    names = fold_names(tied)
     sofar, last = names[: 2 * FOLDS], names[2 * FOLDS :]
     nothing = lambda these: [F.lit(0).cast("long").alias(x) for x in these]
     before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     full = sums.select(*keys, "slice", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in sofar), *nothing(last))
+    if not tied:
+        return full
     runs = sums.join(F.broadcast(slices.select("slice", "in_run", "out_run")), "slice")
     give = runs.join(F.broadcast(slices.where("in_run is not null").select(F.col("in_run").alias("out_run")).distinct()), "out_run", "left_semi")
     give = give.select(*keys, "slice", F.col("out_run").alias("run"), *last, F.lit(False).alias("asks"))
     ask = runs.where("in_run is not null").select(*keys, "slice", F.col("in_run").alias("run"), *nothing(last), F.lit(True).alias("asks"))
     within = Window.partitionBy(*keys, "run").orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)
-    tied = give.unionByName(ask).select(*keys, "slice", "asks", *nothing(sofar), *(F.coalesce(F.sum(x).over(within), F.lit(0)).alias(x) for x in last))
+    at_first = give.unionByName(ask).select(*keys, "slice", "asks", *nothing(sofar), *(F.coalesce(F.sum(x).over(within), F.lit(0)).alias(x) for x in last))
     # put together by sums, since a join would lose null ids
-    return full.unionByName(tied.where("asks").drop("asks")).groupBy(*keys, "slice").agg(*(F.sum(x).alias(x) for x in names))
+    return full.unionByName(at_first.where("asks").drop("asks")).groupBy(*keys, "slice").agg(*(F.sum(x).alias(x) for x in names))
 
 
-def fold_sums() -> list[Column]:
+def fold_names(tied: bool) -> list[str]:
+    return [f"{p}{f}" for p in PARTS[: 4 if tied else 2] for f in range(FOLDS)]
+
+
+def fold_sums(tied: bool) -> list[Column]:
     at = {"n": F.col("n"), "s": F.col("s"), "last_n": F.when(F.col("last"), F.col("n")), "last_s": F.when(F.col("last"), F.col("s"))}
-    return [F.coalesce(F.sum(F.when(F.col("fold") == f, at[p])), F.lit(0)).alias(f"{p}{f}") for p in PARTS for f in range(FOLDS)]
+    return [F.coalesce(F.sum(F.when(F.col("fold") == int(x[-1]), at[x[:-1]])), F.lit(0)).alias(x) for x in fold_names(tied)]
 
 
 def _strictly_before(group: np.ndarray, t: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -129,12 +136,13 @@ def _history(code: np.ndarray, rows: dict[str, np.ndarray], opened: np.ndarray)
     """Lines and returned lines of other folds before each row: what the slice opened with, and what it holds itself.
 
     ``opened[value, part, fold]`` holds the opening sums; at the slice's first
-    time, those of slices before at the same time don't count.
+    time, those of slices before at the same time don't count.  They are in
+    the last two parts, if there are any.
     """
     fold, values = rows["fold"], np.stack([rows["n"], rows["s"]], axis=1)
     inside = _strictly_before(code, rows["t"], values) - _strictly_before(code.astype(np.int64) * FOLDS + fold, rows["t"], values)
     other = opened.sum(axis=2)[code] - opened[code, :, fold]
-    return inside + other[:, :2] - np.where(rows["first"][:, None], other[:, 2:], 0)
+    return inside + other[:, :2] - (np.where(rows["first"][:, None], other[:, 2:], 0) if other.shape[1] > 2 else 0)
 
 
 def _sweep(left: pa.Table, right: pa.Table, child: str, parent: str) -> pa.Table:
@@ -142,13 +150,14 @@ def _sweep(left: pa.Table, right: pa.Table, child: str, parent: str) -> pa.Table
     if not left.num_rows:
         return pa.table({**{c: left.column(c) for c in left.column_names}, **{f"{x}_{y}": pa.array([], pa.int64()) for x in (child, parent) for y in "ns"}})
     rows = {c: left.column(c).to_numpy() for c in ("t", "fold", "n", "s", "first")}
-    state = np.stack([np.stack([right.column(f"{p}{f}").to_numpy() for f in range(FOLDS)], axis=1) for p in PARTS], axis=1)
+    parts = [p for p in PARTS if f"{p}0" in right.column_names]
+    state = np.stack([np.stack([right.column(f"{p}{f}").to_numpy() for f in range(FOLDS)], axis=1) for p in parts], axis=1)
     whole = right.column("whole").to_numpy()
     # ids of both sides as numbers from 0, a null id like any other
     both = pa.chunked_array([pa.concat_arrays([*left.column(child).chunks, *right.column(child).filter(pa.array(~whole)).chunks])])
     codes = pc.dictionary_encode(both, null_encoding="encode").chunk(0).indices.to_numpy().astype(np.int64)
     code, known = codes[: left.num_rows], codes[left.num_rows :]
-    opened = np.zeros((codes.max() + 1, len(PARTS), FOLDS), dtype=np.int64)
+    opened = np.zeros((codes.max() + 1, len(parts), FOLDS), dtype=np.int64)
     opened[known] = state[~whole]
     of_child = _history(code, rows, opened)
     of_parent = _history(np.zeros_like(code), rows, state[whole])
@@ -157,27 +166,26 @@ def _sweep(left: pa.Table, right: pa.Table, child: str, parent: str) -> pa.Table
     return pa.table(out)
 
 
-def with_family(cells: DataFrame, base: DataFrame, slices: DataFrame, child: str, parent: str) -> DataFrame:
+def with_family(cells: DataFrame, base: DataFrame, slices: DataFrame, tied: bool, child: str, parent: str) -> DataFrame:
     """``cells`` with the history counts of a child column and of its parent."""
-    sums = write_table(base.groupBy(parent, child, "slice").agg(*fold_sums()), "sums").df
-    names = [f"{p}{f}" for p in PARTS for f in range(FOLDS)]
-    of_child = openings(sums, slices, parent, child).withColumn("whole", F.lit(False))
-    of_parent = openings(sums.groupBy(parent, "slice").agg(*(F.sum(x).alias(x) for x in names)), slices, parent)
+    sums = write_table(base.groupBy(parent, child, "slice").agg(*fold_sums(tied)), "sums").df
+    of_child = openings(sums, slices, tied, parent, child).withColumn("whole", F.lit(False))
+    of_parent = openings(sums.groupBy(parent, "slice").agg(*(F.sum(x).alias(x) for x in fold_names(tied))), slices, tied, parent)
     of_parent = of_parent.withColumns({child: F.lit(None).cast("long"), "whole": F.lit(True)})
-    opened = of_child.unionByName(of_parent)
-    opened = write_table(opened, "openings").df
+    opened = write_table(of_child.unionByName(of_parent), "openings").df
     schema = ", ".join([f"{c} {t}" for c, t in cells.dtypes] + [f"{x}_{y} long" for x in (child, parent) for y in "ns"])
     return cells.groupBy(parent, "slice").cogroup(opened.groupBy(parent, "slice")).applyInArrow(lambda left, right: _sweep(left, right, child, parent), schema)
 
 
-def with_total(cells: DataFrame, base: DataFrame, slices: DataFrame) -> DataFrame:
+def with_total(cells: DataFrame, slices: DataFrame, tied: bool) -> DataFrame:
     """``cells`` with ``all_n, all_s``: the history over everything, scanned slice by slice."""
-    opened = openings(base.groupBy(F.lit(0).alias("every"), "slice").agg(*fold_sums()), slices, "every").drop("every")
+    opened = openings(cells.groupBy(F.lit(0).alias("every"), "slice").agg(*fold_sums(tied)), slices, tied, "every").drop("every")
     before = lambda *keys: Window.partitionBy("slice", *keys).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
     inside = {f"all_{x}": F.coalesce(F.sum(x).over(before()), F.lit(0)) - F.coalesce(F.sum(x).over(before("fold")), F.lit(0)) for x in "ns"}
     other = lambda part: sum((F.when(F.col("fold") != f, F.col(f"{part}{f}")).otherwise(0) for f in range(FOLDS)), F.lit(0))
     out = cells.withColumns(inside).join(F.broadcast(opened), "slice")  # one row for each slice
-    return out.select(*cells.columns, *((F.col(f"all_{x}") + other(x) - F.when(F.col("first"), other(f"last_{x}")).otherwise(0)).alias(f"all_{x}") for x in "ns"))
+    again = lambda x: F.when(F.col("first"), other(f"last_{x}")).otherwise(0) if tied else F.lit(0)
+    return out.select(*cells.columns, *((F.col(f"all_{x}") + other(x) - again(x)).alias(f"all_{x}") for x in "ns"))
 
 
 def rate(n: str, s: str, prior: str) -> str:
@@ -201,13 +209,14 @@ def encode(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFr
     sale or a time are left out.  Empty tables give empty results; other
     columns are ignored.
     """
-    base, slices = sliced(sold_cells(lines, sales, items, vendors, clients))
-    out = with_total(base, base, slices)
+    base, slices, tied = sliced(sold_cells(lines, sales, items, vendors, clients))
+    out = with_total(base, slices, tied)
+    out = out.withColumn("all_rate", F.expr(rate("all_n", "all_s", f"{FIRST_PRIOR}L"))).drop("all_n", "all_s", "last")
     for child, parent in FAMILIES:
-        out = with_family(out, base, slices, child, parent)
-    out = out.withColumn("all_rate", F.expr(rate("all_n", "all_s", f"{FIRST_PRIOR}L")))
-    out = out.withColumns({f"{p}_rate": F.expr(rate(f"{p}_n", f"{p}_s", "all_rate")) for _, p in FAMILIES})
-    counts = [F.col(f"{c}_n").alias(f"{c.removesuffix('_id')}_n") for c, _ in FAMILIES]
-    rates = [F.expr(rate(f"{c}_n", f"{c}_s", f"{p}_rate")).alias(f"{c.removesuffix('_id')}_rate") for c, p in FAMILIES]
-    ordered = [x for pair in zip(counts, rates, strict=True) for x in pair]
-    return out.select("sale_id", "item_id", "vendor_id", F.col("n").alias("n_lines"), F.col("s").alias("n_returned"), *ordered)
+        name = child.removesuffix("_id")
+        out = with_family(out, base, slices, tied, child, parent)
+        shrunk = rate(f"{child}_n", f"{child}_s", rate(f"{parent}_n", f"{parent}_s", "all_rate"))
+        # a sweep hands on what is asked for and drops what no later one needs
+        out = out.withColumns({f"{name}_n": F.col(f"{child}_n"), f"{name}_rate": F.expr(shrunk)}).drop(parent, *(f"{x}_{y}" for x in (child, parent) for y in "ns" if f"{x}_{y}" != f"{name}_n"))
+    counts = [f"{c.removesuffix('_id')}_{x}" for c, _ in FAMILIES for x in ("n", "rate")]
+    return out.select("sale_id", "item_id", "vendor_id", F.col("n").alias("n_lines"), F.col("s").alias("n_returned"), *counts)

@@ -193,41 +193,94 @@ def upstream_lengths(flow: DataFrame, width: int) -> DataFrame:
     return made.join(own.select("cell", "len"), "cell").select("cell", "longest", (F.col("total") - F.col("len")).alias("total"))
 
 
-def jumps(flow: DataFrame) -> list[DataFrame]:
-    """Tables ``cell, nxt`` of the 1st, 2nd, 4th, ... successors, as long as there are any."""
-    out = [write_table(flow.where("nxt is not null").select("cell", "nxt"), "jump").df]
-    for _ in range(MAX_ROUNDS):
-        last = out[-1]
-        twice = last.join(last.select(F.col("cell").alias("nxt"), F.col("nxt").alias("far")), "nxt").select("cell", F.col("far").alias("nxt"))
-        new = write_table(twice, "jump", watch="true")
-        if not new.watched:
-            return out
-        out.append(new.df)
-    raise ValueError("the flow graph has a cycle")
+#: Kinds of cells in the rounds of ``strahler``: known, one inflow unknown, more inflows unknown.
+KNOWN, CHAIN, FORK = 0, 1, 2
 
 
-def strahler(flow: DataFrame) -> DataFrame:
-    """``cell, strahler``.
+def _one_unknown(lo: Column, q: Column, x: Column) -> Column:
+    """Order of a cell below an order ``x``: ``q`` below ``lo``, one more up to ``q``, and ``x`` itself above."""
+    return F.when(x < lo, q).when(x <= q, q + 1).otherwise(x)
+
 
-    A cell has order k + 1 or more where some cell at or above it has two
-    inflows of order k or more, so each order takes one closure over the
-    stored jumps, on sets that shrink by order.
+def _composed(lo: Column, q: Column, lo_up: Column, q_up: Column) -> tuple[Column, Column]:
+    """The function of ``lo, q`` after that of ``lo_up, q_up``, which is of the same form."""
+    never = lambda v: v + 1  # noqa: E731  the lower bound at which no step is left
+    new_lo = F.when(q < q_up, lo_up).when(q == q_up, F.when(lo <= q, never(q + 1)).otherwise(lo_up)).when(q_up >= lo, never(q + 1)).when(q_up + 1 == lo, lo_up).otherwise(lo)
+    new_q = F.when(q < q_up, q_up).when(q == q_up, F.when(lo <= q, q + 1).otherwise(q)).when(q_up >= lo, q + 1).otherwise(q)
+    return new_lo, new_q
+
+
+def strahler(flow: DataFrame) -> DataFrame:
+    """``cell, strahler``, by contraction of the tree.
+
+    A cell whose inflows are all known but one is a function of that one's
+    order, ``_one_unknown``, and such functions compose.  So in a round a cell
+    with one unknown inflow takes over the function and the inflow of the cell
+    it waits for, which halves every chain, and cells with more unknown
+    inflows take in the orders found in the round before.  Rounds grow with
+    the logarithm of the number of cells; each is one written table and reads
+    only the last one's cells that are still unknown or were found in it.
     """
-    ahead = jumps(flow)
-    levels = flow.select("cell", F.lit(1).alias("strahler"))
-    members = flow.select("cell")
-    for order in range(2, 64):
-        inflow = ahead[0].join(members, "cell", "left_semi").groupBy(F.col("nxt").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-        reached = inflow.where("n >= 2").select("cell")
-        for jump in ahead:
-            reached = reached.union(jump.join(reached, "cell", "left_semi").select(F.col("nxt").alias("cell"))).distinct()
-        table = write_table(reached, "order", watch="true")
-        if not table.watched:
-            break
-        kept = table.df
-        members = kept
-        levels = levels.union(kept.select("cell", F.lit(order).alias("strahler")))
-    return levels.groupBy("cell").agg(F.max("strahler").alias("strahler")).join(flow.select("cell"), "cell", "left_semi")
+    cells = flow.select("cell", F.col("nxt").alias("to"))
+    into = cells.where("to is not null").groupBy(F.col("to").alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum("cell").alias("ids"))
+    none = F.lit(0).cast("int")
+    first = cells.join(into, "cell", "left").select(
+        "cell",
+        "to",
+        F.when(F.col("n").isNull(), KNOWN).when(F.col("n") == 1, CHAIN).otherwise(FORK).alias("kind"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        F.coalesce("ids", F.lit(0)).cast("long").alias("ids"),  # the sum of unknown inflows: the last one is told by it
+        none.alias("top"),
+        none.alias("twice"),
+        (none + 1).alias("lo"),
+        none.alias("q"),
+        F.when(F.col("n").isNull(), 1).cast("int").alias("strahler"),
+    )
+    columns = first.columns
+    open_ = f"kind <> {KNOWN}"
+    tables = [write_table(first, "orders", watch=open_)]
+    for _ in range(2 * MAX_ROUNDS):
+        if not tables[-1].watched:
+            return read_tables(tables).where(f"kind = {KNOWN}").select("cell", "strahler")
+        last = tables[-1].df
+        known = last.where(f"kind = {KNOWN}")
+        # a chain cell whose inflow is known is done, and so is one that waits for such a cell; the others skip the cell they wait for
+        at = known.select(F.col("cell").alias("ids"), F.col("strahler").alias("known_"))
+        chains = last.where(f"kind = {CHAIN}").join(at, "ids", "left").withColumn("strahler", F.when(F.col("known_").isNotNull(), _one_unknown(F.col("lo"), F.col("q"), F.col("known_"))).cast("int"))
+        ahead = chains.select(F.col("cell").alias("ids"), F.col("ids").alias("ids_"), F.col("lo").alias("lo_"), F.col("q").alias("q_"), F.col("strahler").alias("strahler_"))
+        chains = chains.join(ahead, "ids", "left")
+        lo, q = _composed(F.col("lo"), F.col("q"), F.col("lo_"), F.col("q_"))
+        order = F.coalesce("strahler", F.when(F.col("strahler_").isNotNull(), _one_unknown(F.col("lo"), F.col("q"), F.col("strahler_"))))
+        chains = chains.withColumns({
+            "strahler": order.cast("int"),
+            "kind": F.when(order.isNotNull(), KNOWN).otherwise(CHAIN),
+            "ids": F.coalesce("ids_", "ids"),
+            "lo": F.when(F.col("ids_").isNotNull(), lo).otherwise(F.col("lo")).cast("int"),
+            "q": F.when(F.col("ids_").isNotNull(), q).otherwise(F.col("q")).cast("int"),
+        })
+        # a fork takes in what was found in the round before
+        best = known.where("to is not null").groupBy(F.col("to").alias("cell"), "strahler").agg(F.count(F.lit(1)).alias("m"), F.sum("cell").alias("i"))
+        best = best.groupBy("cell").agg(F.max(F.struct("strahler", (F.col("m") > 1).cast("int").alias("twice"))).alias("b"), F.sum("m").alias("m"), F.sum("i").alias("i"))
+        forks = last.where(f"kind = {FORK}").join(best, "cell", "left")
+        b, b2 = F.coalesce("b.strahler", F.lit(0)), F.coalesce("b.twice", F.lit(0))
+        forks = forks.withColumns({
+            "top": F.greatest("top", b).cast("int"),
+            "twice": F.when(b > F.col("top"), b2).when(b < F.col("top"), F.col("twice")).otherwise(F.when(b > 0, 1).otherwise(0)).cast("int"),
+            "n": F.col("n") - F.coalesce("m", F.lit(0)),
+            "ids": F.col("ids") - F.coalesce("i", F.lit(0)),
+        })
+        value = F.col("top") + F.col("twice")
+        forks = forks.withColumns({
+            "kind": F.when(F.col("n") == 0, KNOWN).when(F.col("n") == 1, CHAIN).otherwise(FORK),
+            "strahler": F.when(F.col("n") == 0, value).cast("int"),
+            # with two of the greatest order known, one more of it changes nothing
+            "lo": F.when(F.col("twice") == 1, value + 1).otherwise(F.col("top")).cast("int"),
+            "q": value.cast("int"),
+        })
+        tables.append(write_table(chains.select(columns).unionByName(forks.select(columns)), "orders", watch=open_))
+    for t in tables:
+        t.drop()
+    raise ValueError("the flow graph has a cycle")
 
 
 def pass_levels(passes: DataFrame, out: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from hydrospark.functions.cells import (
     signed_byte,
     unsigned_byte,
 )
-from hydrospark.operators import algebra, basins, flow, slope, stencil, vector
+from hydrospark.operators import algebra, basins, flats, flow, slope, stencil, vector
 from hydrospark.plans import pipelines
 from hydrospark.plans.oracles import SQL, TH
 from hydrospark.sources import fixtures, geojson, geotiff, records, shapefile, tiles
@@ -132,6 +132,13 @@ def f5_d8_direction(s):
     return stencil.d8(s.cells).select("x", "y", "dir", F.round("slope", 8).alias("slope"))
 
 
+@query
+def f5_drain_directions(s):
+    """Directions on the filled surface, flats included: every cell inside the rim has one and drains off the grid."""
+    filled = flow.fill_pits(s.cells, s.d8, s.w, s.h).select("x", "y", F.col("filled").alias("z"))
+    return flats.drain_directions(materialize(filled, "filled")).select("x", "y", "dir", F.round("slope", 8).alias("slope"))
+
+
 @query
 def g2_flow_accumulation(s):
     return s.acc

@@ -370,8 +370,26 @@ FILLED = (
       SELECT n.ny * 100 + n.nx, min(greatest(n.nz, f.w)) FROM fill f JOIN near0 n ON n.y * 100 + n.x = f.cell LEFT JOIN recurring.fill r ON r.cell = n.ny * 100 + n.nx
       WHERE r.w IS NULL OR greatest(n.nz, f.w) < r.w GROUP BY 1)""",
     "cells AS (SELECT CAST(cell % 100 AS INT) AS x, CAST(cell // 100 AS INT) AS y, w AS z FROM fill)",
-    "near AS" + GRID.split("near AS")[1],
+    "near AS" + GRID.split("near AS")[1].split("flow AS")[0].replace("d8 AS", "steep AS").rstrip().rstrip(","),
+    "around AS (SELECT x, y, count(*) AS n, min(slope) AS rise FROM near GROUP BY x, y)",
+    "level AS (SELECT x, y, n, rise FROM around ANTI JOIN steep USING (x, y))",
+    """low AS (SELECT n.x, n.y, min(n.dir) AS dir FROM near n WHERE slope = 0
+      AND ((nx, ny) IN (SELECT (x, y) FROM steep) OR (nx, ny) IN (SELECT (x, y) FROM level WHERE n < 8)) GROUP BY 1, 2)""",
+    "flat AS (SELECT x, y, rise < 0 AS below, dir AS low FROM level LEFT JOIN low USING (x, y) WHERE n = 8)",
+    *(
+        f"""{name}(x, y, d) USING KEY (x, y) AS (SELECT x, y, 1 FROM flat WHERE {start} UNION
+          SELECT n.nx, n.ny, min(t.d + 1) FROM {name} t JOIN near n ON n.x = t.x AND n.y = t.y AND n.slope = 0 JOIN flat f ON f.x = n.nx AND f.y = n.ny
+          LEFT JOIN recurring.{name} r ON r.x = n.nx AND r.y = n.ny WHERE r.d IS NULL GROUP BY 1, 2)"""
+        for name, start in (("towards", "low IS NOT NULL"), ("away", "below"))
+    ),
+    "grade AS (SELECT t.x, t.y, 2 * t.d - coalesce(a.d, 0) AS g FROM towards t LEFT JOIN away a USING (x, y))",
+    """gentle AS (SELECT x, y, low AS dir FROM flat WHERE low IS NOT NULL UNION ALL
+      SELECT f.x, f.y, arg_min(n.dir, g.g * 10 + n.dir) FROM flat f JOIN near n ON n.x = f.x AND n.y = f.y AND n.slope = 0 JOIN grade g ON g.x = n.nx AND g.y = n.ny
+      WHERE low IS NULL GROUP BY 1, 2)""",
+    "d8 AS (SELECT x, y, dir, slope, nx, ny FROM steep UNION ALL SELECT g.x, g.y, g.dir, 0.0, g.x + dx, g.y + dy FROM gentle g JOIN off USING (dir))",
+    "flow AS" + GRID.split("flow AS")[1],
 )
+SQL["f5_drain_directions"] = sql(*FILLED, select="SELECT x, y, dir, round(slope, 8) AS slope FROM d8")
 SQL["p2_from_elevation"] = sql(
     *FILLED, PATH, *REVISED, LABELS, BUFFER, DRY, GROUPS, SLOPES,
     "gone AS (SELECT cell FROM slopes UNION SELECT cell FROM water)",

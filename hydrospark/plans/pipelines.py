@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.functions.cells import WATER, cell_key, code_8
-from hydrospark.operators import algebra, flow, slope, stencil, vector
+from hydrospark.operators import algebra, flats, flow, slope, stencil, vector
 from hydrospark.storage import materialize
 
 
@@ -113,11 +113,11 @@ def flagship(
 
 
 def from_elevation(dem: DataFrame, water: DataFrame, width: int, height: int, river_th: float, mode: str = "group", fill: bool = True) -> dict[str, DataFrame]:
-    """From a raw elevation grid (``x, y, z``): pits filled, directions, accumulation, then ``from_layers``."""
+    """From a raw elevation grid (``x, y, z``): pits filled, directions down and over flats, accumulation, then ``from_layers``."""
     if fill:
         raw = materialize(stencil.d8(dem), "d8-raw")
         dem = materialize(flow.fill_pits(dem, raw, width, height).select("x", "y", F.col("filled").alias("z")), "filled")
-    d8 = materialize(stencil.d8(dem), "d8")
+    d8 = materialize(flats.drain_directions(dem), "directions")
     graph = materialize(flow.flow_graph(dem, d8, width, height), "graph")
     acc = materialize(flow.accumulation(graph), "acc")
     return from_layers(dem, graph, acc, water, width, height, river_th, mode)

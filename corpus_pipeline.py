@@ -1,68 +1,45 @@
 """A corpus from raw documents to packed training sequences, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
-writes what a stage returns and hands the next stage the written table.  What
-a stage keeps in the shared folder for itself is dropped when the next stage
-starts on rows that no longer read it.
+writes what a stage returns and hands the next stage the written table, so
+what the stage has kept in the shared folder for itself can go.  A stage that
+is called alone drops nothing: its tables last as long as its result is read,
+until ``storage.clear``.  The result of ``run`` reads tables of its last stage
+and stays readable whatever is run after it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from hydrospark.llm import decontamination, host_rules, ngram_join, packing, quality_classifier
-from hydrospark.storage import drop_path, read_paths, write_table, written
+from hydrospark.storage import drop_path, write_table, written
 
 #: Tokenizers and hashed models have no SQL form; a test runs the stages against plain Python.
 ORACLE_SQL = None
-#: Paths that earlier stages have written for themselves.
-_left: set[str] = set()
-
-
-def _stage(work: Callable) -> Callable:
-    @wraps(work)
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = read_paths(docs) if _left else ""
-        for path in [p for p in _left if p.rsplit("/", 1)[-1] not in read]:
-            drop_path(spark, path)
-            _left.discard(path)
-        before = written()
-        out = work(spark, docs, sf_dir)
-        _left.update(written() - before)
-        return out
-
-    return stage
 
 
-@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from labels of the documents given."""
     model = quality_classifier.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.keep_quality(docs, model)
 
 
-@_stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does."""
     return host_rules.keep_good(docs)
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by n-gram similarity."""
     return ngram_join.keep_one(docs)
 
 
-@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     return decontamination.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     return packing.pack_documents(docs)
@@ -78,11 +55,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """All stages over ``documents``; of what this run has written, what the last stage reads and has written is left."""
+    docs, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), set()
     for name, stage in STAGES[:-1]:
+        before = written()
         table = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        if last:
-            last.drop()
-        docs, last = table.df, table
+        # the next stage reads the written table alone
+        for path in own | (written() - before - {table.path}):
+            drop_path(spark, path)
+        docs, own = table.df, {table.path}
     return STAGES[-1][1](spark, docs, sf_dir)

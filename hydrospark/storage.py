@@ -105,14 +105,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _written.discard(path)
 
 
-def read_paths(df: DataFrame) -> str:
-    """The root paths of all files that ``df`` would read, one to a line."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    kind = lambda x: x.getClass().getSimpleName()
-    relations = [x.relation() for x in map(leaves.apply, range(leaves.size())) if kind(x) == "LogicalRelation"]
-    return "\n".join(x.location().rootPaths().mkString("\n") for x in relations if kind(x) == "HadoopFsRelation")
-
-
 def clear(spark: SparkSession) -> None:
     """Delete every table that this process has written; DataFrames that read them become invalid."""
     for path in written():

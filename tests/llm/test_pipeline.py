@@ -136,3 +136,20 @@ def test_pipeline_on_an_empty_table(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_results_outlive_later_runs(spark, folder):
+    from hydrospark.storage import written
+
+    before = written()
+    first = corpus_pipeline.run(spark, folder)
+    left = len(written() - before)
+    second = corpus_pipeline.run(spark, folder)
+    assert len(written() - before) == 2 * left <= 6  # what stages kept for themselves is gone
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    a = corpus_pipeline.pack(spark, docs, folder)
+    b = corpus_pipeline.near_duplicates(spark, docs, folder)
+    again = [corpus_pipeline.pack(spark, docs, folder), corpus_pipeline.near_duplicates(spark, docs, folder)]
+    key = lambda df: sorted(map(str, df.drop("sequence_id", "offset").collect()))
+    assert key(first) == key(second) and len(key(first)) > 0
+    assert key(a) == key(again[0]) and key(b) == key(again[1])

@@ -29,7 +29,8 @@ from hydrospark.operators import algebra, basins, flats, flow, slope, stencil, v
 from hydrospark.plans import pipelines
 from hydrospark.plans.oracles import SQL, TH
 from hydrospark.sources import fixtures, geojson, geotiff, records, shapefile, tiles
-from hydrospark.storage import materialize, scratch, write_files
+from hydrospark.sources.byte_ranges import write_files
+from hydrospark.storage import materialize, scratch
 
 
 class Scene:
@@ -597,6 +598,18 @@ def a13_folder_to_shapefiles(s):
     return found.select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), F.size("rings").alias("n_rings"), F.col("properties")["DN"].alias("dn"), F.col("properties")["kind"].alias("kind"))
 
 
+@query
+def a13_folder_to_geojson(s):
+    """A folder of shapefiles to a folder of GeoJSON files of the same names, their features as read again."""
+    source, target = scratch(s.spark, "shapes"), scratch(s.spark, "geojson")
+    write_files(shapefile.files(lake_shapes(s)), source)
+    rows = shapefile.to_geojson(shapefile.read(s.spark, source))
+    write_files(geojson.collections(rows.withColumn("file", F.regexp_extract("file", "([^/]+)$", 1))), target)
+    found = geojson.read_folder(s.spark, target).select(F.col("name").alias("file"), F.explode(geojson.features(F.col("doc"))).alias("f"))
+    props = geojson.properties(F.col("f"))
+    return found.select("file", props["name"].alias("name"), props["DN"].alias("dn"), F.size(geojson.polygons(F.col("f"))[0][0]).alias("n_points"))
+
+
 @query
 def b13_on_edge(s):
     edge = on_edge(F.col("x"), F.col("y"), F.lit(0), F.lit(s.h - 1), F.lit(s.w - 1), F.lit(0))

@@ -390,6 +390,9 @@ FILLED = (
     "flow AS" + GRID.split("flow AS")[1],
 )
 SQL["f5_drain_directions"] = sql(*FILLED, select="SELECT x, y, dir, round(slope, 8) AS slope FROM d8")
+SQL["a13_folder_to_geojson"] = sql(
+    GRID, LAKES, select="SELECT 'lakes' || (k % 3) AS file, lpad(CAST(k AS VARCHAR), 6, '0') AS name, CAST(k % 7 AS VARCHAR) AS dn, CAST(5 AS INT) AS n_points FROM rect"
+)
 SQL["p2_from_elevation"] = sql(
     *FILLED, PATH, *REVISED, LABELS, BUFFER, DRY, GROUPS, SLOPES,
     "gone AS (SELECT cell FROM slopes UNION SELECT cell FROM water)",

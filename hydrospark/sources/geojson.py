@@ -62,6 +62,13 @@ def merge(docs: DataFrame, order: str = "name") -> DataFrame:
     return listed.select(F.concat(F.lit(f'{{"type":"FeatureCollection","crs":{CRS84},"features":['), body, F.lit("]}")).alias("doc"))
 
 
+def collections(features_: DataFrame) -> DataFrame:
+    """``name, content``: a FeatureCollection for each ``file``, of its features ``doc`` in order of ``fid``, as a file of that name."""
+    listed = features_.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("fid", "doc"))).alias("a"))
+    body = F.array_join(F.transform("a", lambda s: s["doc"]), ",")
+    return listed.select(F.concat("file", F.lit(".geojson")).alias("name"), F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("content"))
+
+
 def update_properties(docs: DataFrame, new: Column) -> DataFrame:
     """``name, doc`` with the first feature's properties updated."""
     f = first_feature(F.col("doc"))

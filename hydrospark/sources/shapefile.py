@@ -1,97 +1,236 @@
-"""Polygon shapefiles: read to rings and attributes, and written from them."""
+"""Polygon shapefiles: read to rings and attributes, and written from them.
+
+A file of any size is read by runs of records, which the ``.shx`` file locates
+in the ``.shp`` file; attributes have a fixed size, so a task reads those of
+its own records.  From a store that only Spark can open, files are read whole.
+"""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from hydrospark.sources.byte_ranges import list_files, open_store, reader_at
 
 POLYGON = 5
+#: Bytes of shapes in a task's run of records, about.
+RUN_BYTES = 32 << 20
+#: Greatest width of an attribute, in bytes, and of its name.
+WIDEST, NAME_BYTES = 254, 10
+ROWS = "file string, fid long, rings array<array<struct<x:double,y:double>>>, properties map<string,string>"
+POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+ROW_TYPES = [pa.string(), pa.int64(), pa.list_(pa.list_(POINT)), pa.map_(pa.string(), pa.string())]
+
+
+def shape(data: bytes, body: int) -> list[list[tuple[float, float]]]:
+    """The rings of the shape that begins at ``body``; a null shape has none."""
+    if struct.unpack_from("<i", data, body)[0] % 10 != POLYGON:
+        return []
+    parts, points = struct.unpack_from("<ii", data, body + 36)
+    starts = [*struct.unpack_from(f"<{parts}i", data, body + 44), points]
+    flat = struct.unpack_from(f"<{2 * points}d", data, body + 44 + 4 * parts)
+    xy = list(zip(flat[::2], flat[1::2], strict=True))
+    return [xy[a:b] for a, b in zip(starts, starts[1:], strict=False)]
 
 
-def rings(data: bytes) -> list[list[list[tuple[float, float]]]]:
-    """The rings of each record of a ``.shp`` file; null shapes have none."""
-    out, at = [], 100
+def records(data: bytes, at: int = 100) -> list[tuple[int, int]]:
+    """Start and bytes of the shapes of a ``.shp`` file, in order."""
+    out = []
     while at + 8 <= len(data):
         size = struct.unpack_from(">I", data, at + 4)[0] * 2
-        body = at + 8
-        kind = struct.unpack_from("<i", data, body)[0]
-        own = []
-        if kind % 10 == POLYGON:
-            parts, points = struct.unpack_from("<ii", data, body + 36)
-            starts = [*struct.unpack_from(f"<{parts}i", data, body + 44), points]
-            flat = struct.unpack_from(f"<{2 * points}d", data, body + 44 + 4 * parts)
-            xy = list(zip(flat[::2], flat[1::2], strict=True))
-            own = [xy[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-        out.append(own)
-        at = body + size
+        out.append((at + 8, size))
+        at += 8 + size
     return out
 
 
-def attributes(data: bytes, encoding: str = "utf-8") -> list[dict[str, str]]:
-    """The records of a ``.dbf`` file as texts; deleted ones keep their place as empty."""
-    count, header, size = struct.unpack_from("<IHH", data, 4)
-    fields, at = [], 32
-    while data[at] != 0x0D:
-        fields.append((data[at : at + 11].split(b"\0")[0].decode("ascii"), data[at + 16]))
+def fields(head: bytes, encoding: str) -> tuple[int, int, int, list[tuple[str, int]]]:
+    """Records, bytes of the header and of a record, and name and width of each attribute of a ``.dbf`` file."""
+    count, header, size = struct.unpack_from("<IHH", head, 4)
+    found, at = [], 32
+    while at < header - 1 and head[at] != 0x0D:
+        found.append((head[at : at + 11].split(b"\0")[0].decode(encoding, "replace"), head[at + 16]))
         at += 32
+    return count, header, size, found
+
+
+def attributes(data: bytes, size: int, named: list[tuple[str, int]], encoding: str = "utf-8") -> list[dict[str, str]]:
+    """Records of a ``.dbf`` file as texts; deleted ones keep their place as empty."""
     out = []
-    for k in range(count):
-        row = data[header + k * size : header + (k + 1) * size]
-        own, pos = {}, 1
-        for name, width in fields:
+    for k in range(len(data) // size):
+        row, own, pos = data[k * size : (k + 1) * size], {}, 1
+        for name, width in named:
             own[name] = row[pos : pos + width].decode(encoding, "replace").strip()
             pos += width
         out.append({} if row[:1] == b"*" else own)
     return out
 
 
-def read(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """``file, fid, rings, properties`` of all shapefiles of a folder; each ``.dbf`` joins its ``.shp`` by name and record."""
+def batch(stem: str, first: int, shapes: list, rows: list[dict] | None) -> pa.RecordBatch:
+    """Rows of the records from ``first`` on; records without a shape have none."""
+    kept = [k for k, s in enumerate(shapes) if s]
+    columns = [
+        [stem] * len(kept),
+        [first + k for k in kept],
+        [[[{"x": x, "y": y} for x, y in r] for r in shapes[k]] for k in kept],
+        [list(rows[k].items()) if rows is not None and k < len(rows) else None for k in kept],
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ROW_TYPES, strict=True)], ["file", "fid", "rings", "properties"])
+
+
+@dataclass
+class Records(InputPartition):
+    """Records of one file from ``first`` on; ``spans`` are the byte ranges of their shapes, ``table`` is the ``.dbf`` file."""
+
+    stem: str
+    shapes: str
+    table: str | None
+    first: int
+    spans: list[tuple[int, int]]
+
+    def __post_init__(self):
+        super().__init__(self.first)
+
+
+class ShapefileReader(DataSourceReader):
+    def __init__(self, path: str, encoding: str, run_bytes: int):
+        self.path, self.encoding, self.run_bytes = path, encoding, run_bytes
+
+    def partitions(self) -> list[Records]:
+        store, _ = open_store(self.path)
+        files = {f.lower(): f for f in list_files(self.path)}
+        out = []
+        for low in sorted(f for f in files if f.endswith(".shp")):
+            name, index = files[low], files.get(low[:-3] + "shx")
+            if index is None:
+                with store.open_input_file(name) as f:
+                    spans = records(f.read())
+            else:
+                with store.open_input_file(index) as f:
+                    raw = f.read()[100:]
+                spans = [(at * 2 + 8, size * 2) for at, size in struct.iter_unpack(">2i", raw[: len(raw) // 8 * 8])]
+            ends = list(accumulate(n for _, n in spans))
+            first = 0
+            for k in range(len(spans)):
+                if k + 1 == len(spans) or ends[k + 1] - (ends[first - 1] if first else 0) > self.run_bytes:
+                    out.append(Records(name[:-4], name, files.get(low[:-3] + "dbf"), first, spans[first : k + 1]))
+                    first = k + 1
+        return out
+
+    def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
+        store, _ = open_store(self.path)
+        rows = None
+        if partition.table:
+            with store.open_input_file(partition.table) as f:
+                at = reader_at(f)
+                count, header, size, named = fields(at(0, struct.unpack("<H", at(8, 2))[0]), self.encoding)
+                n = min(len(partition.spans), max(0, count - partition.first))
+                rows = attributes(at(header + partition.first * size, n * size), size, named, self.encoding)
+        with store.open_input_file(partition.shapes) as f:
+            at = reader_at(f)
+            for k in range(0, len(partition.spans), 256):
+                shapes = [shape(at(start, size), 0) for start, size in partition.spans[k : k + 256]]
+                yield batch(partition.stem, partition.first + k, shapes, None if rows is None else rows[k : k + 256])
+
+
+class Shapefile(DataSource):
+    """``spark.read.format("shapefile").load(folder)``: a partition for each run of records of each file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "shapefile"
+
+    def schema(self) -> str:
+        return ROWS
+
+    def reader(self, schema) -> DataSourceReader:
+        return ShapefileReader(self.options["path"], self.options.get("encoding", "utf-8"), int(self.options.get("runBytes", RUN_BYTES)))
+
+
+def read(spark: SparkSession, path: str, encoding: str = "utf-8", run_bytes: int = RUN_BYTES) -> DataFrame:
+    """``file, fid, rings, properties`` of all shapefiles of a folder; records without a shape are left out.
+
+    Names and values of attributes are in ``encoding``.  A file without a
+    ``.dbf`` file has null properties.
+    """
+    if open_store(path) is not None:
+        spark.dataSource.register(Shapefile)
+        return spark.read.format("shapefile").option("encoding", encoding).option("runBytes", run_bytes).load(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-        types = [pa.string(), pa.int64(), pa.list_(pa.list_(point)), pa.map_(pa.string(), pa.string())]
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for files in batches:
+            for name, data in zip(files.column(0).to_pylist(), files.column(1).to_pylist(), strict=True):
                 stem, _, kind = name.rpartition(".")
                 if kind.lower() == "shp":
-                    shapes = [[[{"x": x, "y": y} for x, y in r] for r in s] for s in rings(data)]
-                    columns = [[stem] * len(shapes), list(range(len(shapes))), shapes, [None] * len(shapes)]
+                    shapes = [shape(data, at) for at, _ in records(data)]
+                    columns = [[stem] * len(shapes), list(range(len(shapes))), [[[{"x": x, "y": y} for x, y in r] for r in s] or None for s in shapes], [None] * len(shapes)]
                 elif kind.lower() == "dbf":
-                    rows = [list(a.items()) for a in attributes(data, encoding)]
+                    _, header, size, named = fields(data, encoding)
+                    rows = [list(a.items()) for a in attributes(data[header:].rstrip(b"\x1a"), size, named, encoding)]
                     columns = [[stem] * len(rows), list(range(len(rows))), [None] * len(rows), rows]
                 else:
                     continue
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "fid", "rings", "properties"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ROW_TYPES, strict=True)], ["file", "fid", "rings", "properties"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf}").load(path).select("path", "content")
-    rows = files.mapInArrow(decode, "file string, fid long, rings array<array<struct<x:double,y:double>>>, properties map<string,string>")
-    return rows.groupBy("file", "fid").agg(F.first("rings", ignorenulls=True).alias("rings"), F.first("properties", ignorenulls=True).alias("properties")).where("rings is not null")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf}").load(path).select("path", "content").mapInArrow(decode, ROWS)
+    return found.groupBy("file", "fid").agg(F.first("rings", ignorenulls=True).alias("rings"), F.first("properties", ignorenulls=True).alias("properties")).where("rings is not null")
 
 
-def encode(shapes: list[list[list[tuple[float, float]]]], rows: list[dict[str, str]]) -> tuple[bytes, bytes, bytes]:
-    """``.shp``, ``.shx`` and ``.dbf`` files of polygons with text attributes."""
-    every = [p for s in shapes for r in s for p in r] or [(0.0, 0.0)]
+def short_names(names: list[str], encoding: str) -> dict[str, bytes]:
+    """A name of at most 10 bytes for each attribute; those that would be cut to the same get a number."""
+    out: dict[str, bytes] = {}
+    used: set[bytes] = set()
+    for name in names:
+        n, end = 0, b""
+        while True:
+            cut = name
+            while len(cut.encode(encoding)) + len(end) > NAME_BYTES:
+                cut = cut[:-1]
+            short = cut.encode(encoding) + end
+            if short.upper() not in used:
+                break
+            n += 1
+            end = f"_{n}".encode(encoding)
+        used.add(short.upper())
+        out[name] = short
+    return out
+
+
+def encode(shapes: list[list[list[tuple[float, float]]]], rows: list[dict[str, str]], encoding: str = "utf-8") -> tuple[bytes, bytes, bytes]:
+    """``.shp``, ``.shx`` and ``.dbf`` files of polygons with text attributes.
+
+    Attribute names are cut to 10 bytes and kept apart by a number.  A value
+    of over 254 bytes is an error, as the format can't hold it.
+    """
     box = lambda ps: (min(x for x, _ in ps), min(y for _, y in ps), max(x for x, _ in ps), max(y for _, y in ps))
-    body, index, at = b"", b"", 50
-    for k, shape in enumerate(shapes):
-        points = [p for r in shape for p in r]
-        starts = [sum(map(len, shape[:i])) for i in range(len(shape))]
-        record = struct.pack("<i4d2i", POLYGON, *box(points), len(shape), len(points)) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
-        body += struct.pack(">2i", k + 1, len(record) // 2) + record
-        index += struct.pack(">2i", at, len(record) // 2)
+    every = box([p for s in shapes for r in s for p in r] or [(0.0, 0.0)])
+    bodies, index, at = [], [], 50
+    for k, own in enumerate(shapes):
+        flat = [v for r in own for p in r for v in p]
+        starts = [0, *accumulate(map(len, own))][:-1] if own else []
+        head = struct.pack("<i4d2i", POLYGON, *box([p for r in own for p in r]), len(own), len(flat) // 2) if own else struct.pack("<i", 0)
+        record = head + struct.pack(f"<{len(starts)}i{len(flat)}d", *starts, *flat)
+        bodies.append(struct.pack(">2i", k + 1, len(record) // 2) + record)
+        index.append(struct.pack(">2i", at, len(record) // 2))
         at += 4 + len(record) // 2
-    head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size) + struct.pack("<2i8d", 1000, POLYGON, *box(every), 0, 0, 0, 0)
+    head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size) + struct.pack("<2i8d", 1000, POLYGON, *every, 0, 0, 0, 0)
     names = list(dict.fromkeys(n for r in rows for n in r))
-    widths = {n: max(1, *(len(r.get(n, "").encode()) for r in rows)) for n in names}
-    table = struct.pack("<4BIHH20x", 3, 124, 1, 1, len(rows), 33 + 32 * len(names), 1 + sum(widths.values()))
-    table += b"".join(struct.pack("<11sc4xBB14x", n.encode()[:10], b"C", widths[n], 0) for n in names) + b"\r"
-    table += b"".join(b" " + b"".join(r.get(n, "").encode().ljust(widths[n]) for n in names) for r in rows) + b"\x1a"
-    return head(50 + len(body) // 2) + body, head(50 + len(index) // 2) + index, table
+    short = short_names(names, encoding)
+    values = [{n: (r.get(n) or "").encode(encoding) for n in names} for r in rows]
+    widths = {n: max(1, *(len(v[n]) for v in values)) for n in names}
+    for n, width in widths.items():
+        if width > WIDEST:
+            raise ValueError(f"attribute {n!r} has a value of {width} bytes; a shapefile holds {WIDEST} at most")
+    table = [struct.pack("<4BIHH20x", 3, 124, 1, 1, len(rows), 33 + 32 * len(names), 1 + sum(widths.values()))]
+    table += [struct.pack("<11sc4xBB14x", short[n], b"C", widths[n], 0) for n in names] + [b"\r"]
+    table += [b" " + b"".join(v[n].ljust(widths[n]) for n in names) for v in values] + [b"\x1a"]
+    return head(at) + b"".join(bodies), head(50 + 4 * len(index)) + b"".join(index), b"".join(table)
 
 
 def files(features: DataFrame) -> DataFrame:

@@ -62,27 +62,6 @@ def read_tables(tables: Sequence[Table]) -> DataFrame:
     return tables[0].spark.read.schema(tables[0].df.schema).parquet(*(t.path for t in tables))
 
 
-def write_files(files: DataFrame, folder: str) -> int:
-    """Write each row ``name, content`` (text or binary) as a file of its own and tell how many there were.
-
-    For output that other programs open by name.  The contents pass through
-    the driver one partition at a time; tables are written by Spark itself.
-    """
-    spark = files.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    _written.add(folder)
-    n = 0
-    for row in files.select("name", F.col("content").cast("binary").alias("content")).toLocalIterator():
-        where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.name}")
-        out = where.getFileSystem(conf).create(where, True)
-        try:
-            out.write(bytearray(row.content))
-        finally:
-            out.close()
-        n += 1
-    return n
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder, deleted by ``clear``."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

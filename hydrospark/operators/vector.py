@@ -260,8 +260,8 @@ def polygonize(raster: DataFrame, width: int, value: str = "v") -> DataFrame:
     right, so outer rings run clockwise as seen on the map (y down) and holes
     the other way.  Edges link head to tail; where two start at a point the
     sharper right turn is taken, so areas that meet at a corner stay apart.
-    Rings are named by their least edge and ordered by doubling, so no task
-    holds a ring before its points are written.
+    Rings are named by their least edge and ordered by doubling; no task holds
+    a ring.
     """
     cells = raster.select("x", "y", F.col(value).alias("dn"))
     area = write_table(label_cells(cells, width, eight=False, by=["dn"]), "areas").df
@@ -283,13 +283,16 @@ def polygonize(raster: DataFrame, width: int, value: str = "v") -> DataFrame:
     links = border.join(ahead, ["label", "b"]).groupBy("label", "dn", "cell", "a").agg(F.min(F.struct(rank.alias("r"), "nxt")).alias("m"))
     # two areas share no directed edge, so the start point and side name an edge
     links = write_table(links.select("cell", "label", "dn", "a", F.col("m.nxt").alias("nxt")), "links").df
+    out = ring_order(links).select("dn", "label", "ring", "pos", "a", "n")
+    close = out.where("pos = 0").select("dn", "label", "ring", F.col("n").alias("pos"), "a", "n")
+    return out.unionByName(close).select("dn", "label", "ring", "pos", (F.col("a") % (width + 1)).cast("int").alias("x"), F.floor(F.col("a") / (width + 1)).cast("int").alias("y"))
+
+
+def ring_order(links: DataFrame) -> DataFrame:
+    """``links`` (``cell, nxt`` and more) with ``ring``, the least cell of each circle, ``pos`` from it on, and ``n``, the circle's length at its first cell."""
     ring = connected_components(links.select("cell", "nxt"), "cell", "nxt").select(F.col("node").alias("cell"), F.col("label").alias("ring"))
     open_ = links.join(ring, "cell").withColumn("nxt", F.when(F.col("nxt") != F.col("ring"), F.col("nxt")))
     open_ = write_table(open_, "rings").df
     count = pull(open_, {"n": F.lit(1)}, lambda mine, ahead_: mine + F.coalesce(ahead_, F.lit(0)))
-    size = Window.partitionBy("ring")
-    placed = open_.join(count, "cell").withColumn("pos", F.max("n").over(size) - F.col("n"))
-    out = placed.select("dn", "label", "ring", "pos", "a", "n")
-    close = out.where("pos = 0").select("dn", "label", "ring", F.col("n").alias("pos"), "a", "n")
-    return out.unionByName(close).select("dn", "label", "ring", "pos", (F.col("a") % (width + 1)).cast("int").alias("x"), F.floor(F.col("a") / (width + 1)).cast("int").alias("y"))
-
+    size = open_.groupBy("ring").agg(F.count(F.lit(1)).cast("int").alias("size__"))
+    return open_.join(count, "cell").join(size, "ring").withColumn("pos", F.col("size__") - F.col("n")).drop("size__")

@@ -25,7 +25,7 @@ from hydrospark.functions.cells import (
     signed_byte,
     unsigned_byte,
 )
-from hydrospark.operators import algebra, basins, flats, flow, slope, stencil, vector
+from hydrospark.operators import algebra, basins, clip, flats, flow, slope, stencil, vector
 from hydrospark.plans import pipelines
 from hydrospark.plans.oracles import SQL, TH
 from hydrospark.sources import fixtures, geojson, geotiff, records, shapefile, tiles
@@ -701,6 +701,42 @@ def d7_clip_extent(s):
     return rows.select("fid", F.abs(vector.shoelace(F.col("ring"))).alias("area")).where("area > 0")
 
 
+def concave_extent(s: Scene) -> DataFrame:
+    """A U of two arms from x 20 to 35 and 55 to 70 above a base, over the whole grid, as ring points."""
+    m = max(s.h // 3, 12)
+    corners = [(20, 5), (70, 5), (70, s.h), (55, s.h), (55, m), (35, m), (35, s.h), (20, s.h), (20, 5)]
+    return s.spark.createDataFrame([(0, 0, k, float(x), float(y)) for k, (x, y) in enumerate(corners)], "part int, ring int, pos int, x double, y double")
+
+
+def angular_lakes(s: Scene) -> DataFrame:
+    """Each lake rectangle without the quarter at its far corner, as ring points."""
+    r = fixtures.rectangles(s.spark, s.sf_dir, s.grid)
+    point = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    corners = [("x0", "y0"), ("x0 + w", "y0"), ("x0 + w", "y0 + h / 2"), ("x0 + w / 2", "y0 + h / 2"), ("x0 + w / 2", "y0 + h"), ("x0", "y0 + h"), ("x0", "y0")]
+    rows = r.select(F.col("k").alias("fid"), F.col("area"), F.posexplode(F.array(*(point(*c) for c in corners))).alias("pos", "p"))
+    return rows.select("fid", "area", F.lit(0).alias("part"), F.lit(0).alias("ring"), "pos", "p.x", "p.y")
+
+
+def clipped_areas(rings: DataFrame) -> DataFrame:
+    """``fid, area, parts`` of clipped polygons."""
+    ahead = rings.select("ring", (F.col("pos") - 1).alias("pos"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    sides = rings.join(ahead, ["ring", "pos"])
+    area = F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) / 2
+    return sides.groupBy("fid").agg(F.round(area, 6).alias("area"), F.count_distinct("outer").cast("int").alias("parts"))
+
+
+@query
+def d7_clip_polygon(s):
+    """Concave lakes cut to a concave extent: area and number of parts of each."""
+    return clipped_areas(clip.clip_polygons(angular_lakes(s).drop("area"), concave_extent(s)))
+
+
+@query
+def d8_filter_clip_polygon(s):
+    """The same for lakes above an area alone."""
+    return clipped_areas(clip.clip_polygons(angular_lakes(s).where("area > 12").drop("area"), concave_extent(s)))
+
+
 @query
 def d8_filter_clip(s):
     lakes = fixtures.rectangles(s.spark, s.sf_dir, s.grid).select("k", F.col("area").cast("string").alias("Lake_area"))

@@ -363,6 +363,16 @@ SQL |= {
 BOX = "greatest(0, least(x0 + w, 70) - greatest(x0, 20)) * greatest(0, least(y0 + h, (SELECT h FROM size) // 2) - greatest(y0, 10))"
 SQL["d7_clip_extent"] = sql(GRID, LAKES, select=f"SELECT * FROM (SELECT k AS fid, CAST({BOX} AS DOUBLE) AS area FROM rect) WHERE area > 0")
 SQL["d8_filter_clip"] = sql(GRID, LAKES, select=f"SELECT * FROM (SELECT k AS fid, CAST({BOX} AS DOUBLE) AS area FROM rect WHERE area > 12) WHERE area > 0")
+# a lake is two boxes, the extent three; a lake's parts in the two arms hang together if it reaches the base
+PARTS = """
+m AS (SELECT greatest(h // 3, 12) AS m, h AS top FROM size),
+arm AS (SELECT 1 AS arm, 20 AS ax, 35 AS bx, m AS ay, top AS by FROM m UNION ALL SELECT 2, 55, 70, m, top FROM m UNION ALL SELECT 3, 20, 70, 5, m FROM m),
+box AS (SELECT k, area, CAST(x0 AS DOUBLE) AS ax, CAST(x0 + w AS DOUBLE) AS bx, CAST(y0 AS DOUBLE) AS ay, y0 + CAST(h AS DOUBLE) / 2 AS by FROM rect UNION ALL SELECT k, area, CAST(x0 AS DOUBLE), x0 + CAST(w AS DOUBLE) / 2, y0 + CAST(h AS DOUBLE) / 2, CAST(y0 + h AS DOUBLE) FROM rect),
+met AS (SELECT k, any_value(b.area) AS size, arm, sum(greatest(CAST(0 AS DOUBLE), least(b.bx, a.bx) - greatest(b.ax, a.ax)) * greatest(CAST(0 AS DOUBLE), least(b.by, a.by) - greatest(b.ay, a.ay))) AS area
+  FROM box b, arm a GROUP BY k, arm),
+part AS (SELECT k AS fid, any_value(size) AS size, round(sum(area), 6) AS area, CASE WHEN max(CASE WHEN arm = 3 THEN area END) > 0 THEN 1 ELSE count(*) END AS parts FROM met WHERE area > 0 GROUP BY k)"""
+SQL["d7_clip_polygon"] = sql(GRID, LAKES, PARTS, select="SELECT fid, CAST(area AS DOUBLE) AS area, CAST(parts AS INT) AS parts FROM part")
+SQL["d8_filter_clip_polygon"] = sql(GRID, LAKES, PARTS, select="SELECT fid, CAST(area AS DOUBLE) AS area, CAST(parts AS INT) AS parts FROM part WHERE size > 12")
 FILLED = (
     GRID.split("near AS")[0].replace("cells AS", "cells0 AS").rstrip().rstrip(","),
     "near0 AS (SELECT c.x, c.y, n.x AS nx, n.y AS ny, n.z AS nz FROM cells0 c, off o JOIN cells0 n ON n.x = c.x + o.dx AND n.y = c.y + o.dy)",

@@ -13,8 +13,6 @@ from hydrospark.functions.cells import CODE_128_TO_8, CODE_8_TO_128, SINK, code_
 TABLE_128_TO_8 = [(k, k, v) for k, v in CODE_128_TO_8.items()] + [(-1, -1, -1), (255, 255, -1)]
 TABLE_8_TO_128 = [(k, k, v) for k, v in CODE_8_TO_128.items()]
 TABLE_NORMALISE = [(247, 247, 0), (-9, -9, 0), (255, 255, 0)]
-#: Rows of a reclass table that are turned into one expression.
-MAX_TABLE = 4096
 
 
 def reclassify(v: Column, groups: list[list], values: list) -> Column:
@@ -28,10 +26,9 @@ def reclassify(v: Column, groups: list[list], values: list) -> Column:
 def reclass_table(v: Column, table: list[tuple]) -> Column:
     """Value of the first row with ``minimum <= v <= maximum``; unmatched values stay, nodata becomes 0.
 
-    Tables are small by nature; a longer one than ``MAX_TABLE`` is refused.
+    Every row becomes a part of one expression; a long table is joined by
+    ``ranges.reclass_ranges`` instead.
     """
-    if len(table) > MAX_TABLE:
-        raise ValueError(f"a reclass table of {len(table)} rows; at most {MAX_TABLE} are supported")
     out = v
     for low, high, new in reversed(table):
         out = F.when(v.between(low, high), new).otherwise(out)

@@ -25,7 +25,7 @@ from hydrospark.functions.cells import (
     signed_byte,
     unsigned_byte,
 )
-from hydrospark.operators import algebra, basins, clip, flats, flow, slope, stencil, vector
+from hydrospark.operators import algebra, basins, clip, flats, flow, ranges, slope, stencil, vector
 from hydrospark.plans import pipelines
 from hydrospark.plans.oracles import SQL, TH
 from hydrospark.sources import fixtures, geojson, geotiff, records, shapefile, tiles
@@ -175,6 +175,24 @@ def c3_reclass_range_table(s):
     return s.cells.select("x", "y", F.round(algebra.reclass_table(F.col("z"), table), 8).alias("v"))
 
 
+@query
+def c3_reclass_long_table(s):
+    """A table with a row for each customer, overlapping and of any length, the first row winning."""
+    low = F.abs("c_acctbal") / 50
+    table = fixtures.read(s.spark, s.sf_dir, "customer").select(F.col("c_custkey").alias("pos"), low.alias("minimum"), (low + F.col("c_custkey") % 7 * 0.25).alias("maximum"), (F.col("c_custkey") % 100).cast("double").alias("new"))
+    return ranges.reclass_ranges(s.cells.select("x", "y", F.round("z", 8).alias("v")), table)
+
+
+@query
+def g3_tile_of_point(s):
+    """The first lake box that holds the point of each part, as a tile is found for a point."""
+    r = fixtures.rectangles(s.spark, s.sf_dir, s.grid)
+    boxes = r.select(F.col("k").alias("box"), F.col("x0").alias("left"), (F.col("x0") + F.col("w")).alias("right"), F.col("y0").alias("low"), (F.col("y0") + F.col("h")).alias("high"))
+    key = F.col("p_partkey")
+    points = fixtures.read(s.spark, s.sf_dir, "part").select(key.alias("point"), (key % 199 / 2.0).alias("x"), (key * 7 % (2 * s.h) / 2.0).alias("y"))
+    return ranges.boxes_of(points, boxes).select("point", "box")
+
+
 @query
 def c4_normalise_128(s):
     return s.dir128.select("x", "y", algebra.reclass_table(F.col("dir128"), algebra.TABLE_NORMALISE).alias("dir128"))

@@ -373,6 +373,15 @@ met AS (SELECT k, any_value(b.area) AS size, arm, sum(greatest(CAST(0 AS DOUBLE)
 part AS (SELECT k AS fid, any_value(size) AS size, round(sum(area), 6) AS area, CASE WHEN max(CASE WHEN arm = 3 THEN area END) > 0 THEN 1 ELSE count(*) END AS parts FROM met WHERE area > 0 GROUP BY k)"""
 SQL["d7_clip_polygon"] = sql(GRID, LAKES, PARTS, select="SELECT fid, CAST(area AS DOUBLE) AS area, CAST(parts AS INT) AS parts FROM part")
 SQL["d8_filter_clip_polygon"] = sql(GRID, LAKES, PARTS, select="SELECT fid, CAST(area AS DOUBLE) AS area, CAST(parts AS INT) AS parts FROM part WHERE size > 12")
+SQL["c3_reclass_long_table"] = sql(
+    GRID, "t AS (SELECT c_custkey AS pos, abs(c_acctbal) / 50 AS low, abs(c_acctbal) / 50 + c_custkey % 7 * CAST(0.25 AS DOUBLE) AS high, CAST(c_custkey % 100 AS DOUBLE) AS new FROM customer)",
+    "v AS (SELECT x, y, round(z, 8) AS v FROM cells)", "hit AS (SELECT x, y, arg_min(new, pos) AS new FROM v JOIN t ON v BETWEEN low AND high GROUP BY x, y)",
+    select="SELECT x, y, coalesce(new, v) AS v FROM v LEFT JOIN hit USING (x, y)",
+)
+SQL["g3_tile_of_point"] = sql(
+    GRID, LAKES, "p AS (SELECT p_partkey AS point, CAST(p_partkey % 199 AS DOUBLE) / 2 AS x, CAST(p_partkey * 7 % (2 * (SELECT h FROM size)) AS DOUBLE) / 2 AS y FROM part)",
+    select="SELECT point, min(k) AS box FROM p LEFT JOIN rect ON p.x BETWEEN x0 AND x0 + w AND p.y BETWEEN y0 AND y0 + h GROUP BY point",
+)
 FILLED = (
     GRID.split("near AS")[0].replace("cells AS", "cells0 AS").rstrip().rstrip(","),
     "near0 AS (SELECT c.x, c.y, n.x AS nx, n.y AS ny, n.z AS nz FROM cells0 c, off o JOIN cells0 n ON n.x = c.x + o.dx AND n.y = c.y + o.dy)",

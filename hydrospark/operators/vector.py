@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrospark.functions.cells import orientation
+from hydrospark.functions.projections import EPSG_5243, Conic
 from hydrospark.operators.components import connected_components
 from hydrospark.operators.flow import pull
 from hydrospark.operators.ranking import global_rank
@@ -122,6 +123,12 @@ def geographic_area(rings: Column) -> Column:
     return let(areas, lambda a: F.aggregate(F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), F.get(a, 0), lambda s, v: s - v))
 
 
+def projected_area(rings: Column, conic: Conic = EPSG_5243) -> Column:
+    """Square metres of a polygon in degrees, holes taken off, in the plane of a conic projection."""
+    areas = F.transform(rings, lambda r: F.abs(shoelace(F.transform(r, lambda p: conic.forward(p["x"], p["y"])))))
+    return let(areas, lambda a: F.aggregate(F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), F.get(a, 0), lambda s, v: s - v))
+
+
 def is_clockwise(ring: Column) -> Column:
     """1 if the points run clockwise where y points up, or the ring has no area; else 0."""
     return F.when(shoelace(ring) > 0, 0).otherwise(1)

@@ -25,10 +25,11 @@ from hydrospark.functions.cells import (
     signed_byte,
     unsigned_byte,
 )
+from hydrospark.functions.projections import EPSG_5243
 from hydrospark.operators import algebra, basins, clip, flats, flow, ranges, slope, stencil, vector
 from hydrospark.plans import pipelines
 from hydrospark.plans.oracles import SQL, TH
-from hydrospark.sources import fixtures, geojson, geotiff, records, shapefile, tiles
+from hydrospark.sources import fixtures, geojson, geotiff, records, shapefile, tiles, versions
 from hydrospark.sources.byte_ranges import write_files
 from hydrospark.storage import materialize, scratch
 
@@ -373,6 +374,15 @@ def a4_overlay(s):
 TILE = 32
 
 
+@query
+def a4_write_cells(s):
+    """Water written into a stored layer of tiles: the latest version, its untouched tiles in their old files."""
+    where = scratch(s.spark, "layer")
+    versions.create(s.cells, where, TILE)
+    versions.write_cells(s.water.select("x", "y", F.lit(-99.0).alias("z")), where, TILE, "z")
+    return versions.read(s.spark, where).select("x", "y", F.round("z", 8).alias("z"))
+
+
 def stored_layers(s: Scene) -> dict[str, DataFrame]:
     """Elevation, direction, accumulation and lakes written by tile and opened again."""
     rasters = {
@@ -769,6 +779,16 @@ def d9_ring_area(s):
     return ring_arrays(s).select("fid", F.round(vector.geographic_area(F.array(degrees)) / 1e6, 4).alias("km2"))
 
 
+@query
+def d9_ring_area_conic(s):
+    """Areas in the plane of EPSG:5243, and one corner brought there and back."""
+    degrees = F.transform("ring", lambda p: F.struct((p["x"] / 10 + 5).alias("x"), (p["y"] / 100 + 47).alias("y")))
+    rows = ring_arrays(s).select("fid", degrees.alias("r"))
+    corner = EPSG_5243.forward(F.col("r")[0]["x"], F.col("r")[0]["y"])
+    back = rows.select("fid", "r", corner.alias("c")).select("fid", "r", "c", EPSG_5243.inverse(F.col("c.x"), F.col("c.y")).alias("b"))
+    return back.select("fid", F.round(vector.projected_area(F.array("r")) / 1e6, 4).alias("km2"), F.round("c.x", 3).alias("x"), F.round("c.y", 3).alias("y"), F.round("b.x", 9).alias("lon"), F.round("b.y", 9).alias("lat"))
+
+
 @query
 def d10_polygon_rings(s):
     docs = lake_documents(s)

@@ -382,6 +382,24 @@ SQL["g3_tile_of_point"] = sql(
     GRID, LAKES, "p AS (SELECT p_partkey AS point, CAST(p_partkey % 199 AS DOUBLE) / 2 AS x, CAST(p_partkey * 7 % (2 * (SELECT h FROM size)) AS DOUBLE) / 2 AS y FROM part)",
     select="SELECT point, min(k) AS box FROM p LEFT JOIN rect ON p.x BETWEEN x0 AND x0 + w AND p.y BETWEEN y0 AND y0 + h GROUP BY point",
 )
+# the conic of EPSG:5243: its constants from the ellipsoid and the parallels, then four corners of each box
+CONIC = """
+e AS (SELECT sqrt(f * (2 - f)) AS e, radians(48 + CAST(2 AS DOUBLE) / 3) AS a, radians(53 + CAST(2 AS DOUBLE) / 3) AS b, radians(51) AS o FROM (SELECT 1 / 298.257222101::DOUBLE AS f)),
+k1 AS (SELECT e, cos(a) / sqrt(1 - (e * sin(a)) ** 2) AS ma, cos(b) / sqrt(1 - (e * sin(b)) ** 2) AS mb,
+  tan(pi() / 4 - a / 2) / ((1 - e * sin(a)) / (1 + e * sin(a))) ** (e / 2) AS ta, tan(pi() / 4 - b / 2) / ((1 - e * sin(b)) / (1 + e * sin(b))) ** (e / 2) AS tb,
+  tan(pi() / 4 - o / 2) / ((1 - e * sin(o)) / (1 + e * sin(o))) ** (e / 2) AS t0 FROM e),
+k2 AS (SELECT *, ln(ma / mb) / ln(ta / tb) AS n FROM k1),
+k3 AS (SELECT *, 6378137 * ma / (n * ta ** n) AS f FROM k2),
+corner AS (SELECT k AS fid, i, radians(CAST(CASE WHEN i IN (1, 2) THEN x0 + w ELSE x0 END AS DOUBLE) / 10 + 5 - 10.5::DOUBLE) AS lon, radians(CAST(CASE WHEN i IN (2, 3) THEN y0 + h ELSE y0 END AS DOUBLE) / 100 + 47) AS lat
+  FROM rect, (SELECT unnest(range(0, 4)) AS i)),
+r AS (SELECT fid, i, lon * n AS turn, f * (tan(pi() / 4 - lat / 2) / ((1 - e * sin(lat)) / (1 + e * sin(lat))) ** (e / 2)) ** n AS r, f * t0 ** n AS r0 FROM corner, k3),
+p AS (SELECT fid, i, r * sin(turn) AS x, r0 - r * cos(turn) AS y FROM r)"""
+SQL["d9_ring_area_conic"] = sql(
+    GRID, LAKES, CONIC, select="""SELECT fid, round(abs(sum(p.x * q.y - q.x * p.y)) / 2 / 1e6, 4) AS km2, round(any_value(p.x) FILTER (p.i = 0), 3) AS x, round(any_value(p.y) FILTER (p.i = 0), 3) AS y,
+      round(any_value(CAST(x0 AS DOUBLE) / 10 + 5), 9) AS lon, round(any_value(CAST(y0 AS DOUBLE) / 100 + 47), 9) AS lat
+    FROM p JOIN p q USING (fid) JOIN rect ON k = fid WHERE q.i = (p.i + 1) % 4 GROUP BY fid""",
+)
+SQL["a4_write_cells"] = SQL["a4_overlay"]
 FILLED = (
     GRID.split("near AS")[0].replace("cells AS", "cells0 AS").rstrip().rstrip(","),
     "near0 AS (SELECT c.x, c.y, n.x AS nx, n.y AS ny, n.z AS nz FROM cells0 c, off o JOIN cells0 n ON n.x = c.x + o.dx AND n.y = c.y + o.dy)",

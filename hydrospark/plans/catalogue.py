@@ -26,7 +26,7 @@ from hydrospark.functions.cells import (
     unsigned_byte,
 )
 from hydrospark.functions.projections import EPSG_5243
-from hydrospark.operators import algebra, basins, clip, flats, flow, ranges, slope, stencil, vector
+from hydrospark.operators import algebra, basins, block_stencils, clip, flats, flow, ranges, slope, stencil, vector
 from hydrospark.plans import pipelines
 from hydrospark.plans.oracles import SQL, TH
 from hydrospark.sources import fixtures, geojson, geotiff, records, shapefile, tiles, versions
@@ -221,6 +221,22 @@ def f1_boundary_cells(s):
     return stencil.boundary_cells(algebra.erase(s.cells, s.water))
 
 
+@query
+def f1_boundary_blocks(s):
+    """The same from stored blocks, of which margins alone are moved."""
+    return block_stencils.boundary_cells(block_stencils.store_blocks(algebra.erase(s.cells, s.water), "z", TILE), TILE).select("x", "y")
+
+
+@query
+def f5_d8_blocks(s):
+    return block_stencils.d8(block_stencils.store_blocks(s.cells, "z", TILE), TILE).select("x", "y", "dir", F.round("slope", 8).alias("slope"))
+
+
+@query
+def f6_lake_buffer_blocks(s):
+    return block_stencils.lake_buffer(block_stencils.store_blocks(s.lakes, "lake", TILE), s.w, s.h, TILE)
+
+
 @query
 def f2_headwater_cells(s):
     return stencil.no_inflow_cells(s.cells, s.d8)

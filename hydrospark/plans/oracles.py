@@ -399,6 +399,9 @@ SQL["d9_ring_area_conic"] = sql(
       round(any_value(CAST(x0 AS DOUBLE) / 10 + 5), 9) AS lon, round(any_value(CAST(y0 AS DOUBLE) / 100 + 47), 9) AS lat
     FROM p JOIN p q USING (fid) JOIN rect ON k = fid WHERE q.i = (p.i + 1) % 4 GROUP BY fid""",
 )
+SQL["f1_boundary_blocks"] = SQL["f1_boundary_cells"]
+SQL["f5_d8_blocks"] = SQL["f5_d8_direction"]
+SQL["f6_lake_buffer_blocks"] = SQL["f6_lake_buffer"]
 SQL["a4_write_cells"] = SQL["a4_overlay"]
 FILLED = (
     GRID.split("near AS")[0].replace("cells AS", "cells0 AS").rstrip().rstrip(","),
@@ -528,7 +531,7 @@ WIDTHS = {
     "a9_pyramid": ("", "level x y"), "a9_web_mercator": ("", "x y"), "a9_geotiff_layer": ("", "level x y"), "a10_tile_export": ("", "z tile_x tile_y n"), "b15_colours": ("", "x y"),
     "g7_stream_net": ("reach down_reach head", ""), "g7_reach_coordinates": ("reach", ""), "d5_polygonize_rings": ("label ring", "pos x y"), "c9_recode_value": ("", "x y"), "d2_rasterize_rects": ("", "x y"), "d5_polygonize_labels": ("label", ""),
     "d5_ring_measures": ("label", ""), "d10_polygon_rings": ("", "pos"), "d12_splice_holes": ("", "pos"), "d13_splice_outer_cells": ("", "pos"), "d15_densify_ring": ("", "pos x y"),
-    "d16_inner_boundary": ("", "x y"), "e1_geojson_merge": ("", "chars"), "e3_split_by_dn": ("", "n"), "f6_lake_buffer": ("", "x y"), "g1_lake_components": ("", "x y"),
+    "d16_inner_boundary": ("", "x y"), "e1_geojson_merge": ("", "chars"), "e3_split_by_dn": ("", "n"), "f6_lake_buffer": ("", "x y"), "f6_lake_buffer_blocks": ("", "x y"), "g1_lake_components": ("", "x y"),
     "g2_flow_accumulation": ("cell", ""), "g3_repair_accumulation": ("cell", ""), "g4_strahler_order": ("cell", ""), "g4_upstream_lengths": ("cell", ""), "g6_sink_basins": ("cell label", ""),
     "g7_reaches": ("cell reach", ""), "g7_reach_tree": ("reach down_reach", ""), "g7_watersheds": ("cell watershed", ""), "g12_slope_surface_group": ("cell", ""), "g12_slope_surface_lake": ("cell", ""),
     "g13_slope_route": ("cell", ""), "g15_water_slope": ("", "v"), "g16_watershed_recode": ("cell", ""), "h3_pfafstetter_l1": ("cell", "digit"), "h4_divide_all": ("cell", ""), "h5_divide_level": ("cell", ""),

@@ -137,7 +137,7 @@ def plain_orders(to):
     return order
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", [0, 1])
 def test_orders_of_random_trees(spark, seed):
     r = random.Random(seed)
     to = {0: None}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,6 +53,12 @@ def basins_to_divide(areas: DataFrame, parts: int = PARTS, multiple: int = MULTI
     return ranked.where(F.col("rank") <= (n if n < count else 1))
 
 
+def _inside_basins(cells: DataFrame, *more: str) -> DataFrame:
+    """``basin, cell, acc, nxt`` and ``more``, with ``nxt`` null where the next cell is of another basin or none."""
+    same = cells.select(F.col("cell").alias("nxt"), F.col("basin").alias("next_basin"))
+    return cells.join(same, "nxt", "left").select("basin", "cell", "acc", F.when(F.col("next_basin") == F.col("basin"), F.col("nxt")).alias("nxt"), *more)
+
+
 def pfafstetter(cells: DataFrame, stream_th: float) -> DataFrame:
     """``basin, cell, digit`` for all cells of all basins that can be divided, in one pass.
 
@@ -61,9 +69,7 @@ def pfafstetter(cells: DataFrame, stream_th: float) -> DataFrame:
     that drains to it directly gets 1, 3, 5, 7, 9 between them.  Ties go to the
     lesser cell.  A basin without a tributary has no rows.
     """
-    same = cells.select(F.col("cell").alias("nxt"), F.col("basin").alias("next_basin"))
-    flow = cells.join(same, "nxt", "left").select("basin", "cell", "acc", F.when(F.col("next_basin") == F.col("basin"), F.col("nxt")).alias("nxt"))
-    flow = write_table(flow, "basin-flow").df
+    flow = write_table(_inside_basins(cells), "basin-flow").df
     outlet = flow.groupBy("basin").agg(F.max(F.struct("acc", (-F.col("cell")).alias("m"))).alias("o")).select("basin", (-F.col("o.m")).alias("outlet"))
     river = flow.where(F.col("acc") >= stream_th)
     main = river.where("nxt is not null").groupBy("nxt").agg(F.max(F.struct("acc", (-F.col("cell")).alias("m"))).alias("o")).select((-F.col("o.m")).alias("cell"), F.lit(True).alias("is_main"))
@@ -95,6 +101,52 @@ def divide_level(cells: DataFrame, areas: DataFrame, stream_th: float, parts: in
     return out.select("cell", F.concat("basin", F.coalesce(F.col("digit").cast("string"), F.lit("1"))).alias("pfaf"))
 
 
+def contract(cells: DataFrame, stream_th: float, area: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cells of basins put together to pieces that no division with ``stream_th`` or more cuts: the tree of pieces, and each cell's piece.
+
+    The tree has ``basin, cell, nxt, acc, area``: the last cell of a piece, that
+    of the piece below (null at the end of a basin), accumulation at the last
+    cell, and the summed ``area`` of its cells (by default their number).  The
+    members are ``cell, piece``.  A piece is a stretch of river from below a
+    confluence up to the next one, which is its upper end, with all that drains
+    to it off the river; where a basin's end is no river, it is all that drains
+    there.  Codes change at the inflows of confluences alone, and accumulation
+    at the lower end of a piece orders tributaries as that at its upper end
+    does, so ``pfafstetter`` and ``divide_level`` give for the tree what they
+    give for the cells.  ``acc`` must grow downstream within a basin.
+    """
+    size = (F.lit(1.0) if area is None else area).cast("double")
+    flow = write_table(_inside_basins(cells.withColumn("area__", size), "area__"), "basin-flow").df
+    river = F.col("acc") >= stream_th
+    inflows = flow.where(river & F.col("nxt").isNotNull()).groupBy(F.col("nxt").alias("at")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cut = flow.join(inflows, F.col("nxt") == F.col("at"), "left").select("cell", F.when(~river | F.col("at").isNull(), F.col("nxt")).alias("nxt"))
+    members = write_table(roots(cut).withColumnRenamed("root", "piece"), "pieces").df
+    areas = members.join(flow.select("cell", "area__"), "cell").groupBy(F.col("piece").alias("cell")).agg(F.sum("area__").alias("area"))
+    ends = flow.join(areas, "cell").select("basin", "cell", F.col("nxt").alias("at"), "acc", "area")
+    below = members.select(F.col("cell").alias("at"), F.col("piece").alias("nxt"))
+    return write_table(ends.join(below, "at", "left").select("basin", "cell", "nxt", "acc", "area"), "piece-tree").df, members
+
+
+def divide_levels(cells: DataFrame, stream_ths: Sequence[float], area: Column | None = None, parts: int = PARTS, multiple: int = MULTIPLE) -> DataFrame:
+    """``cell, pfaf`` after one level of division for each of ``stream_ths``, which name the levels' river thresholds.
+
+    What ``divide_level`` gives when it is called for one level after the
+    other, with each level's basins measured by ``area``.  Cells are contracted
+    once by the least threshold, all levels divide the tree of pieces, and
+    cells get their codes in one join at the end, so work on cells doesn't grow
+    with the levels.  Without a level codes are the basins; an empty table
+    gives no rows.  ``acc`` must grow downstream within a basin.
+    """
+    if not stream_ths:
+        return cells.select("cell", F.col("basin").alias("pfaf"))
+    tree, members = contract(cells, min(stream_ths), area)
+    for th in stream_ths:
+        areas = tree.groupBy(F.col("basin").alias("basin_id")).agg(F.sum("area").alias("area"))
+        codes = divide_level(tree.drop("area"), areas, th, parts, multiple)
+        tree = write_table(tree.drop("basin").join(codes.withColumnRenamed("pfaf", "basin"), "cell"), "piece-tree").df
+    return members.join(tree.select(F.col("cell").alias("piece"), F.col("basin").alias("pfaf")), "piece").select("cell", "pfaf")
+
+
 def outlet_order(outlets: DataFrame, ring_cells: int, *by: str) -> DataFrame:
     """``*by, pos, gap, ord``: outlets along a boundary walk, beginning after the widest gap.
 

@@ -28,7 +28,7 @@ from hydrospark.functions.cells import (
 from hydrospark.functions.projections import EPSG_5243
 from hydrospark.operators import algebra, basins, block_stencils, clip, flats, flow, ranges, slope, stencil, vector
 from hydrospark.plans import pipelines
-from hydrospark.plans.oracles import SQL, TH
+from hydrospark.plans.oracles import LEVELS, SQL, TH
 from hydrospark.sources import fixtures, geojson, geotiff, records, shapefile, tiles, versions
 from hydrospark.sources.byte_ranges import write_files
 from hydrospark.storage import materialize, scratch
@@ -905,6 +905,12 @@ def h5_divide_level(s):
     return basins.divide_level(cells, areas, TH)
 
 
+@query
+def h5_divide_levels(s):
+    """Four levels of division, each of the basins of the one before."""
+    return basins.divide_levels(basin_cells(s), [TH] * LEVELS)
+
+
 def supplier_outlets(s) -> DataFrame:
     return fixtures.read(s.spark, s.sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_acctbal").alias("acc"))
 

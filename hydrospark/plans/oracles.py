@@ -161,6 +161,22 @@ stops AS (SELECT cell, 2 * k AS label FROM four
 run(cell, ends) AS (SELECT cell, cell FROM bc UNION ALL SELECT r.cell, b.nxt FROM run r JOIN bc b ON b.cell = r.ends WHERE b.nxt IS NOT NULL AND b.cell NOT IN (SELECT cell FROM stops)),
 digits AS (SELECT b.basin, r.cell, CAST(s.label AS BIGINT) AS digit FROM run r JOIN stops s ON s.cell = r.ends JOIN bc b ON b.cell = r.cell)"""
 
+#: Levels of division in ``h5_divide_levels``, and one of them: codes of level {i} to those of level {j}.
+LEVELS = 4
+LEVEL = f"""
+cut{{i}} AS (SELECT c.pfaf AS basin, c.cell, CASE WHEN n.pfaf = c.pfaf THEN f.nxt END AS nxt, a.acc FROM pf{{i}} c JOIN flow f USING (cell) JOIN acc a USING (cell) LEFT JOIN pf{{i}} n ON n.cell = f.nxt),
+rank{{i}} AS (SELECT basin, row_number() OVER (ORDER BY n DESC, basin DESC) AS r, count(*) OVER () AS c FROM (SELECT basin, count(*) AS n FROM cut{{i}} GROUP BY basin)),
+bc{{i}} AS (SELECT b.* FROM cut{{i}} b JOIN rank{{i}} USING (basin) WHERE r <= CASE WHEN c // 4 + 1 < c THEN c // 4 + 1 ELSE 1 END),
+bcr{{i}} AS (SELECT * FROM bc{{i}} WHERE acc >= {TH}),
+main{{i}} AS (SELECT nxt, cell FROM (SELECT *, row_number() OVER (PARTITION BY nxt ORDER BY acc DESC, cell) AS r FROM bcr{{i}} WHERE nxt IS NOT NULL) WHERE r = 1),
+stem{{i}}(basin, cell) AS (SELECT basin, cell FROM bcr{{i}} WHERE nxt IS NULL UNION ALL SELECT s.basin, m.cell FROM stem{{i}} s JOIN main{{i}} m ON m.nxt = s.cell),
+trib{{i}} AS (SELECT b.basin, b.cell, b.acc, j.acc AS stem_acc FROM bcr{{i}} b JOIN stem{{i}} s ON s.cell = b.nxt JOIN bc{{i}} j ON j.cell = b.nxt WHERE b.cell NOT IN (SELECT cell FROM main{{i}})),
+four{{i}} AS (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY stem_acc DESC, cell) AS k FROM (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY acc DESC, cell) AS r FROM trib{{i}}) WHERE r <= 4),
+stops{{i}} AS (SELECT cell, 2 * k AS label FROM four{{i}}
+  UNION ALL SELECT s.cell, 1 + 2 * (SELECT count(*) FROM four{{i}} t WHERE t.basin = s.basin AND t.stem_acc > b.acc) FROM stem{{i}} s JOIN bc{{i}} b USING (cell) WHERE s.basin IN (SELECT basin FROM four{{i}})),
+run{{i}}(cell, ends) AS (SELECT cell, cell FROM bc{{i}} UNION ALL SELECT r.cell, b.nxt FROM run{{i}} r JOIN bc{{i}} b ON b.cell = r.ends WHERE b.nxt IS NOT NULL AND b.cell NOT IN (SELECT cell FROM stops{{i}})),
+pf{{j}} AS (SELECT c.cell, c.pfaf || coalesce(d.label, 1) AS pfaf FROM pf{{i}} c LEFT JOIN (SELECT r.cell, s.label FROM run{{i}} r JOIN stops{{i}} s ON s.cell = r.ends) d USING (cell))"""
+
 SQL |= {
     "a1_signed_cells": sql(GRID, select="SELECT x, y, CASE WHEN dir128 > 127 THEN dir128 - 256 ELSE dir128 END AS v FROM dir128"),
     "a2_unsigned_cells": sql(GRID, select="SELECT x, y, dir128 AS v FROM dir128"),
@@ -263,6 +279,10 @@ SQL |= {
         "r AS (SELECT basin, row_number() OVER (ORDER BY n DESC, CAST(basin AS VARCHAR) DESC) AS r, count(*) OVER () AS c FROM (SELECT basin, count(*) AS n FROM bc GROUP BY basin))",
         select="SELECT b.cell, CAST(b.basin AS VARCHAR) || coalesce(CASE WHEN r.r <= r.c // 4 + 1 THEN d.digit END, 1) AS pfaf FROM bc b JOIN r ON r.basin = b.basin LEFT JOIN digits d ON d.cell = b.cell",
     ),
+    "h5_divide_levels": sql(
+        GRID, PATH, "pf0 AS (SELECT p.cell, CAST(p.ends AS VARCHAR) AS pfaf FROM path p JOIN flow f ON f.cell = p.ends WHERE f.nxt IS NULL)",
+        *(LEVEL.replace("{i}", str(k)).replace("{j}", str(k + 1)) for k in range(LEVELS)), select=f"SELECT cell, pfaf FROM pf{LEVELS}",
+    ),
     "h6_outlet_order": sql(
         OUTLETS,
         "g AS (SELECT pos, coalesce(pos - lag(pos) OVER (ORDER BY pos), pos + 1 + 20000 - 1 - max(pos) OVER ()) AS gap, row_number() OVER (ORDER BY pos) - 1 AS k, count(*) OVER () AS n FROM outlets)",
@@ -534,7 +554,7 @@ WIDTHS = {
     "d16_inner_boundary": ("", "x y"), "e1_geojson_merge": ("", "chars"), "e3_split_by_dn": ("", "n"), "f6_lake_buffer": ("", "x y"), "f6_lake_buffer_blocks": ("", "x y"), "g1_lake_components": ("", "x y"),
     "g2_flow_accumulation": ("cell", ""), "g3_repair_accumulation": ("cell", ""), "g4_strahler_order": ("cell", ""), "g4_upstream_lengths": ("cell", ""), "g6_sink_basins": ("cell label", ""),
     "g7_reaches": ("cell reach", ""), "g7_reach_tree": ("reach down_reach", ""), "g7_watersheds": ("cell watershed", ""), "g12_slope_surface_group": ("cell", ""), "g12_slope_surface_lake": ("cell", ""),
-    "g13_slope_route": ("cell", ""), "g15_water_slope": ("", "v"), "g16_watershed_recode": ("cell", ""), "h3_pfafstetter_l1": ("cell", "digit"), "h4_divide_all": ("cell", ""), "h5_divide_level": ("cell", ""),
+    "g13_slope_route": ("cell", ""), "g15_water_slope": ("", "v"), "g16_watershed_recode": ("cell", ""), "h3_pfafstetter_l1": ("cell", "digit"), "h4_divide_all": ("cell", ""), "h5_divide_level": ("cell", ""), "h5_divide_levels": ("cell", ""),
     "h8_coastal_division": ("cell", ""), "h9_spill_point": ("", "x y to_x to_y"), "h10_lake_upstream": ("cell nxt", ""), "h11_drainage": ("cell watershed", ""), "p1_flagship": ("", "x y v"),
     "p2_from_elevation": ("watershed", ""), "p3_from_layers": ("", "x y v"),
 }

@@ -30,28 +30,42 @@ def first_range(points: DataFrame, ranges: DataFrame, dims: list[tuple[str, str,
     value.  Many ranges over one point all look at it; equal ones are put
     together first.
     """
-    values = [d[0] for d in dims]
-    spans = [d[1:] for d in dims]
-    proper = ranges
-    for low, high in spans:
-        proper = proper.where(F.col(low) <= F.col(high))
+    values, spans = [d[0] for d in dims], [d[1:] for d in dims]
+    proper = _proper(ranges, spans)
     proper = proper.groupBy(*(F.col(c).cast("double").alias(c) for s in spans for c in s)).agg(F.min_by(F.struct(order, new), order).alias("row__"))
+    met = _met(points.select(*values).distinct(), proper, dims)
+    return met.groupBy(*values).agg(F.min_by(f"row__.{new}", f"row__.{order}").alias(new))
+
+
+def every_range(points: DataFrame, ranges: DataFrame, dims: list[tuple[str, str, str]], *new: str) -> DataFrame:
+    """``points`` with the columns ``new`` of every range that holds them, a row for each; otherwise as ``first_range``."""
+    ends = [c for d in dims for c in d[1:]]
+    held = _proper(ranges, [d[1:] for d in dims]).select(*ends, *new)
+    return _met(points, held, dims).select(*points.columns, *new)
+
+
+def _proper(ranges: DataFrame, spans: list[tuple[str, str]]) -> DataFrame:
+    for low, high in spans:
+        ranges = ranges.where(F.col(low) <= F.col(high))
+    return ranges
+
+
+def _met(points: DataFrame, ranges: DataFrame, dims: list[tuple[str, str, str]]) -> DataFrame:
+    """Points beside the ranges that hold them, by level and bin."""
+    values, spans = [d[0] for d in dims], [d[1:] for d in dims]
     longest = F.greatest(*(F.col(high) - F.col(low) for low, high in spans), F.lit(0.0))
     level = F.when(longest == 0, POINT).when(longest < F.lit(2.0**1000), F.greatest(F.ceil(F.log2(longest)), F.lit(-1000)).cast("int")).otherwise(ENDLESS)
-    held = proper.withColumn("level__", level)
+    held = ranges.withColumn("level__", level)
     levels = sorted(r[0] for r in held.select("level__").distinct().collect())  # some 2000 at most
     for k, (low, high) in enumerate(spans):
         one, two = _bin(F.col(low), F.col("level__")), _bin(F.col(high), F.col("level__"))
         held = held.withColumn(f"bin{k}__", F.explode(F.array_distinct(F.array(one, two))))  # a range is no longer than a bin
-    if not levels:
-        levels = [POINT]
-    asked = points.select(*values).distinct().select(*values, F.explode(F.array(*map(F.lit, levels))).alias("level__"))
+    asked = points.select("*", F.explode(F.array(*map(F.lit, levels or [POINT]))).alias("level__"))
     asked = asked.select("*", *(_bin(F.col(v), F.col("level__")).alias(f"bin{k}__") for k, v in enumerate(values)))
-    keys = ["level__", *(f"bin{k}__" for k in range(len(dims)))]
-    met = asked.join(held, keys)
+    met = asked.join(held, ["level__", *(f"bin{k}__" for k in range(len(dims)))])
     for v, low, high in dims:
         met = met.where(F.col(v).between(F.col(low), F.col(high)))
-    return met.groupBy(*values).agg(F.min_by(f"row__.{new}", f"row__.{order}").alias(new))
+    return met
 
 
 def reclass_ranges(raster: DataFrame, table: DataFrame, value: str = "v") -> DataFrame:

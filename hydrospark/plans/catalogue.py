@@ -26,7 +26,7 @@ from hydrospark.functions.cells import (
     unsigned_byte,
 )
 from hydrospark.functions.projections import EPSG_5243
-from hydrospark.operators import algebra, basins, block_stencils, clip, flats, flow, ranges, slope, stencil, vector
+from hydrospark.operators import algebra, basins, block_stencils, clip, flats, flow, ranges, slope, stencil, upstream, vector
 from hydrospark.plans import pipelines
 from hydrospark.plans.oracles import LEVELS, SQL, TH
 from hydrospark.sources import fixtures, geojson, geotiff, records, shapefile, tiles, versions
@@ -284,6 +284,28 @@ def g6_sink_basins(s):
     return flow.basin_labels(s.flow, sinks)
 
 
+def upstream_index(s) -> upstream.UpstreamIndex:
+    path = scratch(s.spark, "upstream-index")
+    upstream.write_index(s.flow, path)
+    return upstream.UpstreamIndex(s.spark, path)
+
+
+def reach_ends(s) -> DataFrame:
+    return s.reach.select(F.col("reach").alias("cell")).distinct()
+
+
+@query
+def g6_indexed_upstream(s):
+    """All cells above the end of each reach, from the stored index."""
+    return upstream_index(s).upstream(reach_ends(s))
+
+
+@query
+def g6_indexed_basins(s):
+    """The first reach end below each cell, from the stored index."""
+    return upstream_index(s).basins(reach_ends(s))
+
+
 @query
 def g7_reaches(s):
     return s.reach

@@ -90,6 +90,10 @@ SQL = {
     "g13_slope_route": sql(GRID, PATH, LAKES, LABELS, BUFFER, DRY, GROUPS, "slow AS (SELECT d.cell, d.nxt FROM dry d JOIN acc USING (cell) WHERE acc < {th})",
                            "go(cell) AS (SELECT cell FROM slow WHERE cell IN (SELECT start FROM ord) UNION SELECT s2.cell FROM go JOIN slow s ON s.cell = go.cell JOIN slow s2 ON s2.cell = s.nxt)", select="SELECT cell FROM go", th=TH),
     "g6_sink_basins": sql(GRID, PATH, select="SELECT p.cell, p.ends AS label FROM path p JOIN flow f ON f.cell = p.ends WHERE f.nxt IS NULL"),
+    "g6_indexed_upstream": sql(GRID, PATH, RIVER, REACH, select="SELECT ends AS outlet, cell FROM path WHERE ends IN (SELECT reach FROM segment)"),
+    "g6_indexed_basins": sql(GRID, PATH, RIVER, REACH, "ended AS (SELECT cell, CASE WHEN cell NOT IN (SELECT reach FROM segment) THEN nxt END AS nxt FROM flow)",
+                             "fall(cell, ends) AS (SELECT cell, cell FROM ended UNION ALL SELECT p.cell, f.nxt FROM fall p JOIN ended f ON p.ends = f.cell WHERE f.nxt IS NOT NULL)",
+                             select="SELECT cell, ends AS label FROM fall WHERE ends IN (SELECT reach FROM segment)"),
     "g7_reaches": sql(GRID, PATH, RIVER, REACH, select="SELECT cell, reach FROM segment"),
     "g7_reach_tree": sql(GRID, PATH, RIVER, REACH, "down AS (SELECT r.cell AS reach, s.reach AS down_reach FROM river r JOIN (SELECT DISTINCT reach FROM segment) t ON t.reach = r.cell LEFT JOIN segment s ON s.cell = r.nxt)",
                          select="SELECT s.reach, count(*) AS n_cells, any_value(d.down_reach) AS down_reach, (SELECT count(*) FROM down u WHERE u.down_reach = s.reach) AS n_up FROM segment s JOIN down d USING (reach) GROUP BY s.reach"),
@@ -553,7 +557,7 @@ WIDTHS = {
     "d5_ring_measures": ("label", ""), "d10_polygon_rings": ("", "pos"), "d12_splice_holes": ("", "pos"), "d13_splice_outer_cells": ("", "pos"), "d15_densify_ring": ("", "pos x y"),
     "d16_inner_boundary": ("", "x y"), "e1_geojson_merge": ("", "chars"), "e3_split_by_dn": ("", "n"), "f6_lake_buffer": ("", "x y"), "f6_lake_buffer_blocks": ("", "x y"), "g1_lake_components": ("", "x y"),
     "g2_flow_accumulation": ("cell", ""), "g3_repair_accumulation": ("cell", ""), "g4_strahler_order": ("cell", ""), "g4_upstream_lengths": ("cell", ""), "g6_sink_basins": ("cell label", ""),
-    "g7_reaches": ("cell reach", ""), "g7_reach_tree": ("reach down_reach", ""), "g7_watersheds": ("cell watershed", ""), "g12_slope_surface_group": ("cell", ""), "g12_slope_surface_lake": ("cell", ""),
+    "g6_indexed_upstream": ("outlet cell", ""), "g6_indexed_basins": ("cell label", ""), "g7_reaches": ("cell reach", ""), "g7_reach_tree": ("reach down_reach", ""), "g7_watersheds": ("cell watershed", ""), "g12_slope_surface_group": ("cell", ""), "g12_slope_surface_lake": ("cell", ""),
     "g13_slope_route": ("cell", ""), "g15_water_slope": ("", "v"), "g16_watershed_recode": ("cell", ""), "h3_pfafstetter_l1": ("cell", "digit"), "h4_divide_all": ("cell", ""), "h5_divide_level": ("cell", ""), "h5_divide_levels": ("cell", ""),
     "h8_coastal_division": ("cell", ""), "h9_spill_point": ("", "x y to_x to_y"), "h10_lake_upstream": ("cell nxt", ""), "h11_drainage": ("cell watershed", ""), "p1_flagship": ("", "x y v"),
     "p2_from_elevation": ("watershed", ""), "p3_from_layers": ("", "x y v"),

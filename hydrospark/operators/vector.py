@@ -116,11 +116,15 @@ def shoelace(ring: Column) -> Column:
     return F.when(F.size(ring) > 2, total / 2).otherwise(0.0)
 
 
-def geographic_area(rings: Column) -> Column:
-    """Square metres of a polygon in degrees, holes taken off: equal-area cylindrical coordinates on a sphere."""
+def geographic_area(rings: Column, signed: bool = False) -> Column:
+    """Square metres of a polygon in degrees, holes taken off: equal-area cylindrical coordinates on a sphere.
+
+    ``signed`` gives the area the sign of the outer ring's in that plane, as ``shoelace`` does.
+    """
     flat = lambda r: F.transform(r, lambda p: F.struct((F.radians(p["x"]) * EARTH_RADIUS).alias("x"), (F.sin(F.radians(p["y"])) * EARTH_RADIUS).alias("y")))
-    areas = F.transform(rings, lambda r: F.abs(shoelace(flat(r))))
-    return let(areas, lambda a: F.aggregate(F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), F.get(a, 0), lambda s, v: s - v))
+    own = F.transform(rings, lambda r: shoelace(flat(r)))
+    turn = lambda a: F.signum(F.get(a, 0)) if signed else F.lit(1.0)
+    return let(own, lambda a: F.aggregate(F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), F.abs(F.get(a, 0)), lambda s, v: s - F.abs(v)) * turn(a))
 
 
 def projected_area(rings: Column, conic: Conic = EPSG_5243) -> Column:

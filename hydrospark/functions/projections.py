@@ -39,6 +39,10 @@ class Conic:
         f = self.axis * m(one) / (n * self._t(one) ** n)
         return n, f, f * self._t(radians(self.origin[1])) ** n
 
+    def covers(self, lat: Column) -> Column:
+        """Whether points of a latitude in degrees come back from the plane: those strictly between the poles."""
+        return F.abs(lat) < 90
+
     def forward(self, lon: Column, lat: Column) -> Column:
         """``struct<x, y>`` of a point in degrees."""
         n, f, r0 = self.constants

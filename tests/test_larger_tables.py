@@ -36,7 +36,7 @@ def both(spark, where, name):
     return sorted(map(repr, map(tuple, got.collect()))), sorted(map(repr, rel.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["d9_ring_area"])
+@pytest.mark.parametrize("name", ["d9_ring_area", "d9_ring_area_conic"])
 def test_areas_beyond_the_pole(spark, tall, name):
     got, want = both(spark, tall, name)
     assert got == want

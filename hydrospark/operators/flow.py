@@ -3,7 +3,9 @@
 Everything global rests on doubling: after k rounds a cell knows its 2**k-th
 successor, so sums over all upstream cells or along the whole downstream path
 take as many rounds as the logarithm of the longest path.  Rounds are written
-to the shared folder.
+to the shared folder.  Where values are whole numbers, paths are first followed
+within spans of cells (``spans``), and only what leaves a span takes part in
+the rounds.
 """
 
 from __future__ import annotations
@@ -12,11 +14,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from math import sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from hydrospark.functions.cells import cell_key, code_8, in_grid, step
+from hydrospark.operators import spans
 from hydrospark.operators.ranking import global_rank
 from hydrospark.operators.stencil import sent
 from hydrospark.storage import Table, read_tables, write_table
@@ -119,17 +123,37 @@ def push(flow: DataFrame, start: dict[str, Column], combine=F.sum) -> DataFrame:
     ``flow`` may hold further columns for the start values.  ``combine`` is an
     aggregate that may be nested (sum, min, max).
     """
+    begun = flow.select("cell", "nxt", *(c.alias(n) for n, c in start.items()))
+    if combine is F.sum and _whole(begun) and not any(begun.schema[n].nullable for n in start):
+        return _push_spans(begun, list(start))
     return gather(flow, {n: Gather(c, F.col(n), combine) for n, c in start.items()})
 
 
+def last(mine: Column, ahead: Column) -> Column:
+    """For ``pull``: the value of the last cell that has one."""
+    return F.coalesce(ahead, mine)
+
+
+def plus(mine: Column, ahead: Column) -> Column:
+    """For ``pull``: the sum; null counts as 0."""
+    return F.coalesce(mine, F.lit(0)) + F.coalesce(ahead, F.lit(0))
+
+
 def pull(flow: DataFrame, start: dict[str, Column], combine=F.greatest) -> DataFrame:
     """``cell`` and, for each name, ``combine`` of the start values of all cells on the downstream path, its own included.
 
-    Moving cells look up their 2**k-th successor, which may be done already;
-    those that are done are looked up but not written again.
+    Whole numbers are combined by spans if ``combine`` is ``F.greatest`` or
+    ``plus``, all other values by doubling alone.
     """
-    names = list(start)
-    first = write_table(flow.select("cell", "nxt", *(c.alias(n) for n, c in start.items())), "pull", watch=MOVING)
+    begun = flow.select("cell", "nxt", *(c.alias(n) for n, c in start.items()))
+    if combine in (F.greatest, plus) and _whole(begun):
+        return _pull_spans(begun, list(start), combine)
+    return _pull_rounds(begun, list(start), combine)
+
+
+def _pull_rounds(begun: DataFrame, names: list[str], combine) -> DataFrame:
+    """Moving cells look up their 2**k-th successor, which may be done already; those that are done aren't written again."""
+    first = write_table(begun, "pull", watch=MOVING)
 
     def advance(tables: list[Table]) -> DataFrame:
         moving = tables[-1].df.where(MOVING)
@@ -143,9 +167,107 @@ def pull(flow: DataFrame, start: dict[str, Column], combine=F.greatest) -> DataF
 
 def roots(flow: DataFrame) -> DataFrame:
     """``cell, root``: the last cell of each downstream path that is a cell of the graph."""
+    if _whole(flow.select("cell", "nxt")):
+        return _pull_spans(flow.select("cell", "nxt", F.col("cell").alias("root")), ["root"], last)
     known = flow.select(F.col("cell").alias("nxt"), F.lit(True).alias("in_graph"))
     inside = flow.join(known, "nxt", "left").select("cell", F.when(F.col("in_graph"), F.col("nxt")).alias("nxt"))
-    return pull(inside, {"root": F.col("cell")}, lambda mine, ahead: F.coalesce(ahead, mine))
+    return _pull_rounds(inside.withColumn("root", F.col("cell")), ["root"], last)
+
+
+def _whole(table: DataFrame) -> bool:
+    return all(isinstance(f.dataType, IntegralType) for f in table.schema)
+
+
+def _span(cell: Column) -> Column:
+    return F.floor(cell / spans.SPAN).cast("long")
+
+
+def _packed(begun: DataFrame, names: list[str], sums=None) -> Table:
+    rows = begun.select(_span(F.col("cell")).alias("span"), *(F.col(c).cast("long").alias(c) for c in ("cell", "nxt", *names)))
+    packed = write_table(rows.groupBy("span").applyInArrow(spans.pack(names, sums), spans.pack_schema(names)), "spans", watch="looped")
+    if packed.watched:
+        packed.drop()
+        raise ValueError("the flow graph has a cycle")
+    return packed
+
+
+def _with_lists(packed: DataFrame, rows: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """Packed spans with lists of the rows that belong to each, of which a span has no more than cells at its borders."""
+    listed = rows.groupBy("span").agg(F.collect_list(F.struct(*more)).alias("l"))
+    return packed.select("span", "cell", "nxt", *names).join(listed, "span", "left").select("cell", "nxt", *names, *(F.col(f"l.{c}").alias(f"got_{c}") for c in more))
+
+
+def _entries(packed: DataFrame, names: list[str], made, columns: list[str]) -> DataFrame:
+    """The cells at which paths enter a span, one row each, with what ``made`` tells of them."""
+    entered = packed.select(F.explode("out").alias("entry")).distinct().withColumn("span", _span(F.col("entry")))
+    asked = _with_lists(packed.join(entered.select("span").distinct(), "span", "left_semi"), entered, names, "entry")
+
+    def rows(paths, values, got):
+        at, there = spans.look_up(paths.cell, got["entry"])
+        at = at[there]
+        return {"entry": got["entry"][there], **made(paths, values, at)}
+
+    return write_table(asked.mapInArrow(spans.each_span(names, rows), ", ".join(f"{c} bigint" for c in ("entry", *columns))), "entries").df
+
+
+def _typed(made: DataFrame, begun: DataFrame, *names: str) -> DataFrame:
+    return made.select(F.col("cell").cast(begun.schema["cell"].dataType).alias("cell"), *(F.col(n).cast(begun.schema[n].dataType).alias(n) for n in names))
+
+
+def _pull_spans(begun: DataFrame, names: list[str], combine) -> DataFrame:
+    """``pull`` within spans, then by doubling over the cells at which paths enter a span, then from there to all cells."""
+    packed = _packed(begun, names)
+    adds, ends_only, none = combine is plus, combine is last, spans.NONE
+
+    def within(paths, values):
+        ends = paths.ends()[:-1]
+        if ends_only:
+            return ends, [v[ends] for v in values]
+        if adds:
+            return ends, [paths.pulled(np.where(v == none, 0, v), np.add, 0)[:-1] for v in values]
+        return ends, [paths.pulled(v, np.maximum, none)[:-1] for v in values]
+
+    def entry(paths, values, at):
+        ends, sums = within(paths, values)
+        return {"nxt": paths.out[ends[at]], **{n: v[at] for n, v in zip(names, sums, strict=True)}}
+
+    entries = _entries(packed.df, names, entry, ["nxt", *names])
+    below = write_table(_pull_rounds(entries.withColumnRenamed("entry", "cell"), names, combine), "below").df
+    left = packed.df.select("span", F.explode("out").alias("entry")).distinct().join(below.withColumnRenamed("cell", "entry"), "entry")
+
+    def finish(paths, values, got):
+        ends, sums = within(paths, values)
+        order = np.argsort(got["entry"])
+        at, there = spans.look_up(got["entry"][order], paths.out[ends])
+        for n, v in zip(names, sums, strict=True):
+            more = got[n][order][at[there]]
+            v[there] = more if ends_only else v[there] + more if adds else np.maximum(v[there], more)
+        return {"cell": paths.cell, **dict(zip(names, sums, strict=True))}
+
+    final = _with_lists(packed.df, left, names, "entry", *names).mapInArrow(spans.each_span(names, finish), ", ".join(f"{c} bigint" for c in ("cell", *names)))
+    return _typed(write_table(final, "pulled").df, begun, *names)
+
+
+def _push_spans(begun: DataFrame, names: list[str]) -> DataFrame:
+    """``push`` of sums within spans, then by doubling over the cells at which paths leave a span, then from where they enter on."""
+    packed = _packed(begun, names, lambda paths, v: paths.pushed(v, np.add, 0))
+    entries = _entries(packed.df, names, lambda paths, values, at: {"end": paths.cell[paths.ends()[at]]}, ["end"])
+    gates = packed.df.select(F.explode(F.arrays_zip("gate", "out", *(f"{n}_sent" for n in names))).alias("g")).select("g.*")
+    gates = write_table(gates.join(entries.withColumnRenamed("entry", "out"), "out").select(F.col("gate").alias("cell"), F.col("end").alias("nxt"), "out", *(F.col(f"{n}_sent").alias(n) for n in names)), "gates").df
+    total = gather(gates, {n: Gather(F.col(n), F.col(n)) for n in names})
+    arrived = gates.select("cell", "out").join(total, "cell").groupBy(F.col("out").alias("entry")).agg(*(F.sum(n).alias(n) for n in names))
+
+    def finish(paths, values, got):
+        at, _ = spans.look_up(paths.cell, got["entry"])
+        out = {"cell": paths.cell}
+        for n, v in zip(names, values, strict=True):
+            v = v.copy()
+            v[at] += got[n]
+            out[n] = paths.pushed(v, np.add, 0)[:-1]
+        return out
+
+    final = _with_lists(packed.df, arrived.withColumn("span", _span(F.col("entry"))), names, "entry", *names).mapInArrow(spans.each_span(names, finish), ", ".join(f"{c} bigint" for c in ("cell", *names)))
+    return write_table(final.withColumn("cell", F.col("cell").cast(begun.schema["cell"].dataType)), "pushed").df
 
 
 def accumulation(flow: DataFrame) -> DataFrame:
@@ -307,7 +429,7 @@ def pass_levels(passes: DataFrame, out: DataFrame) -> DataFrame:
         back = chosen.select(F.col("a").alias("b"), F.col("b").alias("back"))
         link = chosen.join(back, "b", "left").select(F.col("a").alias("cell"), F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("b")), None).otherwise(F.col("b")).alias("nxt"))
         link = link.unionByName(link.sparkSession.range(1).select(F.lit(OUTSIDE).cast("long").alias("cell"), F.lit(None).cast("long").alias("nxt")))
-        group = write_table(pull(link, {"to": F.col("cell")}, lambda mine, ahead: F.coalesce(ahead, mine)), "groups").df
+        group = write_table(_pull_rounds(link.withColumn("to", F.col("cell")), ["to"], last), "groups").df
         moved = state.df.join(chosen.select(F.col("a").alias("grp"), "height"), "grp", "left").join(group.select(F.col("cell").alias("grp"), "to"), "grp", "left")
         new_state = write_table(moved.select("root", F.coalesce("to", "grp").alias("grp"), F.greatest("level", "height").alias("level")), "levels")
         ends = lambda c: group.select(F.col("cell").alias(c), F.col("to").alias(f"to_{c}"))

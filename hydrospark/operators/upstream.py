@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hydrospark.operators.flow import accumulation, pull
+from hydrospark.operators.flow import accumulation, plus, pull
 from hydrospark.operators.ranges import every_range
 from hydrospark.operators.ranking import global_rank, latest_before, running_total
 from hydrospark.storage import write_table
@@ -37,7 +37,7 @@ def number(flow: DataFrame) -> DataFrame:
     inner = sized.where("nxt is not null").select("cell", "nxt", (before + 1).alias("before"))
     ends = running_total(sized.where("nxt is null"), F.col("acc"), F.col("cell")).select("cell", "nxt", "before")
     steps = inner.unionByName(ends)
-    places = pull(steps, {"place": F.col("before")}, lambda mine, ahead: mine + ahead)
+    places = pull(steps, {"place": F.col("before")}, plus)
     return places.join(sized.select("cell", "acc"), "cell").select("cell", "place", (F.col("place") + F.col("acc") - 1).alias("last"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from hydrospark.operators import flow, spans
 from hydrospark.plans import catalogue
 
 DATA = Path("/root/testdata/sf0.001")
@@ -40,3 +43,60 @@ def both(spark, where, name):
 def test_areas_beyond_the_pole(spark, tall, name):
     got, want = both(spark, tall, name)
     assert got == want
+
+
+@pytest.fixture
+def short_spans(monkeypatch):
+    """Spans of 16 cells, so that small graphs have many."""
+    monkeypatch.setattr(spans, "SPAN", 16)
+
+
+def random_tree(n: int, seed: int) -> dict[int, int | None]:
+    """Next cells: most are near, some far, some ends, some cells that the graph doesn't have."""
+    draw = random.Random(seed)
+    cells = draw.sample(range(3 * n), n)
+    order = {c: k for k, c in enumerate(cells)}
+    out: dict[int, int | None] = {}
+    for c in cells:
+        earlier = [d for d in range(c - 9, c + 9) if order.get(d, n) < order[c]] or cells[: order[c]]
+        out[c] = draw.choice(earlier) if earlier and draw.random() < 0.95 else draw.choice([None, 10 * n])
+    return out
+
+
+def path(tree: dict[int, int | None], cell: int) -> list[int]:
+    way = []
+    while cell in tree:
+        way.append(cell)
+        cell = tree[cell]
+    return way
+
+
+def test_paths_over_many_spans(spark, short_spans):
+    tree = random_tree(400, 7)
+    graph = spark.createDataFrame([(c, n, c % 7 if c % 3 else None) for c, n in tree.items()], "cell long, nxt long, own long")
+    ways = {c: path(tree, c) for c in tree}
+    assert {r.cell: r.root for r in flow.roots(graph).collect()} == {c: w[-1] for c, w in ways.items()}
+    above = Counter(d for w in ways.values() for d in w)
+    assert {r.cell: r.acc for r in flow.accumulation(graph).collect()} == above
+    best = {c: max((d % 7 for d in w if d % 3), default=None) for c, w in ways.items()}
+    assert {r.cell: r.m for r in flow.pull(graph, {"m": F.col("own")}).collect()} == best
+    assert {r.cell: r.n for r in flow.pull(graph, {"n": F.lit(1)}, flow.plus).collect()} == {c: len(w) for c, w in ways.items()}
+
+
+@pytest.mark.parametrize("rows", [[(1, 2), (2, 3), (3, 1)], [(1, 40), (40, 80), (80, 1)]])
+def test_cycles_within_and_between_spans(spark, short_spans, rows):
+    with pytest.raises(ValueError, match="cycle"):
+        flow.accumulation(spark.createDataFrame(rows, "cell long, nxt long"))
+    with pytest.raises(ValueError, match="cycle"):
+        flow.roots(spark.createDataFrame(rows, "cell long, nxt long")).collect()
+    assert flow.accumulation(spark.createDataFrame([], "cell long, nxt long")).count() == 0
+
+
+def test_rounds_hold_only_what_leaves_a_span(spark, monkeypatch):
+    """A river of 20,000 cells crosses one border, so the rounds get a few rows, not every cell."""
+    seen = []
+    before = flow._pull_rounds
+    monkeypatch.setattr(flow, "_pull_rounds", lambda begun, *rest: seen.append(begun.count()) or before(begun, *rest))
+    graph = spark.range(20_000).select(F.col("id").alias("cell"), F.when(F.col("id") < 19_999, F.col("id") + 1).alias("nxt"))
+    assert flow.roots(graph).select("root").distinct().collect() == [(19_999,)]
+    assert seen == [1]

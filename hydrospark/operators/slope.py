@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.functions.cells import STEPS, cell_key, in_grid
-from hydrospark.operators.components import connected_components
+from hydrospark.operators.components import HALF, connected_components, label_blocks
 from hydrospark.operators.flow import pull, roots
 from hydrospark.operators.ranking import global_rank
 from hydrospark.operators.stencil import lake_buffer
 from hydrospark.storage import write_table
 
-HALF = (1, 2, 3, 4)  # one direction of each pair, so each edge is made once
-
 
 def neighbour_edges(cells: DataFrame, width: int, by: list[str], directions=HALF) -> DataFrame:
     """``a, b, dir, *by`` for neighbouring cells of ``cells`` (``x, y, *by``) that agree in ``by``."""
@@ -28,12 +28,9 @@ def neighbour_edges(cells: DataFrame, width: int, by: list[str], directions=HALF
 
 
 def label_cells(cells: DataFrame, width: int, eight: bool = True, by: list[str] | None = None) -> DataFrame:
-    """``x, y, label, *by``: connected components of equal ``by``; label = least packed cell."""
-    by = by or []
-    edges = neighbour_edges(cells, width, by, HALF if eight else (1, 3))
-    found = connected_components(edges, "a", "b")
-    own = cells.select("x", "y", *by, cell_key(F.col("x"), F.col("y"), width).alias("node"))
-    return own.join(found, "node", "left").select("x", "y", *by, F.coalesce("label", "node").alias("label"))
+    """``x, y, label, *by``: connected components of equal ``by``, block by block; label = least packed cell."""
+    made = label_blocks(cells, width, HALF if eight else (1, 3), by or [])
+    return made.select("x", "y", "label", *(by or []))
 
 
 def label_lakes(water: DataFrame, width: int) -> DataFrame:
@@ -128,11 +125,21 @@ def routes(flow: DataFrame, water: DataFrame, acc: DataFrame, starts: DataFrame,
 
 @dataclass
 class SlopeSurfaces:
+    """Lakes, their order and inflow points; surfaces and routes are made when first asked for."""
+
     lakes: DataFrame
     order: DataFrame
     points: DataFrame
-    surfaces: DataFrame
-    route: DataFrame
+    make_surfaces: Callable[[], DataFrame]
+    make_route: Callable[[], DataFrame]
+
+    @cached_property
+    def surfaces(self) -> DataFrame:
+        return self.make_surfaces()
+
+    @cached_property
+    def route(self) -> DataFrame:
+        return self.make_route()
 
 
 def slope_surfaces(
@@ -145,7 +152,11 @@ def slope_surfaces(
     buffers = write_table(around.select("lake", cell_key(F.col("x"), F.col("y"), width).alias("cell")), "buffers").df
     order = write_table(lake_order(buffers, acc), "lake-order").df
     points = write_table(inflow_points(buffers, flow, wet, acc, river_th), "inflow").df
-    ids = surface_ids(inflow_groups(points, acc, width, river_th, diagonal), order, mode)
-    surfaces = paint(flow, wet, ids)
-    route = routes(flow, wet, acc, order.select(F.col("start").alias("cell")), river_th)
+
+    def surfaces() -> DataFrame:
+        return paint(flow, wet, surface_ids(inflow_groups(points, acc, width, river_th, diagonal), order, mode))
+
+    def route() -> DataFrame:
+        return routes(flow, wet, acc, order.select(F.col("start").alias("cell")), river_th)
+
     return SlopeSurfaces(lakes, order, points, surfaces, route)

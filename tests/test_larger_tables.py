@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from hydrospark.operators import flow, spans
+from hydrospark.operators import components, flow, slope, spans
 from hydrospark.plans import catalogue
 
 DATA = Path("/root/testdata/sf0.001")
@@ -100,3 +100,37 @@ def test_rounds_hold_only_what_leaves_a_span(spark, monkeypatch):
     graph = spark.range(20_000).select(F.col("id").alias("cell"), F.when(F.col("id") < 19_999, F.col("id") + 1).alias("nxt"))
     assert flow.roots(graph).select("root").distinct().collect() == [(19_999,)]
     assert seen == [1]
+
+
+@pytest.mark.parametrize("eight", [True, False])
+def test_areas_over_blocks(spark, monkeypatch, eight):
+    """Areas that wind through blocks of 4 x 4 cells, with nulls, against plain Python."""
+    made = components.label_blocks
+    monkeypatch.setattr(slope, "label_blocks", lambda *a: made(*a, side=4))
+    draw, w, h = random.Random(3), 13, 22
+    cells = {(x, y): draw.choice([0, 0, 0, 1, None]) for x in range(w) for y in range(h) if draw.random() < 0.9}
+    steps = [(1, 0), (0, 1), (-1, 0), (0, -1)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if eight else [])
+    want = {}
+    for x, y in sorted(cells, key=lambda c: c[1] * w + c[0]):
+        todo = [(x, y)]
+        while todo:
+            c = todo.pop()
+            if c in want:
+                continue
+            want[c] = want.get((x, y), y * w + x)
+            near = [(c[0] + dx, c[1] + dy) for dx, dy in steps]
+            todo += [n for n in near if n in cells and cells[n] is not None and cells[n] == cells[c]]
+    rows = spark.createDataFrame([(x, y, v) for (x, y), v in cells.items()], "x int, y int, v int")
+    got = slope.label_cells(rows, w, eight, by=["v"])
+    assert got.columns == ["x", "y", "label", "v"]
+    assert {(r.x, r.y): (r.label, r.v) for r in got.collect()} == {c: (want[c], cells[c]) for c in cells}
+
+
+def test_rounds_hold_only_areas_at_borders(spark, monkeypatch):
+    """Of 100 x 300 cells in one area, the rounds get the three blocks' areas."""
+    seen = []
+    before = components.connected_components
+    monkeypatch.setattr(components, "connected_components", lambda edges, *rest: seen.append(edges.count()) or before(edges, *rest))
+    rows = spark.range(30_000).select((F.col("id") % 100).cast("int").alias("x"), (F.col("id") / 100).cast("int").alias("y"))
+    assert [tuple(r) for r in slope.label_cells(rows, 100).select("label").distinct().collect()] == [(0,)]
+    assert seen == [2]

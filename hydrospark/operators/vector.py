@@ -6,15 +6,19 @@ repeats the first.  Long tables of ring points have ``fid, part, ring, pos, x, y
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrospark.functions.cells import orientation
 from hydrospark.functions.projections import EPSG_5243, Conic
+from hydrospark.operators.blocks import SIDE
 from hydrospark.operators.components import connected_components
-from hydrospark.operators.flow import pull
+from hydrospark.operators.flow import plus, pull
 from hydrospark.operators.ranking import global_rank
 from hydrospark.operators.slope import label_cells
+from hydrospark.operators.spans import look_up
 from hydrospark.storage import write_table
 
 RING = "array<struct<x:double,y:double>>"
@@ -276,34 +280,95 @@ def polygonize(raster: DataFrame, width: int, value: str = "v") -> DataFrame:
     """
     cells = raster.select("x", "y", F.col(value).alias("dn"))
     area = write_table(label_cells(cells, width, eight=False, by=["dn"]), "areas").df
-    # side: direction of travel with the cell on the right: (step to the other cell, start corner, end corner)
-    sides = F.array(
-        *(
-            F.struct(F.lit(d).alias("side"), (F.col("x") + ox).alias("ox"), (F.col("y") + oy).alias("oy"), (F.col("x") + ax).alias("ax"), (F.col("y") + ay).alias("ay"), (F.col("x") + bx).alias("bx"), (F.col("y") + by).alias("by"))
-            for d, (ox, oy, ax, ay, bx, by) in enumerate(((0, -1, 0, 0, 1, 0), (1, 0, 1, 0, 1, 1), (0, 1, 1, 1, 0, 1), (-1, 0, 0, 1, 0, 0)))
-        )
-    )
-    rows = area.select("label", "dn", F.explode(sides).alias("s")).select("label", "dn", "s.*")
-    other = area.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("label").alias("other"))
-    border = rows.join(other, ["ox", "oy"], "left").where("other is null or other <> label")
-    point = lambda a, b: F.col(b).cast("long") * (width + 1) + F.col(a)
-    border = write_table(border.select("label", "dn", "side", point("ax", "ay").alias("a"), point("bx", "by").alias("b"), (point("ax", "ay") * 4 + F.col("side")).alias("cell")), "border").df
-    ahead = border.select("label", F.col("a").alias("b"), F.col("side").alias("to_side"), F.col("cell").alias("nxt"))
-    turn = F.pmod(F.col("to_side") - F.col("side"), F.lit(4))  # 1: right, 0: straight, 3: left
-    rank = F.when(turn == 1, 0).when(turn == 0, 1).otherwise(2)
-    links = border.join(ahead, ["label", "b"]).groupBy("label", "dn", "cell", "a").agg(F.min(F.struct(rank.alias("r"), "nxt")).alias("m"))
-    # two areas share no directed edge, so the start point and side name an edge
-    links = write_table(links.select("cell", "label", "dn", "a", F.col("m.nxt").alias("nxt")), "links").df
-    out = ring_order(links).select("dn", "label", "ring", "pos", "a", "n")
+    sides = write_table(_border_sides(area, width), "border").df
+    # rings over several blocks: the pieces of a ring, named by their last sides, are joined in rounds
+    ends = sides.where("out is not null").select(F.col("cell").alias("end"), F.col("out").alias("cell"), F.col("ring").alias("least"))
+    met = ends.join(sides.where("head").select("cell", F.col("end").alias("next_end")), "cell")
+    piece = write_table(connected_components(met.select("end", "next_end"), "end", "next_end").select(F.col("node").alias("end"), F.col("label").alias("whole")), "pieces").df
+    least = piece.join(ends.select("end", "least"), "end").groupBy("whole").agg(F.min("least").alias("whole_ring"))
+    pieces = write_table(piece.join(least, "whole").select("end", "whole_ring"), "pieces").df
+    links = sides.join(pieces, "end", "left").select("cell", "label", "dn", "a", "nxt", F.coalesce("whole_ring", "ring").alias("ring"))
+    out = _places(links).select("dn", "label", "ring", "pos", "a", "n")
     close = out.where("pos = 0").select("dn", "label", "ring", F.col("n").alias("pos"), "a", "n")
     return out.unionByName(close).select("dn", "label", "ring", "pos", (F.col("a") % (width + 1)).cast("int").alias("x"), F.floor(F.col("a") / (width + 1)).cast("int").alias("y"))
 
 
+#: For each side of a cell, by direction of travel with the cell on the right: the step to the other cell, and where the side starts.
+ACROSS = np.array([(0, -1), (1, 0), (0, 1), (-1, 0)])
+START = np.array([(0, 0), (1, 0), (1, 1), (0, 1)])
+
+
+def _border_sides(area: DataFrame, width: int, side: int = SIDE) -> DataFrame:
+    """``cell, label, dn, a, nxt, ring, end, out, head``: cell sides towards other areas and the side that follows each.
+
+    ``cell`` names a side by its start ``a`` and its direction.  Blocks get
+    the cells around them, so a side's next one is told within its block.
+    ``ring`` is the least side of the ring within the block; where the ring
+    leaves the block, ``end`` is the last side of the piece, whose next one is
+    ``out``, and ``head`` marks the first.
+    """
+    block = lambda c, d: F.floor((F.col(c) + d) / side).cast("int")
+    homes = F.array_distinct(F.array(*(F.struct(block("x", dx).alias("bx"), block("y", dy).alias("by")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
+    dealt = area.select("x", "y", "label", "dn", F.explode(homes).alias("b")).select("x", "y", "label", "dn", F.col("b.bx").alias("bx"), F.col("b.by").alias("by"))
+
+    def run(key, t):
+        left, top = (k.as_py() * side for k in key)
+        x, y = np.asarray(t.column("x")).astype(np.int64) - left + 1, np.asarray(t.column("y")).astype(np.int64) - top + 1
+        labels = np.full((side + 4, side + 4), -1, np.int64)
+        labels[y, x] = np.asarray(t.column("label"))
+        own = np.nonzero((x > 0) & (y > 0) & (x <= side) & (y <= side))[0]
+        point = lambda px, py: (py + top - 1) * (width + 1) + px + left - 1
+        parts = []
+        for d in range(4):
+            (ox, oy), (tx, ty) = ACROSS[d], ACROSS[(d + 1) % 4]
+            rows = own[labels[y[own] + oy, x[own] + ox] != labels[y[own], x[own]]]
+            cx, cy = x[rows], y[rows]
+            here = labels[cy, cx]
+            right = labels[cy + ty, cx + tx] != here
+            straight = ~right & (labels[cy + ty + oy, cx + tx + ox] != here)
+            turned = np.where(right, (d + 1) % 4, np.where(straight, d, (d + 3) % 4))
+            a, b = point(cx + START[d][0], cy + START[d][1]), point(cx + START[(d + 1) % 4][0], cy + START[(d + 1) % 4][1])
+            parts.append((rows, a, a * 4 + d, b * 4 + turned))
+        rows, a, cell, nxt = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(cell)
+        rows, a, cell, nxt = rows[order], a[order], cell[order], nxt[order]
+        n = len(cell)
+        at, inside = look_up(cell, nxt)
+        ahead = np.append(np.where(inside, at, n), n)
+        head = np.ones(n + 1, bool)
+        head[ahead] = False
+        least, end = np.append(cell, np.iinfo(np.int64).max), np.arange(n + 1)
+        back = np.full(n + 1, n)
+        back[ahead[:n]] = np.arange(n)
+        back[n] = n
+        behind = back
+        for _ in range(n.bit_length() + 1):
+            end = np.where(ahead < n, end[ahead], end)
+            least = np.minimum(least, np.minimum(least[ahead], least[behind]))
+            ahead, behind = ahead[ahead], behind[behind]
+        closed = ahead[:n] < n
+        ring, end = least[:n], np.append(cell, 0)[end[:n]]
+        column = lambda v, null: pa.array(v, pa.int64(), mask=null)
+        none = np.zeros(n, bool)
+        return pa.table({
+            "cell": column(cell, none), "label": t.column("label").take(pa.array(rows)), "dn": t.column("dn").take(pa.array(rows)), "a": column(a, none), "nxt": column(nxt, none),
+            "ring": column(ring, none), "end": column(end, closed), "out": column(nxt, inside), "head": pa.array(head[:n] & ~closed),
+        })
+
+    kind = area.schema["dn"].dataType.simpleString()
+    schema = f"cell bigint, label bigint, dn {kind}, a bigint, nxt bigint, ring bigint, `end` bigint, out bigint, head boolean"
+    return dealt.groupBy("bx", "by").applyInArrow(run, schema)
+
+
 def ring_order(links: DataFrame) -> DataFrame:
     """``links`` (``cell, nxt`` and more) with ``ring``, the least cell of each circle, ``pos`` from it on, and ``n``, the circle's length at its first cell."""
     ring = connected_components(links.select("cell", "nxt"), "cell", "nxt").select(F.col("node").alias("cell"), F.col("label").alias("ring"))
-    open_ = links.join(ring, "cell").withColumn("nxt", F.when(F.col("nxt") != F.col("ring"), F.col("nxt")))
-    open_ = write_table(open_, "rings").df
-    count = pull(open_, {"n": F.lit(1)}, lambda mine, ahead_: mine + F.coalesce(ahead_, F.lit(0)))
+    return _places(links.join(ring, "cell"))
+
+
+def _places(links: DataFrame) -> DataFrame:
+    """``ring_order`` of links whose ``ring`` is known."""
+    open_ = write_table(links.withColumn("nxt", F.when(F.col("nxt") != F.col("ring"), F.col("nxt"))), "rings").df
+    count = pull(open_, {"n": F.lit(1)}, plus)
     size = open_.groupBy("ring").agg(F.count(F.lit(1)).cast("int").alias("size__"))
     return open_.join(count, "cell").join(size, "ring").withColumn("pos", F.col("size__") - F.col("n")).drop("size__")

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from hydrospark.operators import components, flow, slope, spans
+from hydrospark.operators import components, flow, slope, spans, vector
 from hydrospark.plans import catalogue
 
 DATA = Path("/root/testdata/sf0.001")
@@ -134,3 +134,14 @@ def test_rounds_hold_only_areas_at_borders(spark, monkeypatch):
     rows = spark.range(30_000).select((F.col("id") % 100).cast("int").alias("x"), (F.col("id") / 100).cast("int").alias("y"))
     assert [tuple(r) for r in slope.label_cells(rows, 100).select("label").distinct().collect()] == [(0,)]
     assert seen == [2]
+
+
+def test_rings_over_blocks(spark, monkeypatch):
+    """Rings and holes that cross blocks of 4 x 4 cells are the ones of a single block."""
+    draw = random.Random(5)
+    rows = spark.createDataFrame([(x, y, draw.choice([1, 1, 2])) for x in range(11) for y in range(14) if draw.random() < 0.9], "x int, y int, v int").cache()
+    whole = sorted(map(tuple, vector.polygonize(rows, 11).collect()))
+    made, called = vector._border_sides, []
+    monkeypatch.setattr(vector, "_border_sides", lambda area, width: called.append(1) or made(area, width, side=4))
+    assert sorted(map(tuple, vector.polygonize(rows, 11).collect())) == whole
+    assert called and len({r[2] for r in whole}) > 10

@@ -28,16 +28,21 @@ def open_store(path: str) -> tuple[afs.FileSystem, str] | None:
 
 def list_files(path: str, pattern: str = "*") -> list[str]:
     """Paths within the file system of a file, of the files of a folder, or of those that a pattern in the last part fits."""
+    return sorted(list_sizes(path, pattern))
+
+
+def list_sizes(path: str, pattern: str = "*") -> dict[str, int]:
+    """The files of ``list_files`` with their bytes."""
     store, at = open_store(path)
     folder, _, last = at.rpartition("/")
     if re.search(r"[*?\[]", last):
         at, pattern = folder, last
     info = store.get_file_info(at)
     if info.type == afs.FileType.File:
-        return [at]
+        return {at: info.size}
     if info.type != afs.FileType.Directory:
         raise FileNotFoundError(path)
-    return sorted(f.path for f in store.get_file_info(afs.FileSelector(at)) if f.type == afs.FileType.File and fnmatch.fnmatch(f.base_name.lower(), pattern.lower()))
+    return {f.path: f.size for f in store.get_file_info(afs.FileSelector(at)) if f.type == afs.FileType.File and fnmatch.fnmatch(f.base_name.lower(), pattern.lower())}
 
 
 def reader_at(file) -> At:

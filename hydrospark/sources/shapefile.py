@@ -2,7 +2,8 @@
 
 A file of any size is read by runs of records, which the ``.shx`` file locates
 in the ``.shp`` file; attributes have a fixed size, so a task reads those of
-its own records.  From a store that only Spark can open, files are read whole.
+its own records.  Small files are read whole, many by one task.  From a store
+that only Spark can open, every file is read whole.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from hydrospark.sources.byte_ranges import list_files, open_store, reader_at
+from hydrospark.sources.byte_ranges import list_sizes, open_store, reader_at
 
 POLYGON = 5
 #: Bytes of shapes in a task's run of records, about.
 RUN_BYTES = 32 << 20
+#: Files that one task reads at most, if they are small.
+RUN_FILES = 256
 #: Greatest width of an attribute, in bytes, and of its name.
 WIDEST, NAME_BYTES = 254, 10
 ROWS = "file string, fid long, rings array<array<struct<x:double,y:double>>>, properties map<string,string>"
@@ -98,33 +101,71 @@ class Records(InputPartition):
         super().__init__(self.first)
 
 
+@dataclass
+class Files(InputPartition):
+    """Whole files that one task reads: for each its name without extension, and its ``.shp``, ``.shx`` and ``.dbf`` file."""
+
+    files: list[tuple[str, str, str | None, str | None]]
+
+    def __post_init__(self):
+        super().__init__(len(self.files))
+
+
+def spans_of(store, name: str, index: str | None) -> list[tuple[int, int]]:
+    """The byte ranges of a file's shapes, from the ``.shx`` file if there is one."""
+    with store.open_input_file(index or name) as f:
+        raw = f.read()
+    if index is None:
+        return records(raw)
+    raw = raw[100:]
+    return [(at * 2 + 8, size * 2) for at, size in struct.iter_unpack(">2i", raw[: len(raw) // 8 * 8])]
+
+
 class ShapefileReader(DataSourceReader):
     def __init__(self, path: str, encoding: str, run_bytes: int):
         self.path, self.encoding, self.run_bytes = path, encoding, run_bytes
 
-    def partitions(self) -> list[Records]:
+    def partitions(self) -> list[Records | Files]:
+        """Runs of records of large files, which the driver opens the index of, and runs of small files, which it opens none of."""
         store, _ = open_store(self.path)
-        files = {f.lower(): f for f in list_files(self.path)}
-        out = []
+        sizes = list_sizes(self.path)
+        files = {f.lower(): f for f in sorted(sizes)}
+        least = self.run_bytes / RUN_FILES
+        out, run, held = [], [], 0.0
         for low in sorted(f for f in files if f.endswith(".shp")):
-            name, index = files[low], files.get(low[:-3] + "shx")
-            if index is None:
-                with store.open_input_file(name) as f:
-                    spans = records(f.read())
-            else:
-                with store.open_input_file(index) as f:
-                    raw = f.read()[100:]
-                spans = [(at * 2 + 8, size * 2) for at, size in struct.iter_unpack(">2i", raw[: len(raw) // 8 * 8])]
+            name, index, table = files[low], files.get(low[:-3] + "shx"), files.get(low[:-3] + "dbf")
+            size = max(sizes[name], least)
+            if size <= self.run_bytes:
+                if run and held + size > self.run_bytes:
+                    out.append(Files(run))
+                    run, held = [], 0.0
+                run.append((name[:-4], name, index, table))
+                held += size
+                continue
+            spans = spans_of(store, name, index)
             ends = list(accumulate(n for _, n in spans))
             first = 0
             for k in range(len(spans)):
                 if k + 1 == len(spans) or ends[k + 1] - (ends[first - 1] if first else 0) > self.run_bytes:
-                    out.append(Records(name[:-4], name, files.get(low[:-3] + "dbf"), first, spans[first : k + 1]))
+                    out.append(Records(name[:-4], name, table, first, spans[first : k + 1]))
                     first = k + 1
-        return out
+        return [*out, *([Files(run)] if run else [])]
 
-    def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Records | Files) -> Iterator[pa.RecordBatch]:
         store, _ = open_store(self.path)
+        if isinstance(partition, Records):
+            yield from self._run(store, partition)
+            return
+        held: list[pa.RecordBatch] = []
+        for stem, name, index, table in partition.files:
+            held += self._run(store, Records(stem, name, table, 0, spans_of(store, name, index)))
+            if sum(b.num_rows for b in held) >= 1024:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def _run(self, store, partition: Records) -> Iterator[pa.RecordBatch]:
         rows = None
         if partition.table:
             with store.open_input_file(partition.table) as f:
@@ -140,7 +181,7 @@ class ShapefileReader(DataSourceReader):
 
 
 class Shapefile(DataSource):
-    """``spark.read.format("shapefile").load(folder)``: a partition for each run of records of each file."""
+    """``spark.read.format("shapefile").load(folder)``: a partition for each run of records of a large file, or of small files."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,13 +1,16 @@
-"""Distances over cells, block by block.
+"""Cells in square blocks: stencils on blocks with a margin, and distances block by block.
 
-Cells are packed into square blocks, one row each.  A round relaxes every
-block that got something new as far as it goes by itself and sends on only
-what changed on its border, so there are as many rounds as blocks that a
-shortest way crosses, not as cells that it is long.
+For a stencil, cells move once, and those near a border between blocks to the
+blocks beside it as well.  For distances, blocks are packed to one row each.
+A round relaxes every block that got something new as far as it goes by itself
+and sends on only what changed on its border, so there are as many rounds as
+blocks that a shortest way crosses, not as cells that it is long.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +25,80 @@ BORDER = "array<struct<x:int,y:int,level:double,d:array<int>>>"
 STATE = f"bx int, by int, at binary, level binary, d binary, sent {BORDER}"
 STEPS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
+#: Of the columns that ``each_block`` takes and gives: Arrow's type, and what stands for null in an array.
+NONE = np.iinfo(np.int64).min
+KINDS = {"int": (pa.int32(), NONE), "bigint": (pa.int64(), NONE), "double": (pa.float64(), np.nan), "boolean": (pa.bool_(), NONE)}
+
+
+def _margins(cells: DataFrame, margin: int, side: int) -> DataFrame:
+    """Each cell with its block ``bx__, by__`` and, once more, with every block that it is up to ``margin`` cells away from."""
+    at = lambda dx, dy: F.struct(F.floor((F.col("x") + dx * margin) / side).cast("int").alias("x"), F.floor((F.col("y") + dy * margin) / side).cast("int").alias("y"))
+    place = [F.pmod(F.col(c), F.lit(side)) for c in "xy"]
+    near = [(p < margin) | (p >= side - margin) for p in place]
+    held = F.when(near[0] | near[1], F.array_distinct(F.array(at(0, 0), *(at(dx, dy) for dx, dy in STEPS)))).otherwise(F.array(at(0, 0)))
+    return cells.select("*", F.explode(held).alias("b__")).select(F.col("b__.x").alias("bx__"), F.col("b__.y").alias("by__"), *cells.columns)
+
+
+def each_block(cells: DataFrame, compute: Callable[..., dict[str, np.ndarray]], schema: str, margin: int = 1, side: int = SIDE) -> DataFrame:
+    """Rows that ``compute`` makes of every block of ``cells`` (``x, y`` and numbers).
+
+    ``compute(there, left, top, **columns)`` gets squares with a margin: which
+    cells there are, and their values (null: NaN, or NONE for whole numbers);
+    ``left, top`` is the cell at the square's first place.  Of rows of one
+    cell those of the greatest values count.
+    """
+    names = [c for c in cells.columns if c not in "xy"]
+    kinds = {n: KINDS[cells.schema[n].dataType.simpleString()] for n in names}
+    out = dict(c.split() for c in schema.split(", "))
+    n = side + 2 * margin
+
+    def run(key, t):
+        left, top = (k.as_py() * side - margin for k in key)
+        place = (np.asarray(t.column("y")).astype(np.int64) - top) * n + np.asarray(t.column("x")).astype(np.int64) - left
+        there = np.zeros(n * n, bool)
+        there[place] = True
+        inner = there.reshape(n, n)[margin:-margin, margin:-margin]
+        made = {}
+        if inner.any():
+            once, columns = np.count_nonzero(there) == len(place), {}
+            for name, (kind, none) in kinds.items():
+                whole = not pa.types.is_floating(kind)
+                column = t.column(name).combine_chunks().cast(pa.int64() if whole else kind)
+                values = np.asarray(column.fill_null(none))
+                square = np.full(n * n, none, np.int64 if whole else np.float64)
+                if once:
+                    square[place] = values
+                else:
+                    (np.maximum if whole else np.fmax).at(square, place, values)
+                columns[name] = square.reshape(n, n)
+            made = compute(there.reshape(n, n), left, top, **columns)
+        arrays = []
+        for name, kind in out.items():
+            v = np.asarray(made.get(name, ()))
+            if v.dtype.kind == "f":
+                array = pa.array(v, pa.float64(), mask=np.isnan(v))
+            else:
+                array = pa.array(v, pa.bool_() if v.dtype == bool else pa.int64(), mask=None if v.dtype == bool else v == NONE)
+            arrays.append(array.cast(KINDS[kind][0]))
+        return pa.table(arrays, names=list(out))
+
+    return _margins(cells, margin, side).groupBy("bx__", "by__").applyInArrow(run, schema)
+
+
+def around(square: np.ndarray, step: tuple[int, int], beyond) -> np.ndarray:
+    """The value of every place's neighbour, ``beyond`` where that lies outside."""
+    (dx, dy), (h, w) = step, square.shape
+    out = np.full_like(square, beyond)
+    out[max(-dy, 0) : h - max(dy, 0), max(-dx, 0) : w - max(dx, 0)] = square[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)]
+    return out
+
+
+def within(mask: np.ndarray, margin: int = 1) -> np.ndarray:
+    """``mask`` without its margin."""
+    out = np.zeros_like(mask)
+    out[margin:-margin, margin:-margin] = mask[margin:-margin, margin:-margin]
+    return out
+
 
 def _relax(level: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Least steps over equal levels; both arrays have a margin of one cell."""

@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from hydrospark.functions.cells import cell_key, code_8, in_grid, step
+from hydrospark.functions.cells import STEPS, cell_key, code_8, in_grid, step
 from hydrospark.operators import spans
+from hydrospark.operators.blocks import NONE, around, each_block, within
 from hydrospark.operators.ranking import global_rank
-from hydrospark.operators.stencil import sent
 from hydrospark.storage import Table, read_tables, write_table
 
 #: Doubling rounds cover paths of 2**MAX_ROUNDS cells; a longer one is a cycle.
@@ -36,13 +36,15 @@ def flow_graph(cells: DataFrame, directions: DataFrame, width: int, height: int,
     """``cell, nxt`` for all cells, packed keys; ``nxt`` is null at pits and where flow leaves the grid.
 
     ``code`` names a column of the 8-system, or of the 128-system if it ends
-    in ``128``.
+    in ``128``.  A table of directions that has a row for each cell may be
+    given as both, and is not joined then.
     """
     d = code_8(F.col(code)) if code.endswith("128") else F.col(code)
     to = directions.select("x", "y", d.alias("d"))
     nx, ny = F.col("x") + step(F.col("d"), 0), F.col("y") + step(F.col("d"), 1)
     nxt = F.when(in_grid(nx, ny, width, height), cell_key(nx, ny, width))
-    return cells.select("x", "y").join(to, ["x", "y"], "left").select(cell_key(F.col("x"), F.col("y"), width).alias("cell"), nxt.alias("nxt"))
+    every = to if cells is directions else cells.select("x", "y").join(to, ["x", "y"], "left")
+    return every.select(cell_key(F.col("x"), F.col("y"), width).alias("cell"), nxt.alias("nxt"))
 
 
 def _doubling(first: Table, advance: Callable[[list[Table]], DataFrame], name: str) -> list[Table]:
@@ -441,23 +443,40 @@ def pass_levels(passes: DataFrame, out: DataFrame) -> DataFrame:
     raise RuntimeError("basins did not settle")
 
 
+def _passes(there: np.ndarray, left: int, top: int, z: np.ndarray, root: np.ndarray) -> dict[str, np.ndarray]:
+    """The lowest pass of a block between each two basins, and to the outside (no other basin) at cells with fewer than 8 neighbours."""
+    own = within(there)
+    rim = own & (sum(around(there, s, False).astype(np.int8) for s in STEPS.values()) < 8)
+    a, b, h = [root[rim]], [np.full(np.count_nonzero(rim), NONE)], [z[rim]]
+    for s in STEPS.values():
+        other = around(root, s, NONE)
+        met = own & (other != NONE) & (other != root)
+        a.append(root[met])
+        b.append(other[met])
+        h.append(np.fmax(z, around(z, s, np.nan))[met])
+    a, b, h = (np.concatenate(v) for v in (a, b, h))
+    order = np.lexsort((h, b, a))
+    a, b, h = a[order], b[order], h[order]
+    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return {"root": a[first], "other": b[first], "height": h[first]}
+
+
 def fill_pits(dem: DataFrame, directions: DataFrame, width: int, height: int, z: str = "z") -> DataFrame:
     """``x, y, z, filled``: the least surface above the terrain from which every cell drains off the grid.
 
     A cell first falls to the pit of its basin, so only the pit's level
     matters: the lowest pass by which the basin leaves over its neighbours.
-    Passes come from one stencil, and the search runs on groups of basins,
-    whose number at least halves in a round.
+    Passes are told block by block, and the search runs on groups of basins,
+    whose number at least halves in a round.  ``dem`` may be ``directions`` as
+    well, as for ``flow_graph``.
     """
     flow = flow_graph(dem, directions, width, height)
     root = roots(flow)
     own = dem.select("x", "y", F.col(z).alias("z"), cell_key(F.col("x"), F.col("y"), width).alias("cell")).join(root, "cell")
     own = write_table(own, "basins").df
-    rows = sent(own.select("x", "y", F.col("z").alias("oz"), F.col("root").alias("other")), "oz", "other")
-    inner = write_table(rows.join(own.select("x", "y", "z", "root"), ["x", "y"], "right"), "stencil").df
-    near = inner.where("other <> root").groupBy("root", "other").agg(F.min(F.greatest("z", "oz")).alias("height"))
-    counts = inner.groupBy("root", "x", "y").agg(F.count("other").alias("n"), F.first("z").alias("z")).where("n < 8")
-    out = counts.groupBy("root").agg(F.min("z").alias("height"))
+    passes = write_table(each_block(own.select("x", "y", F.col("z").cast("double").alias("z"), "root"), _passes, "root bigint, other bigint, height double"), "block-passes").df
+    near = passes.where("other is not null").groupBy("root", "other").agg(F.min("height").alias("height"))
+    out = passes.where("other is null").groupBy("root").agg(F.min("height").alias("height"))
     levels = write_table(pass_levels(write_table(near, "near").df, write_table(out, "out").df), "filled").df
     return own.join(levels, "root", "left").select("x", "y", "z", F.greatest("z", "level").alias("filled"))
 

@@ -1,18 +1,20 @@
 """Operators on the 8 neighbours of a cell.
 
-A cell sends its value to its neighbours and each cell sums up what it got.
-Sums are combined before the shuffle, so rasters stored in tiles send little
-more than their cells once.
+Steepest descent is told block by block.  In the others a cell sends its value
+to its neighbours and each cell sums up what it got; sums are combined before
+the shuffle, so rasters stored in tiles send little more than their cells once.
 """
 
 from __future__ import annotations
 
 from math import sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrospark.functions.cells import direction_between, downstream, downstream_128, in_grid, neighbours, signed_byte
+from hydrospark.functions.cells import STEPS, direction_between, downstream, downstream_128, in_grid, neighbours, signed_byte
+from hydrospark.operators.blocks import SIDE, around, each_block, within
 
 
 def sent(raster: DataFrame, *carry: str) -> DataFrame:
@@ -23,22 +25,30 @@ def sent(raster: DataFrame, *carry: str) -> DataFrame:
     return rows.select(F.col("n.x").alias("x"), F.col("n.y").alias("y"), back.alias("dir"), F.col("n.ord").alias("ord"), *carry)
 
 
-def d8(dem: DataFrame, z: str = "z") -> DataFrame:
-    """``x, y, dir, slope``: steepest descent; cells without a lower neighbour have no row.
+def steepest(dem: DataFrame, z: str = "z", side: int = SIDE) -> DataFrame:
+    """``x, y, z, dir, slope`` for every cell: steepest descent, null in ``dir, slope`` without a lower neighbour.
 
-    Among straight and among diagonal neighbours the lowest one is steepest,
-    so each cell only needs the least neighbour of either kind.  Equal slopes
-    go to the lower direction code.
+    Equal slopes go to the lower direction code.  A cell without a height, null
+    or NaN, has no direction and is no neighbour.
     """
-    own = dem.select("x", "y", F.col(z).alias("own"), F.lit(None).cast("double").alias("z"), F.lit(None).cast("int").alias("dir"))
-    got = sent(dem.select("x", "y", F.col(z).cast("double").alias("z")), "z")
-    both = own.unionByName(got.select("x", "y", F.lit(None).cast("double").alias("own"), "z", "dir"))
-    least = lambda odd: F.min(F.when(F.col("z").isNotNull() & (F.col("dir") % 2 == odd), F.struct("z", "dir")))
-    sums = both.groupBy("x", "y").agg(F.max("own").alias("own"), least(1).alias("a"), least(0).alias("b")).where("own is not null")
-    fall = lambda n, dist: F.when(F.col(n).isNotNull(), F.struct(((F.col("own") - F.col(f"{n}.z")) / F.lit(dist)).alias("slope"), (-F.col(f"{n}.dir")).alias("d")))
-    best = F.greatest(fall("a", 1.0), fall("b", sqrt(2.0)))
-    out = sums.select("x", "y", best.alias("best")).where("best.slope > 0")
-    return out.select("x", "y", (-F.col("best.d")).cast("int").alias("dir"), F.col("best.slope").alias("slope"))
+    kinds = [f"{c} {dem.schema[c].dataType.simpleString()}" for c in "xy"]
+
+    def compute(there: np.ndarray, left: int, top: int, z: np.ndarray) -> dict[str, np.ndarray]:
+        best, code = np.zeros(z.shape), np.zeros(z.shape, np.int64)
+        for d, step in STEPS.items():
+            slope = (z - around(z, step, np.nan)) / (1.0 if d % 2 else sqrt(2.0))
+            more = slope > best  # never for nan, so the first of equal ones stays
+            best[more], code[more] = slope[more], d
+        y, x = np.nonzero(within(there))
+        falls = code[y, x] > 0
+        return {"x": x + left, "y": y + top, "z": z[y, x], "dir": np.where(falls, code[y, x], np.iinfo(np.int64).min), "slope": np.where(falls, best[y, x], np.nan)}
+
+    return each_block(dem.select("x", "y", F.col(z).cast("double").alias("z")), compute, ", ".join([*kinds, "z double", "dir int", "slope double"]), side=side)
+
+
+def d8(dem: DataFrame, z: str = "z") -> DataFrame:
+    """``x, y, dir, slope``: steepest descent as ``steepest`` tells it; cells without a lower neighbour have no row."""
+    return steepest(dem, z).where("dir is not null").select("x", "y", "dir", "slope")
 
 
 def boundary_cells(raster: DataFrame) -> DataFrame:

@@ -115,9 +115,9 @@ def flagship(
 def from_elevation(dem: DataFrame, water: DataFrame, width: int, height: int, river_th: float, mode: str = "group", fill: bool = True) -> dict[str, DataFrame]:
     """From a raw elevation grid (``x, y, z``): pits filled, directions down and over flats, accumulation, then ``from_layers``."""
     if fill:
-        raw = materialize(stencil.d8(dem), "d8-raw")
-        dem = materialize(flow.fill_pits(dem, raw, width, height).select("x", "y", F.col("filled").alias("z")), "filled")
-    d8 = materialize(flats.drain_directions(dem), "directions")
-    graph = materialize(flow.flow_graph(dem, d8, width, height), "graph")
+        raw = materialize(stencil.steepest(dem), "d8-raw")
+        dem = materialize(flow.fill_pits(raw, raw, width, height).select("x", "y", F.col("filled").alias("z")), "filled")
+    d8 = flats.all_directions(dem)
+    graph = materialize(flow.flow_graph(d8, d8, width, height), "graph")
     acc = materialize(flow.accumulation(graph), "acc")
     return from_layers(dem, graph, acc, water, width, height, river_th, mode)

@@ -67,7 +67,7 @@ def direction_128(d8: DataFrame, all_cells: DataFrame) -> DataFrame:
     """``x, y, dir128`` with 0 on the left and top border (ocean) and 255 in inland pits."""
     from hydrospark.functions.cells import code_128
 
-    joined = all_cells.select("x", "y").join(d8.select("x", "y", "dir"), ["x", "y"], "left")
+    joined = d8 if d8 is all_cells else all_cells.select("x", "y").join(d8.select("x", "y", "dir"), ["x", "y"], "left")
     ocean = (F.col("x") == 0) | (F.col("y") == 0)
     code = F.when(ocean, 0).when(F.col("dir").isNull(), 255).otherwise(code_128(F.col("dir")))
     return joined.select("x", "y", code.alias("dir128"))

@@ -67,8 +67,12 @@ def _areas(codes: np.ndarray, directions: tuple[int, ...]) -> np.ndarray:
         there = (slice(max(dy, 0), side + min(dy, 0)), slice(max(dx, 0), side + min(dx, 0)))
         same = (codes[here] == codes[there]) & (codes[here] >= 0)
         ends.append((place[here][same], place[there][same]))
-    a, b = (np.concatenate(e) for e in zip(*ends, strict=True))
-    least = place.reshape(-1).copy()
+    return least_linked(side * side, *(np.concatenate(e) for e in zip(*ends, strict=True)))
+
+
+def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least one that links ``a`` to ``b`` join it to."""
+    least = np.arange(n)
     while len(a):
         # the greater of two roots is hung below the lesser, then all hang below their root
         np.minimum.at(least, np.maximum(least[a], least[b]), np.minimum(least[a], least[b]))

@@ -6,27 +6,21 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.functions.cells import STEPS, cell_key, in_grid
-from hydrospark.operators.components import HALF, connected_components, label_blocks
+from hydrospark.operators.blocks import SIDE
+from hydrospark.operators.components import HALF, connected_components, label_blocks, least_linked
 from hydrospark.operators.flow import pull, roots
 from hydrospark.operators.ranking import global_rank
+from hydrospark.operators.spans import look_up
 from hydrospark.operators.stencil import lake_buffer
 from hydrospark.storage import write_table
 
 
-def neighbour_edges(cells: DataFrame, width: int, by: list[str], directions=HALF) -> DataFrame:
-    """``a, b, dir, *by`` for neighbouring cells of ``cells`` (``x, y, *by``) that agree in ``by``."""
-    steps = F.array(*(F.struct(F.lit(d).alias("dir"), (F.col("x") + STEPS[d][0]).alias("nx"), (F.col("y") + STEPS[d][1]).alias("ny")) for d in directions))
-    ahead = cells.select("x", "y", *by, F.explode(steps).alias("s")).select(
-        cell_key(F.col("x"), F.col("y"), width).alias("a"), cell_key(F.col("s.nx"), F.col("s.ny"), width).alias("b"), F.col("s.dir").alias("dir"), *by, F.col("s.nx").alias("nx")
-    )
-    ahead = ahead.where(F.col("nx").between(0, width - 1)).drop("nx")
-    return ahead.join(cells.select(cell_key(F.col("x"), F.col("y"), width).alias("b"), *by), ["b", *by])
-
-
 def label_cells(cells: DataFrame, width: int, eight: bool = True, by: list[str] | None = None) -> DataFrame:
     """``x, y, label, *by``: connected components of equal ``by``, block by block; label = least packed cell."""
     made = label_blocks(cells, width, HALF if eight else (1, 3), by or [])
@@ -64,26 +58,64 @@ def inflow_points(buffers: DataFrame, flow: DataFrame, water: DataFrame, acc: Da
     return buffers.join(last, "cell").join(gates, ["lake", "root"], "left_semi").select("lake", "cell")
 
 
-def inflow_groups(points: DataFrame, acc: DataFrame, width: int, river_th: float, diagonal: bool = True) -> DataFrame:
+def inflow_groups(points: DataFrame, acc: DataFrame, width: int, river_th: float, diagonal: bool = True, side: int = SIDE) -> DataFrame:
     """``lake, cell, grp``: inflow points of a lake that touch; grp = least cell.
 
     Diagonal neighbours touch only if neither corner between them is a river
-    cell; with ``diagonal=False`` they never do.
+    cell; with ``diagonal=False`` they never do.  Points are grouped within
+    blocks, and only groups that meet at a border between blocks are joined in
+    rounds.
     """
-    cells = points.select("lake", "cell", (F.col("cell") % width).cast("int").alias("x"), F.floor(F.col("cell") / width).cast("int").alias("y"))
-    edges = neighbour_edges(cells, width, ["lake"])
-    straight = edges.where("dir % 2 = 1")
+    rivers = acc.where(F.col("acc") >= river_th).select("cell")
+    none = F.lit(None).cast(points.schema["lake"].dataType)
+    rows = points.select("lake", "cell").unionByName(rivers.select(none.alias("lake"), F.col("cell").cast(points.schema["cell"].dataType).alias("cell")))
+    x, y = (F.col("cell") % width).cast("int"), F.floor(F.col("cell") / width).cast("int")
+    directions = HALF if diagonal else [d for d in HALF if d % 2]
+
+    def local(key, t):
+        left, top = (k.as_py() * side for k in key)
+        lake, cell = t.column("lake").combine_chunks(), np.asarray(t.column("cell")).astype(np.int64)
+        own = np.asarray(lake.is_valid())
+        river = np.zeros((side, side), bool)
+        river[cell[~own] // width - top, cell[~own] % width - left] = True
+        points = np.unique(np.stack([np.asarray(lake.fill_null(0)).astype(np.int64)[own], cell[own]]), axis=1)
+        lakes, cell = points
+        x, y, n = cell % width - left, cell // width - top, len(cell)
+        code = np.unique(lakes, return_inverse=True)[1].reshape(-1) * side * side
+        key_of = code + y * side + x
+        order = np.argsort(key_of)
+        keys, a, b = key_of[order], [], []
+        for d in directions:
+            dx, dy = STEPS[d]
+            here = np.nonzero((x + dx >= 0) & (x + dx < side) & (y + dy >= 0) & (y + dy < side))[0]
+            if d % 2 == 0:
+                here = here[~river[y[here], x[here] + dx] & ~river[y[here] + dy, x[here]]]
+            at, there = look_up(keys, key_of[here] + dy * side + dx)
+            a.append(here[there])
+            b.append(order[at[there]])
+        # points go by cell within a lake, so the least place is the least cell
+        least = least_linked(n, np.concatenate(a), np.concatenate(b))
+        rim = (x == 0) | (y == 0) | (x == side - 1) | (y == side - 1)
+        return pa.table({"lake": lakes, "cell": cell, "local": cell[least], "rim": rim})
+
+    blocks = rows.withColumns({"x__": F.floor(x / side).cast("int"), "y__": F.floor(y / side).cast("int")})
+    found = write_table(blocks.groupBy("x__", "y__").applyInArrow(local, "lake bigint, cell bigint, local bigint, rim boolean"), "block-groups").df
+    rim = found.where("rim").withColumns({"x": x, "y": y})
+    steps = F.array(*(F.struct(F.lit(d).alias("dir"), (F.col("x") + STEPS[d][0]).alias("nx"), (F.col("y") + STEPS[d][1]).alias("ny")) for d in directions))
+    ahead = rim.select("lake", "x", "y", "cell", F.col("local").alias("a"), F.explode(steps).alias("s"))
+    other = lambda c: F.floor(F.col(c) / side) != F.floor(F.col(f"s.n{c}") / side)
+    ahead = ahead.where((other("x") | other("y")) & F.col("s.nx").between(0, width - 1))
+    ahead = ahead.select("lake", cell_key(F.col("s.nx"), F.col("s.ny"), width).alias("cell"), "a", (F.col("s.dir") % 2 == 0).alias("slant"), cell_key(F.col("s.nx"), F.col("y"), width).alias("c1"), cell_key(F.col("x"), F.col("s.ny"), width).alias("c2"))
+    met = ahead.join(rim.select("lake", "cell", F.col("local").alias("b")), ["lake", "cell"])
     if diagonal:
-        river = acc.where(F.col("acc") >= river_th).select("cell")
-        slant = edges.where("dir % 2 = 0")
-        dx = F.when(F.pmod(F.col("b") - F.col("a"), F.lit(width)) == 1, 1).otherwise(-1)
-        for corner in (F.col("a") + dx, F.col("b") - dx):
-            slant = slant.withColumn("c", corner).join(river.withColumnRenamed("cell", "c"), "c", "left_anti").drop("c")
-        straight = straight.unionByName(slant)
+        slant = met.where("slant")
+        for c in ("c1", "c2"):
+            slant = slant.join(rivers.withColumnRenamed("cell", c), c, "left_anti")
+        met = met.where("not slant").unionByName(slant.select(met.columns))
     node = lambda c: F.struct("lake", F.col(c).alias("cell"))
-    found = connected_components(straight.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
-    own = points.select(F.struct("lake", "cell").alias("node"), "lake", "cell")
-    return own.join(found, "node", "left").select("lake", "cell", F.coalesce("label.cell", "cell").alias("grp"))
+    joined = connected_components(met.select(node("a").alias("a"), node("b").alias("b")).distinct(), "a", "b").select("node.lake", F.col("node.cell").alias("local"), F.col("label.cell").alias("grp"))
+    made = found.join(joined, ["lake", "local"], "left").select("lake", "cell", F.coalesce("grp", "local").alias("grp"))
+    return made.select(*(F.col(c).cast(points.schema[p].dataType).alias(c) for c, p in (("lake", "lake"), ("cell", "cell"), ("grp", "cell"))))
 
 
 def surface_ids(groups: DataFrame, order: DataFrame, mode: str = "group") -> DataFrame:

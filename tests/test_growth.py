@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from hydrospark import storage
+from hydrospark.functions.cells import STEPS
+from hydrospark.operators import blocks, flow, slope, stencil
 from hydrospark.plans import catalogue
 from hydrospark.sources import shapefile
 
@@ -34,3 +38,59 @@ def test_small_shapefiles_share_a_task(spark, tmp_path):
     assert found.rdd.getNumPartitions() == 1
     got = {(r.file[-3:], r.fid): (r.properties, [[tuple(p) for p in x] for x in r.rings]) for r in found.collect()}
     assert got == {(f"s{k:02}", n): (None if k == 7 else {"k": [str(k), "b"][n]}, [ring]) for k in range(30) for n in (0, 1)}
+
+
+def test_inflow_points_over_blocks(spark, monkeypatch):
+    """Points of lakes that share cells, with rivers between, grouped in blocks of 4 x 4 cells, against plain Python; only borders take part in rounds."""
+    seen = []
+    made = slope.connected_components
+    monkeypatch.setattr(slope, "connected_components", lambda edges, *rest: seen.append(edges.count()) or made(edges, *rest))
+    draw, w, h = random.Random(9), 11, 19
+    points = {(k, x, y) for k in (3, 8) for x in range(w) for y in range(h) if draw.random() < 0.5}
+    river = {(x, y) for x in range(w) for y in range(h) if draw.random() < 0.4}
+    acc = spark.createDataFrame([(y * w + x, 9 if (x, y) in river else 1) for x in range(w) for y in range(h)], "cell long, acc long")
+    rows = spark.createDataFrame([(k, y * w + x) for k, x, y in points], "lake long, cell long")
+    for diagonal in (True, False):
+        want = {}
+        for k, y, x in sorted((k, y, x) for k, x, y in points):
+            todo = [(k, x, y)]
+            while todo:
+                p = todo.pop()
+                if p in want:
+                    continue
+                want[p] = want.get((k, x, y), y * w + x)
+                for dx, dy in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+                    q = (k, p[1] + dx, p[2] + dy)
+                    open_ = not (dx and dy) or diagonal and not {(q[1], p[2]), (p[1], q[2])} & river
+                    if q in points and open_:
+                        todo.append(q)
+        got = slope.inflow_groups(rows, acc, w, 5, diagonal, side=4)
+        assert {(r.lake, r.cell): r.grp for r in got.collect()} == {(k, y * w + x): g for (k, x, y), g in want.items()}
+        slope.inflow_groups(rows, acc, w, 5, diagonal, side=32).count()
+        assert seen[-2] > 0 and seen[-1] == 0
+
+
+def test_steepest_descent_moves_cells_once(spark):
+    """A raster is dealt out with its margins, not eight times; heights that are missing and cells apart are kept."""
+    draw, w, h = random.Random(2), 23, 37
+    z = {(x - 5, y - 5): draw.choice([None, *range(9)]) for x in range(w) for y in range(h) if draw.random() < 0.9}
+    dem = spark.createDataFrame([(x, y, None if v is None else float(v)) for (x, y), v in z.items()], "x int, y int, z double")
+    want = {}
+    for (x, y), v in z.items():
+        falls = [((v - u) / (1 if d % 2 else 2**0.5), -d) for d, (dx, dy) in STEPS.items() if v is not None and (u := z.get((x + dx, y + dy))) is not None and u < v]
+        want[x, y] = -max(falls)[1] if falls else None
+    made = stencil.steepest(dem, side=8)
+    assert {(r.x, r.y): r.dir for r in made.collect()} == want
+    assert blocks._margins(dem, 1, 128).count() < 1.4 * len(z)
+
+
+def test_passes_are_told_by_block(spark, monkeypatch):
+    """Pits of one basin each: a block tells a pass between two basins once, not for every cell along it."""
+    seen = []
+    made = flow.pass_levels
+    monkeypatch.setattr(flow, "pass_levels", lambda near, out: seen.append((near.count(), out.count())) or made(near, out))
+    dem = spark.range(1800).select((F.col("id") % 60).cast("int").alias("x"), (F.col("id") / 60).cast("int").alias("y"), F.abs(F.col("id") % 60 % 20 - 10).cast("double").alias("z"))
+    steep = stencil.steepest(dem)
+    levels = {(r.x, r.y): r.filled for r in flow.fill_pits(steep, steep, 60, 30).collect()}
+    plain = {(r.x, r.y): r.filled for r in flow.fill_pits(dem, stencil.d8(dem), 60, 30).collect()}
+    assert levels == plain and len(levels) == 1800 and seen[0] == seen[1]

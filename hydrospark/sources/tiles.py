@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.functions.cells import Geotransform, colour
 from hydrospark.operators.vector import clip
+from hydrospark.storage import write_table
 
 
 def tiled(raster: DataFrame, size: int) -> DataFrame:
@@ -22,14 +23,28 @@ def write_layer(raster: DataFrame, path: str, size: int, mode: str = "overwrite"
     A table beside it holds a row of metadata for each tile: ``tile_x, tile_y,
     x_min, x_max, y_min, y_max, n_cells``.
     """
-    rows = tiled(raster, size).repartition("tile_x", "tile_y").sortWithinPartitions("tile_x", "tile_y", "y", "x")
-    rows.write.mode(mode).partitionBy("tile_x", "tile_y").parquet(f"{path}/cells")
-    stored = raster.sparkSession.read.parquet(f"{path}/cells")
+    spark = raster.sparkSession
+    kept = write_table(tiled(raster, size), "layer-cells")
+    # as many tasks as may be, as the time goes into opening files; tasks move theirs to their places, and the layer is whole when its metadata is there
+    rows = kept.df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tile_x", "tile_y").sortWithinPartitions("tile_x", "tile_y", "y", "x")
+    rows.write.mode(mode).option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("tile_x", "tile_y").parquet(f"{path}/cells")
+    stored = read_layer(spark, path) if mode == "append" else kept.df
     tile_rows(stored).write.mode("overwrite").parquet(f"{path}/tiles")
+    kept.drop()
+
+
+#: Tasks that list a layer's folders, of which there is one for each tile.
+LISTING = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "64")
 
 
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/cells")
+    key, most = LISTING
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(most), int(before)))
+    try:
+        return spark.read.parquet(f"{path}/cells")
+    finally:
+        spark.conf.set(key, before)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -548,8 +548,10 @@ def revise_lakes(rivers: DataFrame, water: DataFrame, width: int, max_rounds: in
         fresh, state = tables[-1].df, read_tables(tables)
         # a new fact needs one new premise: the next cell or the cell beside
         touched = tests.join(fresh.select(F.col("cell").alias("nxt")), "nxt", "left_semi").unionByName(tests.join(fresh.select(F.col("cell").alias("beside")), "beside", "left_semi").select("nxt", "cell", "beside"))
-        ready = touched.join(state.select(F.col("cell").alias("nxt")), "nxt", "left_semi").join(state.select(F.col("cell").alias("beside")), "beside", "left_semi")
-        table = write_table(ready.select("cell").distinct().join(state, "cell", "left_anti"), "fresh", watch="true")
+        # all water, round after round, is dealt out to tasks and never sent to all of them by the driver
+        held = lambda c: state.select(F.col("cell").alias(c)).hint("merge")  # noqa: B023, E731
+        ready = touched.join(held("nxt"), "nxt", "left_semi").join(held("beside"), "beside", "left_semi")
+        table = write_table(ready.select("cell").distinct().join(held("cell"), "cell", "left_anti"), "fresh", watch="true")
         if not table.watched:
             return state
         tables.append(table)

@@ -12,7 +12,7 @@ from hydrospark import storage
 from hydrospark.functions.cells import STEPS
 from hydrospark.operators import blocks, flow, slope, stencil
 from hydrospark.plans import catalogue
-from hydrospark.sources import shapefile
+from hydrospark.sources import shapefile, tiles
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -94,3 +94,31 @@ def test_passes_are_told_by_block(spark, monkeypatch):
     levels = {(r.x, r.y): r.filled for r in flow.fill_pits(steep, steep, 60, 30).collect()}
     plain = {(r.x, r.y): r.filled for r in flow.fill_pits(dem, stencil.d8(dem), 60, 30).collect()}
     assert levels == plain and len(levels) == 1800 and seen[0] == seen[1]
+
+
+def test_a_layer_is_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    """A layer with a folder for each of 70 tiles; a task for each folder would be 70."""
+    monkeypatch.setattr(tiles, "LISTING", (tiles.LISTING[0], "8"))
+    raster = spark.createDataFrame([(0, y, y) for y in range(70)], "x int, y int, v int")
+    tiles.write_layer(raster, f"file://{tmp_path}/layer", 1)
+    before = spark.conf.get(tiles.LISTING[0])
+    spark.sparkContext.setJobGroup("listing", "listing")
+    found = tiles.read_layer(spark, f"file://{tmp_path}/layer")
+    spark.sparkContext.setJobGroup("other", "other")
+    state = spark.sparkContext.statusTracker()
+    stages = [s for j in state.getJobIdsForGroup("listing") for s in state.getJobInfo(j).stageIds]
+    assert 0 < max(state.getStageInfo(s).numTasks for s in stages) <= 8
+    assert spark.conf.get(tiles.LISTING[0]) == before
+    assert {tuple(r) for r in found.select("x", "y", "v").collect()} == {(0, y, y) for y in range(70)}
+    assert tiles.extent(tiles.read_metadata(spark, f"file://{tmp_path}/layer")).first().asDict() == {"x_min": 0, "x_max": 0, "y_min": 0, "y_max": 69, "n_tiles": 70, "n_cells": 70}
+
+
+def test_lake_revision_sends_no_water_to_all_tasks(spark, monkeypatch):
+    plans = []
+    made = flow.write_table
+    monkeypatch.setattr(flow, "write_table", lambda df, name, watch=None: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or made(df, name, watch))
+    rivers = spark.createDataFrame([(0, 1), (1, 2), (2, None)], "cell long, nxt long")
+    water = spark.createDataFrame([(2,), (11,), (12,)], "cell long")
+    assert {r[0] for r in flow.revise_lakes(rivers, water, 10).collect()} == {1, 2, 11, 12}
+    fresh = [p for name, p in plans if name == "fresh"]
+    assert fresh and all(p.count("SortMergeJoin") >= 3 for p in fresh)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hydrospark.functions.cells import STEPS, cell_key, in_grid
 from hydrospark.operators.blocks import SIDE
 from hydrospark.operators.components import HALF, connected_components, label_blocks, least_linked
-from hydrospark.operators.flow import pull, roots
+from hydrospark.operators.dry_land import DryLand
 from hydrospark.operators.ranking import global_rank
 from hydrospark.operators.spans import look_up
 from hydrospark.operators.stencil import lake_buffer
@@ -43,19 +43,15 @@ def lake_order(buffers: DataFrame, acc: DataFrame) -> DataFrame:
     return global_rank(at, F.col("max_acc"), F.col("lake"), name="ord")
 
 
-def inflow_points(buffers: DataFrame, flow: DataFrame, water: DataFrame, acc: DataFrame, river_th: float) -> DataFrame:
+def inflow_points(buffers: DataFrame, flow: DataFrame, water: DataFrame, acc: DataFrame, river_th: float, land: DryLand | None = None) -> DataFrame:
     """``lake, cell``: buffer cells by which slopes, not rivers, enter a lake.
 
     A buffer cell counts if its path leaves dry land at a buffer cell of the
     same lake whose accumulation is below the threshold.
     """
-    wet = water.select(F.col("cell").alias("nxt"), F.lit(True).alias("to_water"))
-    dry = flow.join(water.select("cell"), "cell", "left_anti").join(wet, "nxt", "left")
-    dry = write_table(dry.select("cell", "nxt", F.coalesce("to_water", F.lit(False)).alias("to_water")), "dry").df
-    last = roots(dry.select("cell", F.when(~F.col("to_water"), F.col("nxt")).alias("nxt")))
-    gates = dry.where("to_water").join(acc.where(F.col("acc") < river_th), "cell").select(F.col("cell").alias("root"))
-    gates = gates.join(buffers.select("lake", F.col("cell").alias("root")), "root")
-    return buffers.join(last, "cell").join(gates, ["lake", "root"], "left_semi").select("lake", "cell")
+    land = land or DryLand(flow, water, acc, river_th)
+    left = buffers.join(land.gates(buffers.select("cell")), "cell")
+    return left.join(buffers.select("lake", F.col("cell").alias("root")), ["lake", "root"], "left_semi").select("lake", "cell")
 
 
 def inflow_groups(points: DataFrame, acc: DataFrame, width: int, river_th: float, diagonal: bool = True, side: int = SIDE) -> DataFrame:
@@ -129,30 +125,21 @@ def surface_ids(groups: DataFrame, order: DataFrame, mode: str = "group") -> Dat
     return own.join(ids, keys).select("lake", "cell", "slope_id")
 
 
-def paint(flow: DataFrame, water: DataFrame, ids: DataFrame) -> DataFrame:
+def paint(flow: DataFrame, water: DataFrame, ids: DataFrame, land: DryLand | None = None) -> DataFrame:
     """``cell, slope_id`` of all dry cells above an inflow point; the greatest id on a cell's dry path wins.
 
     Ids grow in the order of painting, so the greatest is the one painted last.
     """
-    own = ids.groupBy("cell").agg(F.max("slope_id").alias("own"))
-    dry = flow.join(water.select("cell"), "cell", "left_anti")
-    dry = dry.join(water.select(F.col("cell").alias("nxt"), F.lit(True).alias("wet")), "nxt", "left")
-    dry = dry.select("cell", F.when(F.col("wet").isNull(), F.col("nxt")).alias("nxt")).join(own, "cell", "left")
-    return pull(dry, {"slope_id": F.col("own")}).where("slope_id is not null")
+    return (land or DryLand(flow, water)).painted(ids, "slope_id")
 
 
-def routes(flow: DataFrame, water: DataFrame, acc: DataFrame, starts: DataFrame, river_th: float) -> DataFrame:
+def routes(flow: DataFrame, water: DataFrame, acc: DataFrame, starts: DataFrame, river_th: float, land: DryLand | None = None) -> DataFrame:
     """``cell``: from each start downstream over dry cells below the threshold.
 
     A cell lies on a route if a start lies at or above it with nothing but
-    such cells between, so starts are counted downstream over the graph of
-    those cells.
+    such cells between.
     """
-    from hydrospark.operators.flow import push
-
-    slow = flow.join(water.select("cell"), "cell", "left_anti").join(acc.where(F.col("acc") < river_th).select("cell"), "cell", "left_semi")
-    begun = slow.join(starts.select("cell").distinct().withColumn("s", F.lit(1)), "cell", "left")
-    return push(begun, {"n": F.coalesce("s", F.lit(0)).cast("long")}).where("n > 0").select("cell")
+    return (land or DryLand(flow, water, acc, river_th)).reached(starts)
 
 
 @dataclass
@@ -183,12 +170,13 @@ def slope_surfaces(
     around = lake_buffer(lakes, width, height).where(in_grid(F.col("x"), F.col("y"), width, height))
     buffers = write_table(around.select("lake", cell_key(F.col("x"), F.col("y"), width).alias("cell")), "buffers").df
     order = write_table(lake_order(buffers, acc), "lake-order").df
-    points = write_table(inflow_points(buffers, flow, wet, acc, river_th), "inflow").df
+    land = DryLand(flow, wet, acc, river_th)
+    points = write_table(inflow_points(buffers, flow, wet, acc, river_th, land), "inflow").df
 
     def surfaces() -> DataFrame:
-        return paint(flow, wet, surface_ids(inflow_groups(points, acc, width, river_th, diagonal), order, mode))
+        return paint(flow, wet, surface_ids(inflow_groups(points, acc, width, river_th, diagonal), order, mode), land)
 
     def route() -> DataFrame:
-        return routes(flow, wet, acc, order.select(F.col("start").alias("cell")), river_th)
+        return routes(flow, wet, acc, order.select(F.col("start").alias("cell")), river_th, land)
 
     return SlopeSurfaces(lakes, order, points, surfaces, route)

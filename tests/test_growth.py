@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from hydrospark import storage
 from hydrospark.functions.cells import STEPS
-from hydrospark.operators import blocks, flow, slope, stencil
+from hydrospark.operators import blocks, dry_land, flow, slope, spans, stencil
 from hydrospark.plans import catalogue
+from hydrospark.plans.pipelines import keyed
 from hydrospark.sources import shapefile, tiles
 
 DATA = Path("/root/testdata/sf0.001")
@@ -122,3 +123,49 @@ def test_lake_revision_sends_no_water_to_all_tasks(spark, monkeypatch):
     assert {r[0] for r in flow.revise_lakes(rivers, water, 10).collect()} == {1, 2, 11, 12}
     fresh = [p for name, p in plans if name == "fresh"]
     assert fresh and all(p.count("SortMergeJoin") >= 3 for p in fresh)
+
+
+def test_slopes_follow_packed_paths(spark, monkeypatch):
+    """Gates, slopes and routes over many spans, against plain Python; no table of the steps has a row for each cell."""
+    monkeypatch.setattr(spans, "SPAN", 16)
+    draw, w, h, th = random.Random(5), 13, 17, 4
+    dem = spark.createDataFrame([(x, y, x + 2 * y + draw.random() * 9) for x in range(w) for y in range(h)], "x int, y int, z double")
+    steep = storage.materialize(stencil.steepest(dem))
+    graph = storage.materialize(flow.flow_graph(steep, steep, w, h))
+    acc = flow.accumulation(graph)
+    wet = {(x + i, y + j) for x, y in ((2, 2), (7, 5), (3, 9), (10, 1), (8, 12)) for i in range(3) for j in range(2)}
+    water = spark.createDataFrame(sorted(wet), "x int, y int")
+    sizes = []
+    made = storage.write_table
+    for module in (flow, slope, dry_land):
+        monkeypatch.setattr(module, "write_table", lambda df, name="table", watch=None: sizes.append((name, made(df, name).df.count())) or made(df, name, watch))
+    got = slope.slope_surfaces(water, graph, acc, w, h, th, "lake")
+    nxt, size = {r.cell: r.nxt for r in graph.collect()}, {r.cell: r.acc for r in acc.collect()}
+    lake = {r.y * w + r.x: r.lake for r in got.lakes.collect()}
+    order = {r.lake: r for r in got.order.collect()}
+
+    def way(c, ok):
+        out = []
+        while c is not None and ok(c):
+            out.append(c)
+            c = nxt[c]
+        return out, c
+
+    near = lambda c: {(c // w + j) * w + c % w + i for i in (-1, 0, 1) for j in (-1, 0, 1) if 0 <= c % w + i < w and 0 <= c // w + j < h}
+    buffers = {(v, n) for c, v in lake.items() for n in near(c) if n not in lake}
+    points = set()
+    for v, c in buffers:
+        dry, to = way(c, lambda c: c not in lake)
+        if to in lake and size[dry[-1]] < th and (v, dry[-1]) in buffers:
+            points.add((v, c))
+    assert {tuple(r) for r in got.points.select("lake", "cell").collect()} == points and points
+    rank = {v: k + 1 for k, v in enumerate(sorted({v for v, _ in points}, key=lambda v: order[v].ord))}
+    own = {c: max(rank[v] for v, d in points if d == c) for _, c in points}
+    painted = {c: max((own[d] for d in way(c, lambda c: c not in lake)[0] if d in own), default=None) for c in nxt if c not in lake}
+    assert {r.cell: r.slope_id for r in got.surfaces.collect()} == {c: v for c, v in painted.items() if v}
+    slow = lambda c: c not in lake and size[c] < th
+    starts = {r.start for r in order.values()} | {c for c in nxt if slow(c) and c % 5 == 0}
+    begun = spark.createDataFrame([(c,) for c in sorted(starts)], "cell long")
+    routes = slope.routes(graph, keyed(water, w), acc, begun, th)
+    assert {r.cell for r in routes.collect()} == {d for c in starts for d in way(c, slow)[0]}
+    assert max(n for name, n in sizes) < len(painted)

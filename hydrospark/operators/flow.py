@@ -10,7 +10,7 @@ the rounds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from math import sqrt
 
@@ -141,16 +141,18 @@ def plus(mine: Column, ahead: Column) -> Column:
     return F.coalesce(mine, F.lit(0)) + F.coalesce(ahead, F.lit(0))
 
 
-def pull(flow: DataFrame, start: dict[str, Column], combine=F.greatest) -> DataFrame:
+def pull(flow: DataFrame, start: dict[str, Column], combine=F.greatest, kept: Sequence[str] = ()) -> DataFrame:
     """``cell`` and, for each name, ``combine`` of the start values of all cells on the downstream path, its own included.
 
     Whole numbers are combined by spans if ``combine`` is ``F.greatest`` or
-    ``plus``, all other values by doubling alone.
+    ``plus``, all other values by doubling alone.  Columns of ``flow`` that
+    ``kept`` names come out as they are.
     """
-    begun = flow.select("cell", "nxt", *(c.alias(n) for n, c in start.items()))
+    begun = flow.select("cell", "nxt", *(c.alias(n) for n, c in start.items()), *kept)
     if combine in (F.greatest, plus) and _whole(begun):
-        return _pull_spans(begun, list(start), combine)
-    return _pull_rounds(begun, list(start), combine)
+        return _pull_spans(begun, list(start), combine, kept)
+    made = _pull_rounds(begun.drop(*kept), list(start), combine)
+    return made.join(begun.select("cell", *kept), "cell") if kept else made
 
 
 def _pull_rounds(begun: DataFrame, names: list[str], combine) -> DataFrame:
@@ -216,9 +218,10 @@ def _typed(made: DataFrame, begun: DataFrame, *names: str) -> DataFrame:
     return made.select(F.col("cell").cast(begun.schema["cell"].dataType).alias("cell"), *(F.col(n).cast(begun.schema[n].dataType).alias(n) for n in names))
 
 
-def _pull_spans(begun: DataFrame, names: list[str], combine) -> DataFrame:
+def _pull_spans(begun: DataFrame, names: list[str], combine, kept: Sequence[str] = ()) -> DataFrame:
     """``pull`` within spans, then by doubling over the cells at which paths enter a span, then from there to all cells."""
-    packed = _packed(begun, names)
+    every = [*names, *kept]
+    packed = _packed(begun, every)
     adds, ends_only, none = combine is plus, combine is last, spans.NONE
 
     def within(paths, values):
@@ -238,20 +241,23 @@ def _pull_spans(begun: DataFrame, names: list[str], combine) -> DataFrame:
     left = packed.df.select("span", F.explode("out").alias("entry")).distinct().join(below.withColumnRenamed("cell", "entry"), "entry")
 
     def finish(paths, values, got):
-        ends, sums = within(paths, values)
+        ends, sums = within(paths, values[: len(names)])
         order = np.argsort(got["entry"])
         at, there = spans.look_up(got["entry"][order], paths.out[ends])
         for n, v in zip(names, sums, strict=True):
             more = got[n][order][at[there]]
             v[there] = more if ends_only else v[there] + more if adds else np.maximum(v[there], more)
-        return {"cell": paths.cell, **dict(zip(names, sums, strict=True))}
+        return {"cell": paths.cell, **dict(zip(every, [*sums, *values[len(names) :]], strict=True))}
+
+    final = _with_lists(packed.df, left, every, "entry", *names).mapInArrow(spans.each_span(every, finish), ", ".join(f"{c} bigint" for c in ("cell", *every)))
+    return _typed(write_table(final, "pulled").df, begun, *every)
 
-    final = _with_lists(packed.df, left, names, "entry", *names).mapInArrow(spans.each_span(names, finish), ", ".join(f"{c} bigint" for c in ("cell", *names)))
-    return _typed(write_table(final, "pulled").df, begun, *names)
 
+def _push_spans(begun: DataFrame, names: list[str], along: bool = False) -> DataFrame:
+    """``push`` of sums within spans, then by doubling over the cells at which paths leave a span, then from where they enter on.
 
-def _push_spans(begun: DataFrame, names: list[str]) -> DataFrame:
-    """``push`` of sums within spans, then by doubling over the cells at which paths leave a span, then from where they enter on."""
+    With ``along`` also ``nxt``, null where the graph doesn't have that cell.
+    """
     packed = _packed(begun, names, lambda paths, v: paths.pushed(v, np.add, 0))
     entries = _entries(packed.df, names, lambda paths, values, at: {"end": paths.cell[paths.ends()[at]]}, ["end"])
     gates = packed.df.select(F.explode(F.arrays_zip("gate", "out", *(f"{n}_sent" for n in names))).alias("g")).select("g.*")
@@ -266,10 +272,29 @@ def _push_spans(begun: DataFrame, names: list[str]) -> DataFrame:
             v = v.copy()
             v[at] += got[n]
             out[n] = paths.pushed(v, np.add, 0)[:-1]
+        if along:
+            out |= {"nxt": np.append(paths.cell, spans.NONE)[paths.to[:-1]], "far": paths.out[:-1]}
         return out
 
-    final = _with_lists(packed.df, arrived.withColumn("span", _span(F.col("entry"))), names, "entry", *names).mapInArrow(spans.each_span(names, finish), ", ".join(f"{c} bigint" for c in ("cell", *names)))
-    return write_table(final.withColumn("cell", F.col("cell").cast(begun.schema["cell"].dataType)), "pushed").df
+    columns = ["cell", *names, *(["nxt", "far"] if along else [])]
+    final = _with_lists(packed.df, arrived.withColumn("span", _span(F.col("entry"))), names, "entry", *names).mapInArrow(spans.each_span(names, finish), ", ".join(f"{c} bigint" for c in columns))
+    made = write_table(final.withColumn("cell", F.col("cell").cast(begun.schema["cell"].dataType)), "pushed").df
+    if not along:
+        return made
+    # only cells at which paths leave a span have to look for the next one
+    known = entries.select(F.col("entry").alias("far"), F.lit(True).alias("known"))
+    left = made.where("far is not null").drop("nxt").join(known, "far", "left").withColumn("nxt", F.when(F.col("known"), F.col("far")))
+    return made.where("far is null").select("cell", "nxt", *names).unionByName(left.select("cell", "nxt", *names))
+
+
+def sized(flow: DataFrame) -> DataFrame:
+    """``cell, nxt, acc``: the flow graph with its accumulation; ``nxt`` is null where the graph doesn't have that cell."""
+    begun = flow.select("cell", "nxt", F.lit(1).cast("long").alias("acc"))
+    if _whole(begun):
+        return _push_spans(begun, ["acc"], along=True)
+    known = flow.select(F.col("cell").alias("nxt"), F.lit(True).alias("in_graph"))
+    inside = flow.join(known, "nxt", "left").select("cell", F.when(F.col("in_graph"), F.col("nxt")).alias("nxt"))
+    return write_table(inside.join(accumulation(flow), "cell"), "sizes").df
 
 
 def accumulation(flow: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hydrospark.operators.flow import accumulation, plus, pull
+from hydrospark.operators.flow import plus, pull, sized
 from hydrospark.operators.ranges import every_range
 from hydrospark.operators.ranking import global_rank, latest_before, running_total
 from hydrospark.storage import write_table
@@ -29,16 +29,13 @@ def number(flow: DataFrame) -> DataFrame:
     that the graph doesn't have ends the path.  Cells are distinct; an empty
     graph gives no rows, a cycle is an error.
     """
-    known = flow.select(F.col("cell").alias("nxt"), F.lit(True).alias("in_graph"))
-    inside = flow.join(known, "nxt", "left").select("cell", F.when(F.col("in_graph"), F.col("nxt")).alias("nxt"))
-    sized = write_table(inside.join(accumulation(flow), "cell"), "sizes").df
+    sizes = sized(flow)
     # a cell has few inflows: eight on a grid
     before = F.sum("acc").over(Window.partitionBy("nxt").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("acc")
-    inner = sized.where("nxt is not null").select("cell", "nxt", (before + 1).alias("before"))
-    ends = running_total(sized.where("nxt is null"), F.col("acc"), F.col("cell")).select("cell", "nxt", "before")
-    steps = inner.unionByName(ends)
-    places = pull(steps, {"place": F.col("before")}, plus)
-    return places.join(sized.select("cell", "acc"), "cell").select("cell", "place", (F.col("place") + F.col("acc") - 1).alias("last"))
+    inner = sizes.where("nxt is not null").select("cell", "nxt", "acc", (before + 1).alias("before"))
+    ends = running_total(sizes.where("nxt is null"), F.col("acc"), F.col("cell")).select("cell", "nxt", "acc", "before")
+    places = pull(inner.unionByName(ends), {"place": F.col("before")}, plus, kept=["acc"])
+    return places.select("cell", "place", (F.col("place") + F.col("acc") - 1).alias("last"))
 
 
 def write_index(flow: DataFrame, path: str, slice_cells: int = SLICE) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hydrospark import storage
 from hydrospark.functions.cells import STEPS
-from hydrospark.operators import blocks, dry_land, flow, slope, spans, stencil
+from hydrospark.operators import blocks, dry_land, flow, slope, spans, stencil, upstream
 from hydrospark.plans import catalogue
 from hydrospark.plans.pipelines import keyed
 from hydrospark.sources import shapefile, tiles
@@ -169,3 +169,24 @@ def test_slopes_follow_packed_paths(spark, monkeypatch):
     routes = slope.routes(graph, keyed(water, w), acc, begun, th)
     assert {r.cell for r in routes.collect()} == {d for c in starts for d in way(c, slow)[0]}
     assert max(n for name, n in sizes) < len(painted)
+
+
+def test_index_joins_no_cells(spark, monkeypatch):
+    """Numbers of a graph over many spans are told without a table of its sizes or a join of all cells, ends that lie outside included."""
+    monkeypatch.setattr(spans, "SPAN", 16)
+    draw, names, made = random.Random(4), [], storage.write_table
+    for module in (flow, upstream):
+        monkeypatch.setattr(module, "write_table", lambda df, name="table", watch=None: names.append(name) or made(df, name, watch))
+    nxt = {c: draw.choice([None, 999, *range(max(c - 40, 0), c)]) for c in range(0, 300, 2)}
+    nxt = {c: n if n is None or n == 999 or n % 2 == 0 else n - 1 for c, n in nxt.items()}
+    found = upstream.number(spark.createDataFrame(sorted(nxt.items()), "cell long, nxt long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    got = {r.cell: (r.place, r.last) for r in found.collect()}
+    above = {c: {c} for c in nxt}
+    for c in sorted(nxt, reverse=True):
+        if nxt[c] in above:
+            above[nxt[c]] |= above[c]
+    place = {c: p for c, (p, _) in got.items()}
+    assert sorted(place.values()) == list(range(min(place.values()), min(place.values()) + len(nxt)))
+    assert all({d for d, p in place.items() if got[c][0] <= p <= got[c][1]} == above[c] for c in nxt)
+    assert "sizes" not in names and "Join" not in plan

@@ -7,6 +7,8 @@ rounds, and only the rows that are asked for or found come out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.operators import flow as graphs
 from hydrospark.operators import spans
+from hydrospark.operators.packed_flow import PackedFlow
 from hydrospark.operators.spans import NONE, Paths, longs, look_up
 from hydrospark.storage import write_table
 
@@ -38,11 +41,10 @@ class Land:
         return paths, kept
 
 
-def _pack(key, t):
-    cell, nxt, bits = (longs(t.column(c).combine_chunks()) for c in ("cell", "nxt", "bits"))
+def _packed(span: int, cell: np.ndarray, nxt: np.ndarray, bits: np.ndarray) -> pa.Table:
     order = np.argsort(cell, kind="stable")
     cell, nxt, bits = cell[order], nxt[order], bits[order]
-    first = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0]
+    first = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0][: len(cell)]
     cell, nxt, bits = cell[first], np.maximum.reduceat(nxt, first), np.bitwise_or.reduceat(bits, first)
     held = (bits & (OWN | WET)) > 0
     cell, nxt, bits = cell[held], nxt[held], bits[held]
@@ -50,7 +52,7 @@ def _pack(key, t):
     land = Land(Paths(cell, nxt), bits)
     out = np.unique(land.paths.out)
     made = {
-        "span": pa.array([key[0].as_py()], pa.int64()),
+        "span": pa.array([span], pa.int64()),
         **{n: pa.array([v.tobytes()], pa.binary()) for n, v in (("cell", cell), ("nxt", nxt), ("bits", bits))},
         "out": pa.array([out[out != NONE]], pa.list_(pa.int64())),
         "looped": pa.array([land.paths.looped()], pa.bool_()),
@@ -58,19 +60,53 @@ def _pack(key, t):
     return pa.table(made).slice(0, min(len(cell), 1))
 
 
+def _pack(key, t):
+    return _packed(key[0].as_py(), *(longs(t.column(c).combine_chunks()) for c in ("cell", "nxt", "bits")))
+
+
+def _flood(river_th: float):
+    """For ``mapInArrow``: packed spans of a flow graph with its accumulation, each with the list ``wet`` of its water cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw = lambda n: np.frombuffer(batch.column(n)[k].as_buffer(), dtype="<i8") if batch.column(n)[k].is_valid else np.empty(0, np.int64)  # noqa: B023, E731
+                cell, nxt, acc = (raw(n) for n in ("cell", "nxt", "acc"))
+                wet = np.asarray(batch.column("wet")[k].values) if batch.column("wet")[k].is_valid else np.empty(0, np.int64)
+                bits = np.where((acc != NONE) & (acc < river_th), OWN | SLOW, OWN)
+                cell, nxt, bits = np.append(cell, wet), np.append(nxt, np.full(len(wet), NONE)), np.append(bits, np.full(len(wet), WET))
+                yield from _packed(batch.column("span")[k].as_py(), cell, nxt, bits).to_batches()
+
+    return run
+
+
+SCHEMA = "span bigint, cell binary, nxt binary, bits binary, out array<bigint>, looped boolean"
+
+
 class DryLand:
     """A flow graph (``cell, nxt``) without its water (``cell``); cells of ``acc`` below the threshold are slow.
 
-    Cells are whole numbers.  A cycle over dry cells is an error.
+    Cells are whole numbers.  A cycle over dry cells is an error.  Of a graph
+    that is packed already only the water moves; it has its own ``acc``.
     """
 
-    def __init__(self, flow: DataFrame, water: DataFrame, acc: DataFrame | None = None, river_th: float = float("inf")):
+    def __init__(self, flow: DataFrame | PackedFlow, water: DataFrame, acc: DataFrame | None = None, river_th: float = float("inf")):
+        if isinstance(flow, PackedFlow):
+            self.kind = flow.kinds["cell"]
+            wet = water.where("cell is not null").select(F.col("cell").cast("long").alias("cell"))
+            wet = wet.groupBy(graphs._span(F.col("cell")).alias("span")).agg(F.collect_set("cell").alias("wet"))
+            rows = flow.packed.select("span", "cell", "nxt", "acc").join(wet, "span", "full")
+            self._keep(rows.mapInArrow(_flood(river_th), SCHEMA))
+            return
         row = lambda t, nxt, bit: t.where("cell is not null").select(F.col("cell").cast("long").alias("cell"), nxt.cast("long").alias("nxt"), F.lit(bit).cast("long").alias("bits"))
         rows = row(flow, F.col("nxt"), OWN).unionByName(row(water, F.lit(None), WET))
         if acc is not None:
             rows = rows.unionByName(row(acc.where(F.col("acc") < river_th), F.lit(None), SLOW))
         self.kind = flow.schema["cell"].dataType
-        packed = write_table(rows.groupBy(graphs._span(F.col("cell")).alias("span")).applyInArrow(_pack, "span bigint, cell binary, nxt binary, bits binary, out array<bigint>, looped boolean"), "dry-land", watch="looped")
+        self._keep(rows.groupBy(graphs._span(F.col("cell")).alias("span")).applyInArrow(_pack, SCHEMA))
+
+    def _keep(self, rows: DataFrame) -> None:
+        packed = write_table(rows, "dry-land", watch="looped")
         if packed.watched:
             packed.drop()
             raise ValueError("the flow graph has a cycle")

@@ -253,17 +253,27 @@ def _pull_spans(begun: DataFrame, names: list[str], combine, kept: Sequence[str]
     return _typed(write_table(final, "pulled").df, begun, *every)
 
 
+def _arrived(packed: DataFrame, names: list[str], entries: DataFrame | None = None) -> DataFrame:
+    """``entry`` and, for each name, the sum of what all cells above send to where paths enter a span, by doubling over the cells at which they leave one."""
+    entries = _ends(packed, names) if entries is None else entries
+    gates = packed.select(F.explode(F.arrays_zip("gate", "out", *(f"{n}_sent" for n in names))).alias("g")).select("g.*")
+    gates = write_table(gates.join(entries.withColumnRenamed("entry", "out"), "out").select(F.col("gate").alias("cell"), F.col("end").alias("nxt"), "out", *(F.col(f"{n}_sent").alias(n) for n in names)), "gates").df
+    total = gather(gates, {n: Gather(F.col(n), F.col(n)) for n in names})
+    return gates.select("cell", "out").join(total, "cell").groupBy(F.col("out").alias("entry")).agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _ends(packed: DataFrame, names: list[str]) -> DataFrame:
+    return _entries(packed, names, lambda paths, values, at: {"end": paths.cell[paths.ends()[at]]}, ["end"])
+
+
 def _push_spans(begun: DataFrame, names: list[str], along: bool = False) -> DataFrame:
     """``push`` of sums within spans, then by doubling over the cells at which paths leave a span, then from where they enter on.
 
     With ``along`` also ``nxt``, null where the graph doesn't have that cell.
     """
     packed = _packed(begun, names, lambda paths, v: paths.pushed(v, np.add, 0))
-    entries = _entries(packed.df, names, lambda paths, values, at: {"end": paths.cell[paths.ends()[at]]}, ["end"])
-    gates = packed.df.select(F.explode(F.arrays_zip("gate", "out", *(f"{n}_sent" for n in names))).alias("g")).select("g.*")
-    gates = write_table(gates.join(entries.withColumnRenamed("entry", "out"), "out").select(F.col("gate").alias("cell"), F.col("end").alias("nxt"), "out", *(F.col(f"{n}_sent").alias(n) for n in names)), "gates").df
-    total = gather(gates, {n: Gather(F.col(n), F.col(n)) for n in names})
-    arrived = gates.select("cell", "out").join(total, "cell").groupBy(F.col("out").alias("entry")).agg(*(F.sum(n).alias(n) for n in names))
+    entries = _ends(packed.df, names)
+    arrived = _arrived(packed.df, names, entries)
 
     def finish(paths, values, got):
         at, _ = spans.look_up(paths.cell, got["entry"])

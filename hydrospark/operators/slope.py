@@ -15,6 +15,7 @@ from hydrospark.functions.cells import STEPS, cell_key, in_grid
 from hydrospark.operators.blocks import SIDE
 from hydrospark.operators.components import HALF, connected_components, label_blocks, least_linked
 from hydrospark.operators.dry_land import DryLand
+from hydrospark.operators.packed_flow import PackedFlow
 from hydrospark.operators.ranking import global_rank
 from hydrospark.operators.spans import look_up
 from hydrospark.operators.stencil import lake_buffer
@@ -144,17 +145,22 @@ def routes(flow: DataFrame, water: DataFrame, acc: DataFrame, starts: DataFrame,
 
 @dataclass
 class SlopeSurfaces:
-    """Lakes, their order and inflow points; surfaces and routes are made when first asked for."""
+    """Lakes, their order and inflow points; ids of slopes, surfaces and routes are made when first asked for."""
 
     lakes: DataFrame
     order: DataFrame
     points: DataFrame
-    make_surfaces: Callable[[], DataFrame]
+    make_ids: Callable[[], DataFrame]
+    make_surfaces: Callable[[DataFrame], DataFrame]
     make_route: Callable[[], DataFrame]
 
+    @cached_property
+    def ids(self) -> DataFrame:
+        return write_table(self.make_ids(), "slope-ids").df
+
     @cached_property
     def surfaces(self) -> DataFrame:
-        return self.make_surfaces()
+        return self.make_surfaces(self.ids)
 
     @cached_property
     def route(self) -> DataFrame:
@@ -162,21 +168,31 @@ class SlopeSurfaces:
 
 
 def slope_surfaces(
-    water: DataFrame, flow: DataFrame, acc: DataFrame, width: int, height: int, river_th: float, mode: str = "group", diagonal: bool = True
+    water: DataFrame, flow: DataFrame | PackedFlow, acc: DataFrame | None, width: int, height: int, river_th: float, mode: str = "group", diagonal: bool = True
 ) -> SlopeSurfaces:
-    """All steps from water cells (``x, y``), flow graph and accumulation (``cell, acc``) to surfaces and routes."""
+    """All steps from water cells (``x, y``), flow graph and accumulation (``cell, acc``) to surfaces and routes.
+
+    A packed graph brings its own accumulation; its cells aren't dealt out again.
+    """
     lakes = write_table(label_lakes(water, width), "lakes").df
     wet = lakes.select(cell_key(F.col("x"), F.col("y"), width).alias("cell"), "lake")
     around = lake_buffer(lakes, width, height).where(in_grid(F.col("x"), F.col("y"), width, height))
     buffers = write_table(around.select("lake", cell_key(F.col("x"), F.col("y"), width).alias("cell")), "buffers").df
-    order = write_table(lake_order(buffers, acc), "lake-order").df
+    packed = isinstance(flow, PackedFlow)
+    order = write_table(lake_order(buffers, flow.at(buffers.select("cell").distinct(), "acc") if packed else acc), "lake-order").df
     land = DryLand(flow, wet, acc, river_th)
     points = write_table(inflow_points(buffers, flow, wet, acc, river_th, land), "inflow").df
 
-    def surfaces() -> DataFrame:
-        return paint(flow, wet, surface_ids(inflow_groups(points, acc, width, river_th, diagonal), order, mode), land)
+    def ids() -> DataFrame:
+        if mode == "lake":  # all points of a lake have one id, whatever they touch
+            return surface_ids(points, order, mode)
+        sizes = flow.rows("acc") if packed else acc
+        return surface_ids(inflow_groups(points, sizes, width, river_th, diagonal), order, mode)
+
+    def surfaces(ids: DataFrame) -> DataFrame:
+        return paint(flow, wet, ids, land)
 
     def route() -> DataFrame:
         return routes(flow, wet, acc, order.select(F.col("start").alias("cell")), river_th, land)
 
-    return SlopeSurfaces(lakes, order, points, surfaces, route)
+    return SlopeSurfaces(lakes, order, points, ids, surfaces, route)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from hydrospark import storage
 from hydrospark.functions.cells import STEPS
 from hydrospark.operators import blocks, dry_land, flow, slope, spans, stencil, upstream
+from hydrospark.operators.packed_flow import PackedFlow
 from hydrospark.plans import catalogue
 from hydrospark.plans.pipelines import keyed
 from hydrospark.sources import shapefile, tiles
@@ -190,3 +192,40 @@ def test_index_joins_no_cells(spark, monkeypatch):
     assert sorted(place.values()) == list(range(min(place.values()), min(place.values()) + len(nxt)))
     assert all({d for d, p in place.items() if got[c][0] <= p <= got[c][1]} == above[c] for c in nxt)
     assert "sizes" not in names and "Join" not in plan
+
+
+@pytest.mark.parametrize("w", [5, 13, 40])
+def test_heights_are_packed_once(spark, monkeypatch, w):
+    """Directions and sizes told by spans equal those by blocks, on grids narrower and wider than a span; missing cells and heights are kept."""
+    monkeypatch.setattr(spans, "SPAN", 16)
+    draw, h = random.Random(w), 400 // w
+    z = {(x, y): draw.choice([None, math.nan, -0.0, *range(9)]) for x in range(w) for y in range(h) if draw.random() < 0.9}
+    dem = spark.createDataFrame([(x, y, None if v is None else float(v)) for (x, y), v in z.items()], "x int, y int, z double")
+    steep = storage.materialize(stencil.steepest(dem))
+    graph = storage.materialize(flow.flow_graph(steep, steep, w, h))
+    acc = flow.accumulation(graph)
+    want = {r.cell: (r.nxt, r.acc) for r in graph.join(acc, "cell").collect()}
+    packed = PackedFlow.from_heights(dem, w, h, heights=True)
+    assert {r.cell: (r.nxt, r.acc) for r in packed.rows("nxt", "acc").collect()} == want and len(want) == len(z)
+    assert {r.cell: repr(r.z) for r in packed.rows("z").collect()} == {y * w + x: repr(None if v is None else float(v) + 0.0) for (x, y), v in z.items()}
+    assert {r.cell: (r.nxt, r.acc) for r in PackedFlow.sized(graph).rows("nxt", "acc").collect()} == want
+    asked = spark.createDataFrame([(c, k) for k in (1, 2) for c in (-3, 0, 17, 18, 399, 5000)], "cell long, k int")
+    assert sorted(map(tuple, packed.at(asked, "acc").collect())) == sorted((c, k, want[c][1]) for k in (1, 2) for c in (0, 17, 18, 399) if c in want)
+    if w != 13:
+        return
+    wet = {(draw.randrange(w), draw.randrange(h)) for _ in range(25)} | {p for p in ((x, y) for x in range(w) for y in range(h)) if p not in z}
+    water = spark.createDataFrame(sorted(wet), "x int, y int")
+    one, two = slope.slope_surfaces(water, graph, acc, w, h, 4), slope.slope_surfaces(water, packed, None, w, h, 4)
+    for name in ("order", "points", "surfaces", "route"):
+        rows = sorted(map(tuple, getattr(one, name).select(sorted(getattr(one, name).columns)).collect()))
+        assert sorted(map(tuple, getattr(two, name).select(sorted(getattr(one, name).columns)).collect())) == rows and rows
+
+
+def test_slopes_deal_cells_out_once(spark, monkeypatch):
+    """Inflow points of the test grid without a table of directions or a second packing of cells."""
+    if not DATA.exists():
+        pytest.skip("no test tables")
+    before = storage.written()
+    got = catalogue.queries()["g10_slope_inflows"](spark, str(DATA)).collect()
+    names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage.written() - before]
+    assert got and names.count("spans") == 1 and not {"steepest", "pushed"} & set(names)

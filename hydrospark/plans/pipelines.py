@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.functions.cells import WATER, cell_key, code_8
 from hydrospark.operators import algebra, flats, flow, slope, stencil, vector
+from hydrospark.operators.packed_flow import PackedFlow
 from hydrospark.storage import materialize
 
 
@@ -48,17 +49,20 @@ def drainage(cells: DataFrame, dir128: DataFrame, acc: DataFrame, width: int, he
     return Drainage(starts, rivers, reach, flow.reach_tree(graph, reach), flow.watersheds(graph, reach))
 
 
-def lake_upstream(dem: DataFrame, water: DataFrame, graph: DataFrame, acc: DataFrame, width: int, height: int) -> DataFrame:
+def lake_upstream(dem: DataFrame | None, water: DataFrame, graph: DataFrame | PackedFlow, acc: DataFrame | None, width: int, height: int) -> DataFrame:
     """``lake, cell, z, nxt, acc``: for every lake in one pass, the land that drains into it and its layers.
 
     Slope surfaces with an unbounded river threshold, one per lake: every
-    buffer cell that flows into the lake opens its whole upstream area.
+    buffer cell that flows into the lake opens its whole upstream area.  A
+    packed graph with heights brings all layers itself.
     """
     made = slope.slope_surfaces(water, graph, acc, width, height, float("inf"), mode="lake")
-    by_lake = slope.surface_ids(made.points.withColumn("grp", F.col("lake")), made.order, mode="lake").select("lake", "slope_id").distinct()
-    land = made.surfaces.join(by_lake, "slope_id").select("lake", "cell")
-    layers = keyed(dem, width, "z").join(graph, "cell").join(acc, "cell")
-    return land.join(layers, "cell").select("lake", "cell", F.round("z", 8).alias("z"), "nxt", "acc")
+    by_lake = made.ids.select("lake", "slope_id").distinct()
+    if isinstance(graph, PackedFlow):
+        land = graph.at(made.surfaces.select("cell", "slope_id"), "z", "nxt", "acc").join(by_lake, "slope_id")
+    else:
+        land = made.surfaces.join(by_lake, "slope_id").join(keyed(dem, width, "z").join(graph, "cell").join(acc, "cell"), "cell")
+    return land.select("lake", "cell", F.round("z", 8).alias("z"), "nxt", "acc")
 
 
 def from_layers(dem: DataFrame, graph: DataFrame, acc: DataFrame, water: DataFrame, width: int, height: int, river_th: float, mode: str = "group") -> dict[str, DataFrame]:

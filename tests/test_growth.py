@@ -229,3 +229,15 @@ def test_slopes_deal_cells_out_once(spark, monkeypatch):
     got = catalogue.queries()["g10_slope_inflows"](spark, str(DATA)).collect()
     names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage.written() - before]
     assert got and names.count("spans") == 1 and not {"steepest", "pushed"} & set(names)
+
+
+def test_lakes_as_one_need_no_groups(spark, monkeypatch):
+    """One id per lake doesn't ask which inflow points touch; the land above lakes is told without a join of all cells."""
+    monkeypatch.setattr(slope, "inflow_groups", None)
+    if not DATA.exists():
+        pytest.skip("no test tables")
+    land = catalogue.queries()["h10_lake_upstream"](spark, str(DATA))
+    plan = land._jdf.queryExecution().executedPlan().toString()
+    assert "steepest-" not in plan and "gathered-" not in plan and plan.count("Join") <= 2
+    got = land.collect()
+    assert got and len({r.cell for r in got}) == len(got) and all(r.nxt is not None and r.acc > 0 for r in got)

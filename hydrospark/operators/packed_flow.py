@@ -54,7 +54,7 @@ def descent(cell: np.ndarray, z: np.ndarray, low: int, high: int, width: int, he
 
 
 class PackedFlow:
-    """``packed``: a row for each span with ``cell, nxt, acc`` and the columns ``kept`` as arrays; without cycles."""
+    """``packed``: a row for each span with ``cell, nxt, acc`` and the columns ``kept`` as arrays."""
 
     def __init__(self, packed: DataFrame, kinds: dict[str, object]):
         self.packed, self.kinds = packed, kinds
@@ -66,6 +66,20 @@ class PackedFlow:
         packed = graphs._packed(begun, ["acc"], lambda paths, v: paths.pushed(v, np.add, 0))
         return cls(_with_sizes(packed.df, ["acc"]), {f.name: f.dataType for f in begun.schema})
 
+    @classmethod
+    def given(cls, flow: DataFrame) -> PackedFlow:
+        """From ``cell, nxt, acc``, whole numbers, as they are; cycles are left to the steps that follow paths."""
+        begun = flow.where("cell is not null").select("cell", "nxt", "acc")
+        rows = begun.select(graphs._span(F.col("cell")).alias("span"), *(F.col(c).cast("long").alias(c) for c in ("cell", "nxt", "acc")))
+
+        def pack(key, t):
+            order = np.argsort(spans.longs(t.column("cell").combine_chunks()), kind="stable")
+            columns = {c: pa.array([spans.longs(t.column(c).combine_chunks())[order].tobytes()], pa.binary()) for c in ("cell", "nxt", "acc")}
+            return pa.table({"span": pa.array([key[0].as_py()], pa.int64()), **columns})
+
+        packed = write_table(rows.groupBy("span").applyInArrow(pack, "span bigint, cell binary, nxt binary, acc binary"), "given")
+        return cls(packed.df, {f.name: f.dataType for f in begun.schema})
+
     @classmethod
     def from_heights(cls, dem: DataFrame, width: int, height: int, z: str = "z", heights: bool = False) -> PackedFlow:
         """From heights ``x, y, z`` by steepest descent, with accumulation; with ``heights``, ``z`` is kept. Cells outside the grid take no part."""

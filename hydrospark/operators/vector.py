@@ -58,6 +58,12 @@ def rasterize(points: DataFrame, *carry: str) -> DataFrame:
     spans; between the 1st and 2nd, 3rd and 4th, ... crossing of a row lies
     the inside.
     """
+    found = _inside_rows(points, *carry).select("fid", "row", F.explode(F.sequence("a", "b")).alias("column"))
+    return found.select("fid", F.col("column").cast("int").alias("x"), F.col("row").cast("int").alias("y")).distinct()
+
+
+def _inside_rows(points: DataFrame, *carry: str) -> DataFrame:
+    """``fid, row, a, b``: runs of cells, from ``a`` to ``b``, whose centre lies inside."""
     e = edges(points, "fid", *carry)
     low, high = F.least("y", "y2"), F.greatest("y", "y2")
     rows = F.when(F.ceil(high - 0.5) > F.ceil(low - 0.5), F.sequence(F.ceil(low - 0.5), F.ceil(high - 0.5) - 1))
@@ -65,22 +71,30 @@ def rasterize(points: DataFrame, *carry: str) -> DataFrame:
     at = F.col("x") + (F.col("row") + 0.5 - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y"))
     xs = met.groupBy("fid", "row").agg(F.sort_array(F.collect_list(at)).alias("xs"))
     spans = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.ceil(F.get("xs", (2 * i).cast("int")) - 0.5).alias("a"), (F.ceil(F.get("xs", (2 * i + 1).cast("int")) - 0.5) - 1).alias("b")))
-    spans = xs.select("fid", "row", F.explode(spans).alias("s")).where("s.a <= s.b")
-    found = spans.select("fid", "row", F.explode(F.sequence("s.a", "s.b")).alias("column"))
-    return found.select("fid", F.col("column").cast("int").alias("x"), F.col("row").cast("int").alias("y")).distinct()
+    return xs.select("fid", "row", F.explode(spans).alias("s")).where("s.a <= s.b").select("fid", "row", "s.a", "s.b")
 
 
 def touched(points: DataFrame, *carry: str) -> DataFrame:
     """``fid, x, y``: cells inside or touched by the border: the inside, and all cells that an edge passes."""
+    border = _border_rows(points, *carry).select("fid", "row", F.explode(F.sequence("a", "b")).alias("column"))
+    return border.select("fid", F.col("column").cast("int").alias("x"), F.col("row").cast("int").alias("y")).union(rasterize(points, *carry)).distinct()
+
+
+def within_touched(raster: DataFrame, points: DataFrame, *carry: str) -> DataFrame:
+    """Rows of ``raster`` whose cell ``touched`` tells; runs of cells are met by row, so a large polygon's cells are never listed."""
+    runs = _border_rows(points, *carry).select("row", "a", "b").union(_inside_rows(points, *carry).select("row", "a", "b"))
+    return raster.join(runs, (F.col("y").cast("long") == F.col("row")) & F.col("x").between(F.col("a"), F.col("b")), "left_semi")
+
+
+def _border_rows(points: DataFrame, *carry: str) -> DataFrame:
+    """``fid, row, a, b``: runs of cells, from ``a`` to ``b``, that an edge passes."""
     e = edges(points, "fid", *carry)
     low, high = F.least("y", "y2"), F.greatest("y", "y2")
     rows = e.select("fid", "x", "y", "x2", "y2", F.explode(F.sequence(F.floor(low), F.greatest(F.floor(low), F.ceil(high) - 1))).alias("row"))
     along = lambda yy: F.when(F.col("y") == F.col("y2"), None).otherwise(F.col("x") + (yy - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y")))
     a, b = along(F.greatest(low, F.col("row").cast("double"))), along(F.least(high, F.col("row") + 1.0))
     left, right = F.coalesce(F.least(a, b), F.least("x", "x2")), F.coalesce(F.greatest(a, b), F.greatest("x", "x2"))
-    cells = F.sequence(F.floor(left), F.greatest(F.floor(left), F.ceil(right) - 1))
-    border = rows.select("fid", "row", F.explode(cells).alias("column")).select("fid", F.col("column").cast("int").alias("x"), F.col("row").cast("int").alias("y"))
-    return border.union(rasterize(points, *carry)).distinct()
+    return rows.select("fid", "row", F.floor(left).alias("a"), F.greatest(F.floor(left), F.ceil(right) - 1).alias("b"))
 
 
 def clip(raster: DataFrame, points: DataFrame, *carry: str, all_touched: bool = True) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from hydrospark.functions.cells import WATER, cell_key, code_8
+from hydrospark.functions.cells import WATER, cell_key, code_8, in_grid, step
 from hydrospark.operators import algebra, flats, flow, slope, stencil, vector
 from hydrospark.operators.packed_flow import PackedFlow
 from hydrospark.storage import materialize
@@ -65,58 +68,83 @@ def lake_upstream(dem: DataFrame | None, water: DataFrame, graph: DataFrame | Pa
     return land.select("lake", "cell", F.round("z", 8).alias("z"), "nxt", "acc")
 
 
-def from_layers(dem: DataFrame, graph: DataFrame, acc: DataFrame, water: DataFrame, width: int, height: int, river_th: float, mode: str = "group") -> dict[str, DataFrame]:
+class Layers(Mapping):
+    """Layers by name, each made when first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self):
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
+def from_layers(dem: DataFrame, graph: DataFrame, acc: DataFrame | None, water: DataFrame, width: int, height: int, river_th: float, mode: str = "group") -> Layers:
     """Rivers, revised lakes, slope surfaces, routes and watersheds from elevation, flow graph and accumulation.
 
-    ``acc`` has ``cell, acc``; ``water`` has ``x, y``; ``dem`` has ``x, y`` and
-    any layers to be cut for the watershed step.
+    ``acc`` has ``cell, acc``, or is left out if ``graph`` has a whole ``acc``
+    for each cell; ``water`` has ``x, y``; ``dem`` has ``x, y`` and any layers
+    to be cut for the watershed step.  Revised lakes are told at once, all
+    other layers when first asked for.
     """
+    given = graph if acc is None else None
+    acc = acc if given is None else given.select("cell", "acc")
+    graph = graph.select("cell", "nxt")
     rivers = materialize(acc.where(F.col("acc") >= river_th), "rivers")
-    revised = flow.revise_lakes(graph.join(rivers.select("cell"), "cell"), keyed(water, width), width)
+    links = graph.join(rivers.select("cell"), "cell") if given is None else given.where(F.col("acc") >= river_th).select("cell", "nxt")
+    revised = flow.revise_lakes(links, keyed(water, width), width)
     revised_xy = to_xy(revised, width)
-    made = slope.slope_surfaces(revised_xy, graph, acc, width, height, river_th, mode)
-    surfaces = materialize(made.surfaces, "surfaces")
-    wet = surfaces.select("cell").unionByName(revised.select("cell")).distinct()
-    dry_rivers = rivers.join(wet, "cell", "left_anti")
+    made = slope.slope_surfaces(revised_xy, graph if given is None else PackedFlow.given(given), acc if given is None else None, width, height, river_th, mode)
+    surfaces = cache(lambda: materialize(made.surfaces, "surfaces"))
+    wet = cache(lambda: surfaces().select("cell").unionByName(revised.select("cell")).distinct())
     # watersheds stop at lakes and slopes: those cells are erased from all layers
-    left = graph.join(wet, "cell", "left_anti")
-    reach = materialize(flow.reaches(left, dry_rivers), "reach")
-    water_slope = surfaces.select("cell", F.col("slope_id").cast("int").alias("v")).unionByName(revised.select("cell", F.lit(WATER).alias("v")))
-    return {
-        "river": to_xy(rivers, width),
-        "water_revised": revised_xy,
-        "water_slope": to_xy(water_slope, width),
-        "slope_route": to_xy(made.route, width),
-        "watershed": to_xy(flow.watersheds(left, reach), width),
-        "reach_tree": flow.reach_tree(left, reach),
-        "layers": algebra.erase(dem, to_xy(wet, width)),
-    }
+    left = cache(lambda: graph.join(wet(), "cell", "left_anti"))
+    reach = cache(lambda: materialize(flow.reaches(left(), rivers.join(wet(), "cell", "left_anti")), "reach"))
+    slopes = lambda: surfaces().select("cell", F.col("slope_id").cast("int").alias("v"))
+    return Layers({
+        "river": lambda: to_xy(rivers, width),
+        "water_revised": lambda: revised_xy,
+        "water_slope": lambda: to_xy(slopes().unionByName(revised.select("cell", F.lit(WATER).alias("v"))), width),
+        "slope_route": lambda: to_xy(made.route, width),
+        "watershed": lambda: to_xy(flow.watersheds(left(), reach()), width),
+        "reach_tree": lambda: flow.reach_tree(left(), reach()),
+        "layers": lambda: algebra.erase(dem, to_xy(wet(), width)),
+    })
 
 
 def flagship(
     dem: DataFrame, dir128: DataFrame, acc: DataFrame, boundary: DataFrame, lakes: DataFrame, width: int, height: int, least_area: float = 1, river_th: float = 5, mode: str = "group"
-) -> dict[str, DataFrame]:
+) -> Layers:
     """Layers of a catalog cut to a polygon, then ``from_layers``.
 
     ``boundary`` and ``lakes`` are ring points; lakes have ``Lake_area`` as
     text and only those above ``least_area`` take part.  Terminals are joined
     to the river by the threshold.
     """
-    area = materialize(vector.touched(boundary).select("x", "y").distinct(), "area")
-    wide = dem.join(dir128, ["x", "y"]).join(acc, ["x", "y"]).join(area, ["x", "y"], "left_semi")
+    wide = vector.within_touched(dem, boundary).join(dir128, ["x", "y"]).join(acc, ["x", "y"])
     wide = materialize(wide, "layers")
     big = vector.large_lakes(lakes, least_area).select("fid", "pos", F.col("x").cast("double"), F.col("y").cast("double"))
-    water = vector.rasterize(big).select("x", "y").distinct().join(area, ["x", "y"], "left_semi")
-    directions = wide.select("x", "y", code_8(F.col("dir128")).alias("dir")).where("dir is not null")
+    water = vector.within_touched(vector.rasterize(big).select("x", "y").distinct(), boundary)
     finals = stencil.trace_starts(wide.select("x", "y", "dir128")).where("kind = 'final'").select("x", "y")
     linked = stencil.link_terminals(finals, wide.select("x", "y", "acc"), river_th).select("x", "y", F.lit(True).alias("linked"))
     # linked terminals count as river cells, whatever they collect
-    gathered = wide.join(linked, ["x", "y"], "left").select("x", "y", F.when(F.col("linked"), F.greatest("acc", F.lit(river_th))).otherwise(F.col("acc")).alias("acc"))
-    graph = materialize(flow.flow_graph(wide, directions, width, height), "graph")
-    return from_layers(wide.select("x", "y", "dem"), graph, materialize(keyed(gathered, width, "acc"), "acc"), water, width, height, river_th, mode)
+    sizes = F.when(F.col("linked"), F.greatest("acc", F.lit(river_th))).otherwise(F.col("acc")).alias("acc")
+    nx, ny = (F.col(c) + step(code_8(F.col("dir128")), k) for k, c in enumerate("xy"))
+    nxt = F.when(in_grid(nx, ny, width, height), cell_key(nx, ny, width)).alias("nxt")
+    graph = materialize(keyed(wide.join(linked, ["x", "y"], "left").select("x", "y", nxt, sizes), width, "nxt", "acc"), "graph")
+    if isinstance(graph.schema["acc"].dataType, IntegralType):
+        return from_layers(wide.select("x", "y", "dem"), graph, None, water, width, height, river_th, mode)
+    return from_layers(wide.select("x", "y", "dem"), graph.select("cell", "nxt"), graph.select("cell", "acc"), water, width, height, river_th, mode)
 
 
-def from_elevation(dem: DataFrame, water: DataFrame, width: int, height: int, river_th: float, mode: str = "group", fill: bool = True) -> dict[str, DataFrame]:
+def from_elevation(dem: DataFrame, water: DataFrame, width: int, height: int, river_th: float, mode: str = "group", fill: bool = True) -> Layers:
     """From a raw elevation grid (``x, y, z``): pits filled, directions down and over flats, accumulation, then ``from_layers``."""
     if fill:
         raw = materialize(stencil.steepest(dem), "d8-raw")

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from hydrospark import storage
 from hydrospark.functions.cells import STEPS
-from hydrospark.operators import blocks, dry_land, flow, slope, spans, stencil, upstream
+from hydrospark.operators import blocks, dry_land, flow, slope, spans, stencil, upstream, vector
 from hydrospark.operators.packed_flow import PackedFlow
-from hydrospark.plans import catalogue
+from hydrospark.plans import catalogue, pipelines
 from hydrospark.plans.pipelines import keyed
 from hydrospark.sources import shapefile, tiles
 
@@ -241,3 +241,32 @@ def test_lakes_as_one_need_no_groups(spark, monkeypatch):
     assert "steepest-" not in plan and "gathered-" not in plan and plan.count("Join") <= 2
     got = land.collect()
     assert got and len({r.cell for r in got}) == len(got) and all(r.nxt is not None and r.acc > 0 for r in got)
+
+
+def test_rasters_meet_polygons_by_runs(spark):
+    """Cells touched by polygons with odd corners, holes and overlaps, met by runs of a row: the same as listed cell by cell."""
+    draw = random.Random(6)
+    corners = [(fid, pos, draw.choice([draw.randrange(-3, 33), draw.random() * 30]), draw.choice([draw.randrange(-3, 33), draw.random() * 30])) for fid in range(4) for pos in range(6)]
+    corners += [(fid, 6, x, y) for fid, pos, x, y in corners if pos == 0]
+    points = spark.createDataFrame([(f, p, float(x), float(y)) for f, p, x, y in corners], "fid int, pos int, x double, y double")
+    raster = spark.range(900).select((F.col("id") % 30).cast("int").alias("x"), F.floor(F.col("id") / 30).cast("int").alias("y"), "id")
+    listed = {(r.x, r.y) for r in vector.touched(points).collect()}
+    got = [(r.x, r.y) for r in vector.within_touched(raster, points).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, y) for x, y in listed if 0 <= x < 30 and 0 <= y < 30} and 0 < len(got) < 900
+
+
+def test_layers_are_made_when_asked(spark, monkeypatch):
+    """Rivers and lakes without the steps of watersheds, routes and slopes."""
+    asked = []
+    monkeypatch.setattr(slope, "slope_surfaces", lambda *rest: asked.append(rest))
+    monkeypatch.setattr(flow, "reaches", None)
+    graph = spark.createDataFrame([(0, 1, 1), (1, 2, 5), (2, None, 9)], "cell long, nxt long, acc long")
+    water = spark.createDataFrame([(2, 0), (1, 1), (2, 1)], "x int, y int")
+    dem = graph.select(F.col("cell").cast("int").alias("x"), F.lit(0).alias("y"))
+    for layers in (pipelines.from_layers(dem, graph, None, water, 10, 10, 5), pipelines.from_layers(dem, graph.select("cell", "nxt"), graph.select("cell", "acc"), water, 10, 10, 5)):
+        assert {tuple(r) for r in layers["water_revised"].collect()} == {(1, 0), (2, 0), (1, 1), (2, 1)}
+        assert {(r.x, r.acc) for r in layers["river"].collect()} == {(1, 5), (2, 9)}
+        assert set(layers) == {"river", "water_revised", "water_slope", "slope_route", "watershed", "reach_tree", "layers"}
+    packed, plain = asked
+    assert isinstance(packed[1], PackedFlow) and packed[2] is None and plain[2] is not None
+    assert {tuple(r) for r in packed[1].rows("nxt", "acc").collect()} == {tuple(r) for r in graph.collect()}
